@@ -7,15 +7,24 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats, read_back
 from .common import table
+from .decontaminate import contaminated
+from .html_extract import extract
 from .line_dedup import apply_bitmaps, line_dedup
 from .mixing import mix
+from .packing import pack
 from .quality import quality_rules
+from .warc import plan_records, read_archives, write_archives
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only contaminated documents have rows."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return apply_bitmaps(docs, line_dedup(docs, min_docs=10, min_chars=1), digest=True)
@@ -27,6 +36,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "<|im_end|><|im_start|>assistant ok"
@@ -39,4 +52,13 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_line_dedup, op6_quality_rules, op8_chat_formatting)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_archives(plan_records(table(spark, sf_dir, "pages")))
+    return read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_line_dedup, op6_quality_rules, op7_token_packing, op8_chat_formatting, op9_warc, op10_html_extraction)}
