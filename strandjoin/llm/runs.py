@@ -70,10 +70,10 @@ def _streamer(n_min: int, first_col: str | None):
     return stream
 
 
-def key_runs(rows: DataFrame, order: list[str], n_min: int = 2, first_col: str | None = None, name: str = "runs", descending: bool = False, distinct: bool = False) -> DataFrame:
+def key_runs(rows: DataFrame, order: list[str], n_min: int = 2, first_col: str | None = None, name: str = "runs", descending: bool = False, distinct: bool = False, only_big: bool = False) -> DataFrame:
     """rows (k1 long, k2 long, ...): adds run_big (the key has at least n_min rows) and, with first_col, run_first (its value in the key's first row).
 
-    With distinct, rows equal in key and order count once. Nulls in order come first, or last if descending. Empty tables give empty results.
+    With only_big, rows of other keys are left out. With distinct, rows equal in key and order count once. Nulls in order come first, or last if descending. Empty tables give empty results.
     """
     spark = rows.sparkSession
     by = [F.col("k1"), F.col("k2"), *[F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in order]]
@@ -84,7 +84,8 @@ def key_runs(rows: DataFrame, order: list[str], n_min: int = 2, first_col: str |
     schema = T.StructType([*rows.schema.fields, T.StructField("run_big", T.BooleanType()), T.StructField("run_edge", T.IntegerType()), T.StructField("run_pid", T.IntegerType())])
     if first_col:
         schema.add("run_first", rows.schema[first_col].dataType)
-    out = materialise(dealt.mapInArrow(_streamer(n_min, first_col), schema), name)
+    out = dealt.mapInArrow(_streamer(n_min, first_col), schema)
+    out = materialise(out.filter("run_big OR run_edge > 0") if only_big else out, name)
     # at most two runs of each partition touch its ends
     agg = [F.count("*").alias("n"), F.max("run_big").alias("big"), (F.first("run_first") if first_col else F.lit(None)).alias("f")]
     ends = out.filter("run_edge > 0").groupBy("run_pid", "k1", "k2").agg(*agg).collect()
@@ -97,4 +98,6 @@ def key_runs(rows: DataFrame, order: list[str], n_min: int = 2, first_col: str |
     done = out.join(F.broadcast(fix), on, "left").withColumn("run_big", F.col("run_big") | F.coalesce(F.col("f_n") >= n_min, F.lit(False)))
     if first_col:
         done = done.withColumn("run_first", F.when(F.col("f_n").isNotNull(), F.col("f_first")).otherwise(F.col("run_first")))
+    if only_big:
+        done = done.filter("run_big")
     return done.drop("f_k1", "f_k2", "f_n", "f_first", "run_edge", "run_pid")
