@@ -1,8 +1,50 @@
-"""The corpus pipeline."""
+"""From documents to packed token ids in five stages, each written and read again."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strandjoin.llm.common import materialise, table
+from strandjoin.llm.decontaminate import decontaminate
+from strandjoin.llm.mixing import mixed_documents
+from strandjoin.llm.near_dup import near_dedup
+from strandjoin.llm.packing import pack
+from strandjoin.llm.quality import quality_rules
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or a risk-controlled cutoff rejects go."""
+    return quality_rules(docs, table(spark, sf_dir, "labels"), with_text=True).filter("kept").select(docs.columns)
+
+
+def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8) stays."""
+    return near_dedup(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at their weights; a document has a row for each epoch that takes it."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed token ids."""
+    return pack(docs)
+
+
+STAGES = [("quality_rules", quality), ("near_dup", near_dup), ("decontamination", decontamination), ("mixing", mixing), ("token_packing", packing)]
+
+#: Packing and near-duplicates can't be expressed in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage_{name}")
+    return docs

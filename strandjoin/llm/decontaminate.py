@@ -163,26 +163,33 @@ def _verdict(items: Items, k: int, pairs: list[tuple[int, int]], doc: np.ndarray
     return (items.ids[k], len(matched), n, len(matched) / n, differs) if n and len(matched) >= similarity * n else None
 
 
+def _items(benchmark: DataFrame, max_broadcast: int) -> tuple[DataFrame, list[tuple] | None]:
+    """The distinct items, and their rows if they have at most max_broadcast windows."""
+    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
+    size = b.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # no text has more tokens than that, sentence ends aside
+    return b, [tuple(r) for r in b.orderBy("item_id", "text").collect()] if size <= max_broadcast else None
+
+
+def _matches(items: Items, text: str, similarity: float) -> list[tuple]:
+    t, own, _ = template(text)
+    pairs: dict[int, list] = defaultdict(list)
+    for k, p, at in items.probe(t):
+        pairs[k].append((p, at))
+    return [v for k, found in pairs.items() if (v := _verdict(items, k, found, own, similarity))]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, similarity: float = 0.8, min_tokens: int = 5, max_broadcast: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, similarity, reparameterised: a row for each document and item that contaminates it."""
-    spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
-    size = b.agg(F.sum(F.length("text") / 4 + 1)).first()[0] or 0  # no text has more windows than that
-    if size > max_broadcast:
+    b, rows = _items(benchmark, max_broadcast)
+    if rows is None:
         return _shuffled(d, b, window, similarity, min_tokens)
-    sent = spark.sparkContext.broadcast([tuple(r) for r in b.orderBy("item_id", "text").collect()])
+    sent = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(sent.value, window, min_tokens)
         for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                t, own, _ = template(text.as_py())
-                pairs: dict[int, list] = defaultdict(list)
-                for k, p, at in items.probe(t):
-                    pairs[k].append((p, at))
-                out += [(doc, *v) for k, found in pairs.items() if (v := _verdict(items, k, found, own, similarity))]
+            out = [(doc, *v) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for v in _matches(items, text.as_py(), similarity)]
             if out:
                 yield _rows(out)
 
@@ -223,9 +230,21 @@ def _shuffled(d: DataFrame, b: DataFrame, window: int, similarity: float, min_to
     return both.mapInArrow(run, FOUND)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated ones. Rows are identified by place, so that null and repeated ids do no harm."""
-    row = "__row"
-    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
-    bad = contaminated(keyed, benchmark, id_col=row, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return keyed.join(bad, keyed[row] == bad["__bad"], "left_anti").drop(row)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 5, similarity: float = 0.8, min_tokens: int = 5, max_broadcast: int = 4_000_000, text_col: str = "text") -> DataFrame:
+    """docs without the contaminated rows."""
+    _, rows = _items(benchmark, max_broadcast)
+    if rows is None:  # rows are identified by place, so that null and repeated ids do no harm
+        row = "__row"
+        keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+        bad = contaminated(keyed, benchmark, window, similarity, min_tokens, max_broadcast, row, text_col).select(F.col("doc_id").alias("__bad")).distinct()
+        return keyed.join(bad, keyed[row] == bad["__bad"], "left_anti").drop(row)
+    sent = docs.sparkSession.sparkContext.broadcast(rows)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(sent.value, window, min_tokens)
+        for batch in batches:
+            keep = [not _matches(items, text.as_py() or "", similarity) for text in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -192,3 +192,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
     member = member.join(salted, ["first_id", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component", "first_id").alias("component_id"))
     alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return member.unionByName(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component; that with the smallest id, or where ids are null or repeat the first row."""
+    ids = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter(F.col(id_col).isNull() | (F.col("n") > 1))
+    own = id_col
+    if not ids.isEmpty():
+        own = "__row"
+        docs = materialise(docs.withColumn(own, F.monotonically_increasing_id()), "near_docs")
+    kept = near_duplicates(docs, words, percent, chunks, own, text_col).filter("kept").select(F.col("doc_id").alias("__kept"))
+    out = docs.join(kept, docs[own] == kept["__kept"], "left_semi")
+    return out.drop("__row") if own == "__row" else out

@@ -31,6 +31,7 @@ CUTOFFS = {
     "short_word_mean": (-4.5, -4.0, -3.5, -3.0, -2.5, -2.0),
 }
 WINDOW = 8
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
 
 
 def _covered(at: Column) -> Column:
@@ -42,10 +43,10 @@ def _covered(at: Column) -> Column:
     return F.aggregate(places, first, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")))["n"]
 
 
-def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+def measures(docs: DataFrame, text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """docs, without its text unless with_text, with n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words in place of columns so named."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keep = [c for c in docs.columns if c != text_col]
+    keep = [c for c in docs.columns if (c != text_col or with_text) and c not in MEASURES]
     d = docs.select(*keep, text.alias("__text")).withColumn("__words", F.array_remove(F.split("__text", f"{WS}+"), ""))
     d = d.withColumn("__n", F.size("__words"))
     windows = F.when(F.col("__n") > WINDOW, F.transform(F.sequence(F.lit(1), F.col("__n") - WINDOW + 1), lambda i: F.xxhash64(F.slice("__words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
@@ -113,10 +114,10 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """docs without its text, with the measures, base_failed and kept."""
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", with_text: bool = False) -> DataFrame:
+    """docs, without its text unless with_text, with the measures, base_failed and kept."""
 
-    measured = materialise(measures(docs, text_col), "quality")
+    measured = materialise(measures(docs, text_col, with_text), "quality")
     cutoffs = select_cutoffs(measured, labels, alpha, delta, id_col, stratum_col)
     by_stratum = cutoffs.groupBy(F.col("stratum").alias("__stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cut"))
     d = _ratios(measured).join(by_stratum, F.col(stratum_col).eqNullSafe(F.col("__stratum")), "left")

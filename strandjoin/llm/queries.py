@@ -14,6 +14,7 @@ from .mixing import mix
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
+from .suffix_dedup import suffix_dedup
 from .warc import plan_records, read_archives, write_archives
 
 
@@ -31,6 +32,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_bitmaps(docs, line_dedup(docs, min_docs=10, min_chars=1), digest=True)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=100)
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -66,4 +71,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_line_dedup, op5_near_dup, op6_quality_rules, op7_token_packing, op8_chat_formatting, op9_warc, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_line_dedup, op4_suffix_dedup, op5_near_dup, op6_quality_rules, op7_token_packing, op8_chat_formatting, op9_warc, op10_html_extraction)}
