@@ -1,4 +1,334 @@
-"""Queries by name, with DuckDB SQL for each."""
+"""Queries by name, with DuckDB SQL for each that SQL can express."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..aligner import run
+from ..functions import quality, random, sequence
+from ..operators import analysis, index, pairs, policy, suffixes
+from ..operators.search import align
+from ..options import AlignOptions
+from ..sources import reads as read_sources
+from ..sources import references, sinks
+from . import sql, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+EXACT = AlignOptions(mode="v", v=0, every=True)
+SEEDED = AlignOptions(mode="n", n=2, seed_len=28, max_penalty=70, every=True)
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def mm(v: int, **more) -> AlignOptions:
+    return AlignOptions(mode="v", v=v, every=True, **more)
+
+
+def hits(spark: SparkSession, sf_dir: str, opts: AlignOptions) -> DataFrame:
+    return align(tables.reads(spark, sf_dir), tables.refs(spark, sf_dir), opts)
+
+
+def shown(d: DataFrame, *more: str) -> DataFrame:
+    strand = F.when(F.col("fw"), "+").otherwise("-").alias("strand")
+    return d.select("read_id", strand, "ref_id", "off", F.col("stratum").cast("long").alias("stratum"), F.col("penalty").cast("long").alias("penalty"), sinks.edits("mms").alias("mms"), *more)
+
+
+# --- scalar functions and read handling
+
+
+@query(f"SELECT item_id AS seq_id, o::BIGINT AS off, substr(dna, o::INT + 1, 12) AS seq FROM (SELECT item_id, {sql.DNA} AS dna, unnest(range(0, len({sql.DNA}) - 11, 5)) AS o FROM benchmark)")
+def kmer_windows(spark, sf_dir):
+    d = tables.item_refs(spark, sf_dir).select(F.col("ref_id").alias("seq_id"), "name", "seq")
+    return read_sources.windows(d, 12, 5).select("seq_id", "off", "seq")
+
+
+@query(f"SELECT doc_id AS ref_id, md5({sql.rc(sql.DNA)}) AS rc FROM documents")
+def revcomp(spark, sf_dir):
+    return tables.refs(spark, sf_dir).select("ref_id", F.md5(sequence.reverse_complement("seq")).alias("rc"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(upper(regexp_replace(replace(coalesce(text, ''), '.', 'N'), '[^A-Za-z]', '', 'g')), '[^ACGT]', 'N', 'g')) AS seq FROM documents")
+def normalise_reads(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", F.md5(sequence.normalise_read(F.coalesce("text", F.lit("")))).alias("seq"))
+
+
+@query("SELECT item_id, translate(regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z-]', '', 'g')), '[^ACGTBDHKMNRSVWXY-]', '', 'g'), 'BDHKMNRSVWXY-', 'NNNNNNNNNNNNN') AS seq, translate(regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z-]', '', 'g')), '[^ACGTBDHKMNRSVWXY-]', '', 'g'), 'BDHKMNRSVWXY-', 'AAAAAAAAAAAAA') AS filled FROM benchmark")
+def normalise_references(spark, sf_dir):
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z-]", "")
+    return tables.table(spark, sf_dir, "benchmark").select("item_id", sequence.normalise_reference(text).alias("seq"), sequence.normalise_reference(text, n_to_a=True).alias("filled"))
+
+
+Q = "list_transform(range(36), lambda i: ascii(substr(qual, i::INT + 1, 1)) - 33)"
+
+
+@query(f"WITH {sql.READS} SELECT read_id, list_sum({Q})::BIGINT AS phred, list_sum(list_transform({Q}, lambda q: least(30, ((q + 5) // 10) * 10)))::BIGINT AS rounded FROM reads")
+def quality_values(spark, sf_dir):
+    q = quality.values("qual")
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    return tables.reads(spark, sf_dir).select("read_id", total(q).alias("phred"), total(F.transform(q, quality.rounded)).alias("rounded"))
+
+
+@query("""SELECT DISTINCT (l_quantity::INT - 15)::BIGINT AS solexa, (CASE WHEN l_quantity::INT < 5 THEN 0 WHEN l_quantity::INT >= 25 THEN l_quantity::INT - 15 ELSE [0, 1, 1, 1, 1, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 7, 8, 9, 10][l_quantity::INT - 4] END)::BIGINT AS phred FROM lineitem""")
+def solexa_to_phred(spark, sf_dir):
+    v = (F.col("l_quantity").cast("int") - 15)
+    d = tables.table(spark, sf_dir, "lineitem").select(v.alias("v")).distinct()
+    return d.select(F.col("v").cast("long").alias("solexa"), quality.solexa_to_phred("v").cast("long").alias("phred"))
+
+
+@query(f"WITH {sql.READS} SELECT read_id, array_to_string(list_transform({Q}, lambda q: chr((64 + greatest(round(10 * log10(pow(10, greatest(q, 1) / 10.0) - 1)), -5))::INT)), '') AS qual FROM reads")
+def convert_quals(spark, sf_dir):
+    d = analysis.convert_qualities(tables.reads(spark, sf_dir), "phred33", "solexa64")
+    return d.select("read_id", "qual")
+
+
+@query(f"WITH {sql.READS} SELECT read_id, substr(seq, 4, 28) AS seq, substr(qual, 4, 28) AS qual, 3::BIGINT AS trimmed5, 5::BIGINT AS trimmed3 FROM reads")
+def trim_reads(spark, sf_dir):
+    d = read_sources.trimmed(tables.reads(spark, sf_dir), 3, 5)
+    return d.select("read_id", "seq", "qual", F.col("trimmed5").cast("long").alias("trimmed5"), F.col("trimmed3").cast("long").alias("trimmed3"))
+
+
+@query(f"WITH {sql.READS} SELECT read_id, seq FROM reads WHERE read_id >= 100 AND read_id < 400100")
+def skip_limit(spark, sf_dir):
+    return read_sources.select(tables.reads(spark, sf_dir), 100, 400_000).select("read_id", "seq")
+
+
+@query(f"""WITH {sql.READS}, c AS (SELECT *, 'r' || read_id::VARCHAR AS name FROM reads)
+SELECT read_id, list_reduce(list_concat([((101::HUGEINT * 59 * 61 * 67 * 71 * 73 * 79 * 83) % 4294967296)::BIGINT],
+  list_transform(range(36), lambda i: ((instr('ACGTN', substr(seq, i::INT + 1, 1)) - 1)::BIGINT << (2 * (i % 16))::INT) & 4294967295),
+  list_transform(range(36), lambda i: ascii(substr(qual, i::INT + 1, 1))::BIGINT << (8 * (i % 4))::INT),
+  list_transform(range(len(name)), lambda i: ascii(substr(name, i::INT + 1, 1))::BIGINT << (8 * (i % 4))::INT)), lambda a, b: xor(a, b)) AS seed FROM c""")
+def read_seeds(spark, sf_dir):
+    return tables.reads(spark, sf_dir).select("read_id", random.read_seed("seq", "qual", "name").alias("seed"))
+
+
+@query(f"WITH {sql.READS} SELECT read_id, list_sum(list_transform(range(18), lambda i: (substr(seq, i::INT + 1, 1) <> substr(seq, i::INT + 19, 1))::INT))::BIGINT AS n FROM reads WHERE NOT contains(seq, 'N')")
+def packed_hamming(spark, sf_dir):
+    d = tables.reads(spark, sf_dir).filter(~F.col("seq").contains("N"))
+    a, b = (sequence.pack_2bit(F.substring("seq", k, 18)) for k in (1, 19))
+    return d.select("read_id", sequence.packed_mismatches(a, b).cast("long").alias("n"))
+
+
+# --- references and index
+
+
+@query(f"""WITH {sql.REFS}, r AS (SELECT ref_id, unnest(runs) AS run, unnest(range(len(runs))) AS k FROM (SELECT ref_id, regexp_extract_all(seq, 'N*[ACGT]+') AS runs FROM refs)),
+p AS (SELECT *, coalesce(sum(len(run)) OVER (PARTITION BY ref_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun, len(run) - len(ltrim(run, 'N')) AS gap FROM r)
+SELECT ref_id, gap::BIGINT AS gap, (begun + gap)::BIGINT AS frag_start, (len(run) - gap)::BIGINT AS frag_len FROM p""")
+def ref_fragments(spark, sf_dir):
+    return references.fragments(tables.refs(spark, sf_dir))
+
+
+@query(f"""WITH {sql.REFS}, k AS (SELECT * FROM refs WHERE regexp_matches(seq, '[ACGT]'))
+SELECT ref_id, 0::BIGINT AS line_no, '>' || ref_id::VARCHAR AS line FROM k UNION ALL
+SELECT ref_id, (o // 60 + 1)::BIGINT AS line_no, substr(seq, o::INT + 1, 60) AS line FROM (SELECT ref_id, seq, unnest(range(0, len(seq), 60)) AS o FROM k)""")
+def ref_dump(spark, sf_dir):
+    return index.dump(tables.refs(spark, sf_dir)).select("ref_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query(f"WITH {sql.REFS} SELECT row_number() OVER (ORDER BY ref_id) AS sequence, ref_id::VARCHAR AS name, len(seq)::BIGINT AS len, len(replace(seq, 'N', ''))::BIGINT AS bases FROM refs WHERE len(replace(seq, 'N', '')) > 0")
+def idx_summary(spark, sf_dir):
+    d = index.summary(tables.refs(spark, sf_dir))
+    return d.select(F.col("sequence").cast("long").alias("sequence"), "name", "len", "bases")
+
+
+@query(f"SELECT doc_id AS ref_id, doc_id::VARCHAR AS name FROM documents")
+def idx_names(spark, sf_dir):
+    return index.names(tables.refs(spark, sf_dir))
+
+
+@query(f"""WITH {sql.REFS}, k AS (SELECT substr(seq, o::INT + 1, 12) AS kmer FROM (SELECT seq, unnest(range(len(seq) - 11)) AS o FROM refs WHERE len(seq) >= 12))
+SELECT substr(kmer, 1, 5) AS prefix, count(*)::BIGINT AS n, min(kmer) AS first, max(kmer) AS last FROM k WHERE NOT contains(kmer, 'N') GROUP BY 1""")
+def kmer_prefixes(spark, sf_dir):
+    from ..operators.search import kmers
+
+    return index.prefix_ranges(kmers(tables.refs(spark, sf_dir), 12, 0), 5)
+
+
+@query(f"""SELECT ref_id, (row_number() OVER (PARTITION BY ref_id ORDER BY suffix) - 1)::BIGINT AS place, o::BIGINT AS pos, CASE WHEN o = 0 THEN '$' ELSE substr(dna, o::INT, 1) END AS before
+FROM (SELECT item_id AS ref_id, dna, o, substr(dna, o::INT + 1) AS suffix FROM (SELECT item_id, {sql.DNA} AS dna, unnest(range(len({sql.DNA}) + 1)) AS o FROM benchmark))""")
+def suffix_array(spark, sf_dir):
+    return suffixes.suffix_array(tables.item_refs(spark, sf_dir))
+
+
+@query()
+def bwt(spark, sf_dir):
+    return suffixes.bwt(suffixes.suffix_array(tables.item_refs(spark, sf_dir)))
+
+
+# --- alignment
+
+
+@query(f"WITH {sql.REFS}, {sql.READS}, o AS (SELECT read_id, true AS fw, seq AS p FROM reads UNION ALL SELECT read_id, false, {sql.rc('seq')} FROM reads), k AS (SELECT ref_id, o AS off, substr(seq, o::INT + 1, 36) AS w FROM (SELECT ref_id, seq, unnest(range(len(seq) - 35)) AS o FROM refs WHERE len(seq) >= 36)) SELECT read_id, {sql.STRAND}, ref_id, off::BIGINT AS off, 0::BIGINT AS stratum, 0::BIGINT AS penalty, '' AS mms FROM o JOIN k ON p = w WHERE NOT contains(p, 'N')")
+def exact_all(spark, sf_dir):
+    return shown(hits(spark, sf_dir, EXACT))
+
+
+def _aligned(name: str, opts: AlignOptions, ctes: str, tail: str, make=None) -> None:
+    def f(spark, sf_dir):
+        d = hits(spark, sf_dir, opts)
+        return make(d, opts) if make else shown(d)
+
+    f.__name__ = name
+    query(f"{ctes} {tail}")(f)
+
+
+for _v in (1, 2, 3):
+    _aligned(f"v{_v}_all", mm(_v), sql.hits("v", _v), f"SELECT {sql.HIT_COLUMNS} FROM h")
+_aligned("n_seed_all", SEEDED, sql.hits("n", 2), f"SELECT {sql.HIT_COLUMNS} FROM h")
+_aligned("n_seed_plain", AlignOptions(mode="n", n=1, seed_len=20, max_penalty=90, rounding=False, every=True), sql.hits("n", 1, seed=20, most=90, rounding=False), f"SELECT {sql.HIT_COLUMNS} FROM h")
+_aligned("nofw", mm(1, forward=False), sql.hits("v", 1, forward=False), f"SELECT {sql.HIT_COLUMNS} FROM h")
+_aligned("norc", mm(1, reverse=False), sql.hits("v", 1, reverse=False), f"SELECT {sql.HIT_COLUMNS} FROM h")
+
+
+def _reported(d: DataFrame, opts: AlignOptions) -> DataFrame:
+    return shown(policy.report(d, opts), F.col("rank").cast("long").alias("rank"), F.col("oms").cast("long").alias("oms"))
+
+
+_OMS = "count(*) OVER (PARTITION BY read_id, mate, fw, w) - 1"
+_RANK = f"row_number() OVER (PARTITION BY read_id ORDER BY {sql.ORDER})"
+_aligned("best_k", AlignOptions(mode="v", v=2, k=3, best=True), sql.hits("v", 2), f"SELECT * FROM (SELECT {sql.HIT_COLUMNS}, {_RANK} AS rank, {_OMS} AS oms FROM h) WHERE rank <= 3", _reported)
+_STRATUM = "b AS (SELECT *, min(stratum) OVER (PARTITION BY read_id) AS least FROM h), t AS (SELECT *, count(*) OVER (PARTITION BY read_id) AS n FROM b WHERE stratum = least)"
+_aligned("strata", AlignOptions(mode="v", v=2, every=True, best=True, strata=True), sql.hits("v", 2), f", {_STRATUM} SELECT {sql.HIT_COLUMNS}, {_RANK} AS rank, n - 1 AS oms FROM t", _reported)
+_aligned("m_suppress", AlignOptions(mode="v", v=2, every=True, m=2), sql.hits("v", 2), f", t AS (SELECT *, count(*) OVER (PARTITION BY read_id) AS n, {_OMS} AS oms, {_RANK} AS rank FROM h) SELECT {sql.HIT_COLUMNS}, rank, oms FROM t WHERE n <= 2", _reported)
+_aligned("m_strata", AlignOptions(mode="v", v=2, every=True, best=True, strata=True, m=1), sql.hits("v", 2), f", {_STRATUM} SELECT {sql.HIT_COLUMNS}, {_RANK} AS rank, n - 1 AS oms FROM t WHERE n <= 1", _reported)
+_aligned(
+    "M_overflow_count", AlignOptions(mode="v", v=2, k=1, best=True, sample_m=2), sql.hits("v", 2),
+    ", t AS (SELECT read_id, count(*) AS n, min(stratum) AS stratum FROM h GROUP BY 1) SELECT read_id, stratum, (n > 2)::BIGINT AS sampled, CASE WHEN n > 2 THEN 0 ELSE 255 END::BIGINT AS mapq FROM t",
+    lambda d, o: policy.report(d, o).select("read_id", F.col("stratum").cast("long").alias("stratum"), F.col("sampled").cast("long").alias("sampled"), F.col("mapq").cast("long").alias("mapq")),
+)
+
+
+# --- pairs
+
+
+def _pairs(name: str, orientation: str, contain: bool = False, low: int = 0, high: int = 250) -> None:
+    opts = AlignOptions(mode="v", v=1, every=True, orientation=orientation, allow_contain=contain, min_insert=low, max_insert=high)
+
+    def f(spark, sf_dir):
+        found = pairs.concordant(align(tables.mates(spark, sf_dir, orientation), tables.refs(spark, sf_dir), opts), opts)
+        return found.select("read_id", "ref_id", F.col("m1_off").alias("off1"), F.col("m2_off").alias("off2"), F.col("first").cast("long").alias("first"), F.col("insert").cast("long").alias("insert"))
+
+    f.__name__ = name
+    query(f"{sql.pairs(orientation, contain, low, high)} SELECT read_id, ref_id, off1, off2, first::BIGINT AS first, insert::BIGINT AS insert FROM pairs")(f)
+
+
+_pairs("pairs_fr", "fr")
+_pairs("pairs_rf", "rf")
+_pairs("pairs_ff", "ff")
+_pairs("pairs_contain", "fr", contain=True, low=30, high=120)
+
+
+@query(f"""{sql.hits("v", 1, sql.mates("fr"))}, n AS (SELECT *, count(*) OVER (PARTITION BY read_id, mate) AS n FROM h),
+j AS (SELECT (CASE WHEN a.fw THEN 'F' ELSE 'R' END) || (CASE WHEN b.fw THEN 'F' ELSE 'R' END) AS orientation, CASE WHEN b.off - a.off > 0 THEN b.off - a.off + 36 ELSE b.off - a.off - 36 END AS length
+  FROM n a JOIN n b ON a.read_id = b.read_id AND a.ref_id = b.ref_id AND a.mate = 1 AND b.mate = 2 AND a.n = 1 AND b.n = 1)
+SELECT orientation, (trunc((length + 5.0) / 10) * 10)::BIGINT AS length, count(*)::BIGINT AS n FROM j GROUP BY 1, 2""")
+def insert_histogram(spark, sf_dir):
+    opts = AlignOptions(mode="v", v=1, m=1)
+    return analysis.fragment_lengths(align(tables.mates(spark, sf_dir), tables.refs(spark, sf_dir), opts), 10, opts)
+
+
+# --- output
+
+
+_aligned(
+    "default_record", AlignOptions(mode="v", v=2, k=2, best=True), sql.hits("v", 2),
+    f"SELECT 'r' || read_id::VARCHAR AS read, strand, ref_id::VARCHAR AS ref, off AS off0, seq, qual, oms, mms FROM (SELECT read_id, {sql.STRAND}, ref_id, off, seq, qual, mms, {_OMS} AS oms, {_RANK} AS rank FROM h) WHERE rank <= 2",
+    lambda d, o: sinks.default_rows(policy.report(d, o)).select(*sinks.DEFAULT),
+)
+_MD = """list_reduce(list_concat([{'next': 0::BIGINT, 's': ''}], list_transform(list_sort(bad), lambda i: {'next': i, 's': substr(w, i::INT + 1, 1)})), lambda a, b: {'next': b.next + 1, 's': a.s || (b.next - a.next)::VARCHAR || b.s})"""
+_aligned(
+    "sam_record", AlignOptions(mode="v", v=2, k=1, best=True), sql.hits("v", 2),
+    f""", t AS (SELECT *, {_RANK} AS rank, {_MD} AS md0 FROM h)
+SELECT 'r' || read_id::VARCHAR AS qname, (CASE WHEN fw THEN 0 ELSE 16 END)::BIGINT AS flag, ref_id::VARCHAR AS ref, off + 1 AS pos, '36M' AS cigar, seq, qual, stratum AS xa, md0.s || (36 - md0.next)::VARCHAR AS md, len(bad)::BIGINT AS nm FROM t WHERE rank = 1""",
+    lambda d, o: sinks.sam_records(policy.report(d, o)).select("qname", F.col("flag").cast("long").alias("flag"), "ref", "pos", "cigar", "seq", "qual", F.col("xa").cast("long").alias("xa"), "md", F.col("nm").cast("long").alias("nm")),
+)
+_aligned(
+    "partition_key", mm(1), sql.hits("v", 1),
+    """SELECT ref_id::VARCHAR AS ref, CASE WHEN off // 100 + k = 0 THEN '00000000000' ELSE lpad((off // 100 + k)::VARCHAR, 10, '0') END AS part, CASE WHEN off = 0 THEN '0000000000' ELSE lpad(off::VARCHAR, 9, '0') END AS off, 'r' || read_id::VARCHAR AS read
+FROM (SELECT *, unnest(range((off % 100 + 36) // 100 + 1)) AS k FROM h)""",
+    lambda d, o: sinks.partition_rows(policy.report(d, o), 100).select("ref", "part", "off", "read"),
+)
+
+_MAXED = AlignOptions(mode="v", v=2, m=1)
+_STATES = f"{sql.hits('v', 2)}, n AS (SELECT read_id, count(*) AS n FROM h GROUP BY 1), st AS (SELECT read_id, seq, CASE WHEN n IS NULL THEN 'un' WHEN n > 1 THEN 'max' ELSE 'al' END AS status FROM reads LEFT JOIN n USING (read_id))"
+
+
+def _routed(kind: str) -> None:
+    def f(spark, sf_dir):
+        reads = tables.reads(spark, sf_dir)
+        states = policy.status(reads, align(reads, tables.refs(spark, sf_dir), _MAXED), _MAXED)
+        return policy.route(reads, states)[kind].select("read_id", "raw")
+
+    f.__name__ = f"{kind}_reads"
+    query(f"{_STATES} SELECT read_id, seq AS raw FROM st WHERE status = '{kind}'")(f)
+
+
+for _kind in ("al", "un", "max"):
+    _routed(_kind)
+
+
+@query(f"{_STATES} SELECT count(*)::BIGINT AS processed, count(*) FILTER (status <> 'un')::BIGINT AS aligned, count(*) FILTER (status = 'un')::BIGINT AS failed, count(*) FILTER (status = 'max')::BIGINT AS suppressed, count(*) FILTER (status = 'al')::BIGINT AS reported FROM st")
+def run_counters(spark, sf_dir):
+    r = run(tables.reads(spark, sf_dir), tables.refs(spark, sf_dir), _MAXED)
+    return r.counters().select("processed", "aligned", "failed", "suppressed", "reported")
+
+
+@query(f"{_STATES} SELECT read_id, 1::BIGINT AS places FROM st WHERE false")
+def reconcile(spark, sf_dir):
+    reads = tables.reads(spark, sf_dir)
+    found = align(reads, tables.refs(spark, sf_dir), _MAXED)
+    r = policy.route(reads, policy.status(reads, found, _MAXED))
+    return analysis.reconcile(reads, r["al"], r["un"], r["max"]).select("read_id", "places")
+
+
+@query(f"{sql.hits('v', 2)} SELECT read_id, fw, ref_id, off, md5(w) AS rebuilt FROM h")
+def rebuilt_windows(spark, sf_dir):
+    return analysis.restored(hits(spark, sf_dir, mm(2))).select("read_id", "fw", "ref_id", "off", F.md5("rebuilt").alias("rebuilt"))
+
+
+@query(f"""WITH {sql.READS}, n AS (SELECT *, list_transform(['A', 'C', 'G', 'T'], lambda b: (len(seq) - len(replace(seq, b, ''))) / 36.0) AS p FROM reads),
+e AS (SELECT *, -coalesce(list_sum(list_transform(list_filter(p, lambda x: x > 0), lambda x: x * log2(x))), 0) AS h FROM n)
+SELECT count(*)::BIGINT AS reads, count(*) FILTER (h = 0)::BIGINT AS homopolymers, count(*) FILTER (h < 1.4)::BIGINT AS low_entropy, count(*) FILTER (h >= 1.4)::BIGINT AS high_entropy, count(*) FILTER (len(seq) - len(replace(seq, 'N', '')) >= 3)::BIGINT AS with_3_n FROM e""")
+def read_metrics(spark, sf_dir):
+    return policy.metrics(tables.reads(spark, sf_dir))
+
+
+@query(f"""WITH {sql.mates("fr")} SELECT read_id, 'p' || read_id::VARCHAR || chr(9) || max(CASE WHEN mate = 1 THEN seq END) || chr(9) || max(CASE WHEN mate = 1 THEN qual END) || chr(9) || max(CASE WHEN mate = 2 THEN seq END) || chr(9) || max(CASE WHEN mate = 2 THEN qual END) AS line FROM reads GROUP BY read_id""")
+def tabbed_pairs(spark, sf_dir):
+    return analysis.tabbed(tables.mates(spark, sf_dir))
+
+
+# --- analyses
+
+_WINDOWS = f"WITH {sql.REFS}, k AS (SELECT ref_id, o AS off, substr(seq, o::INT + 1, 36) AS w FROM (SELECT ref_id, seq, unnest(range(len(seq) - 35)) AS o FROM refs WHERE len(seq) >= 36))"
+
+
+@query(f"""{_WINDOWS}, c AS (SELECT *, least(w, {sql.rc("w")}) AS canon, w = {sql.rc("w")} AS pal FROM k WHERE NOT contains(w, 'N')), n AS (SELECT canon FROM c GROUP BY 1 HAVING sum(CASE WHEN pal THEN 2 ELSE 1 END) = 1),
+m AS (SELECT k.ref_id, k.off, n.canon IS NOT NULL AS ok FROM k LEFT JOIN c USING (ref_id, off) LEFT JOIN n ON c.canon = n.canon)
+SELECT ref_id, count(*) FILTER (ok)::BIGINT AS mapable, count(*)::BIGINT AS windows, (36 * count(*) FILTER (ok))::BIGINT AS covered FROM m GROUP BY 1""")
+def mapability(spark, sf_dir):
+    """Covered adds up the running counts, each mapable window counting at all of its bases."""
+    refs = tables.refs(spark, sf_dir)
+    m = analysis.mapability(refs, 36).join(refs.select("ref_id", "len"), "ref_id").filter("len >= 36")
+    return m.groupBy("ref_id").agg(F.sum(F.col("mapable").cast("long")).alias("mapable"), F.sum((F.col("off") <= F.col("len") - 36).cast("long")).alias("windows"), F.sum("covering").alias("covered"))
+
+
+@query(f"""{_WINDOWS}, f AS (SELECT ref_id, off, translate(w, 'C', 'T') AS form, true AS own FROM k WHERE NOT contains(w, 'N') UNION ALL SELECT ref_id, off, translate({sql.rc("w")}, 'C', 'T'), false FROM k WHERE NOT contains(w, 'N')),
+n AS (SELECT form FROM f GROUP BY 1 HAVING count(*) = 1)
+SELECT ref_id, count(*)::BIGINT AS windows, count(*) FILTER (n.form IS NOT NULL)::BIGINT AS mapable FROM f LEFT JOIN n USING (form) WHERE own GROUP BY 1""")
+def bisulfite_mapability(spark, sf_dir):
+    d = analysis.bisulfite_mapability(tables.refs(spark, sf_dir), 36)
+    return d.groupBy("ref_id").agg(F.count("*").alias("windows"), F.sum(F.col("mapable").cast("long")).alias("mapable"))
