@@ -10,9 +10,10 @@ symbols on average with a deviation of 4; the bound of 39 is missed by about one
 
 Documents with equal sets are one class, of which only the first takes part. A bucket's members are
 compared with two pivots, its first member and the one that shares most keys; after the components
-of those links, members of a bucket that are still in different components are compared pairwise.
-So all links between components are found without all pairs within a group. Candidates under the
-distance bound are confirmed on the full sets.
+of those links, members of a bucket that are still in different components are compared in blocks
+inside a task, each pair in the first bucket that it shares. So all links between components are
+found, and no table of all pairs within a group is made. Candidates under the distance bound are
+confirmed on the full sets.
 
 Null text is empty. Rows without doc_id are linked with nothing; rows that repeat a doc_id are one
 node, and each has the component of its own text's class. Empty tables give empty results.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, materialise
+from .common import as_bytes, map_batches, materialise, partitions
 from .components import components
 from .runs import key_runs
 
@@ -111,7 +112,8 @@ def _keys(chunks: int):
                 out.append((h ^ (h >> np.uint64(29))).view(np.int64))
         keys = np.concatenate(out, axis=1).ravel()
         ids = np.repeat(b["doc_id"].to_numpy(), chunks * CHUNK)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.zeros(len(keys), np.int64)), pa.array(ids)], names=["k1", "k2", "id"])
+        slots = np.tile((np.arange(chunks) * CHUNK)[None, :] + np.arange(CHUNK)[:, None], (b.num_rows, 1, 1)).ravel().astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.zeros(len(keys), np.int64)), pa.array(ids), pa.array(slots)], names=["k1", "k2", "id", "slot"])
 
     return of
 
@@ -161,6 +163,133 @@ def confirmed(pairs: DataFrame, first: DataFrame, texts: DataFrame, words: int,
     return materialise(both.select("u", "v", "u_raw", "v_raw").mapInArrow(_confirm(words, percent), "u long, v long"), "confirmed")
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal keys of a sorted partition, each as a table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b[k].to_numpy() for k in keys]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        cuts = [0, *new.tolist(), b.num_rows]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[x] for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(x, y - x))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _partners(chunks: int, most: int):
+    """For each open bucket (or pair of its blocks), the members' partners: of other components, within the distance bound, and not met in an earlier bucket."""
+    names = ["k1", "pa", "pb", "id", "partners"]
+
+    def rows(t: pa.Table) -> pa.RecordBatch | None:
+        order = np.argsort(t["id"].to_numpy(), kind="stable")
+        ids, comp, block = (t[c].to_numpy()[order] for c in ("id", "component", "block"))
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(len(ids), -1)[order]
+        pa_, pb, own = (t[c][0].as_py() for c in ("pa", "pb", "slot"))
+        chunk, out = divmod(own, CHUNK), {}
+        for a in range(0, len(ids), 64):
+            top = slice(a, min(a + 64, len(ids)))
+            pair = (comp[top, None] != comp[None, :]) & (ids[top, None] < ids[None, :])
+            if pa_ != pb:
+                pair &= block[top, None] != block[None, :]
+            i, j = np.nonzero(pair)
+            for k in range(0, len(i), 200_000):
+                x, y = i[k : k + 200_000] + a, j[k : k + 200_000]
+                bad = sig[x] != sig[y]
+                close = bad.sum(axis=1) <= most
+                x, y, bad = x[close], y[close], bad[close].reshape(-1, chunks, CHUNK)
+                # the first chunk with at most one error, and the symbol left out there, say where a pair is met first
+                errors = bad.sum(axis=2)
+                at = (errors <= 1).argmax(axis=1)
+                left = bad[np.arange(len(at)), at].argmax(axis=1) if len(at) else at
+                here = (at == chunk[0]) & (left == chunk[1])
+                for u, v in zip(x[here].tolist(), y[here].tolist(), strict=True):
+                    out.setdefault(u, []).append(int(ids[v]))
+        if not out:
+            return None
+        used = sorted(set(out) | {int(np.searchsorted(ids, v)) for vs in out.values() for v in vs})
+        n = len(used)
+        return pa.RecordBatch.from_arrays([pa.array([t["k1"][0].as_py()] * n, pa.int64()), pa.array([pa_] * n, pa.int32()), pa.array([pb] * n, pa.int32()), pa.array(ids[used], pa.int64()), pa.array([out.get(u, []) for u in used], pa.list_(pa.int64()))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ["k1", "pa", "pb"]):
+            if (b := rows(t)) is not None:
+                yield b
+
+    return run
+
+
+def _confirm_runs(words: int, percent: int):
+    """Links among the partners of a bucket, on the full sets; what a link has joined isn't compared again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ["k1", "pa", "pb"]):
+            codes: dict[tuple, int] = {}
+            sets: dict[int, frozenset] = {}
+            for i, raw in zip(t["id"].to_pylist(), t["raw"].to_pylist(), strict=True):
+                w = raw.lower().split()
+                grams = zip(*(w[j:] for j in range(words)), strict=False) if len(w) >= words else [tuple(w)]
+                sets[i] = frozenset([codes.setdefault(g, len(codes)) for g in grams])
+            root = {i: i for i in sets}
+
+            def find(x: int, root=root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            us, vs = [], []
+            for u, partners in zip(t["id"].to_pylist(), t["partners"].to_pylist(), strict=True):
+                own = sets[u]
+                for v in partners:
+                    other = sets.get(v)
+                    if other is None or find(u) == find(v):
+                        continue
+                    n, m = len(own), len(other)
+                    if 100 * min(n, m) >= percent * max(n, m):
+                        both = len(own & other)
+                        if 100 * both >= percent * (n + m - both):
+                            us.append(u)
+                            vs.append(v)
+                            root[find(v)] = find(u)
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def across(buckets: DataFrame, links: DataFrame, first: DataFrame, texts: DataFrame, words: int, percent: int, chunks: int, most_members: int = 20_000) -> DataFrame:
+    """Links between members of a bucket that the given links leave in different components.
+
+    A bucket is compared in blocks inside a task and only partners leave it, as lists; a bucket over
+    most_members is dealt to several tasks by pairs of blocks.
+    """
+    n_parts = partitions(buckets.sparkSession)
+    found = components(links)
+    placed = buckets.select("k1", "slot", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_keys = placed.groupBy("k1").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a <> b")
+    n_blocks = F.ceil(F.col("n") / most_members).cast("int")
+    open_keys = materialise(open_keys.select("k1", n_blocks.alias("blocks")), "open_keys")  # read afresh, so that a hot bucket's rows can be split
+    rest = placed.join(open_keys, "k1").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("k1", "slot", F.least("block", "j").alias("pa"), F.greatest("block", "j").alias("pb"), "block", "id", "component")
+    rest = rest.join(first.select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"]), "id")
+    by = ["k1", "pa", "pb"]
+    dealt = rest.repartition(n_parts, *by).sortWithinPartitions(*by)
+    near = materialise(dealt.mapInArrow(_partners(chunks, 2 * chunks - 1), "k1 long, pa int, pb int, id long, partners array<long>"), "partners")
+    own = texts.join(first.select("doc_id", "text_hash"), ["doc_id", "text_hash"]).join(near.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    own = materialise(own.select(F.col("doc_id").alias("id"), "raw").dropDuplicates(["id"]), "partner_texts")
+    both = near.join(own, "id").select(*by, "id", "partners", "raw").repartition(n_parts, *by).sortWithinPartitions(*by)
+    return materialise(both.mapInArrow(_confirm_runs(words, percent), "u long, v long"), "late")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to), kept: a row for each row of docs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -169,22 +298,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
     # classes of equal sets; the first of a class takes part
     classes = key_runs(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL"), ["doc_id", "text_hash"], 2, "doc_id", "classes")
     first = materialise(classes.filter("doc_id = run_first").dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "text_hash", "k1", "k2", "sig"), "first")
-    buckets = key_runs(map_batches(first.select("doc_id", "sig"), _keys(chunks), "k1 long, k2 long, id long"), ["id"], 2, "id", "buckets", only_big=True)
-    buckets = buckets.select("k1", "k2", "id", F.col("run_first").alias("pivot"))
+    buckets = key_runs(map_batches(first.select("doc_id", "sig"), _keys(chunks), "k1 long, k2 long, id long, slot int"), ["id"], 2, "id", "buckets", only_big=True)
+    buckets = buckets.select("k1", "k2", "id", "slot", F.col("run_first").alias("pivot"))
     shared = buckets.groupBy("id").agg((-F.count("*")).alias("rank"))
     central = key_runs(buckets.join(shared, "id").select("k1", "k2", "id", "rank"), ["rank", "id"], 2, "id", "central", only_big=True)
     pairs = buckets.select(F.least("pivot", "id").alias("u"), F.greatest("pivot", "id").alias("v")).unionByName(central.select(F.least("run_first", "id").alias("u"), F.greatest("run_first", "id").alias("v")))
     most = 2 * chunks - 1
     links = confirmed(materialise(pairs.filter("u <> v").distinct(), "pairs"), first, texts, words, percent, most)
-    # what is in one bucket and not yet in one component
-    found = components(links)
-    placed = buckets.select("k1", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = placed.groupBy("k1").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("k1")
-    open_keys = materialise(open_keys, "open_keys")  # read afresh, so that a hot bucket's rows can be split
-    rest = materialise(placed.join(open_keys, "k1", "left_semi"), "open")
-    other = rest.select("k1", F.col("id").alias("v"), F.col("component").alias("v_component"))
-    more = rest.join(other, "k1").filter("id < v AND component <> v_component").select(F.col("id").alias("u"), "v").distinct()
-    late = confirmed(materialise(more, "late"), first, texts, words, percent, most)
+    late = across(buckets, links, first, texts, words, percent, chunks)
     linked = components(links.unionByName(late))
     # a class may hold a third of all rows, so that its component goes to several places
     salted = materialise(linked.select(F.col("node").alias("first_id"), "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "salted")
