@@ -151,14 +151,20 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def texts_of(ids: DataFrame, first: DataFrame, texts: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
+    """doc_id, raw of these documents. Their keys are broadcast while they are at most max_broadcast, which is counted; then no other text moves."""
+    keys = materialise(first.select("doc_id", "text_hash").join(ids, "doc_id", "left_semi"), "text_keys")
+    few = keys.count() <= max_broadcast
+    return texts.join(F.broadcast(keys) if few else keys, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "raw")
+
+
 def confirmed(pairs: DataFrame, first: DataFrame, texts: DataFrame, words: int, percent: int, most: int) -> DataFrame:
     """The links among pairs (u, v): first those within the distance bound, then those whose full sets are similar enough."""
     sig = first.select("doc_id", "sig")
     near = pairs.join(sig.select(F.col("doc_id").alias("u"), F.col("sig").alias("u_sig")), "u").join(sig.select(F.col("doc_id").alias("v"), F.col("sig").alias("v_sig")), "v")
     near = materialise(map_batches(near.select("u", "v", "u_sig", "v_sig"), _near(most), "u long, v long"), "near")
-    used = near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct()
-    used = texts.join(first.select("doc_id", "text_hash"), ["doc_id", "text_hash"]).join(used, "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "raw")
-    used = materialise(used, "near_texts")
+    ids = near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct()
+    used = materialise(texts_of(ids, first, texts), "near_texts")
     both = near.join(used.select(F.col("doc_id").alias("v"), F.col("raw").alias("v_raw")), "v").join(used.select(F.col("doc_id").alias("u"), F.col("raw").alias("u_raw")), "u")
     return materialise(both.select("u", "v", "u_raw", "v_raw").mapInArrow(_confirm(words, percent), "u long, v long"), "confirmed")
 
@@ -284,7 +290,7 @@ def across(buckets: DataFrame, links: DataFrame, first: DataFrame, texts: DataFr
     by = ["k1", "pa", "pb"]
     dealt = rest.repartition(n_parts, *by).sortWithinPartitions(*by)
     near = materialise(dealt.mapInArrow(_partners(chunks, 2 * chunks - 1), "k1 long, pa int, pb int, id long, partners array<long>"), "partners")
-    own = texts.join(first.select("doc_id", "text_hash"), ["doc_id", "text_hash"]).join(near.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    own = texts_of(near.select(F.col("id").alias("doc_id")).distinct(), first, texts)
     own = materialise(own.select(F.col("doc_id").alias("id"), "raw").dropDuplicates(["id"]), "partner_texts")
     both = near.join(own, "id").select(*by, "id", "partners", "raw").repartition(n_parts, *by).sortWithinPartitions(*by)
     return materialise(both.mapInArrow(_confirm_runs(words, percent), "u long, v long"), "late")
