@@ -40,7 +40,7 @@ def unescape_role(role: Column) -> Column:
 def format_chats(turns: DataFrame, budget: int = 2048, history: int = 2, conv_col: str = "conv_id") -> DataFrame:
     """A row for each window: conv_id, window, text, n_repeated (turns of context at its start), loss (spans: start from 0, length; in code points of text)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    tokens = F.size(F.split(text, f"{WS}+")) + 4
+    tokens = F.size(F.array_remove(F.split(text, f"{WS}+"), "")) + 4
     one = F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text"), tokens.alias("tokens"))
     convs = turns.select(F.col(conv_col).alias("conv_id"), one.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     system = F.when(F.col("turns")[0]["role"] == "system", F.col("turns")[0]["tokens"]).otherwise(0)

@@ -40,4 +40,33 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
-ORACLES = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op9_warc": OP9}
+OP5 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS least FROM documents UNION SELECT e.b, r.least FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(least) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+OP8 = """
+WITH RECURSIVE a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 4 AS tokens,
+  24 + len(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + len(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) AS chars FROM a),
+f AS (SELECT conv_id, role = 'system' AS led, tokens AS lead_tokens, chars AS lead_chars FROM t WHERE i = 1),
+r AS (SELECT conv_id, i, 0 AS win, tokens AS used FROM t WHERE i = 1
+  UNION ALL SELECT t.conv_id, t.i, r.win + (r.used + t.tokens + CASE WHEN led THEN lead_tokens ELSE 0 END > 2048)::INT,
+    CASE WHEN r.used + t.tokens + CASE WHEN led THEN lead_tokens ELSE 0 END > 2048 THEN t.tokens ELSE r.used + t.tokens END
+  FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1 JOIN f ON f.conv_id = r.conv_id),
+v AS (SELECT r.conv_id, win, min(i) - 1 AS before, any_value(led) AS led, any_value(lead_chars) AS lead_chars FROM r JOIN f ON f.conv_id = r.conv_id GROUP BY 1, 2),
+b AS (SELECT *, (led AND before > 0)::INT AS lead FROM v),
+x AS (SELECT b.conv_id, sum(lead * lead_chars + coalesce((SELECT sum(chars) FROM t WHERE t.conv_id = b.conv_id AND t.i <= before AND t.i > before - least(2, before - lead)), 0)) AS again FROM b GROUP BY 1),
+y AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM t GROUP BY 1)
+SELECT y.conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, len(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (chars + again)::BIGINT AS formatted_chars FROM y JOIN x USING (conv_id)
+"""
+
+ORACLES = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op5_near_dup": OP5, "op8_chat_formatting": OP8, "op9_warc": OP9}
