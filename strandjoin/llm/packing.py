@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,16 +46,19 @@ CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
 class ChunkIds(dict):
-    """Ids of chunks as little-endian int32 bytes, looked up where they have come before."""
+    """Ids of chunks as int32 bytes, looked up where they have come before; of two generations the older one goes when the newer is full."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         super().__init__()
-        self.encode, self.most = encoder(path).encode_to_numpy, most
+        self.encode, self.most, self.older = encoder(path).encode_ordinary, most, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk).astype("<i4").tobytes()
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = array("i", self.encode(chunk)).tobytes()
         if len(chunk) <= 64:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
