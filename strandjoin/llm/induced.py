@@ -68,13 +68,14 @@ class Scan:
     def __init__(self, text: np.ndarray, out: Queues, cap: int):
         self.text, self.out, self.cap = text, out, cap
         self.since: dict[int, int] = {}
+        self.small = int(text.max()) < 1 << 16  # then stable sorts are radix sorts
 
     def __call__(self, pos: np.ndarray, lcp: np.ndarray, keep) -> None:
         pred = pos - 1
         ch = self.text[pred]  # position 0 wraps to the sentinel, which no scan keeps
         at = np.flatnonzero(keep(ch) & (pos > 0))
         chars = ch[at]
-        order = np.argsort(chars, kind="stable")
+        order = np.argsort(chars.astype(np.uint16) if self.small else chars, kind="stable")
         at, chars = at[order], chars[order]
         cuts = np.concatenate([[0], np.flatnonzero(chars[1:] != chars[:-1]) + 1, [len(chars)]]) if len(chars) else np.zeros(1, np.int64)
         least = int(lcp.min())

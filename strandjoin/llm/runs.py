@@ -100,4 +100,6 @@ def key_runs(rows: DataFrame, order: list[str], n_min: int = 2, first_col: str |
         done = done.withColumn("run_first", F.when(F.col("f_n").isNotNull(), F.col("f_first")).otherwise(F.col("run_first")))
     if only_big:
         done = done.filter("run_big")
-    return done.drop("f_k1", "f_k2", "f_n", "f_first", "run_edge", "run_pid")
+    done = done.drop("f_k1", "f_k2", "f_n", "f_first", "run_edge", "run_pid")
+    done._own_table = out._own_table
+    return done

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, materialise, null_safe, partitions
+from .common import as_bytes, map_batches, materialise, null_safe, partitions, release
 from .induced import sorted_suffixes
 from .runs import key_runs
 
@@ -139,7 +139,7 @@ def spans(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(windows[np.append(0, cut + 1)].tolist(), (windows[np.append(cut, len(windows) - 1)] + length).tolist(), strict=True))
 
 
-def _sort_shard(length: int, memory: int, most: int = 48 << 20):
+def _sort_shard(length: int, memory: int, most: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A shard comes sorted by minimizer; whole minimizers are taken together up to about `most` bytes."""
 
@@ -182,13 +182,16 @@ def _fetch(length: int):
     return of
 
 
-def removed_spans(docs: DataFrame, length: int = 100, gram: int = 32, memory: int = 256 << 20) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = 100, gram: int = 32, memory: int = 64 << 20) -> DataFrame:
     """doc, spans (sorted, disjoint [a, b) of bytes) of the documents that lose bytes. docs: doc (long, unique, in order), raw."""
     spark = docs.sparkSession
     cut = docs.select("doc", "raw").mapInArrow(_cut(length, gram), PIECES)
-    often = key_runs(materialise(cut.withColumn("inside", F.col("k2")).withColumn("k2", F.lit(0).cast("long")), "pieces"), ["inside", "doc", "start"], 2, name="often", only_big=True)
-    often = often.select("k1", F.col("inside").alias("k2"), "doc", "start", "runs").withColumn("at", F.struct("doc", "start"))
-    known = key_runs(often, ["doc", "start"], 2, "at", "known")
+    pieces = materialise(cut.withColumn("inside", F.col("k2")).withColumn("k2", F.lit(0).cast("long")), "pieces")
+    often = key_runs(pieces, ["inside", "doc", "start"], 2, name="often", only_big=True)
+    release(pieces)
+    placed = often.select("k1", F.col("inside").alias("k2"), "doc", "start", "runs").withColumn("at", F.struct("doc", "start"))
+    known = key_runs(placed, ["doc", "start"], 2, "at", "known")
+    release(often)
     later = known.filter("run_first <> at").select("doc", F.col("start").alias("a"), (F.col("start") + F.col("runs") + length - 1).alias("b"))
     distinct = known.filter("run_first = at").select("k1", F.lit(0).cast("long").alias("k2"), "doc", "start", "runs")
     differ = key_runs(distinct, ["doc", "start"], 2, name="differ", only_big=True)
@@ -225,7 +228,7 @@ def _apply(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b["doc_id"], *longs, pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 32, memory: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 32, memory: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of docs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), as_bytes(text).alias("raw"))
