@@ -1,13 +1,15 @@
 """Main text of web pages with a site style tree.
 
 The DOMs of a host are merged into a style tree. An element node of it has a presentation
-importance, the entropy of the child sequences that pages show there, and a content importance, one
-minus the mean entropy of its text blocks over the host's pages; both weigh into its composite
-importance. What is nearly the same on all pages of a host has low importance and its branch is
-removed from each page. Identical pages of a host count once, and a node counts from min_pages
-distinct pages on. Elements that are never article text (scripts, forms, menus...) and those whose
-class, id or role says so are pruned while merging; where a page marks its article, that branch is
-the page.
+importance, the entropy of the sets of child sequences that pages show there, and a content
+importance, one minus the mean entropy of its text blocks over the host's pages; both are in 0..1
+and weigh into its composite importance. A branch in which no node is important is nearly the same
+on all pages of a host: its blocks that min_pages pages have are removed from each page, other text
+in it stays. Pages of a host with the same article count once, so that copies of an article
+aren't taken for a template, and a node counts from min_pages distinct pages on. Without a marked
+article the whole text of the page is compared. Elements that are never article text (scripts,
+forms, menus...) and those whose class, id or role says so are pruned while merging; where a page
+marks its article, that branch is the page.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 in page order by one space. Null html is empty, empty pages have an empty text; a null or odd url is
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -134,16 +136,14 @@ def article(top: Node) -> Node:
     return top
 
 
-def blocks(node: Node, removed: frozenset[str] | set[str] = frozenset()) -> Iterator[tuple[Node, str]]:
-    """The text blocks below node, in page order, each with its element; without branches whose path is removed."""
+def blocks(node: Node) -> Iterator[tuple[Node, str]]:
+    """The text blocks below node, in page order, each with its element."""
     held: list[str] = []
 
     def walk(n: Node) -> Iterator[tuple[Node, str]]:
         for c in n.children:
             if isinstance(c, str):
                 held.append(c)
-            elif c.path in removed:
-                continue
             elif c.tag == "br":
                 held.append(" ")
             elif c.tag in INLINE:
@@ -163,52 +163,80 @@ def blocks(node: Node, removed: frozenset[str] | set[str] = frozenset()) -> Iter
     yield from flush(node)
 
 
+def block_key(words: str) -> int:
+    return xxhash.xxh3_64_intdigest(words) >> 1
+
+
+def article_text(top: Node, removed: dict[str, set[int]] | None = None) -> str:
+    """The page's text, without the blocks that removed (path -> keys) names in a branch."""
+
+    def kept(path: str, words: str) -> bool:
+        key = block_key(words)
+        while path:
+            if key in removed.get(path, ()):
+                return False
+            path = path.rpartition("/")[0]
+        return True
+
+    return " ".join(w for n, w in blocks(article(top)) if not removed or kept(n.path, w))
+
+
 def style_rows(top: Node) -> Iterator[tuple[str, int, int]]:
-    """(path, kind, key) of a page: kind 0 the element, 1 a child sequence of it, 2 a text block in its branch."""
-    seen: set[tuple[str, int, int]] = set()
+    """(path, kind, key) of a page: kind 0 the element, 1 the set of child sequences it has on the page, 2 a text block in its branch."""
+    shapes: dict[str, set[str]] = defaultdict(set)
+    seen: set[tuple[str, int]] = set()
 
-    def walk(n: Node, above: tuple[str, ...]) -> None:
+    def walk(n: Node) -> None:
         for c in n.children:
             if isinstance(c, Node) and c.tag not in INLINE and c.tag not in VOID:
-                shape = ",".join(x.path.rpartition("/")[2] for x in c.children if isinstance(x, Node))
-                seen.add((c.path, 0, 0))
-                seen.add((c.path, 1, xxhash.xxh3_64_intdigest(shape) >> 1))
-                walk(c, (*above, c.path))
+                shapes[c.path].add(",".join(x.path.rpartition("/")[2] for x in c.children if isinstance(x, Node)))
+                walk(c)
 
-    walk(top, ())
+    walk(top)
+    for path, found in shapes.items():
+        yield path, 0, 0
+        yield path, 1, xxhash.xxh3_64_intdigest("|".join(sorted(found))) >> 1
     for n, words in blocks(top):
-        h, path = xxhash.xxh3_64_intdigest(words) >> 1, n.path
-        while path:
-            seen.add((path, 2, h))
+        h, path = block_key(words), n.path
+        while path and (path, h) not in seen:
+            seen.add((path, h))
+            yield path, 2, h
             path = path.rpartition("/")[0]
-    return iter(seen)
 
 
 def style_tree(pages: DataFrame, min_pages: int = 5, threshold: float = 0.1, gamma: float = 0.9) -> DataFrame:
-    """host, path, importance of the nodes of low importance. pages: host, html."""
+    """host, path, keys of the branches in which no node is important: the text blocks that min_pages pages or more have there. pages: host, page_hash, html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: Counter = Counter()
-            for host, page in zip(b["host"].to_pylist(), b["html"], strict=True):
-                counts.update((host, *r) for r in style_rows(parse(page.as_py())))
-            if counts:
-                cols = [*zip(*counts, strict=True), list(counts.values())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["host", "path", "kind", "key", "n"])
-
-    once = pages.dropDuplicates(["host", "page_hash"])
-    rows = once.select("host", "html").mapInArrow(run, "host string, path string, kind int, key long, n long")
-    keys = rows.groupBy("host", "path", "kind", "key").agg(F.sum("n").alias("n"))
+            texts, offsets, rows = [], [0], []
+            for page in b["html"]:
+                top = parse(page.as_py())
+                texts.append(block_key(article_text(top)))
+                rows += style_rows(top)
+                offsets.append(len(rows))
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.string(), pa.int32(), pa.int64()), strict=True)]
+            nested = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(cols, ["path", "kind", "key"]))
+            yield pa.RecordBatch.from_arrays([b["host"], b["page_hash"], pa.array(texts, pa.int64()), nested], names=["host", "page_hash", "article", "rows"])
+
+    rows = pages.select("host", "page_hash", "html").mapInArrow(run, "host string, page_hash long, article long, rows array<struct<path:string,kind:int,key:long>>")
+    once = rows.groupBy("host", "article").agg(F.min_by("rows", "page_hash").alias("rows"))
+    keys = once.select("host", F.explode("rows").alias("r")).groupBy("host", "r.path", "r.kind", "r.key").agg(F.count("*").alias("n"))
+    keys = materialise(keys, "style_keys")
     m = F.max(F.when(F.col("kind") == 0, F.col("n")))
-    ln = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n") * F.log(F.col("n"))))
-    nodes = keys.groupBy("host", "path").agg(m.alias("m"), ln(1).alias("shapes"), F.sum(F.when(F.col("kind") == 2, F.log("n"))).alias("repeats"), F.sum((F.col("kind") == 2).cast("long")).alias("blocks"), F.sum((F.col("kind") == 1).cast("long")).alias("styles"))
+    ln = F.sum(F.when(F.col("kind") == 1, F.col("n") * F.log(F.col("n"))))
+    nodes = keys.groupBy("host", "path").agg(m.alias("m"), ln.alias("shapes"), F.sum(F.when(F.col("kind") == 2, F.log("n"))).alias("repeats"), F.sum((F.col("kind") == 2).cast("long")).alias("blocks"))
     nodes = nodes.filter(F.col("m") >= min_pages)
-    # entropy of the shapes in base m; a block on k of m pages has an entropy of log_m k over them
+    # entropy of the pages' sets of shapes in base m; a block on k of m pages has an entropy of log_m k over them
     presentation = (F.log("m") - F.col("shapes") / F.col("m")) / F.log("m")
-    content = F.when(F.col("blocks") > 0, 1 - F.col("repeats") / F.col("blocks") / F.log("m")).otherwise(F.lit(1.0))
+    content = 1 - F.col("repeats") / F.col("blocks") / F.log("m")
     depth = F.lit(gamma)
-    nodes = nodes.withColumn("importance", (1 - depth) * presentation + depth * content)
-    return nodes.filter(F.col("importance") < threshold).select("host", "path", "importance")
+    # a branch without text has nothing to lose and doesn't keep the one around it
+    nodes = nodes.filter("blocks > 0").select("host", "path", ((1 - depth) * presentation + depth * content).alias("importance"), F.split("path", "/").alias("steps"))
+    above = F.transform(F.sequence(F.lit(2), F.size("steps")), lambda i: F.array_join(F.slice("steps", F.lit(1), i), "/"))
+    low = nodes.select("host", F.explode(above).alias("path"), "importance", F.col("path").alias("own")).groupBy("host", "path").agg(F.max("importance").alias("importance"), F.max(F.col("own") == F.col("path")).alias("node"))
+    low = low.filter(F.col("node") & (F.col("importance") < threshold)).select("host", "path")
+    return keys.filter((F.col("kind") == 2) & (F.col("n") >= min_pages)).join(low, ["host", "path"]).groupBy("host", "path").agg(F.collect_list("key").alias("keys"))
 
 
 def extract(pages: DataFrame, min_pages: int = 5, threshold: float = 0.1, max_broadcast_nodes: int = 50_000, salts: int = 16) -> DataFrame:
@@ -216,8 +244,8 @@ def extract(pages: DataFrame, min_pages: int = 5, threshold: float = 0.1, max_br
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit("")).alias("host"))
     p = p.withColumn("page_hash", F.xxhash64("html"))
     low = materialise(style_tree(p, min_pages, threshold), "style_nodes")
-    removed = low.groupBy("host").agg(F.collect_set("path").alias("removed"))
-    if low.count() <= max_broadcast_nodes:
+    removed = low.groupBy("host").agg(F.collect_list(F.struct("path", "keys")).alias("removed"))
+    if (low.agg(F.sum(F.size("keys"))).first()[0] or 0) <= max_broadcast_nodes:
         joined = p.join(F.broadcast(removed), "host", "left")
     else:  # a host may hold a third of all pages
         salted = removed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -225,7 +253,7 @@ def extract(pages: DataFrame, min_pages: int = 5, threshold: float = 0.1, max_br
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [" ".join(w for _, w in blocks(article(parse(page.as_py())), frozenset(gone or ()))) for page, gone in zip(b["html"], b["removed"].to_pylist(), strict=True)]
+            texts = [article_text(parse(page.as_py()), {r["path"]: set(r["keys"]) for r in gone or ()}) for page, gone in zip(b["html"], b["removed"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.select("page_id", "url", "html", "removed").mapInArrow(run, "page_id long, url string, text string, n_chars long")

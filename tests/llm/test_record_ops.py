@@ -187,6 +187,26 @@ def test_style_tree_removes_what_a_host_repeats(spark):
         assert got == {i: " ".join(b) for i, b in enumerate(bodies)}
 
 
+def test_style_tree_keeps_unique_and_shared_articles(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(8):  # every page has a paragraph for each of 15 shapes
+        parts = [[prose(4) for _ in range(k + 1)] for k in range(15)]
+        rows.append((i, f"http://rich/{i}", "<div class='top'><p>All the news</p></div><div class='text'>" + "".join("<p>" + " ".join(f"<a>{x}</a>" for x in p) + "</p>" for p in parts) + "</div>"))
+        want[i] = " ".join(x for p in parts for x in p)
+    shared = prose(30)
+    for i in range(100, 108):
+        rows.append((i, f"http://shared/{i}", f"<div><p>copy {i}</p></div><article><p>{shared}</p></article>"))
+        want[i] = shared
+    for i in range(200, 206):  # a branch of repeated blocks with one of its own
+        own = prose(12)
+        rows.append((i, f"http://mixed/{i}", "<div>" + "".join(f"<p>block {k} of all pages</p>" for k in range(80)) + f"<p>{own}</p></div>"))
+        want[i] = own
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
