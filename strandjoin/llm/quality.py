@@ -3,10 +3,16 @@
 Every rule compares a measure of a document with a cutoff. Labelled documents are the holdout: for
 each stratum, rule and candidate cutoff, the number of good documents it would reject gives an
 exact (Clopper-Pearson) test of "the rule rejects more than alpha of the good ones"; a cutoff can
-be selected only where that is refuted at level delta / (number of tests), Bonferroni over all
-strata, rules and cutoffs. Of those, the one that rejects most wins. Each rule may so reject at most
-alpha of the good documents of a stratum, with probability 1 - delta for all at once. A stratum
-with too few labels gets no cutoff, which keeps its documents.
+be selected only where that is refuted. The cutoffs of a rule are tested in a fixed sequence from
+the loosest, each at the full level of its sequence; as p values grow towards the strictest, that is
+the same as testing each at that level. The level is delta / (number of sequences), Bonferroni over
+strata, rules and the pool. Of those refuted, the one that rejects most wins. Each rule may so reject
+at most alpha of the good documents of a stratum, with probability 1 - delta for all at once.
+
+A stratum without a cutoff of its own for a rule gets one certified at alpha on all labelled strata
+together, if its own labels reject at most alpha of the good and refute a loss above pooled_alpha;
+the bounds are then alpha for the pool and pooled_alpha for the stratum. A stratum with too few
+labels for that gets no cutoff, which keeps its documents.
 
 Null text has no words and fails the base rule. Empty tables give empty results. A document with
 several labels counts as good if one says so; a null label or id counts for nothing. A null stratum
@@ -17,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WS, materialise
@@ -90,8 +96,8 @@ def binomial_tail(rejected: Column, n: Column, p: float) -> Column:
     return F.least(F.lit(1.0), F.exp(sums["m"]) * sums["s"])
 
 
-def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: float = 0.05, id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:
-    """stratum, rule, cutoff, n_good, rejected_good, rejected: the selected cutoff of each stratum and rule that has one."""
+def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: float = 0.05, id_col: str = "doc_id", stratum_col: str = "lang", pooled_alpha: float = 0.05) -> DataFrame:
+    """stratum, rule, cutoff, n_good, rejected_good, rejected, pooled: the selected cutoff of each stratum and rule that has one."""
     marks = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("quality").alias("good"))
     held = _ratios(measured).join(marks, F.col(id_col) == F.col("__id"))
     held = held.select(F.col(stratum_col).alias("stratum"), "good", *CUTOFFS)
@@ -103,10 +109,20 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.005,
     table = held.groupBy("stratum").agg(*counts)
     tests = [F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{rule}_g{k}").alias("rejected_good"), F.col(f"{rule}_a{k}").alias("rejected")) for rule, cuts in CUTOFFS.items() for k, c in enumerate(cuts)]
     table = table.select("stratum", "n_good", F.explode(F.array(*tests)).alias("t")).select("stratum", "n_good", "t.*")
-    n_tests = table.select(F.count("*")).first()[0] or 1
-    # where as much as alpha of the good ones are rejected the test can't succeed
-    sound = table.filter((F.col("rejected_good") < alpha * F.col("n_good")) & (binomial_tail(F.col("rejected_good"), F.col("n_good"), alpha) <= delta / n_tests))
-    best = F.max_by(F.struct("cutoff", "n_good", "rejected_good", "rejected"), F.struct(F.col("rejected"), F.col("cutoff")))
+    strata = table.select(F.count("*")).first()[0] // sum(map(len, CUTOFFS.values()))
+    # for each rule a sequence at alpha and one at pooled_alpha in each stratum, and one in the pool
+    level = delta / (len(CUTOFFS) * (2 * strata + 1))
+
+    def refuted(rejected: Column, n: Column, p: float) -> Column:
+        # where as much as p of the good ones are rejected the test can't succeed
+        return F.when(rejected < p * n, binomial_tail(rejected, n, p) <= level).otherwise(F.lit(False))
+
+    pool = Window.partitionBy("rule", "cutoff")
+    table = table.withColumns({f"pool_{c}": F.sum(c).over(pool) for c in ("n_good", "rejected_good", "rejected")})
+    shared = refuted(F.col("pool_rejected_good"), F.col("pool_n_good"), alpha) & (F.col("rejected_good") <= alpha * F.col("n_good")) & refuted(F.col("rejected_good"), F.col("n_good"), pooled_alpha)
+    sound = table.withColumn("own", refuted(F.col("rejected_good"), F.col("n_good"), alpha)).filter(F.col("own") | shared)
+    rank = F.struct(F.col("own"), F.when(F.col("own"), F.col("rejected")).otherwise(F.col("pool_rejected")), F.col("cutoff"))
+    best = F.max_by(F.struct("cutoff", "n_good", "rejected_good", "rejected", (~F.col("own")).alias("pooled")), rank)
     return sound.groupBy("stratum", "rule").agg(best.alias("b")).select("stratum", "rule", "b.*")
 
 

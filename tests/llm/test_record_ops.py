@@ -66,6 +66,27 @@ def test_quality_rules(spark):
     assert all(r["kept"] != r["base_failed"] for r in quality.quality_rules(docs.drop("kept"), marks.limit(0)).collect())
 
 
+def test_quality_cutoffs_of_small_strata(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, labels = [], []
+    for lang, n, sign in (("big", 2000, ""), ("small", 400, ""), ("tiny", 30, ""), ("odd", 300, "%")):
+        for i in range(n):
+            bad = i % 10 == 0
+            rows.append((len(rows), " ".join(word() + ("%" if bad else sign if i in (1, 2) else "") for _ in range(20)), lang))
+            labels.append((rows[-1][0], 0 if bad else 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    bad, good = collections.defaultdict(set), collections.defaultdict(set)
+    for r in quality.quality_rules(docs, marks).collect():
+        (good if labels[r["doc_id"]][1] else bad)[r["lang"]].add(r["kept"])
+    # small has its cutoff from the pool; tiny has too few labels, and more than alpha of the good documents of odd look bad
+    assert bad == {"big": {False}, "small": {False}, "tiny": {True}, "odd": {True}}
+    assert set(map(tuple, good.values())) == {(True,)}
+    pooled = {r["stratum"]: r["pooled"] for r in quality.select_cutoffs(quality.measures(docs), marks).filter("rule = 'symbol_ratio' and rejected > 0").collect()}
+    assert pooled == {"big": False, "small": True}
+
+
 def test_best_fit_decreasing():
     rng = random.Random(3)
     for _ in range(200):
