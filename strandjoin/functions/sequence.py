@@ -32,7 +32,7 @@ def normalise_read(seq: Column | str) -> Column:
 def normalise_reference(seq: Column | str, n_to_a: bool = False) -> Column:
     """Ambiguity codes and gaps are N (A with n_to_a); what is neither they nor a base goes and takes no offset."""
     kept = F.regexp_replace(F.upper(col(seq)), f"[^ACGT{AMBIGUOUS}]", "")
-    return F.translate(kept, AMBIGUOUS, ("A" if n_to_a else "N") * len(AMBIGUOUS))
+    return F.regexp_replace(kept, f"[{AMBIGUOUS}]", "A" if n_to_a else "N")
 
 
 def bisulfite(seq: Column | str, strand: str = "+") -> Column:

@@ -1,66 +1,113 @@
-"""The reference index: tables of references, fragments, tiles and k-mers in one folder, and what can be read off it."""
+"""The reference index: references, fragments, tiles and k-mers as tables in one folder, which alignment reads, and what can be read off it."""
 
 from __future__ import annotations
 
+import hashlib
 import json
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import first_word
-from ..sources.references import fragments, tiles
-from .search import kmers
+from ..sources.references import STEP, LONGEST_READ, Tiled, fragments, tiled
+from .search import K, kmers
 
-TILE = 4096
+TILES = "ref_id long, t0 long, bases string"
+KMERS = "kmer BIGINT, span INT, ref_id BIGINT, pos BIGINT"
 
 
-def build(refs: DataFrame, path: str, k: int = 12, only_tiles: bool = False, no_tiles: bool = False) -> None:
-    """Writes the index. k-mers are range-partitioned and sorted, so that scans prune by k-mer."""
-    spark = refs.sparkSession
-    sized = refs.select("ref_id", "name", "len")
-    has = fragments(refs)
-    if has.isEmpty():
+@dataclass
+class Index(Tiled):
+    """An opened index: tiles as they are stored, and its k-mers, bucketed and sorted by k-mer."""
+
+    spark: SparkSession | None = None
+    path: str = ""
+    meta: dict = field(default_factory=dict)
+
+    def kmers(self) -> DataFrame:
+        return self.spark.table(self.meta["table"])
+
+    def fragments(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/fragments")
+
+
+def build(refs: DataFrame | Tiled, path: str, buckets: int | None = None, offrate: int = 5, ftab_chars: int = 10, only_tiles: bool = False) -> None:
+    """Writes the index. k-mers are bucketed by k-mer, so that a join by k-mer shuffles the reads only, and sorted in each bucket.
+
+    offrate and ftab_chars are what inspect's summary and the suffix sample go by.
+    """
+    t = refs if isinstance(refs, Tiled) else tiled(refs, STEP, LONGEST_READ)
+    spark = t.tiles.sparkSession
+    kept = f"{path}/tiles"
+    t.tiles.select("ref_id", "t0", "bases").write.mode("overwrite").parquet(kept)
+    t = Tiled(t.refs, spark.read.schema(TILES).parquet(kept), t.step, t.right)
+    t.refs.write.mode("overwrite").parquet(f"{path}/refs")
+    fragments(t).write.mode("overwrite").parquet(f"{path}/fragments")
+    if spark.read.parquet(f"{path}/fragments").isEmpty():
         raise ValueError("no reference has an unambiguous base")
-    sized.write.mode("overwrite").parquet(f"{path}/refs")
-    has.write.mode("overwrite").parquet(f"{path}/fragments")
-    if not no_tiles:
-        tiles(refs, TILE).select("ref_id", "t0", "bases").repartitionByRange("ref_id", "t0").sortWithinPartitions("ref_id", "t0").write.mode("overwrite").parquet(f"{path}/tiles")
+    # the k-mers of two indexes differ, and so do their tables' names
+    meta = {"k": K, "tile": t.step, "right": t.right, "offrate": offrate, "ftab_chars": ftab_chars, "table": "strandjoin_kmers_" + hashlib.md5(path.encode()).hexdigest()[:16]}
+    meta["buckets"] = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not only_tiles:
-        kmers(refs, k, 0).select("kmer", "ref_id", "pos").repartitionByRange("kmer", "ref_id", "pos").sortWithinPartitions("kmer", "ref_id", "pos").write.mode("overwrite").parquet(f"{path}/kmers")
-    spark.createDataFrame([(json.dumps({"k": k, "tile": TILE}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        spark.sql(f"DROP TABLE IF EXISTS {meta['table']}")
+        grams = kmers(t).repartition(meta["buckets"], "kmer")
+        grams.write.mode("overwrite").format("parquet").bucketBy(meta["buckets"], "kmer").sortBy("kmer", "ref_id", "pos").option("path", f"{path}/kmers").saveAsTable(meta["table"])
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def meta(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/meta").first()["value"])
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """refs (ref_id, name, seq, len) again, from the tiles."""
-    pieces = spark.read.parquet(f"{path}/tiles").groupBy("ref_id").agg(F.array_sort(F.collect_list(F.struct("t0", "bases"))).alias("p"))
-    seq = F.array_join(F.transform("p", lambda x: x["bases"]), "")
-    return spark.read.parquet(f"{path}/refs").join(pieces, "ref_id", "left").select("ref_id", "name", F.coalesce(seq, F.lit("")).alias("seq"), "len")
-
-
-def names(refs: DataFrame) -> DataFrame:
-    return refs.select("ref_id", "name")
+def load(spark: SparkSession, path: str) -> Index:
+    """Opens an index; its k-mers become a table of this session's catalog, if they aren't one."""
+    m = meta(spark, path)
+    if not spark.catalog.tableExists(m["table"]):
+        spark.sql(f"CREATE TABLE {m['table']} ({KMERS}) USING parquet CLUSTERED BY (kmer) SORTED BY (kmer, ref_id, pos) INTO {m['buckets']} BUCKETS LOCATION '{path}/kmers'")
+    tiles = spark.read.schema(TILES).parquet(f"{path}/tiles")
+    return Index(spark.read.parquet(f"{path}/refs"), tiles, m["tile"], m["right"], spark, path, m)
 
 
-def dump(refs: DataFrame, width: int = 60) -> DataFrame:
-    """FASTA lines by (ref_id, line_no): the name, then the sequence in lines of `width`; all-gap sequences are left out."""
-    d = refs.filter(F.col("seq").rlike("[ACGT]"))
-    head = d.select("ref_id", F.lit(0).alias("line_no"), F.concat(F.lit(">"), F.col("name")).alias("line"))
-    body = d.select("ref_id", F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{width}}}"), F.lit(0))).alias("i", "line"))
-    return head.unionByName(body.select("ref_id", (F.col("i") + 1).alias("line_no"), "line"))
+def sequences(t: Tiled) -> DataFrame:
+    """refs (ref_id, name, seq, len) as rows again, for references that fit one."""
+    own = F.struct("t0", F.substring("bases", 1, t.step).alias("bases"))
+    joined = t.tiles.groupBy("ref_id").agg(F.array_sort(F.collect_list(own)).alias("p"))
+    seq = F.array_join(F.transform("p", lambda x: x["bases"]), "")
+    return t.refs.join(joined, "ref_id", "left").select("ref_id", "name", F.coalesce(seq, F.lit("")).alias("seq"), "len")
+
+
+def dump(refs: DataFrame | Tiled, width: int = 60) -> DataFrame:
+    """FASTA lines by (ref_id, line_no): the name, then the sequence in lines of `width`; all-gap sequences are left out. A line comes from the tile that it starts in."""
+    t = refs if isinstance(refs, Tiled) else tiled(refs, right=width)
+    if t.right < width:
+        raise ValueError(f"the tiles show {t.right} bases of what follows, a line has {width}")
+    has = t.tiles.filter(F.col("bases").rlike("[ACGT]")).select("ref_id").distinct()
+    head = t.refs.join(has, "ref_id", "left_semi").select("ref_id", F.lit(0).cast("long").alias("line_no"), F.concat(F.lit(">"), F.col("name")).alias("line"))
+    first = F.ceil(F.col("t0") / width)
+    last = F.floor((F.col("t0") + F.least(F.length("bases"), F.lit(t.step)) - 1) / width)
+    body = t.tiles.join(has, "ref_id", "left_semi").filter(first <= last).select("ref_id", "t0", "bases", F.explode(F.sequence(first, last)).alias("n"))
+    line = F.substring("bases", (F.col("n") * width - F.col("t0") + 1).cast("int"), F.lit(width))
+    return head.unionByName(body.select("ref_id", (F.col("n") + 1).alias("line_no"), line.alias("line")))
+
+
+def summary(refs: DataFrame | Tiled) -> DataFrame:
+    """Searchable sequences: sequence (from 1), name, len (bases and inner gaps), bases."""
+    t = refs if isinstance(refs, Tiled) else tiled(refs, right=0)
+    has = (t.fragments() if isinstance(t, Index) else fragments(t)).groupBy("ref_id").agg(F.sum("frag_len").alias("bases"))
+    w = Window.orderBy("ref_id")  # a row for each sequence
+    return t.refs.join(has, "ref_id").select(F.row_number().over(w).alias("sequence"), first_word("name").alias("name"), "len", "bases")
 
 
-def summary(refs: DataFrame) -> DataFrame:
-    """Searchable sequences: sequence (from 1), name, len (bases and inner gaps; plen), bases."""
-    unambiguous = F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit("")))
-    d = refs.withColumn("bases", (F.length("seq") - unambiguous).cast("long")).filter("bases > 0")
-    w = Window.orderBy("ref_id")  # a row for each sequence
-    return d.select(F.row_number().over(w).alias("sequence"), first_word("name").alias("name"), "len", "bases")
+def summary_lines(t: Index) -> DataFrame:
+    """n, line: what inspecting an index prints: the suffix sample's rate, the lookup table's width, then each sequence's name and length."""
+    m = t.meta
+    heads = t.spark.createDataFrame([(0, f"SA-Sample\t1 in {1 << m['offrate']}"), (1, f"FTab-Chars\t{m['ftab_chars']}")], "n long, line string")
+    rows = summary(t).select((F.col("sequence") + 1).cast("long").alias("n"), F.concat(F.lit("Sequence-"), F.col("sequence").cast("string"), F.lit("\t"), "name", F.lit("\t"), F.col("len").cast("string")).alias("line"))
+    return heads.unionByName(rows)
 
 
-def prefix_ranges(kmer_table: DataFrame, width: int) -> DataFrame:
-    """The lookup table of k-mer prefixes: prefix, n and its first and last k-mer."""
-    return kmer_table.groupBy(F.substring("kmer", 1, width).alias("prefix")).agg(F.count("*").alias("n"), F.min("kmer").alias("first"), F.max("kmer").alias("last"))
+def prefix_ranges(t: Tiled, width: int, k: int = 12) -> DataFrame:
+    """The lookup table of k-mer prefixes: prefix, n and its first and last k-mer, packed."""
+    full = kmers(t, k).filter(F.col("span") == k)
+    return full.groupBy(F.shiftright("kmer", 2 * (k - width)).alias("prefix")).agg(F.count("*").alias("n"), F.min("kmer").alias("first"), F.max("kmer").alias("last"))

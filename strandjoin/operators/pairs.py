@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..options import AlignOptions
 from .policy import report
+from .search import STRANDS
 
-# Strands of mate 1 and mate 2 by orientation.
-STRANDS = {"fr": (True, False), "rf": (False, True), "ff": (True, True)}
 SIDE = ("fw", "off", "len", "stratum", "penalty", "seq", "qual", "mms", "name", "window", "trimmed5", "trimmed3")
 
 
@@ -62,7 +61,3 @@ def singles(hits: DataFrame, pairs: DataFrame, opts: AlignOptions) -> DataFrame:
     """Reported single placements of the reads that no pair was found for."""
     return report(hits.join(pairs.select("read_id").distinct(), "read_id", "left_anti"), opts)
 
-
-def by_kind(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Unpaired and paired reads."""
-    return reads.filter("mate = 0"), reads.filter("mate > 0")

@@ -1,13 +1,20 @@
-"""Alignment as a similarity join: pigeonhole seeds, exact seed join, verification.
-
-A read with at most b mismatches in its seed part has, of b + 1 disjoint blocks of it, one that
-matches exactly. The blocks are joined with reference k-mers; a candidate is kept from the first of
-its matching blocks only, so that no deduplication is needed, and is then verified on its window.
-Both strands are searched by the reverse complement of the read.
-
-References are cut into overlapping tiles before k-mers are taken. While the reads' seeds are few
-(max_broadcast of them, counted) they are broadcast and the reference streams past; otherwise seeds
-and k-mers are shuffled by k-mer and candidates fetch their windows from the tiles.
+"""Alignment as a similarity join: seeds, exact seed join, verification.
+
+Seeds come from the pigeonhole principle. A read with at most b mismatches in its seed part has, of
+b + 1 disjoint blocks of it, one that matches exactly; and of two blocks one with at most one
+mismatch where b is 2 or 3, so that the exact keys within one mismatch of a block are looked up.
+Whichever expects fewer candidates is taken for each read: three keys of 9 bases match the reference
+far more often than 86 of 14. Both strands are searched by the reverse complement of the read.
+
+Keys are joined with the reference's k-mers, two bits a base, which are K bases wide; a shorter key
+is compared with as many leading bases. K-mers are an index's stored table, or made of tiles on the
+fly. Candidates fetch their window from the tiles, an edit-distance bound (never above the number of
+mismatches) drops most of them inside generated code, and the rest is verified base by base. A
+placement that several blocks find is kept from the first of them, which needs no shuffle.
+
+Keys are broadcast while their number, which is counted, is at most max_broadcast; beyond it both
+sides are shuffled by key (an index at its full width isn't, as it is bucketed), where adaptive
+execution splits the rows of a hot k-mer.
 """
 
 from __future__ import annotations
@@ -15,72 +22,104 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quality import penalty, values
-from ..functions.sequence import mismatches, reverse_complement
+from ..functions.quality import penalty
+from ..functions.sequence import mismatches, pack_2bit, reverse_complement
 from ..options import AlignOptions
-from ..sources.references import tiles
+from ..sources.references import Tiled, tiled
 
-WIDEST_SEED = 16
+#: Bases of a stored k-mer, and the key widths in use: the widest that a block has room for.
+K = 14
+WIDTHS = (14, 12, 10, 8, 6, 5, 4, 3, 2, 1)
 READ_KEY = ("read_id", "mate")
+# Strands of mate 1 and mate 2 by orientation.
+STRANDS = {"fr": (True, False), "rf": (False, True), "ff": (True, True)}
 
 
 def oriented(reads: DataFrame, opts: AlignOptions) -> DataFrame:
-    """A row for each read and searched strand, with the read as it lies on the forward reference (probe, pqual)."""
+    """A row for each read and searched strand, with the read as it lies on the forward reference (probe, pqual).
+
+    For mates a strand that isn't searched is an orientation of the pair: each mate goes without the strand it has there.
+    """
     n = F.length("seq")
     seed = n if opts.mode == "v" else F.least(F.lit(opts.seed_len), n)
     d = reads.filter(n >= opts.shortest).withColumn("len", n).withColumn("seed_n", seed)
-    strands = [F.lit(s) for s, on in ((True, opts.forward), (False, opts.reverse)) if on]
-    d = d.withColumn("fw", F.explode(F.array(*strands)))
+    d = d.withColumn("fw", F.explode(F.array(F.lit(True), F.lit(False))))
+    fw1, fw2 = STRANDS[opts.orientation]
+    own = F.when(F.col("mate") == 2, F.lit(fw2)).when(F.col("mate") == 1, F.lit(fw1)).otherwise(F.lit(True))
+    d = d.filter(F.when(F.col("fw") == own, F.lit(opts.forward)).otherwise(F.lit(opts.reverse)))
     d = d.withColumn("probe", F.when(F.col("fw"), F.col("seq")).otherwise(reverse_complement("seq")))
     d = d.withColumn("pqual", F.when(F.col("fw"), F.col("qual")).otherwise(F.reverse("qual")))
     return d.withColumn("seed_at", F.when(F.col("fw"), F.lit(0)).otherwise(F.col("len") - F.col("seed_n")))
 
 
+def _width(bases: Column) -> Column:
+    """The widest key for a block."""
+    table = F.array(*[F.lit(max(w for w in WIDTHS if w <= n)) for n in range(1, K + 1)])
+    return F.element_at(table, F.least(bases, F.lit(K)))
+
+
+def _shift(x: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", x.cast("long"), by.cast("int"))
+
+
 def seeds(probes: DataFrame, opts: AlignOptions) -> DataFrame:
-    """probes with a row for each block: k, blen, block, seed. Blocks with N match nothing."""
-    blocks = opts.budget + 1
-    d = probes.withColumn("blen", F.floor(F.col("seed_n") / blocks).cast("int")).withColumn("k", F.least("blen", F.lit(WIDEST_SEED)))
-    d = d.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    d = d.withColumn("seed", F.substring("probe", F.col("seed_at") + F.col("block") * F.col("blen") + 1, F.col("k")))
-    return d.filter(~F.col("seed").contains("N"))
-
-
-def kmers(refs: DataFrame, k: int, flank: int, step: int | None = None) -> DataFrame:
-    """ref_id, pos, kmer, begin, bases: every k-mer without N, with a piece of the reference that shows flank bases on both sides."""
-    outer = 4096
-    step = step or max(64, flank)
-    big = tiles(refs, outer, flank, flank + k)
-    # two levels, so that no substring walks through a long sequence
-    span = F.least(F.lit(outer), F.greatest(F.length("bases") - (F.col("t0") - F.col("begin")).cast("int"), F.lit(0)))
-    small = big.withColumn("s", F.explode(F.sequence(F.lit(0), F.greatest(span - 1, F.lit(0)), F.lit(step))))
-    inner = F.col("t0") + F.col("s")
-    own = F.greatest(inner - flank, F.col("begin"))
-    limit = F.least(F.lit(step), F.lit(outer) - F.col("s"))
-    small = small.select("ref_id", inner.alias("t1"), own.alias("begin"), limit.alias("limit"), F.substring("bases", (own - F.col("begin") + 1).cast("int"), (inner - own).cast("int") + limit + flank + k).alias("bases"))
-    room = F.length("bases") - (F.col("t1") - F.col("begin")).cast("int") - k
-    d = small.filter(room >= 0).withColumn("j", F.explode(F.sequence(F.lit(0), F.least(room, F.col("limit") - 1))))
-    pos = F.col("t1") + F.col("j")
-    d = d.select("ref_id", pos.alias("pos"), F.substring("bases", (pos - F.col("begin") + 1).cast("int"), F.lit(k)).alias("kmer"), "begin", "bases")
-    return d.filter(~F.col("kmer").contains("N"))
-
-
-def _first_block(opts: AlignOptions) -> Column:
-    """Whether no earlier block of the read matches the window too."""
+    """A row for each key of each block: read_id, mate, fw, probe, len, seed_at, seed_n, blen, k, errors, block, seed. A block with more N than errors has no key."""
+    exact = opts.budget + 1
+    d = probes.select(*READ_KEY, "fw", "probe", "len", "seed_at", "seed_n", *[F.floor(F.col("seed_n") / n).cast("int").alias(f"b{n}") for n in {exact, 2}])
+    if opts.budget < 2:
+        near = F.lit(False)
+    else:  # expected candidates for each reference base: keys over the number of keys of that width
+        d = d.withColumns({"w1": _width(F.col(f"b{exact}")), "w2": _width(F.col("b2"))})
+        near = 2 * (3 * F.col("w2") + 1) * F.pow(F.lit(0.25), "w2") < exact * F.pow(F.lit(0.25), "w1")
+    d = d.withColumn("errors", near.cast("int"))
+    d = d.withColumn("blen", F.when(F.col("errors") == 1, F.col("b2")).otherwise(F.col(f"b{exact}"))).withColumn("k", _width(F.col("blen")))
+    d = d.withColumn("block", F.explode(F.sequence(F.lit(0), F.when(F.col("errors") == 1, 1).otherwise(exact - 1))))
+    d = d.select(*READ_KEY, "fw", "probe", "len", "seed_at", "seed_n", "errors", "blen", "k", "block")
+    d = d.withColumn("s", F.substring("probe", F.col("seed_at") + F.col("block") * F.col("blen") + 1, F.col("k")))
+    d = d.withColumn("ns", F.length("s") - F.length(F.replace("s", F.lit("N"), F.lit("")))).filter(F.col("ns") <= F.col("errors"))
+    d = d.withColumn("base", pack_2bit(F.replace("s", F.lit("N"), F.lit("A"))))
+    digit = lambda i: 2 * (F.col("k") - 1 - i)
+    any_place = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), 3 * F.col("k") - 1), lambda x: _shift(x % 3 + 1, digit(F.floor(x / 3)))))
+    at_n = F.transform(F.array(*map(F.lit, range(4))), lambda x: _shift(x, digit(F.instr("s", "N") - 1)))
+    masks = F.when(F.col("errors") == 0, F.array(F.lit(0).cast("long"))).when(F.col("ns") > 0, at_n).otherwise(any_place)
+    d = d.withColumn("mask", F.explode(masks))
+    return d.withColumn("seed", F.col("base").bitwiseXOR(F.col("mask"))).drop("s", "ns", "base", "mask")
+
+
+def kmers(t: Tiled, k: int = K) -> DataFrame:
+    """kmer (two bits a base), span, ref_id, pos: the k bases from each position on; where an N or the end comes first, span is how many there are before it, and the rest is as if A."""
+    inner = 64
+    d = t.tiles.withColumn("s", F.explode(F.sequence(F.lit(0), F.least(F.length("bases"), F.lit(t.step)) - 1, F.lit(inner))))
+    part = F.translate(F.substring("bases", F.col("s") + 1, F.lit(inner + k - 1)), "ACGT", "0123")
+    d = d.select("ref_id", (F.col("t0") + F.col("s")).alias("t1"), part.alias("part"), F.least(F.lit(inner), F.length("bases") - F.col("s")).alias("own"))
+    d = d.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
+    d = d.select("ref_id", (F.col("t1") + F.col("j")).alias("pos"), F.substring_index(F.substring("part", F.col("j") + 1, F.lit(k)), "N", 1).alias("s")).filter("s <> ''")
+    return d.select(F.conv(F.rpad("s", k, "0"), 4, 10).cast("long").alias("kmer"), F.length("s").alias("span"), "ref_id", "pos")
+
+
+def kmer_text(kmer: Column, k: int) -> Column:
+    """The bases of a packed k-mer."""
+    return F.translate(F.lpad(F.conv(kmer.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
+def _first_block() -> Column:
+    """Whether no earlier block finds the placement too; at is where read and window differ."""
     ok = F.lit(True)
-    for b in range(opts.budget):
-        at = F.col("seed_at") + b * F.col("blen") + 1
-        same = (F.substring("probe", at, F.col("k")) == F.substring("window", at, F.col("k"))) & ~F.substring("probe", at, F.col("k")).contains("N")
-        ok = ok & (~same | (F.col("block") <= b))
+    i0 = F.col("seed_at")
+    for b in range(3):
+        start = i0 + b * F.col("blen")
+        wrong = F.size(F.filter("at", lambda i: (i >= start) & (i < start + F.col("k"))))  # noqa: B023
+        ok = ok & ((F.col("block") <= b) | (wrong > F.col("errors")))
     return ok
 
 
 def verify(cands: DataFrame, opts: AlignOptions) -> DataFrame:
     """Candidates with their window: the valid ones, with stratum, penalty, cost and mismatches by position from the 5' end."""
-    d = cands.filter((F.length("window") == F.col("len")) & ~F.col("window").contains("N")).withColumn("at", mismatches(F.col("probe"), F.col("window")))
+    # exploded, as predicates on a projected column would compute it anew below the joins
+    d = cands.withColumn("at", F.explode(F.array(mismatches(F.col("probe"), F.col("window"))))).filter(_first_block())
     five = lambda i: F.when(F.col("fw"), i).otherwise(F.col("len") - 1 - i)
-    q = values("pqual")
-    d = d.withColumn("q", q)
-    d = d.withColumn("penalty", F.aggregate("at", F.lit(0), lambda a, i: a + penalty(F.col("q")[i], opts.rounding)))
+    cost = lambda i: penalty(F.ascii(F.substring("pqual", i + 1, F.lit(1))) - 33, opts.rounding)
+    d = d.withColumn("penalty", F.aggregate("at", F.lit(0), lambda a, i: a + cost(i)))
     d = d.withColumn("stratum", F.size(F.filter("at", lambda i: five(i) < F.col("seed_n"))))
     valid = F.col("stratum") <= opts.budget
     if opts.mode == "n":
@@ -93,33 +132,42 @@ def verify(cands: DataFrame, opts: AlignOptions) -> DataFrame:
 HIT = "read_id long, mate int, name string, fw boolean, ref_id long, off long, seq string, qual string, len int, stratum int, penalty int, cost int, mms array<struct<pos:int,ref:string,read:string>>, window string, trimmed5 int, trimmed3 int"
 
 
-def align(reads: DataFrame, refs: DataFrame, opts: AlignOptions, max_broadcast: int = 500_000) -> DataFrame:
-    """Every valid placement of every read, as HIT. Reads are trimmed and chosen before."""
+def close_enough(window: Column, opts: AlignOptions) -> Column:
+    """Whether the seed parts of read and window can differ in no more than the budget, by a bounded edit distance, and the window is whole."""
+    part = lambda c: F.substring(c, F.col("seed_at") + 1, F.col("seed_n"))
+    near = F.levenshtein(part(F.col("probe")), part(window), opts.budget) >= 0 if opts.budget else part(F.col("probe")) == part(window)
+    return (F.length(window) == F.col("len")) & near & ~F.contains(window, F.lit("N"))
+
+
+def align(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = 1_000_000) -> DataFrame:
+    """Every valid placement of every read, as HIT. refs: rows of references, tiles, or an opened index. Reads are trimmed and chosen before."""
     spark = reads.sparkSession
-    # whole seeds are rows, and few widths occur: a block has at least one base and at most WIDEST_SEED count
-    probes = seeds(oriented(reads, opts), opts)
-    facts = probes.groupBy("k").agg(F.max("len").alias("longest"), F.count("*").alias("n")).collect()
+    probes = oriented(reads, opts)
+    keys = seeds(probes, opts)
+    # one row for each key width
+    facts = keys.groupBy("k").agg(F.max("len").alias("longest"), F.count("*").alias("n")).collect()
     if not facts:
         return spark.createDataFrame([], HIT)
-    flank = max(f["longest"] for f in facts)
-    few = sum(f["n"] for f in facts) <= max_broadcast
-    if refs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        refs = refs.repartition(spark.sparkContext.defaultParallelism)
-    out = None
-    for f in facts:
-        own = probes.filter(F.col("k") == f["k"])
-        grams = kmers(refs, f["k"], flank)
-        off = F.col("pos") - F.col("seed_at") - F.col("block") * F.col("blen")
-        if few:
-            c = grams.join(F.broadcast(own), F.col("kmer") == F.col("seed")).withColumn("off", off)
-            c = c.filter(F.col("off") >= F.col("begin")).withColumn("window", F.substring("bases", (F.col("off") - F.col("begin") + 1).cast("int"), F.col("len")))
-        else:
-            step = max(4096, flank)
-            c = grams.select("ref_id", "pos", "kmer").join(own, F.col("kmer") == F.col("seed")).withColumn("off", off).filter("off >= 0")
-            pieces = tiles(refs, step, 0, flank).select(F.col("ref_id").alias("t_ref"), "t0", "bases")
-            c = c.join(pieces, (F.col("ref_id") == F.col("t_ref")) & (F.col("off") - F.col("off") % step == F.col("t0")))
-            c = c.withColumn("window", F.substring("bases", (F.col("off") - F.col("t0") + 1).cast("int"), F.col("len")))
-        c = c.filter((F.length("window") == F.col("len")) & _first_block(opts))
-        hits = verify(c, opts)
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    longest, few = max(f["longest"] for f in facts), sum(f["n"] for f in facts) <= max_broadcast
+    if isinstance(refs, DataFrame):
+        if refs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+            refs = refs.repartition(spark.sparkContext.defaultParallelism)
+        refs = tiled(refs, right=longest)
+    if longest > refs.right:
+        raise ValueError(f"a read has {longest} bases, the tiles show {refs.right}")
+    table = refs.kmers() if hasattr(refs, "kmers") else kmers(refs)
+    cands = None
+    for k in sorted(f["k"] for f in facts):
+        own = keys.filter(F.col("k") == k)
+        grams = table if k == K else table.filter(F.col("span") >= k).withColumn("kmer", F.shiftright("kmer", 2 * (K - k)))
+        on = grams["kmer"] == own["seed"]
+        c = (grams.filter(F.col("span") == K) if k == K else grams).join(F.broadcast(own) if few else own, on)
+        cands = c if cands is None else cands.unionByName(c)
+    off = F.col("pos") - F.col("seed_at") - F.col("block") * F.col("blen")
+    cands = cands.withColumn("off", off).filter("off >= 0").select(*READ_KEY, "fw", "probe", "len", "seed_at", "seed_n", "blen", "k", "errors", "block", F.col("ref_id"), "off")
+    pieces = refs.tiles.select(F.col("ref_id").alias("t_ref"), "t0", "bases")
+    c = cands.join(pieces, (F.col("ref_id") == F.col("t_ref")) & (F.col("off") - F.col("off") % refs.step == F.col("t0")))
+    window = F.substring("bases", (F.col("off") - F.col("t0") + 1).cast("int"), F.col("len"))
+    c = c.withColumn("window", F.explode(F.filter(F.array(window), lambda w: close_enough(w, opts)))).drop("bases", "t_ref", "t0")
+    rest = probes.select(*READ_KEY, "fw", "name", "pqual", "trimmed5", "trimmed3")
+    return verify(c.join(rest, [*READ_KEY, "fw"]), opts)

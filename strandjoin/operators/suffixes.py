@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.reads import windows, with_ordinal
+from ..sources.reads import windows
+from ..sources.storage import ranked, stored
 
 
 def suffix_array(refs: DataFrame, start: int = 16) -> DataFrame:
@@ -28,8 +29,7 @@ def suffix_array(refs: DataFrame, start: int = 16) -> DataFrame:
         ahead = d.select(F.col("seq_id"), (F.col("off") - h).alias("off"), F.col("rank").alias("ahead"))
         pairs = d.join(ahead, ["seq_id", "off"], "left").select("seq_id", "off", F.col("rank").alias("own"), F.coalesce("ahead", F.lit(-1).cast("long")).alias("ahead"))
         d = _rank(pairs, ["own", "ahead"])
-        if d.sparkSession.conf.get("spark.checkpoint.dir", None):  # lineage doubles with every round
-            d = d.checkpoint()
+        d = stored(d, "ranks")  # lineage would double with every round
         h *= 2
     first = d.groupBy("seq_id").agg(F.min("rank").alias("least"))
     d = d.join(first, "seq_id").select(F.col("seq_id").alias("ref_id"), (F.col("rank") - F.col("least")).alias("place"), F.col("off").alias("pos"))
@@ -40,7 +40,7 @@ def suffix_array(refs: DataFrame, start: int = 16) -> DataFrame:
 
 def _rank(d: DataFrame, by: list[str]) -> DataFrame:
     """d without `by`, with rank: the place of its values among the distinct ones. seq_id and off stay."""
-    keys = with_ordinal(d.select(*by).distinct().orderBy(*by), "rank")
+    keys = ranked(d.select(*by).distinct(), by, "rank")
     joined = d.join(keys, by)
     return joined.select("seq_id", "off", "rank")
 
@@ -49,3 +49,8 @@ def bwt(sa: DataFrame) -> DataFrame:
     """ref_id, bwt: the characters before the sorted suffixes."""
     rows = sa.groupBy("ref_id").agg(F.array_sort(F.collect_list(F.struct("place", "before"))).alias("p"))
     return rows.select("ref_id", F.array_join(F.transform("p", lambda x: x["before"]), "").alias("bwt"))
+
+
+def suffix_sample(sa: DataFrame, offrate: int = 5) -> DataFrame:
+    """Every 2^offrate-th row of the suffix array: ref_id, place, pos."""
+    return sa.filter(F.col("place") % (1 << offrate) == 0).select("ref_id", "place", "pos")

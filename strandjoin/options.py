@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-LONGEST_READ = 1024
-
 
 @dataclass(frozen=True)
 class AlignOptions:
@@ -43,7 +41,7 @@ class AlignOptions:
             ("-v is 0 to 3", not 0 <= self.v <= 3),
             ("-n is 0 to 3", not 0 <= self.n <= 3),
             ("-l is 5 at least", self.seed_len < 5),
-            ("-e is 1 at least", self.max_penalty < 0),
+            ("-e is 0 at least", self.max_penalty < 0),
             ("-3 is 0 at least", self.trim3 < 0),
             ("-5 is 0 at least", self.trim5 < 0),
             ("-k is 1 at least", self.k is not None and self.k < 1),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..aligner import run
 from ..functions import quality, random, sequence
 from ..operators import analysis, index, pairs, policy, suffixes
-from ..operators.search import align
+from ..operators.search import align, kmer_text
 from ..options import AlignOptions
 from ..sources import reads as read_sources
 from ..sources import references, sinks
@@ -38,7 +38,7 @@ def mm(v: int, **more) -> AlignOptions:
 
 
 def hits(spark: SparkSession, sf_dir: str, opts: AlignOptions) -> DataFrame:
-    return align(tables.reads(spark, sf_dir), tables.refs(spark, sf_dir), opts)
+    return align(tables.reads(spark, sf_dir), tables.index(spark, sf_dir), opts)
 
 
 def shown(d: DataFrame, *more: str) -> DataFrame:
@@ -152,9 +152,8 @@ def idx_names(spark, sf_dir):
 @query(f"""WITH {sql.REFS}, k AS (SELECT substr(seq, o::INT + 1, 12) AS kmer FROM (SELECT seq, unnest(range(len(seq) - 11)) AS o FROM refs WHERE len(seq) >= 12))
 SELECT substr(kmer, 1, 5) AS prefix, count(*)::BIGINT AS n, min(kmer) AS first, max(kmer) AS last FROM k WHERE NOT contains(kmer, 'N') GROUP BY 1""")
 def kmer_prefixes(spark, sf_dir):
-    from ..operators.search import kmers
-
-    return index.prefix_ranges(kmers(tables.refs(spark, sf_dir), 12, 0), 5)
+    d = index.prefix_ranges(references.tiled(tables.refs(spark, sf_dir), right=12), 5, 12)
+    return d.select(kmer_text(F.col("prefix"), 5).alias("prefix"), "n", *[kmer_text(F.col(c), 12).alias(c) for c in ("first", "last")])
 
 
 @query(f"""SELECT ref_id, (row_number() OVER (PARTITION BY ref_id ORDER BY suffix) - 1)::BIGINT AS place, o::BIGINT AS pos, CASE WHEN o = 0 THEN '$' ELSE substr(dna, o::INT, 1) END AS before
@@ -218,7 +217,7 @@ def _pairs(name: str, orientation: str, contain: bool = False, low: int = 0, hig
     opts = AlignOptions(mode="v", v=1, every=True, orientation=orientation, allow_contain=contain, min_insert=low, max_insert=high)
 
     def f(spark, sf_dir):
-        found = pairs.concordant(align(tables.mates(spark, sf_dir, orientation), tables.refs(spark, sf_dir), opts), opts)
+        found = pairs.concordant(align(tables.mates(spark, sf_dir, orientation), tables.index(spark, sf_dir), opts), opts)
         return found.select("read_id", "ref_id", F.col("m1_off").alias("off1"), F.col("m2_off").alias("off2"), F.col("first").cast("long").alias("first"), F.col("insert").cast("long").alias("insert"))
 
     f.__name__ = name
@@ -237,7 +236,7 @@ j AS (SELECT (CASE WHEN a.fw THEN 'F' ELSE 'R' END) || (CASE WHEN b.fw THEN 'F'
 SELECT orientation, (trunc((length + 5.0) / 10) * 10)::BIGINT AS length, count(*)::BIGINT AS n FROM j GROUP BY 1, 2""")
 def insert_histogram(spark, sf_dir):
     opts = AlignOptions(mode="v", v=1, m=1)
-    return analysis.fragment_lengths(align(tables.mates(spark, sf_dir), tables.refs(spark, sf_dir), opts), 10, opts)
+    return analysis.fragment_lengths(align(tables.mates(spark, sf_dir), tables.index(spark, sf_dir), opts), 10, opts)
 
 
 # --- output
@@ -269,7 +268,7 @@ _STATES = f"{sql.hits('v', 2)}, n AS (SELECT read_id, count(*) AS n FROM h GROUP
 def _routed(kind: str) -> None:
     def f(spark, sf_dir):
         reads = tables.reads(spark, sf_dir)
-        states = policy.status(reads, align(reads, tables.refs(spark, sf_dir), _MAXED), _MAXED)
+        states = policy.status(reads, align(reads, tables.index(spark, sf_dir), _MAXED), _MAXED)
         return policy.route(reads, states)[kind].select("read_id", "raw")
 
     f.__name__ = f"{kind}_reads"
@@ -282,14 +281,14 @@ for _kind in ("al", "un", "max"):
 
 @query(f"{_STATES} SELECT count(*)::BIGINT AS processed, count(*) FILTER (status <> 'un')::BIGINT AS aligned, count(*) FILTER (status = 'un')::BIGINT AS failed, count(*) FILTER (status = 'max')::BIGINT AS suppressed, count(*) FILTER (status = 'al')::BIGINT AS reported FROM st")
 def run_counters(spark, sf_dir):
-    r = run(tables.reads(spark, sf_dir), tables.refs(spark, sf_dir), _MAXED)
+    r = run(tables.reads(spark, sf_dir), tables.index(spark, sf_dir), _MAXED)
     return r.counters().select("processed", "aligned", "failed", "suppressed", "reported")
 
 
 @query(f"{_STATES} SELECT read_id, 1::BIGINT AS places FROM st WHERE false")
 def reconcile(spark, sf_dir):
     reads = tables.reads(spark, sf_dir)
-    found = align(reads, tables.refs(spark, sf_dir), _MAXED)
+    found = align(reads, tables.index(spark, sf_dir), _MAXED)
     r = policy.route(reads, policy.status(reads, found, _MAXED))
     return analysis.reconcile(reads, r["al"], r["un"], r["max"]).select("read_id", "places")
 

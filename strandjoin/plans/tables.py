@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import prose_to_dna, reverse_complement
+from ..operators import index as indexes
 from ..sources import references
 from ..sources.reads import windows
+from ..sources.storage import hadoop_path, shared_dir
 
 WIDTH, STEP = 36, 18
 
@@ -27,6 +31,21 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.from_table(d, "doc_id", "doc_id", "dna")
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
+    """The index of refs(), built in the shared folder by the first query of a session that needs it and gone with the session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built or not (lambda p, fs: fs.exists(p))(*hadoop_path(spark, f"{_built[key]}/meta")):
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        indexes.build(refs(spark, sf_dir), path)
+        p, fs = hadoop_path(spark, path)
+        fs.deleteOnExit(p)
+        _built[key] = path
+    return indexes.load(spark, _built[key])
+
+
 def item_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "benchmark").select("item_id", prose_to_dna("text").alias("dna"))
     return references.from_table(d, "item_id", "item_id", "dna")

@@ -13,24 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.quality import default, to_phred33
 from ..functions.sequence import first_word, normalise_read, trim
+from .storage import ranked, with_offsets
 
 COLUMNS = ("read_id", "mate", "name", "seq", "qual", "raw", "trimmed5", "trimmed3")
 
 
 def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """Adds the place of each row, from 0, in the order of the source. A count for each partition comes to the driver."""
-    spark = df.sparkSession
-    placed = df.withColumn("__id", F.monotonically_increasing_id())
-    placed = placed.withColumn("__part", F.shiftright("__id", 33).cast("int"))
-    at, offsets = 0, []
-    for part, n in sorted(tuple(r) for r in placed.groupBy("__part").count().collect()):
-        offsets.append((part, at))
-        at += n
-    if len(offsets) <= 1:
-        return placed.withColumn(name, F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part")
-    off = F.broadcast(spark.createDataFrame(offsets, "__part int, __offset long"))
-    joined = placed.join(off, "__part")
-    return joined.withColumn(name, F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__offset")).drop("__id", "__part", "__offset")
+    """Adds the place of each row, from 0, in the order of the source. df has to be a scan without shuffles, whose partitions are the same each time; after a sort see storage.ranked()."""
+    return with_offsets(df.withColumn("__id", F.monotonically_increasing_id()), name)
 
 
 def existing(spark: SparkSession, paths: list[str] | str) -> list[str]:
@@ -112,14 +102,26 @@ def fasta(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return _each(spark, paths, one)
 
 
+def pieces(d: DataFrame, seq: str, step: int, right: int = 0) -> DataFrame:
+    """d without seq, with a row for each `step` characters of it: i (from 0) and piece, which also shows up to `right` characters of what follows. One walk over seq, however long."""
+    others = [c for c in d.columns if c != seq]
+    d = d.select(*others, F.regexp_extract_all(F.col(seq), F.lit(f".{{1,{step}}}"), F.lit(0)).alias("__cut"))
+    if not right:
+        return d.select(*others, F.posexplode("__cut").alias("i", "piece"))
+    more = lambda i: F.substring(F.array_join(F.slice("__cut", i + 2, F.lit(-(-right // step))), ""), 1, right)
+    return d.select(*others, F.posexplode(F.transform("__cut", lambda x, i: F.concat(x, more(i)))).alias("i", "piece"))
+
+
 def windows(sequences: DataFrame, width: int, step: int, tile: int = 4096) -> DataFrame:
-    """Sliding windows of (seq_id, name, seq): seq_id, name, off, seq. Long sequences are cut into overlapping tiles first, so that no window costs more than a tile."""
-    tile = -(-max(tile, width) // step) * step
-    last = F.length("seq") - width
-    d = sequences.filter(last >= 0).withColumn("__t", F.explode(F.sequence(F.lit(0), last, F.lit(tile))))
-    d = d.select("seq_id", "name", "__t", F.substring("seq", F.col("__t") + 1, F.lit(tile + width - 1)).alias("__tile"))
-    d = d.withColumn("__o", F.explode(F.sequence(F.lit(0), F.least(F.length("__tile") - width, F.lit(tile - 1)), F.lit(step))))
-    return d.select("seq_id", "name", (F.col("__t") + F.col("__o")).cast("long").alias("off"), F.substring("__tile", F.col("__o") + 1, F.lit(width)).alias("seq"))
+    """Sliding windows of (seq_id, name, seq): seq_id, name, off, seq. Sequences are cut into overlapping pieces first, so that no window costs more than a piece."""
+    inner = -(-max(64, width) // step) * step  # windows are taken from small pieces of the pieces
+    tile = -(-max(tile, inner) // inner) * inner
+    d = pieces(sequences.filter(F.length("seq") >= width).select("seq_id", "name", "seq"), "seq", tile, width - 1)
+    d = d.withColumn("__s", F.explode(F.sequence(F.lit(0), F.least(F.length("piece"), F.lit(tile)) - 1, F.lit(inner))))
+    at = (F.col("i").cast("long") * tile + F.col("__s")).alias("__at")
+    d = d.select("seq_id", "name", at, F.substring("piece", F.col("__s") + 1, F.lit(inner + width - 1)).alias("__tile")).filter(F.length("__tile") >= width)
+    d = d.withColumn("__o", F.explode(F.sequence(F.lit(0), F.least(F.length("__tile") - width, F.lit(inner - 1)), F.lit(step))))
+    return d.select("seq_id", "name", (F.col("__at") + F.col("__o")).alias("off"), F.substring("__tile", F.col("__o") + 1, F.lit(width)).alias("seq"))
 
 
 def continuous(spark: SparkSession, paths: list[str] | str, width: int, step: int) -> DataFrame:
@@ -127,7 +129,7 @@ def continuous(spark: SparkSession, paths: list[str] | str, width: int, step: in
 
     def one(path: str) -> DataFrame:
         recs = _records(spark, path).select(F.col("ordinal").alias("seq_id"), first_word("name").alias("name"), normalise_read("body").alias("seq"))
-        w = with_ordinal(windows(recs, width, step).orderBy("seq_id", "off"))
+        w = ranked(windows(recs, width, step), ["seq_id", "off"], "ordinal")
         name = F.concat_ws("_", "name", F.col("off").cast("string"))
         return _finish(w.select(F.col("ordinal").alias("read_id"), F.lit(0).alias("mate"), name.alias("name"), "seq", F.lit(None).cast("string").alias("qual"), F.concat(F.lit(">"), name, F.lit("\n"), F.col("seq")).alias("raw")))
 

@@ -1,22 +1,46 @@
-"""Reference sequences: refs (ref_id, name, seq, len), their unambiguous fragments and their tiles."""
+"""Reference sequences.
+
+Short ones are rows (ref_id, name, seq, len). Of any length they are tiles: (ref_id, t0, bases),
+where a tile owns [t0, t0 + step) and bases also shows what follows, so that a read placed in it is
+whole. No row holds more than a tile then, and a chromosome is many tasks' work from the scan on.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import normalise_reference
-from .reads import _records, existing, with_ordinal
+from .reads import _records, existing, pieces, with_ordinal
+
+STEP = 4096
+#: Reads are at most so long; a fixed value.
+LONGEST_READ = 1024
+
+
+@dataclass
+class Tiled:
+    """refs: ref_id, name, len; tiles: ref_id, t0, bases; step bases a tile and what follows, up to `right`."""
+
+    refs: DataFrame
+    tiles: DataFrame
+    step: int = STEP
+    right: int = LONGEST_READ
+
+
+def _name(named: Column, ref_id: Column) -> Column:
+    return F.when(F.coalesce(named, F.lit("")) == "", ref_id.cast("string")).otherwise(named)
 
 
 def _named(d: DataFrame, n_to_a: bool) -> DataFrame:
-    name = F.when(F.coalesce("name", F.lit("")) == "", F.col("ref_id").cast("string")).otherwise(F.col("name"))
-    d = d.select(F.col("ref_id").cast("long").alias("ref_id"), name.alias("name"), normalise_reference(F.coalesce("seq", F.lit("")), n_to_a).alias("seq"))
+    d = d.select(F.col("ref_id").cast("long").alias("ref_id"), _name(F.col("name"), F.col("ref_id")).alias("name"), normalise_reference(F.coalesce("seq", F.lit("")), n_to_a).alias("seq"))
     return d.withColumn("len", F.length("seq").cast("long"))
 
 
 def fasta(spark: SparkSession, paths: list[str] | str, n_to_a: bool = False) -> DataFrame:
-    """References of FASTA files, in order; unnamed ones are named by their place."""
+    """References of FASTA files as rows, in order; unnamed ones are named by their place."""
     out = None
     for i, p in enumerate(existing(spark, paths)):
         d = _records(spark, p).withColumn("file", F.lit(i))
@@ -34,22 +58,68 @@ def from_table(df: DataFrame, id_col: str, name_col: str, seq_col: str, n_to_a:
     return _named(df.select(F.col(id_col).alias("ref_id"), F.col(name_col).cast("string").alias("name"), F.col(seq_col).alias("seq")), n_to_a)
 
 
-def tiles(refs: DataFrame, step: int = 4096, left: int = 0, right: int = 0) -> DataFrame:
-    """ref_id, t0, begin, bases: pieces that own [t0, t0 + step) and also show `left` bases before and `right` after; begin is where bases starts."""
-    d = refs.filter("len > 0").select("ref_id", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1, F.lit(step).cast("long"))).alias("t0"))
-    begin = F.greatest(F.col("t0") - left, F.lit(0).cast("long"))
-    return d.select("ref_id", "t0", begin.alias("begin"), F.substring("seq", (begin + 1).cast("int"), (F.col("t0") + step + right - begin).cast("int")).alias("bases"))
+def tiled(refs: DataFrame, step: int = STEP, right: int = LONGEST_READ) -> Tiled:
+    """Rows as tiles."""
+    d = pieces(refs.select("ref_id", "seq"), "seq", step, right)
+    return Tiled(refs.select("ref_id", "name", "len"), d.select("ref_id", (F.col("i").cast("long") * step).alias("t0"), F.col("piece").alias("bases")), step, right)
 
 
-def fragments(refs: DataFrame) -> DataFrame:
+def fasta_tiles(spark: SparkSession, paths: list[str] | str, n_to_a: bool = False, step: int = STEP, right: int = LONGEST_READ) -> Tiled:
+    """FASTA files as tiles, line by line: lines get their sequence and offset from sums over the scan's partitions and are put together by tile in one shuffle."""
+    lines = None
+    for i, p in enumerate(existing(spark, paths)):
+        d = spark.read.text(p).withColumn("__file", F.lit(i))
+        lines = d if lines is None else lines.unionByName(d)
+    lines = lines.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    lines = lines.withColumn("head", F.col("value").startswith(">"))
+    lines = lines.withColumn("bases", F.when(~F.col("head"), normalise_reference("value", n_to_a)).otherwise(F.lit("")))
+    n = F.length("bases").cast("long")
+    upto = Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.withColumn("heads", F.sum(F.col("head").cast("long")).over(upto)).withColumn("run", F.sum(n).over(upto))
+    # bases before the partition's last header up to here; none before its first one
+    placed = placed.withColumn("since", F.max(F.when(F.col("head"), F.col("run"))).over(upto))
+    facts = lines.groupBy("__part").agg(F.sum(F.col("head").cast("long")).alias("heads"), F.sum(n).alias("bases"), F.max(F.when(F.col("head"), F.col("__id"))).alias("last"))
+    tail = lines.join(F.broadcast(facts.select("__part", "last")), "__part").filter(F.col("last").isNull() | (F.col("__id") > F.col("last"))).groupBy("__part").agg(F.sum(n).alias("tail"))
+    carry, heads, open_bases = [], 0, 0
+    for r in sorted(facts.join(tail, "__part", "left").fillna({"tail": 0}).collect(), key=lambda r: r["__part"]):  # a row for each partition
+        carry.append((r["__part"], heads, open_bases))
+        heads += r["heads"]
+        open_bases = (0 if r["heads"] else open_bases) + r["tail"]
+    placed = placed.join(F.broadcast(spark.createDataFrame(carry or [(0, 0, 0)], "__part long, before long, carried long")), "__part")
+    ref_id = (F.col("heads") + F.col("before") - 1).alias("ref_id")
+    at = F.when(F.col("since").isNull(), F.col("carried") + F.col("run")).otherwise(F.col("run") - F.col("since")) - n
+    names = placed.filter("head").select(ref_id, F.trim(F.regexp_replace(F.substring("value", 2, 1 << 30), r"\r", "")).alias("name"))
+    body = pieces(placed.filter(n > 0).select(ref_id, at.alias("at"), "bases").filter("ref_id >= 0"), "bases", step)
+    body = body.select("ref_id", (F.col("at") + F.col("i") * step).alias("at"), F.col("piece").alias("bases"))
+    size = F.length("bases").cast("long")
+    lens = body.groupBy("ref_id").agg(F.sum(size).alias("len"))
+    refs = names.join(lens, "ref_id", "left").select("ref_id", _name(F.col("name"), F.col("ref_id")).alias("name"), F.coalesce("len", F.lit(0).cast("long")).alias("len"))
+    # a piece is in the tiles that own a part of it and in those before that show it
+    low = F.greatest(F.floor((F.col("at") - right) / step), F.lit(0))
+    parts = body.withColumn("t", F.explode(F.sequence(low, F.floor((F.col("at") + size - 1) / step))))
+    parts = parts.groupBy("ref_id", "t").agg(F.array_sort(F.collect_list(F.struct("at", "bases"))).alias("p"))
+    whole = F.array_join(F.transform("p", lambda x: x["bases"]), "")
+    t0 = F.col("t") * step
+    begin = F.col("p")[0]["at"]
+    tiles = parts.select("ref_id", t0.alias("t0"), begin.alias("begin"), whole.alias("bases")).filter(F.col("begin") + F.length("bases") > F.col("t0"))
+    return Tiled(refs, tiles.select("ref_id", "t0", F.substring("bases", (F.col("t0") - F.col("begin") + 1).cast("int"), F.lit(step + right)).alias("bases")), step, right)
+
+
+def fragments(refs: DataFrame | Tiled) -> DataFrame:
     """Stretches without N: ref_id, gap (Ns before it), frag_start, frag_len."""
-    runs = refs.select("ref_id", F.regexp_extract_all("seq", F.lit("(N*)([ACGT]+)"), F.lit(0)).alias("runs"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<gap:bigint,start:bigint,len:bigint>>").alias("out"))
-
-    def add(a, r):
-        n = F.length(r).cast("long")
-        gap = n - F.length(F.ltrim(r, F.lit("N"))).cast("long")
-        return F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(F.struct(gap.alias("gap"), (a["at"] + gap).alias("start"), (n - gap).alias("len")))).alias("out"))
+    t = refs if isinstance(refs, Tiled) else tiled(refs, right=0)
+    runs = t.tiles.select("ref_id", "t0", F.posexplode(F.regexp_extract_all(F.substring("bases", 1, t.step), F.lit("N+|[ACGT]+"), F.lit(0))).alias("i", "run"))
+    runs = runs.select("ref_id", "t0", "i", F.length("run").cast("long").alias("n"), (~F.col("run").startswith("N")).alias("known"))
+    order = Window.partitionBy("ref_id").orderBy("t0", "i")
+    d = runs.withColumn("start", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    # a run that a tile's end cuts goes on in the next tile
+    d = d.withColumn("new", F.coalesce(F.lag("known").over(order) != F.col("known"), F.lit(True)).cast("int"))
+    d = d.withColumn("g", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.groupBy("ref_id", "g").agg(F.min("start").alias("frag_start"), F.sum("n").alias("frag_len"), F.first("known").alias("known"))
+    gap = F.coalesce(F.lag("frag_len").over(Window.partitionBy("ref_id").orderBy("g")), F.lit(0).cast("long"))
+    return d.withColumn("gap", gap).filter("known").select("ref_id", "gap", "frag_start", "frag_len")
+
+
+def names(refs: DataFrame | Tiled) -> DataFrame:
+    return (refs.refs if isinstance(refs, Tiled) else refs).select("ref_id", "name")
 
-    out = runs.select("ref_id", F.explode(F.aggregate("runs", zero, add)["out"]).alias("f"))
-    return out.select("ref_id", "f.gap", F.col("f.start").alias("frag_start"), F.col("f.len").alias("frag_len"))

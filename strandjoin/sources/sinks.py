@@ -87,7 +87,7 @@ def sam_records(hits: DataFrame, refs: DataFrame | None = None, mapq: int = 255,
     )
 
 
-def sam_unaligned(reads: DataFrame, states: DataFrame, sampling: bool = False) -> DataFrame:
+def sam_unaligned(reads: DataFrame, states: DataFrame) -> DataFrame:
     """Records of reads that failed to align; those over -m have none."""
     d = reads.join(states.filter("status = 'unaligned'"), "read_id", "left_semi")
     flag = F.when(F.col("mate") == 1, 77).when(F.col("mate") == 2, 141).otherwise(4)
@@ -127,9 +127,18 @@ def write_routed(routes: dict[str, DataFrame], paths: dict[str, str]) -> None:
                 own.select("raw").write.mode("overwrite").text(with_mate(path, mate) if mate else path)
 
 
-def counter_lines(row) -> list[str]:
-    """The lines that a run ends with, from a row of counters."""
+def counter_lines(row, pairs: int = 0, singles: int | None = None) -> list[str]:
+    """The lines that a run ends with, from a row of counters; pairs and singles: reported pairs, and reported placements that aren't of pairs."""
     out = [f"# reads processed: {row['processed']}", f"# reads with at least one alignment: {row['aligned']} ({row['pct_aligned']:.2f}%)", f"# reads that failed to align: {row['failed']} ({row['pct_failed']:.2f}%)"]
     if row["suppressed"]:
         out.append(f"# reads with alignments suppressed due to -m: {row['suppressed']} ({row['pct_suppressed']:.2f}%)")
-    return [*out, f"Reported {row['reported']} alignments" if row["reported"] else "No alignments"]
+    alone = row["reported"] if singles is None else singles
+    if pairs:
+        return [*out, f"Reported {pairs} paired-end alignments" + (f" and {alone} singleton alignments" if singles else "")]
+    return [*out, f"Reported {alone} alignments" if alone else "No alignments"]
+
+
+def hadoop_lines(row, singles: int, pairs: int, group: str = "Strandjoin") -> list[str]:
+    """Counter lines for a streaming job's log; a pair counts as two alignments."""
+    counts = {"Reads with reported alignments": row["aligned"], "Reads with no alignments": row["failed"], "Reads exceeding -m limit": row["suppressed"], "Unpaired alignments reported": singles, "Paired alignments reported": 2 * pairs}
+    return [f"reporter:counter:{group},{what},{n}" for what, n in counts.items()]

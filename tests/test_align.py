@@ -6,6 +6,8 @@ import random
 import pytest
 
 from strandjoin.aligner import run
+from strandjoin.operators import index
+from strandjoin.operators.policy import route
 from strandjoin.operators.search import align
 from strandjoin.options import AlignOptions, last_wins
 from strandjoin.sources import reads as R
@@ -68,6 +70,50 @@ def test_pairs(spark, mates, opts, want):
     assert sorted(got) == want
 
 
+@pytest.mark.parametrize(
+    ("orientation", "off", "want"),
+    [("fr", "reverse", [1]), ("fr", "forward", [2]), ("rf", "reverse", [1]), ("rf", "forward", [2]), ("ff", "reverse", [1]), ("ff", "forward", [2])],
+)
+def test_pairs_without_a_strand(spark, orientation, off, want):
+    """A strand left out is an orientation of the pair: pair 1 lies as the option says, pair 2 is its reverse complement."""
+    ref = "ACGGTCATTGCACCAGTTACAGGATCCAATCGGATATCGC"
+    a, b = ref[2:14], ref[24:38]
+    turn = {"fr": (a, revcomp(b)), "rf": (revcomp(a), b), "ff": (a, b)}[orientation]
+    back = {"fr": (revcomp(b), a), "rf": (b, revcomp(a)), "ff": (revcomp(b), revcomp(a))}[orientation]
+    one, two = (",".join(x) for x in zip(turn, back, strict=True))
+    reads = R.pairs(R.literals(spark, one), R.literals(spark, two))
+    both = run(reads, references.literals(spark, ref), AlignOptions(mode="v", v=0, every=True, orientation=orientation))
+    assert {x["read_id"] for x in both.mates.collect()} == {0, 1}
+    some = run(reads, references.literals(spark, ref), AlignOptions(mode="v", v=0, every=True, orientation=orientation, **{off: False}))
+    assert {x["read_id"] + 1 for x in some.mates.collect()} == set(want)
+
+
+def test_singletons_and_mixed_input(spark, tmp_path):
+    tab = tmp_path / "m.tab"
+    tab.write_text("p\tAACGAAAG\tIIIIIIII\tCCATCTA\tIIIIIII\nq\tAACGAAAG\tIIIIIIII\tGGGGGGGGG\tIIIIIIIII\nu\tCTTTTATA\tIIIIIIII\nn\tCCCCCCCCC\tIIIIIIIII\n")
+    reads = R.tabbed(spark, str(tab))
+    o = {"mode": "v", "v": 0, "every": True}
+    r = run(reads, references.literals(spark, PAIRED), AlignOptions(**o))
+    assert sorted((x["name"], x["mate"], x["off"]) for x in r.mates.collect()) == [("p", 1, 2), ("p", 2, 16)]
+    assert [(x["name"], x["off"]) for x in r.hits.collect()] == [("u", 11)]
+    assert {x["read_id"]: x["status"] for x in r.states.collect()} == {0: "aligned", 1: "unaligned", 2: "aligned", 3: "unaligned"}
+    r = run(reads, references.literals(spark, PAIRED), AlignOptions(report_singles=True, **o))
+    assert sorted((x["name"], x["mate"], x["off"]) for x in r.hits.collect()) == [("q", 1, 2), ("u", 0, 11)]
+    c = r.counters().first()
+    assert (c["processed"], c["aligned"], c["failed"]) == (4, 3, 1)
+    lines = sorted(x["line"] for x in sinks.sam_lines(sinks.sam_unaligned(reads, run(reads, references.literals(spark, PAIRED), AlignOptions(**o)).states)).collect())
+    assert lines == sorted(["q\t77\t*\t0\t0\t*\t*\t0\t0\tAACGAAAG\tIIIIIIII\tXM:i:0", "q\t141\t*\t0\t0\t*\t*\t0\t0\tGGGGGGGGG\tIIIIIIIII\tXM:i:0", "n\t4\t*\t0\t0\t*\t*\t0\t0\tCCCCCCCCC\tIIIIIIIII\tXM:i:0"])
+    out = {k: str(tmp_path / f"{k}.txt") for k in ("al", "un", "max")}
+    sinks.write_routed(route(r.reads, r.states), out)
+    text = lambda p: sorted(x["value"] for x in spark.read.text(p).collect())
+    assert text(sinks.with_mate(out["al"], 1)) == text(sinks.with_mate(out["al"], 2)) and len(text(sinks.with_mate(out["al"], 1))) == 2
+    assert text(out["al"]) == ["u\tCTTTTATA\tIIIIIIII"] and text(out["un"]) == ["n\tCCCCCCCCC\tIIIIIIIII"]
+    assert sinks.counter_lines({"processed": 4, "aligned": 3, "pct_aligned": 75.0, "failed": 1, "pct_failed": 25.0, "suppressed": 0, "pct_suppressed": 0.0, "reported": 3}) == ["# reads processed: 4", "# reads with at least one alignment: 3 (75.00%)", "# reads that failed to align: 1 (25.00%)", "Reported 3 alignments"]
+    row = {"processed": 4, "aligned": 3, "pct_aligned": 75.0, "failed": 1, "pct_failed": 25.0, "suppressed": 0, "pct_suppressed": 0.0, "reported": 3}
+    assert sinks.counter_lines(row, pairs=1, singles=2)[-1] == "Reported 1 paired-end alignments and 2 singleton alignments"
+    assert sinks.hadoop_lines(row, 2, 1)[-2:] == ["reporter:counter:Strandjoin,Unpaired alignments reported,2", "reporter:counter:Strandjoin,Paired alignments reported,2"]
+
+
 def test_pair_sam(spark):
     reads = R.pairs(R.literals(spark, "AACGAAAG"), R.literals(spark, "CCATCTA"))
     r = run(reads, references.literals(spark, PAIRED), AlignOptions(mode="v", v=0))
@@ -102,7 +148,7 @@ def brute(refs, reads, o):
 
 
 @pytest.mark.parametrize("case", range(8))
-def test_random_against_brute_force(spark, case):
+def test_random_against_brute_force(spark, case, tmp_path):
     rng = random.Random(case)
     refs = ["".join(rng.choice("ACGTACGTACGTN") for _ in range(rng.randint(20, 300))) for _ in range(3)]
     reads = []
@@ -121,6 +167,10 @@ def test_random_against_brute_force(spark, case):
     found = [tuple(x) for x in align(df, ref, o).select("read_id", "fw", "ref_id", "off", "stratum", "penalty").collect()]
     assert len(found) == len(set(found))
     assert set(found) == brute(refs, reads, o)
+    if case in (2, 7):
+        index.build(ref, str(tmp_path / "idx"))
+        found = [tuple(x) for most in (0, 10**6) for x in align(df, index.load(spark, str(tmp_path / "idx")), o, most).select("read_id", "fw", "ref_id", "off", "stratum", "penalty").collect()]
+        assert sorted(found) == sorted([*brute(refs, reads, o)] * 2)
     if case in (1, 6):
         found = [tuple(x) for x in align(df, ref, o, max_broadcast=0).select("read_id", "fw", "ref_id", "off", "stratum", "penalty").collect()]
         assert sorted(found) == sorted(brute(refs, reads, o))

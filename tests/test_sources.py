@@ -1,14 +1,18 @@
 """Read formats, references, index, sinks and scalar functions."""
 
+import bz2
 import gzip
+import random as pyrandom
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandjoin.functions import quality, random, sequence
-from strandjoin.operators import analysis, index, suffixes
+from strandjoin.operators import analysis, index, search, suffixes
 from strandjoin.sources import reads as R
 from strandjoin.sources import references, sinks
+from strandjoin.sources.storage import ranked
 
 
 def rows(df, *cols):
@@ -72,22 +76,79 @@ def test_references_round_trip(spark, tmp_path):
     assert [tuple(r) for r in refs.orderBy("ref_id").select("name", "seq", "len").collect()] == [("a", "N", 1), ("a", "NNNATCTAGNN", 11), ("b", "NNN", 3), ("c", "NNNNNN", 6), ("4", "NNNNNA", 6)]
     assert sorted(tuple(r) for r in references.fragments(refs).collect()) == [(1, 3, 3, 6), (4, 5, 5, 1)]
     path = str(tmp_path / "idx")
-    index.build(refs, path, k=3)
+    index.build(refs, path)
     again = index.load(spark, path)
-    assert sorted(tuple(r) for r in again.collect()) == sorted(tuple(r) for r in refs.collect())
+    assert sorted(tuple(r) for r in index.sequences(again).collect()) == sorted(tuple(r) for r in refs.collect())
     assert [r["line"] for r in index.dump(again, 4).orderBy("ref_id", "line_no").collect()] == [">a", "NNNA", "TCTA", "GNN", ">4", "NNNN", "NA"]
     assert [tuple(r) for r in index.summary(again).orderBy("sequence").collect()] == [(1, "a", 11, 6), (2, "4", 6, 1)]
-    assert {(r["kmer"], r["pos"]) for r in spark.read.parquet(path + "/kmers").collect()} == {("ATC", 3), ("TCT", 4), ("CTA", 5), ("TAG", 6)}
+    assert [r["line"] for r in index.summary_lines(again).orderBy("n").collect()] == ["SA-Sample\t1 in 32", "FTab-Chars\t10", "Sequence-1\ta\t11", "Sequence-2\t4\t6"]
+    got = {tuple(r) for r in again.kmers().filter("ref_id = 1").select(search.kmer_text(F.col("kmer"), search.K), "span", "pos").collect()}
+    assert got == {("ATCTAG"[k:].ljust(search.K, "A"), 6 - k, 3 + k) for k in range(6)}
+    spark.sql(f"DROP TABLE {again.meta['table']}")  # as in another session
+    assert index.load(spark, path).kmers().count() == 7
     with pytest.raises(ValueError):
         index.build(references.literals(spark, "NNN"), str(tmp_path / "none"))
 
 
+def test_fasta_tiles_are_the_rows_cut(spark, tmp_path):
+    rng = pyrandom.Random(3)
+    text = ""
+    for k in range(6):
+        text += f">s{k} x\n" + "\n".join("".join(rng.choice("ACGTNRacgt-5 ") for _ in range(rng.choice([0, 7, 60, 300]))) for _ in range(rng.randint(0, 40))) + "\n"
+    paths = [put(tmp_path, "1.fa", text), put(tmp_path, "2.fa", ">t\n" + "ACGTN" * 50 + "\n>\nA\n")]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # headers and lines in different partitions
+    try:
+        rows = references.fasta(spark, paths)
+        whole = references.tiled(rows, 64, 30)
+        cut = references.fasta_tiles(spark, paths, step=64, right=30)
+        key = lambda d: sorted(tuple(r) for r in d.collect())
+        assert key(cut.tiles) == key(whole.tiles)
+        assert key(cut.refs.filter("len > 0")) == key(whole.refs.filter("len > 0"))
+        want = []
+        for r in rows.collect():
+            ends = 0
+            for m in re.finditer("[ACGT]+", r["seq"]):
+                want.append((r["ref_id"], m.start() - ends, m.start(), m.end() - m.start()))
+                ends = m.end()
+        assert key(references.fragments(cut)) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_places_are_dense_over_many_uneven_partitions(spark, tmp_path):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    try:
+        d = spark.range(300_000).select((F.xxhash64("id") % 50).alias("a"), "id").repartition(13, "a")
+        got = ranked(d, ["a", "id"], "place").collect()
+        assert sorted(r["place"] for r in got) == list(range(300_000))
+        got.sort(key=lambda r: r["place"])
+        assert all((x["a"], x["id"]) < (y["a"], y["id"]) for x, y in zip(got, got[1:], strict=False))
+        fa = put(tmp_path, "c.fa", "".join(f">s{k}\n{'ACGTT' * (k % 90)}\n" for k in range(900)))
+        reads = R.continuous(spark, fa, 12, 2).select("read_id", "name").collect()
+        assert sorted(r["read_id"] for r in reads) == list(range(len(reads))) and len({r["name"] for r in reads}) == len(reads)
+        reads.sort(key=lambda r: r["read_id"])
+        assert [r["name"] for r in reads] == [f"s{k}_{o}" for k in range(900) for o in range(0, 5 * (k % 90) - 11, 2)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_bz2_and_qualities(spark, tmp_path):
+    p = tmp_path / "a.raw.bz2"
+    p.write_bytes(bz2.compress(b"ACGT\nGG\n"))
+    reads = R.raw(spark, str(p))
+    quals = spark.createDataFrame([(0, 0, "40 30 20 10"), (1, 0, "2 3")], "read_id long, mate int, qual string")
+    assert rows(R.with_qualities(reads, quals), "seq", "qual") == [("ACGT", "I?5+"), ("GG", "#$")]
+
+
 def test_suffix_array(spark):
     texts = ["ACGTACGTACGTACGTACGTACGTACGTACGTACGT", "AAAAAAA", "G"]
     sa = suffixes.suffix_array(references.literals(spark, texts), start=4)
     got = [(r["ref_id"], r["pos"]) for r in sa.orderBy("ref_id", "place").collect()]
     assert got == [(i, p) for i, t in enumerate(texts) for p in sorted(range(len(t) + 1), key=lambda k, t=t: t[k:])]
     assert {r["ref_id"]: r["bwt"] for r in suffixes.bwt(sa).collect()}[1] == "AAAAAAA$"
+    assert {(r["ref_id"], r["place"]) for r in suffixes.suffix_sample(sa, 2).collect()} == {(i, p) for i, t in enumerate(texts) for p in range(0, len(t) + 1, 4)}
 
 
 def test_scalars(spark):
