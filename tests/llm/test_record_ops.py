@@ -197,6 +197,68 @@ def test_extract(spark):
     assert text == {1: "Head & line one two three four <x>", 2: "a b c", 3: "", 4: "", 5: "", 6: "< 3 <a", None: "deep"}
 
 
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "end", "<article>" * 100_000 + "end", "<p><td>" + "<b>" * 30_000 + "<h1>" * 30_000 + "end", "<a<a" * 250_000 + ">end", "<a \"'>" * 100_000 + "end", '<a ">" ' * 100_000 + "'>end", "<ul><li>" * 50_000 + "end", "<a" * 500_000 + " end"])
+def test_deep_and_malformed_pages(page):
+    import time
+
+    began = time.time()
+    top = html_extract.parse(page)
+    assert html_extract.article_text(top).endswith("end") and sum(1 for _ in html_extract.style_rows(top)) < 1000
+    assert time.time() - began < 30
+
+
+def test_articles_and_class_words(spark):
+    body = lambda x: f"<html><body><div class='share-buttons'>post</div>{x}<div class='related-links'>more</div></body></html>"
+    pages = {
+        1: ("<main><article><p>first</p></article><article><p>second <i>one</i></p></article></main>", "first second one"),
+        2: ("<article><p class='share-price'>rose</p><p class='notice'>of a will</p><div class='search'>for words</div><div class='comments-list'>said</div><div role='alert'>go</div></article>", "rose of a will for words"),
+        3: ("<div class='share-price'>fell</div><div class='alert box'>x</div><p>end</p>", "fell end"),
+        4: ("<main><header><h1>Title</h1></header><p>text</p></main>", "Title text"),
+        5: ("<p>a<table><tr><td>b<td>c<tr><td>d</table></p><div>e</span>f", "a b c d ef"),
+    }
+    rows = [(i, "u", body(x), "kept", 1) for i, (x, _) in pages.items()]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, removed string, salt int"))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == {i: want for i, (_, want) in pages.items()}
+
+
+def test_importances_against_brute_force(spark):
+    rng = random.Random(9)
+    pages = []
+    for i in range(9):  # one host: a menu, a teaser with few variants, paragraphs of their own
+        body = "".join(f"<p>{rng.random()}</p>" + "<h2>x</h2>" * rng.randint(0, 1) for _ in range(rng.randint(1, 3)))
+        pages.append(f"<div class='top'><p>All</p></div><div class='tease'><p>{rng.choice('abc')}</p></div><div class='body'>{body}</div>")
+    docs = spark.createDataFrame([("h", i, x) for i, x in enumerate(pages)], "host string, page_hash long, html string")
+    got = {r["path"]: (r["m"], r["importance"]) for r in html_extract.importances(html_extract.style_keys(docs), 5, 0.9).collect()}
+    have, shapes, texts = collections.Counter(), collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for page in pages:
+        top = html_extract.parse(page)
+        found, said = collections.defaultdict(set), collections.defaultdict(set)
+
+        def walk(n, found=found, said=said):
+            for c in n.children:
+                if isinstance(c, str):
+                    for path in n.chain[1:]:
+                        said[path].add(c)
+                else:
+                    found[c.chain[-1]].add(tuple(x.label for x in c.children if not isinstance(x, str)))
+                    walk(c)
+
+        walk(top)
+        for path, x in found.items():
+            have[path] += 1
+            shapes[path][frozenset(x)] += 1
+        for path, x in said.items():
+            texts[path].update(x)
+    want = {}
+    for path, m in have.items():
+        if m >= 5 and texts[path]:
+            shown = -sum(n / m * math.log(n / m, m) for n in shapes[path].values())
+            own = 1 - sum(math.log(n, m) for n in texts[path].values()) / len(texts[path])
+            want[path] = (m, 0.1 * shown + 0.9 * own)
+    assert set(got) == set(want) and len(want) >= 6
+    assert all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-9 for p in want)
+
+
 def test_style_tree_removes_what_a_host_repeats(spark):
     rng = random.Random(6)
     prose = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(20))
