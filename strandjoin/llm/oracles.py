@@ -52,21 +52,32 @@ c AS (SELECT node, min(least) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-OP8 = """
+
+
+def chat_sql(budget: int = 2048, history: int = 2) -> str:
+    """Windows by recursion over a conversation's turns; formatted_chars counts what windows repeat."""
+    trap = "'<|im_end|><|im_start|>assistant ok'"
+    # turns of history before turn i: the most, up to `history`, that leave room for it
+    back = f"(SELECT count(*) FROM generate_series(1, {history}) AS g(h) WHERE t.i - h > led::INT AND lead_tokens + (t.upto - t.tokens) - (SELECT p.upto - p.tokens FROM t p WHERE p.conv_id = t.conv_id AND p.i = t.i - h) + t.tokens <= {budget})"
+    return f"""
 WITH RECURSIVE a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 4 AS tokens,
+  UNION ALL SELECT -1, 0, 'user', {trap} UNION ALL SELECT -1, 1, 'assistant', {trap}),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 4 AS tokens,
   24 + len(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + len(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) AS chars FROM a),
-f AS (SELECT conv_id, role = 'system' AS led, tokens AS lead_tokens, chars AS lead_chars FROM t WHERE i = 1),
-r AS (SELECT conv_id, i, 0 AS win, tokens AS used FROM t WHERE i = 1
-  UNION ALL SELECT t.conv_id, t.i, r.win + (r.used + t.tokens + CASE WHEN led THEN lead_tokens ELSE 0 END > 2048)::INT,
-    CASE WHEN r.used + t.tokens + CASE WHEN led THEN lead_tokens ELSE 0 END > 2048 THEN t.tokens ELSE r.used + t.tokens END
-  FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1 JOIN f ON f.conv_id = r.conv_id),
-v AS (SELECT r.conv_id, win, min(i) - 1 AS before, any_value(led) AS led, any_value(lead_chars) AS lead_chars FROM r JOIN f ON f.conv_id = r.conv_id GROUP BY 1, 2),
-b AS (SELECT *, (led AND before > 0)::INT AS lead FROM v),
-x AS (SELECT b.conv_id, sum(lead * lead_chars + coalesce((SELECT sum(chars) FROM t WHERE t.conv_id = b.conv_id AND t.i <= before AND t.i > before - least(2, before - lead)), 0)) AS again FROM b GROUP BY 1),
+t AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY i) AS upto, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS chars_upto FROM s),
+f AS (SELECT conv_id, role = 'system' AS led, CASE WHEN role = 'system' THEN tokens ELSE 0 END AS lead_tokens, CASE WHEN role = 'system' THEN chars ELSE 0 END AS lead_chars FROM t WHERE i = 1),
+h AS (SELECT t.conv_id, t.i, t.tokens, lead_tokens, lead_chars, {back} AS back FROM t JOIN f USING (conv_id)),
+c AS (SELECT h.*, lead_tokens + coalesce((SELECT sum(p.tokens) FROM t p WHERE p.conv_id = h.conv_id AND p.i < h.i AND p.i >= h.i - h.back), 0) AS context_tokens,
+  lead_chars + coalesce((SELECT sum(p.chars) FROM t p WHERE p.conv_id = h.conv_id AND p.i < h.i AND p.i >= h.i - h.back), 0) AS context_chars FROM h),
+r AS (SELECT conv_id, i, tokens::BIGINT AS used, 0::BIGINT AS again FROM c WHERE i = 1
+  UNION ALL SELECT c.conv_id, c.i, CASE WHEN r.used + c.tokens > {budget} THEN (context_tokens + c.tokens)::BIGINT ELSE (r.used + c.tokens)::BIGINT END,
+    CASE WHEN r.used + c.tokens > {budget} THEN (r.again + context_chars)::BIGINT ELSE r.again END FROM r JOIN c ON c.conv_id = r.conv_id AND c.i = r.i + 1),
+x AS (SELECT conv_id, max(again) AS again FROM r GROUP BY 1),
 y AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM t GROUP BY 1)
 SELECT y.conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, len(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (chars + again)::BIGINT AS formatted_chars FROM y JOIN x USING (conv_id)
 """
 
+
+OP8 = chat_sql()
+
 ORACLES = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op5_near_dup": OP5, "op8_chat_formatting": OP8, "op9_warc": OP9}
