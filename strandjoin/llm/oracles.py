@@ -5,20 +5,22 @@ STRIPPED = r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x2
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1 = f"""
-WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('mix' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len({WORDS})::BIGINT AS size, substr(md5(coalesce(text, '')), 1, 16) AS text_hash FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
-w AS (SELECT source, source_size, 3 * source_size AS cap, [5, 2, 1][(rank % 3 + 1)::INT] AS weight FROM s),
+w AS (SELECT source, rank, source_size, 3 * source_size AS cap, [5, 2, 1][(rank % 3 + 1)::INT] AS weight FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap::DOUBLE / weight, source) AS k,
         coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS full_caps,
         sum(weight) OVER (ORDER BY cap::DOUBLE / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS open_weight,
         sum(source_size) OVER ()::BIGINT AS budget FROM w),
 l AS (SELECT full_caps, open_weight, budget FROM o WHERE weight * (budget - full_caps)::DOUBLE / open_weight <= cap ORDER BY k LIMIT 1),
-t AS (SELECT o.source, source_size, CASE WHEN weight * (l.budget - l.full_caps)::DOUBLE / l.open_weight > cap THEN cap::DOUBLE ELSE weight * (l.budget - l.full_caps)::DOUBLE / l.open_weight END AS target FROM o, l),
-p AS (SELECT d.doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, round(target)::BIGINT - start)) + greatest(0, least(size, round(target)::BIGINT - source_size - start)) + greatest(0, least(size, round(target)::BIGINT - 2 * source_size - start)))::BIGINT AS taken
-FROM p
+t AS (SELECT o.source, rank, weight, source_size, l.budget, CASE WHEN weight * (l.budget - l.full_caps)::DOUBLE / l.open_weight > cap THEN cap::DOUBLE ELSE weight * (l.budget - l.full_caps)::DOUBLE / l.open_weight END AS target FROM o, l),
+e AS (SELECT rid, rank, weight, source_size, size, epoch, md5('mix/' || epoch || '/' || coalesce(doc_id::VARCHAR, '') || '/' || text_hash) AS key
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, range(3) AS g(epoch) WHERE size > 0),
+p AS (SELECT *, epoch * source_size + coalesce(sum(size) OVER (PARTITION BY rank, epoch ORDER BY key, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e),
+k AS (SELECT rid, rank, weight, start + q AS begun, least(64, size - q) AS words FROM (SELECT *, unnest(range(0, size, 64)) AS q FROM p)),
+c AS (SELECT rid, words, coalesce(sum(words) OVER (ORDER BY (begun + words)::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
+g AS (SELECT rid, sum(least(words, budget - before)) AS taken FROM c, (SELECT DISTINCT budget FROM l) WHERE before < budget GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN g USING (rid)
 """
 
 OP3 = f"""
