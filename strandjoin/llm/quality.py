@@ -7,7 +7,8 @@ be selected only where that is refuted. The cutoffs of a rule are tested in a fi
 the loosest, each at the full level of its sequence; as p values grow towards the strictest, that is
 the same as testing each at that level. The level is delta / (number of sequences), Bonferroni over
 strata, rules and the pool. Of those refuted, the one that rejects most wins. Each rule may so reject
-at most alpha of the good documents of a stratum, with probability 1 - delta for all at once.
+at most alpha of the good documents of a stratum, with probability 1 - delta for all at once; all
+five rules together may reject five times alpha of them.
 
 A stratum without a cutoff of its own for a rule gets one certified at alpha on all labelled strata
 together, if its own labels reject at most alpha of the good and refute a loss above pooled_alpha;
@@ -16,7 +17,9 @@ labels for that gets no cutoff, which keeps its documents.
 
 Null text has no words and fails the base rule. Empty tables give empty results. A document with
 several labels counts as good if one says so; a null label or id counts for nothing. A null stratum
-is one of its own. Rows that repeat are measured each by itself.
+is one of its own. Rows that repeat are measured each by itself. Very long texts are measured whole.
+The result's own columns take the place of input columns of their names; accepted() returns the
+input's columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,10 +52,10 @@ def _covered(at: Column) -> Column:
     return F.aggregate(places, first, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")))["n"]
 
 
-def measures(docs: DataFrame, text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """docs, without its text unless with_text, with n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words in place of columns so named."""
+def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs, without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words in place of columns so named."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keep = [c for c in docs.columns if (c != text_col or with_text) and c not in MEASURES]
+    keep = [c for c in docs.columns if c != text_col and c not in (*MEASURES, *CUTOFFS)]
     d = docs.select(*keep, text.alias("__text")).withColumn("__words", F.array_remove(F.split("__text", f"{WS}+"), ""))
     d = d.withColumn("__n", F.size("__words"))
     windows = F.when(F.col("__n") > WINDOW, F.transform(F.sequence(F.lit(1), F.col("__n") - WINDOW + 1), lambda i: F.xxhash64(F.slice("__words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
@@ -130,10 +133,8 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", with_text: bool = False) -> DataFrame:
-    """docs, without its text unless with_text, with the measures, base_failed and kept."""
-
-    measured = materialise(measures(docs, text_col, with_text), "quality")
+def _verdicts(measured: DataFrame, labels: DataFrame, alpha: float, delta: float, id_col: str, stratum_col: str) -> DataFrame:
+    """measured with base_failed and kept."""
     cutoffs = select_cutoffs(measured, labels, alpha, delta, id_col, stratum_col)
     by_stratum = cutoffs.groupBy(F.col("stratum").alias("__stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cut"))
     d = _ratios(measured).join(by_stratum, F.col(stratum_col).eqNullSafe(F.col("__stratum")), "left")
@@ -144,3 +145,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.005, delt
     return d.withColumn("base_failed", failed).withColumn("kept", ~failed & ~rejected).drop("__stratum", "__cut", *CUTOFFS)
 
 
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """docs, without its text, with the measures, base_failed and kept in place of columns so named."""
+    own = (*MEASURES, *CUTOFFS, "base_failed", "kept")
+    rows = docs.select(*[c for c in docs.columns if c not in own or c in (id_col, text_col, stratum_col)])
+    return _verdicts(materialise(measures(rows, text_col), "quality"), labels, alpha, delta, id_col, stratum_col)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__row_id"), F.col(stratum_col).alias("__lang"), F.col(text_col).alias("__input"))
+    marks = labels.withColumnRenamed(id_col, "__row_id")
+    measured = materialise(measures(rows, "__input"), "quality")
+    return _verdicts(measured, marks, alpha, delta, "__row_id", "__lang").filter("kept").select("__row.*")

@@ -55,15 +55,19 @@ def test_quality_rules(spark):
     labels += [(None, 1), (1, None), (1, 0), (5000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")
     marks = spark.createDataFrame(labels, "doc_id long, quality int")
-    got = {r["doc_id"]: r for r in quality.quality_rules(docs.drop("kept"), marks).collect()}
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs, marks).collect()}
     assert len(got) == len(rows)
     good = [i for i in range(3000) if i % 10 and i % 3]
     assert sum(not got[i]["kept"] for i in good) <= 0.025 * len(good)
     assert not any(got[i]["kept"] for i in range(0, 3000, 10) if i % 3)
     # the stratum null has too few labels for alpha; xx has none: nothing but the base rule rejects there
     assert got[5001]["kept"] and got[None]["kept"] and not got[5000]["kept"] and got[5000]["base_failed"]
-    assert quality.quality_rules(docs.drop("kept").limit(0), marks).count() == 0
-    assert all(r["kept"] != r["base_failed"] for r in quality.quality_rules(docs.drop("kept"), marks.limit(0)).collect())
+    assert quality.quality_rules(docs.limit(0), marks).count() == 0
+    # the input's own columns, also those that are named as the operator's
+    left = quality.accepted(docs.withColumn("symbol_ratio", F.lit("mine")).withColumn("n_words", F.lit(None)), marks)
+    assert left.columns == [*docs.columns, "symbol_ratio", "n_words"] and {(r["kept"][0], r["symbol_ratio"], r["n_words"]) for r in left.collect()} == {("k", "mine", None)}
+    assert {r["doc_id"] for r in left.collect()} == {i for i, r in got.items() if r["kept"]}
+    assert all(r["kept"] != r["base_failed"] for r in quality.quality_rules(docs, marks.limit(0)).collect())
 
 
 def test_quality_cutoffs_of_small_strata(spark):
@@ -87,6 +91,68 @@ def test_quality_cutoffs_of_small_strata(spark):
     assert pooled == {"big": False, "small": True}
 
 
+def upto_tail(k, n, p):
+    """P(X <= k), exactly."""
+    from fractions import Fraction
+
+    p = Fraction(p).limit_denominator(10**6)
+    return float(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+
+
+def test_selected_cutoffs_against_brute_force(spark):
+    rng = random.Random(31)
+    strata = {"a": 1500, "b": 700, "c": 300, None: 60}
+    rows, labels = [], []
+    for lang, n in strata.items():
+        for i in range(n):
+            good = rng.random() < 0.8
+            noise = rng.choice([0, 0, 0, 1, 2]) if good else rng.choice([2, 6, 20])
+            words = [rng.choice(["ab", "abcde", "abcdefghij"]) for _ in range(40)]
+            lines = [" ".join(words[k : k + 8]) for k in range(0, 40, 8)]
+            if not good and rng.random() < 0.5:
+                lines += [lines[0]] * rng.randint(1, 9)
+            rows.append((len(rows), "\n".join(lines) + " " + "% " * noise, lang))
+            if rng.random() < 0.9:
+                labels.append((rows[-1][0], int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    alpha, delta, pooled = 0.02, 0.05, 0.08
+    got = {(r["stratum"], r["rule"]): (r["cutoff"], r["pooled"]) for r in quality.select_cutoffs(quality.measures(docs), marks, alpha, delta, pooled_alpha=pooled).collect()}
+    said, of = dict(labels), {}
+    for i, text, lang in rows:
+        if i in said:
+            w = text.split()
+            seen = [x for x in text.split("\n") if x.strip()]
+            n = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+            covered = {x for k in range(len(w) - 7) if n[tuple(w[k : k + 8])] > 1 for x in range(k, k + 8)}
+            mean = sum(map(len, w)) / len(w)
+            of[i] = (lang, said[i], {"symbol_ratio": text.count("%") / len(w), "dup_line_ratio": (len(seen) - len(set(seen))) / len(seen), "repeat_ratio": len(covered) / len(w), "long_word_mean": mean, "short_word_mean": -mean})
+    level = delta / (len(quality.CUTOFFS) * (2 * len(strata) + 1))
+    good = lambda s: [x for x in of.values() if x[1] and (s == "all" or x[0] == s)]
+    want = {}
+    for s in strata:
+        for rule, cuts in quality.CUTOFFS.items():
+            options = []
+            for c in cuts:
+                bad = {x: sum(d[2][rule] > c for d in good(x)) for x in (s, "all")}
+                fine = lambda x, p: bad[x] < p * len(good(x)) and upto_tail(bad[x], len(good(x)), p) <= level  # noqa: B023, E731
+                own = fine(s, alpha)
+                if own or (fine("all", alpha) and bad[s] <= alpha * len(good(s)) and fine(s, pooled)):
+                    hit = sum(d[2][rule] > c for d in of.values() if own is False or d[0] == s)
+                    options.append((own, hit, c))
+            if options:
+                own, _, c = max(options)
+                want[s, rule] = (c, not own)
+    assert got == want and len({x[1] for x in want.values()}) == 2
+    # each document's verdict follows
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs, marks, alpha, delta).collect()}
+    cut = {(r["stratum"], r["rule"]): r["cutoff"] for r in quality.select_cutoffs(quality.measures(docs), marks, alpha, delta).collect()}
+    for i, (lang, _, m) in of.items():
+        n_words = len(rows[i][1].split())
+        base = n_words < 20 or m["repeat_ratio"] > 0.3
+        assert kept[i] == (not base and not any(m[r] > cut.get((lang, r), math.inf) for r in quality.CUTOFFS))
+
+
 def test_best_fit_decreasing():
     rng = random.Random(3)
     for _ in range(200):
