@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,34 +9,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import hadoop_path, shared_dir
+
 #: ASCII white space, which is what separates words everywhere in this subpackage; bytes.split() and Java's \s agree on it.
 WS = r"[ \t\n\x0B\f\r]"
-_own_dir: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set, as in local tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="shared-"))
-    return f"file://{_own_dir[0]}"
-
-
 #: Spark then removes shuffle files as soon as what they were made for is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there and lost executors cost nothing. The table goes when the driver ends."""
     spark = df.sparkSession
@@ -48,7 +33,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    p, fs = _path(spark, path)
+    p, fs = hadoop_path(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._own_table = path
@@ -57,10 +42,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Removes the table behind a result of materialise(), once all that was made from it is written."""
-    p, fs = _path(df.sparkSession, df._own_table)
+    p, fs = hadoop_path(df.sparkSession, df._own_table)
     fs.delete(p, True)
 
 
+def few(small: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table that is cheap to read, as the side of a join: broadcast if it has at most so many rows, which are counted."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
+def unique_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether ids tell rows apart: integers, none null, none repeated."""
+    if docs.schema[id_col].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        return False
+    return docs.groupBy(id_col).agg(F.count("*").alias("n")).filter(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

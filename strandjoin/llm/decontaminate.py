@@ -1,17 +1,20 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names (capitalised words within a sentence) and units after a number become typed
-placeholders; words are lower-cased and punctuation goes. Windows of `window` template tokens of the
-benchmark are hash-joined with those of whole documents. Matches on the same diagonal (document
-position minus item position) count only if their slots are consistent: wherever a number, name or
-unit of the item recurs, the document has one value for it. A document is contaminated by an item
-if the windows matched so are at least `similarity` of the item's; it is re-parameterised if a slot
-differs. Windows with fewer than two literal words match nothing, as any table of numbers would.
-
-The benchmark's windows are broadcast while there are at most max_broadcast of them, else windows
-are shuffled by hash. Items under `window` tokens match as a whole, from min_tokens on. Null texts
-match nothing; null ids and repeated rows are rows like any other (repeated items are one). Empty
-tables give empty results.
+placeholders; words are lower-cased and punctuation goes. Windows of `window` template tokens of whole
+documents are hash-joined with the benchmark's, and so are windows of the tokens as they are but for
+their case, by which a copy in capitals or without any matches too. Matches on the same diagonal
+(document position minus item position) count only if their slots are consistent: wherever a number,
+name or unit of the item recurs, the document has one value for it. A document is contaminated by an
+item if the windows matched so are at least `similarity` of the item's; it is re-parameterised if a
+slot differs. Windows with fewer than two literal words match as they are only, as any table of
+numbers would match their template; they count where an item has no others.
+
+The join is Spark's. Before it, documents drop the windows that a bitmap of the benchmark's hashes
+(2^BITS bits, whatever the benchmark's size) excludes. Items under `window` tokens match as a whole
+and as they are, from min_tokens on. Null and empty texts match nothing; null ids and repeated rows
+are rows like any other (repeated items are one); very long texts are many windows. Columns that are
+named as the operator's stay as they are. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import few, materialise, unique_ids
 
 FOUND = "doc_id long, item_id long, n_matched int, n_windows int, similarity double, reparameterised boolean"
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:;|\n]")
@@ -83,7 +86,7 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def windows(t: np.ndarray, w: int) -> np.ndarray:
-    """Hashes of the windows of w template tokens."""
+    """Hashes of the windows of w tokens."""
     n = len(t) - w + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -95,156 +98,148 @@ def windows(t: np.ndarray, w: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-class Items:
-    """The benchmark's windows, sorted by hash."""
-
-    def __init__(self, items: list[tuple[int | None, str]], window: int, min_tokens: int):
-        self.texts, self.n, rows, self.widths = [], [], [], set()
-        for k, (_, text) in enumerate(items):
-            t, own, slot = template(text)
-            w = min(window, len(t))
-            self.texts.append((own, slot, w))
-            good = []
-            if w >= min_tokens:
-                literal = np.convolve(~slot, np.ones(w, int), "valid")
-                good = [p for p, n in enumerate(literal) if n >= 2]
-                hs = windows(t, w)
-                rows += [(int(hs[p]), k, p) for p in good]
-                self.widths.add(w)
-            self.n.append(len(good))
-        self.ids = [i for i, _ in items]
-        rows.sort()
-        self.hash = np.array([r[0] for r in rows], np.uint64)
-        self.item = np.array([r[1] for r in rows], np.int64)
-        self.pos = np.array([r[2] for r in rows], np.int64)
-        self.filter = np.zeros(1 << BITS, bool)
-        self.filter[self.hash & np.uint64((1 << BITS) - 1)] = True
-
-    def probe(self, t: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, item position, document position) of equal windows."""
-        for w in self.widths:
-            h = windows(t, w)
-            at = np.flatnonzero(self.filter[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-            for d, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for j in range(a, b):
-                    if self.texts[self.item[j]][2] == w:
-                        yield int(self.item[j]), int(self.pos[j]), d
-
-
-def consistent(pairs: list[tuple[int, int]], own: np.ndarray, slot: np.ndarray, w: int, doc: np.ndarray) -> tuple[set[int], bool]:
-    """Item positions of the windows whose slots agree on their diagonal; whether a slot differs from the item's."""
-    matched: set[int] = set()
-    differs = False
-    diagonals: dict[int, list[int]] = defaultdict(list)
-    for p, d in pairs:
-        diagonals[d - p].append(p)
-    for shift, places in diagonals.items():
-        value: dict[int, int] = {}
-        broken: set[int] = set()
-        for x in sorted({x for p in places for x in range(p, p + w) if slot[x]}):
-            mine, theirs = int(own[x]), int(doc[x + shift])
-            if value.setdefault(mine, theirs) != theirs:
-                broken.add(x)
-            differs |= mine != theirs
-        matched |= {p for p in places if not broken.intersection(range(p, p + w))}
-    return matched, differs
-
+def literals(slot: np.ndarray, w: int) -> np.ndarray:
+    """How many tokens of each window of w aren't slots."""
+    return np.convolve(~slot, np.ones(w, int), "valid")
 
-def _rows(found: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
 
+ITEM_ROWS = "item long, item_id long, n int, w int, h long, p int, mine array<long>, slot array<boolean>"
+DOC_ROWS = "doc long, w int, h long, d int, theirs array<long>"
+AS_IS = np.uint64(0xD6E8FEB86659FD93)
 
-def _verdict(items: Items, k: int, pairs: list[tuple[int, int]], doc: np.ndarray, similarity: float) -> tuple | None:
-    own, slot, w = items.texts[k]
-    matched, differs = consistent(pairs, own, slot, w, doc)
-    n = items.n[k]
-    return (items.ids[k], len(matched), n, len(matched) / n, differs) if n and len(matched) >= similarity * n else None
 
-
-def _items(benchmark: DataFrame, max_broadcast: int) -> tuple[DataFrame, list[tuple] | None]:
-    """The distinct items, and their rows if they have at most max_broadcast windows."""
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
-    size = b.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # no text has more tokens than that, sentence ends aside
-    return b, [tuple(r) for r in b.orderBy("item_id", "text").collect()] if size <= max_broadcast else None
-
-
-def _matches(items: Items, text: str, similarity: float) -> list[tuple]:
-    t, own, _ = template(text)
-    pairs: dict[int, list] = defaultdict(list)
-    for k, p, at in items.probe(t):
-        pairs[k].append((p, at))
-    return [v for k, found in pairs.items() if (v := _verdict(items, k, found, own, similarity))]
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, similarity: float = 0.8, min_tokens: int = 5, max_broadcast: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, n_matched, n_windows, similarity, reparameterised: a row for each document and item that contaminates it."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    b, rows = _items(benchmark, max_broadcast)
-    if rows is None:
-        return _shuffled(d, b, window, similarity, min_tokens)
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
+def item_windows(items: DataFrame, window: int, min_tokens: int) -> DataFrame:
+    """A row for each window of each item and hash that it is looked up by. items: item (unique), item_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(sent.value, window, min_tokens)
         for batch in batches:
-            out = [(doc, *v) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for v in _matches(items, text.as_py(), similarity)]
-            if out:
-                yield _rows(out)
-
-    return d.mapInArrow(run, FOUND)
-
-
-def _shuffled(d: DataFrame, b: DataFrame, window: int, similarity: float, min_tokens: int) -> DataFrame:
-    """The same for a benchmark of any size: windows are joined by hash, candidates are compared with the texts of both."""
+            rows = []
+            for item, item_id, text in zip(*(batch[c].to_pylist() for c in ("item", "item_id", "text")), strict=True):
+                t, own, slot = template(text)
+                w = min(window, len(t))
+                if w < min_tokens:
+                    continue
+                good = literals(slot, w) >= 2 if w == window else np.zeros(len(t) - w + 1, bool)
+                places = np.flatnonzero(good) if good.any() else np.arange(len(good))
+                for h, at in ((windows(t, w), np.flatnonzero(good)), (windows(own, w) ^ AS_IS, places)):
+                    rows += [(item, item_id, len(places), w, int(h[p].view(np.int64)), p, own[p : p + w].view(np.int64), slot[p : p + w]) for p in at.tolist()]
+            if rows:
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in ITEM_ROWS.split(", ")])
+
+    return items.mapInArrow(run, ITEM_ROWS)
+
+
+def bitmap(items: DataFrame) -> np.ndarray:
+    """Whether a window's hash ends with these BITS bits, of 2^BITS; what comes to the driver has that size."""
+    at = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)) + 1  # Spark's buckets begin with the value 1
+    parts = items.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("at")).groupBy("b").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    out = np.zeros(1 << BITS, bool)
+    for r in parts:
+        bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").astype(bool)
+        out[(r["b"] - 1) * len(bits) :][: len(bits)] = bits
+    return out
+
+
+def doc_windows(docs: DataFrame, widths: list[int], known) -> DataFrame:
+    """The windows of the documents that may be an item's. docs: doc (unique), text; known: a broadcast bitmap."""
+    mask = np.uint64((1 << BITS) - 1)
 
-    def hashes(id_name: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i, text in zip(batch["key"].to_pylist(), batch["text"], strict=True):
-                    t, _, slot = template(text.as_py())
-                    widths = [min(window, len(t))] if id_name == "item" else range(min_tokens, min(window, len(t)) + 1)
-                    h = np.unique(np.concatenate([windows(t, w)[np.convolve(~slot, np.ones(w, int), "valid") >= 2] for w in widths if w >= min_tokens] or [np.zeros(0, np.uint64)]))
-                    if len(h):
-                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(h), pa.int64()), pa.array(h.view(np.int64))], names=[id_name, "h"])
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = known.value
+        for batch in batches:
+            docs, ws, hs, ds, theirs = [], [], [], [], []
+            for doc, text in zip(batch["doc"].to_pylist(), batch["text"], strict=True):
+                t, own, slot = template(text.as_py() or "")
+                for w in widths:
+                    if len(t) < w:
+                        continue
+                    # where no token is a slot a template is the same as the tokens
+                    for h in (windows(t, w), windows(own, w) ^ AS_IS):
+                        at = np.flatnonzero(bits[(h & mask).astype(np.int64)])
+                        if len(at):
+                            docs.append(np.full(len(at), doc))
+                            ws.append(np.full(len(at), w, np.int32))
+                            hs.append(h[at].view(np.int64))
+                            ds.append(at.astype(np.int32))
+                            theirs.append(own[at[:, None] + np.arange(w)].view(np.int64))
+            if docs:
+                n = np.concatenate(ws)
+                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate([x.ravel() for x in theirs])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(n), pa.array(np.concatenate(hs)), pa.array(np.concatenate(ds)), values], names=[x.split()[0] for x in DOC_ROWS.split(", ")])
+
+    return docs.mapInArrow(run, DOC_ROWS)
+
+
+def consistent(found: list[dict]) -> tuple[int, bool]:
+    """How many of an item's windows the document has with slots that agree on their diagonal; whether a slot differs from the item's. found: p, d, mine, theirs, slot of each match."""
+    matched: set[int] = set()
+    differs = False
+    diagonals: dict[int, list[dict]] = defaultdict(list)
+    for m in found:
+        diagonals[m["d"] - m["p"]].append(m)
+    for matches in diagonals.values():
+        slots = {m["p"] + k: (a, b) for m in matches for k, (a, b, s) in enumerate(zip(m["mine"], m["theirs"], m["slot"], strict=True)) if s}
+        value: dict[int, int] = {}
+        broken: set[int] = set()
+        for x in sorted(slots):
+            mine, theirs = slots[x]
+            if value.setdefault(mine, theirs) != theirs:
+                broken.add(x)
+            differs |= mine != theirs
+        matched |= {m["p"] for m in matches if broken.isdisjoint(range(m["p"], m["p"] + len(m["mine"])))}
+    return len(matched), differs
 
-    d = materialise(d.withColumn("key", F.monotonically_increasing_id()), "docs")
-    b = materialise(b.withColumn("key", F.monotonically_increasing_id()), "items")
-    pairs = d.mapInArrow(hashes("doc"), "doc long, h long").join(b.mapInArrow(hashes("item"), "item long, h long"), "h").groupBy("doc", "item").agg(F.count("*").alias("n"))
-    both = pairs.join(d.select(F.col("key").alias("doc"), "doc_id", F.col("text").alias("d_text")), "doc").join(b.select(F.col("key").alias("item"), "item_id", F.col("text").alias("b_text")), "item")
 
+def _verdicts(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
         for batch in batches:
             out = []
-            for doc, item, d_text, b_text in zip(*(batch[c].to_pylist() for c in ("doc_id", "item_id", "d_text", "b_text")), strict=True):
-                items = Items([(item, b_text)], window, min_tokens)
-                t, own, _ = template(d_text)
-                if v := _verdict(items, 0, [(p, at) for _, p, at in items.probe(t)], own, similarity):
-                    out.append((doc, *v))
+            for doc, item_id, n, found in zip(*(batch[c].to_pylist() for c in ("doc", "item_id", "n", "found")), strict=True):
+                matched, differs = consistent(found)
+                if matched >= similarity * n:
+                    out.append((doc, item_id, matched, n, matched / n, differs))
             if out:
-                yield _rows(out)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
 
-    return both.mapInArrow(run, FOUND)
+    return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 5, similarity: float = 0.8, min_tokens: int = 5, max_broadcast: int = 4_000_000, text_col: str = "text") -> DataFrame:
-    """docs without the contaminated rows."""
-    _, rows = _items(benchmark, max_broadcast)
-    if rows is None:  # rows are identified by place, so that null and repeated ids do no harm
-        row = "__row"
-        keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
-        bad = contaminated(keyed, benchmark, window, similarity, min_tokens, max_broadcast, row, text_col).select(F.col("doc_id").alias("__bad")).distinct()
-        return keyed.join(bad, keyed[row] == bad["__bad"], "left_anti").drop(row)
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
-    at = docs.columns.index(text_col)
+def matches(docs: DataFrame, benchmark: DataFrame, window: int, similarity: float, min_tokens: int) -> DataFrame:
+    """FOUND, with docs' key for doc_id. docs: doc (unique), text."""
+    spark = docs.sparkSession
+    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
+    b = materialise(b.withColumn("item", F.monotonically_increasing_id()), "items")
+    items = materialise(item_windows(b, window, min_tokens), "item_windows")
+    widths = [r[0] for r in items.select("w").distinct().collect()]  # window and those under it
+    known = spark.sparkContext.broadcast(bitmap(items))
+    joined = doc_windows(docs, widths, known).join(items, ["h", "w"])
+    pairs = joined.groupBy("doc", "item", "item_id", "n").agg(F.collect_set(F.struct("p", "d", "mine", "theirs", "slot")).alias("found"))
+    # a pair with too few of the item's windows needs no look at its slots
+    pairs = pairs.filter(F.size(F.array_distinct(F.transform("found", lambda m: m["p"]))) >= similarity * F.col("n"))
+    return pairs.select("doc", "item_id", "n", "found").mapInArrow(_verdicts(similarity), FOUND)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, similarity: float = 0.8, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, n_matched, n_windows, similarity, reparameterised: a row for each document and item that contaminates it."""
+    own = unique_ids(docs, id_col)
+    if own:
+        return matches(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), benchmark, window, similarity, min_tokens)
+    # rows are identified by place, so that null and repeated ids do no harm
+    keyed = materialise(docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "decontaminate")
+    found = matches(keyed, benchmark, window, similarity, min_tokens).withColumnRenamed("doc_id", "doc")
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    return found.join(keyed.select("doc", F.col("id").alias("doc_id")), "doc").select(*names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(sent.value, window, min_tokens)
-        for batch in batches:
-            keep = [not _matches(items, text.as_py() or "", similarity) for text in batch.column(at)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 5, similarity: float = 0.8, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the contaminated rows."""
+    row = id_col
+    if not unique_ids(docs, id_col):
+        row = "__row"
+        docs = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+    bad = matches(docs.select(F.col(row).cast("long").alias("doc"), F.col(text_col).alias("text")), benchmark, window, similarity, min_tokens)
+    bad = materialise(bad.select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    out = docs.join(few(bad), docs[row] == bad["__bad"], "left_anti")
+    return out.drop(row) if row == "__row" else out

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WS, materialise, partitions
+from .common import WS, few, materialise, partitions
 
 def word_count(text: Column) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in text."""
@@ -124,11 +124,6 @@ def place(docs: DataFrame, weights: DataFrame | None, share: float, max_epochs:
     return rows, water_fill(sizes, budget, max_epochs), budget
 
 
-def few(sources: DataFrame, most: int = 100_000) -> DataFrame:
-    """sources to be joined, broadcast if they are at most so many."""
-    return F.broadcast(sources) if sources.limit(most + 1).count() <= most else sources
-
-
 def queue(rows: DataFrame, sources: DataFrame, budget: int, max_epochs: int, seed: str, packet: int = 64, prune: bool = True) -> DataFrame:
     """The mix as a stream: row_id, epoch, words, finish (virtual time), before (words before it in the mix).
 

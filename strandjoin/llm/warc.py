@@ -5,15 +5,17 @@ page_id is a response and the others are revisits that refer to it. Reading is s
 are decompressed incrementally, records are framed by Content-Length and digests are verified.
 
 An archive is a partition's rows (archive, part, data); data holds whole members, so a block can be
-read by itself and concatenated blocks are a valid .warc.gz file. Null html is an empty payload, a
-null url or page_id is left out of the record; rows that repeat a page are responses alike. Empty
-tables give empty archives and results.
+read by itself and concatenated blocks are a valid .warc.gz file. Files are read line by line as they
+are inflated. Null html is an empty payload, a null url or page_id is left out of the record; rows
+that repeat a page are responses alike; a payload has to fit in a row. Further columns are ignored,
+whatever their names. Empty tables give empty archives and results.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, null_safe
+from .common import as_bytes, few, materialise, null_safe
 from .runs import key_runs
 
 BLOCK = 4 << 20
@@ -39,7 +41,7 @@ def plan_records(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
     key = lambda a: F.conv(F.substring("digest", a, 15), 16, 10).cast("long")  # noqa: E731  120 of the digest's bits
     runs = key_runs(materialise(light.select(key(1).alias("k1"), key(16).alias("k2"), "page_id", "digest"), "payloads"), ["page_id"], 2, "page_id", "payload_runs", descending=True)
     back = runs.filter("run_big AND NOT page_id <=> run_first").select("page_id", "digest", F.col("run_first").alias("refers_to")).dropDuplicates(["page_id", "digest"])
-    return null_safe(rows, back, ["page_id", "digest"])
+    return null_safe(rows, few(materialise(back, "revisits")), ["page_id", "digest"])
 
 
 def _id(page: int | None, digest: str) -> str:
@@ -136,6 +138,11 @@ def parse(member: bytes) -> Iterator[tuple]:
         yield _page(f.get("warc-record-id")), url, f["warc-type"], _page(f.get("warc-refers-to")), size, base64.b32decode(said).hex(), None if revisit else payload
 
 
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
+
+
 def read_archives(blocks: DataFrame, with_payload: bool = True) -> DataFrame:
     """The response and revisit records of a table with a column data of whole gzip members."""
 
@@ -144,12 +151,6 @@ def read_archives(blocks: DataFrame, with_payload: bool = True) -> DataFrame:
             yield from parse(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-
-        def batch(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
         for b in batches:
             for data in b["data"]:
                 out, size = [], 0
@@ -157,14 +158,54 @@ def read_archives(blocks: DataFrame, with_payload: bool = True) -> DataFrame:
                     out.append(r if with_payload else (*r[:-1], None))
                     size += len(r[-1] or b"") + 200
                     if size > BLOCK:
-                        yield batch(out)
+                        yield _batch(out)
                         out, size = [], 0
                 if out:
-                    yield batch(out)
+                    yield _batch(out)
 
     return blocks.select("data").mapInArrow(run, READ)
 
 
+def records(lines: Iterable[bytes]) -> Iterator[bytes]:
+    """The WARC records of a stream of lines (without their line feeds), one at a time, by Content-Length."""
+    head: list[bytes] = []
+    it = iter(lines)
+    for line in it:
+        if not head and not line.strip():
+            continue
+        head.append(line)
+        if line.strip():
+            continue
+        top = b"\n".join(head) + b"\n"
+        left, block = int(_fields(top[:-4])["content-length"]) + 4, []
+        while left > 0:
+            part = next(it, None)
+            if part is None:
+                raise ValueError("the archive ends within a record")
+            block.append(part)
+            left -= len(part) + 1
+        yield top + b"\n".join(block) + b"\n"
+        head = []
+    if head:
+        raise ValueError("the archive ends within a record")
+
+
 def read_files(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of .warc.gz files, a task for each file."""
-    return read_archives(spark.read.format("binaryFile").load(path).select(F.col("content").alias("data")), with_payload)
+    """The records of .warc.gz files: a task for each file, which the codec inflates as a stream; no more than a record and a batch of lines is held."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((f, x.as_py()) for b in batches for f, x in zip(b["file"].to_pylist(), b["line"], strict=True))
+        for _, own in itertools.groupby(rows, key=lambda r: r[0]):
+            out, size = [], 0
+            for record_bytes in records(x for _, x in own):
+                for r in parse(record_bytes):
+                    out.append(r if with_payload else (*r[:-1], None))
+                    size += len(r[-1] or b"") + 200
+                if size > BLOCK:
+                    yield _batch(out)
+                    out, size = [], 0
+            if out:
+                yield _batch(out)
+
+    return lines.mapInArrow(run, READ)

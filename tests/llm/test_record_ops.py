@@ -255,7 +255,7 @@ def test_chat(spark):
 def test_warc(spark, tmp_path):
     big = "<p>" + "x" * 1200
     rows = [(1, "http://a/é", big), (5, "u", big), (3, None, big), (2, "a\r\nb%0A", "small"), (4, "u", "small"), (6, "u", None), (None, "u", "z"), (7, "u", "x" * 999), (8, "u", "x" * 999), (9, "u", "é" * 40000), (9, "u", "é" * 40000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    pages = spark.createDataFrame([(*r, "mine", b"x") for r in rows], "page_id long, url string, html string, digest string, payload binary").repartition(3)
     archives = warc.write_archives(warc.plan_records(pages))
     got = warc.read_archives(archives).collect()
     assert len(got) == len(rows)
@@ -268,6 +268,16 @@ def test_warc(spark, tmp_path):
     name = tmp_path / "x.warc.gz"
     name.write_bytes(b"".join(r["data"] for r in archives.orderBy("archive", "part").collect()))
     assert warc.read_files(spark, str(name)).count() == len(rows) and gzip.open(name).read().count(b"WARC/1.1\r\n") == len(rows)
+    key = lambda d: sorted((r["page_id"] or 0, r["url"] or "", r["record_type"], r["payload_digest"], bytes(r["payload"] or b"")) for r in d.collect())
+    assert key(warc.read_files(spark, str(name))) == key(warc.read_archives(archives))
+    two = tmp_path / "many"
+    two.mkdir()
+    for k in range(3):  # small files share a task
+        (two / f"{k}.warc.gz").write_bytes(name.read_bytes())
+    assert key(warc.read_files(spark, str(two))) == sorted(key(warc.read_archives(archives)) * 3)
+    (two / "0.warc.gz").write_bytes(gzip.compress(gzip.decompress(name.read_bytes())[:-40]))
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read_files(spark, str(two)).collect()
     good = warc.record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None)
     plain = gzip.decompress(good)
     assert len(list(warc.members([good[:9], good[9:] + good]))) == 2

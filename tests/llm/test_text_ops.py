@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -114,15 +115,91 @@ def test_decontamination(spark):
         (13, "THE QUICK BROWN FOX JUMPS OVER THE LAZY DOG NEAR THE RIVER BANK"),
         (14, "nothing of the kind is here"), (15, None), (16, ""), (None, "x the quick brown fox jumps over the lazy dog near the river bank"), (13, "again the quick brown fox jumps over the lazy dog near the river bank"),
     ]
-    for most in (4_000_000, 0):
-        got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in D.contaminated(docs(spark, rows), bench, max_broadcast=most).collect()}
-        assert got == {(10, 1, False), (11, 1, True), (13, 2, False), (None, 2, False)}
-        left = D.decontaminate(docs(spark, rows), bench, max_broadcast=most)
-        assert sorted(r["doc_id"] for r in left.collect()) == [12, 14, 15, 16] and left.columns == docs(spark, []).columns
+    got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in D.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(10, 1, False), (11, 1, True), (13, 2, False), (None, 2, False)}
+    left = D.decontaminate(docs(spark, rows), bench)
+    assert sorted(r["doc_id"] for r in left.collect()) == [12, 14, 15, 16] and left.columns == docs(spark, []).columns
+    # copies in other case match as they are; so do numbers alone, and items under a window
+    bench = spark.createDataFrame([(1, ITEM), (4, "12 34 56 78 90 11 22"), (5, "Is it so?")], "item_id long, text string")
+    rows = [(1, "x " * 200_000 + ITEM.upper()), (2, ITEM.lower()), (3, "a 12 34 56 78 90 11 22 b"), (4, "a 12 34 56 78 91 11 22 b"), (5, "well, is it so or not"), (6, "is it not so"), (7, "12 35 56 79 90 12 22")]
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 4), (5, 5)}
     assert D.contaminated(docs(spark, []), bench).count() == 0
     assert D.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def contaminated_expected(rows, items, window, similarity):
+    """By comparing every window of every document with every window of every item, on strings."""
+
+    def tokens(text):
+        out, start = [], True
+        for m in re.finditer(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:;|\n]", text):
+            x = m[0]
+            if x in ".!?:;|\n":
+                start = True
+                continue
+            kind = "word"
+            if x[0].isdigit():
+                kind = "number"
+            elif len(x) > 1 and x[0].isupper() and x[1:].islower() and not start:
+                kind = "name"
+            elif x.lower() in D.UNITS and out and out[-1][0] == "number" and not start:
+                kind = "unit"
+            out.append((kind, x.lower()))
+            start = False
+        return out
+
+    shape = lambda t: [k if k != "word" else x for k, x in t]
+    found = set()
+    for i, item in items:
+        a = tokens(item)
+        literal = [sum(k == "word" for k, _ in a[p : p + window]) for p in range(len(a) - window + 1)]
+        good = [p for p, n in enumerate(literal) if n >= 2]
+        for d, text in rows:
+            b = tokens(text)
+            hits = collections.defaultdict(set)
+            for p in good or range(len(literal)):
+                for q in range(len(b) - window + 1):
+                    x, y = a[p : p + window], b[q : q + window]
+                    if (p in good and shape(x) == shape(y)) or [t for _, t in x] == [t for _, t in y]:
+                        hits[q - p].add(p)
+            matched, differs = set(), False
+            for shift, places in hits.items():
+                value, broken = {}, set()
+                for k in sorted({k for p in places for k in range(p, p + window) if a[k][0] != "word"}):
+                    mine, theirs = a[k][1], b[k + shift][1]
+                    differs |= mine != theirs
+                    if value.setdefault(mine, theirs) != theirs:
+                        broken.add(k)
+                matched |= {p for p in places if not broken & set(range(p, p + window))}
+            n = len(good) or len(literal)
+            if n > 0 and len(matched) >= similarity * n:
+                found.add((d, i, len(matched), n, differs))
+    return found
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(41)
+    names, nums, words = ["Ann", "Bob", "Carl"], ["3", "4", "1.5"], ["has", "and", "gives", "kg", "to", "the", "apples"]
+    sentence = lambda: " ".join(rng.choice(rng.choice([names, nums, words, words])) for _ in range(rng.randint(4, 14))) + rng.choice([".", "", "!"])
+    items = [(i, " ".join(sentence() for _ in range(rng.randint(1, 2)))) for i in range(12)]
+    rows = []
+    for k in range(70):
+        text = rng.choice(items)[1]
+        for old, new in ((n, rng.choice(names)) for n in names if rng.random() < 0.5):
+            text = text.replace(old, new)
+        if rng.random() < 0.5:
+            text = text.replace(rng.choice(nums), rng.choice(nums))
+        if rng.random() < 0.3:
+            text = text.upper() if rng.random() < 0.5 else text.lower()
+        rows.append((k, f"{sentence()} {text} {sentence()}"))
+    for window, similarity in ((5, 0.8), (3, 0.5)):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"], r["n_matched"], r["n_windows"], r["reparameterised"]) for r in D.contaminated(docs(spark, rows), bench, window, similarity, min_tokens=window).collect()}
+        want = contaminated_expected(rows, items, window, similarity)
+        assert got == want and len({x[4] for x in want}) == 2
+
+
 def lines_expected(rows, n):
     strip = " \t\n\x0b\x0c\r"
     low = lambda s: s.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
