@@ -11,12 +11,14 @@ symbols on average with a deviation of 4; the bound of 39 is missed by about one
 Documents with equal sets are one class, of which only the first takes part. A bucket's members are
 compared with two pivots, its first member and the one that shares most keys; after the components
 of those links, members of a bucket that are still in different components are compared in blocks
-inside a task, each pair in the first bucket that it shares. So all links between components are
+of at most about a thousand, a pair of blocks in a task, each pair in the first bucket that it shares;
+what leaves a block are the partners under the distance bound. So all links between components are
 found, and no table of all pairs within a group is made. Candidates under the distance bound are
 confirmed on the full sets.
 
 Null text is empty. Rows without doc_id are linked with nothing; rows that repeat a doc_id are one
-node, and each has the component of its own text's class. Empty tables give empty results.
+node, and each has the component of its own text's class. Very long texts are hashed whole. Further
+columns are ignored, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, materialise, partitions
+from .common import as_bytes, map_batches, materialise, partitions, unique_ids
 from .components import components
 from .runs import key_runs
 
@@ -151,11 +153,17 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def texts_of(ids: DataFrame, first: DataFrame, texts: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
-    """doc_id, raw of these documents. Their keys are broadcast while they are at most max_broadcast, which is counted; then no other text moves."""
+def texts_of(ids: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, raw of these documents. A bitmap of their ids' hashes, at most 16 MB, keeps nearly all other texts from being shuffled."""
     keys = materialise(first.select("doc_id", "text_hash").join(ids, "doc_id", "left_semi"), "text_keys")
-    few = keys.count() <= max_broadcast
-    return texts.join(F.broadcast(keys) if few else keys, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "raw")
+    bits = min(27, max(15, (8 * keys.count()).bit_length()))
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # Spark's buckets begin with the value 1
+    maps = keys.select(F.bitmap_bucket_number(place).alias("__b"), F.bitmap_bit_position(place).alias("at")).groupBy("__b").agg(F.bitmap_construct_agg("at").alias("__bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("shiftright", byte, (at % 8).cast("int")) % 2 == 1
+    maybe = texts.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("__b")).filter(held).drop("__b", "__bits")
+    return maybe.join(keys, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "raw")
 
 
 def confirmed(pairs: DataFrame, first: DataFrame, texts: DataFrame, words: int, percent: int, most: int) -> DataFrame:
@@ -271,7 +279,7 @@ def _confirm_runs(words: int, percent: int):
     return run
 
 
-def across(buckets: DataFrame, links: DataFrame, first: DataFrame, texts: DataFrame, words: int, percent: int, chunks: int, most_members: int = 20_000) -> DataFrame:
+def across(buckets: DataFrame, links: DataFrame, first: DataFrame, texts: DataFrame, words: int, percent: int, chunks: int, most_members: int = 1_000) -> DataFrame:
     """Links between members of a bucket that the given links leave in different components.
 
     A bucket is compared in blocks inside a task and only partners leave it, as lists; a bucket over
@@ -323,9 +331,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component; that with the smallest id, or where ids are null or repeat the first row."""
-    ids = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter(F.col(id_col).isNull() | (F.col("n") > 1))
     own = id_col
-    if not ids.isEmpty():
+    if not unique_ids(docs, id_col):
         own = "__row"
         docs = materialise(docs.withColumn(own, F.monotonically_increasing_id()), "near_docs")
     kept = near_duplicates(docs, words, percent, chunks, own, text_col).filter("kept").select(F.col("doc_id").alias("__kept"))
