@@ -6,11 +6,14 @@ minimizer occurrence form a piece. Pieces of minimizers that occur once hold not
 pieces are aggregated to their first occurrence before any text moves, the later ones being covered
 whole; where a minimizer's pieces differ, the suffixes of its distinct pieces are sorted by external
 induction (see induced.py), and of each group of suffixes whose common prefix is at least `length`
-all but the earliest mark their bytes.
+all but the earliest mark their bytes. A minimizer with more than most_pieces distinct pieces, as a
+common phrase with ever other neighbours makes, would be one task's work: its windows are dealt out
+by their own hashes instead, which finds the same bytes.
 
 Windows never cross documents. A document is a distinct pair (doc_id, text), documents are in order
 of doc_id (null first) and then of the text's hash; rows that repeat a pair get the same result. Null
-text is empty. Empty tables give empty results.
+text is empty; very long texts are cut into pieces whole. Further columns are ignored, whatever their
+names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, materialise, null_safe, partitions, release
+from .common import as_bytes, few, map_batches, materialise, null_safe, partitions, release, unique_ids
 from .induced import sorted_suffixes
 from .runs import key_runs
 
@@ -182,7 +185,25 @@ def _fetch(length: int):
     return of
 
 
-def removed_spans(docs: DataFrame, length: int = 100, gram: int = 32, memory: int = 64 << 20) -> DataFrame:
+def _window_rows(length: int):
+    """A row for each window of each piece, by its hash."""
+
+    def of(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        docs, starts, keys = [], [], []
+        for doc, start, piece in zip(b["doc"].to_pylist(), b["start"].to_pylist(), b["piece"].to_pylist(), strict=True):
+            n = len(piece) - length + 1
+            docs.append(np.full(n, doc))
+            starts.append(np.arange(start, start + n, dtype=np.int32))
+            keys += [xxhash.xxh3_128_digest(piece[k : k + length]) for k in range(n)]
+        if not keys:
+            return None
+        k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts))], names=["k1", "k2", "doc", "start"])
+
+    return of
+
+
+def removed_spans(docs: DataFrame, length: int = 100, gram: int = 32, memory: int = 64 << 20, most_pieces: int = 20_000) -> DataFrame:
     """doc, spans (sorted, disjoint [a, b) of bytes) of the documents that lose bytes. docs: doc (long, unique, in order), raw."""
     spark = docs.sparkSession
     cut = docs.select("doc", "raw").mapInArrow(_cut(length, gram), PIECES)
@@ -195,12 +216,24 @@ def removed_spans(docs: DataFrame, length: int = 100, gram: int = 32, memory: in
     later = known.filter("run_first <> at").select("doc", F.col("start").alias("a"), (F.col("start") + F.col("runs") + length - 1).alias("b"))
     distinct = known.filter("run_first = at").select("k1", F.lit(0).cast("long").alias("k2"), "doc", "start", "runs")
     differ = key_runs(distinct, ["doc", "start"], 2, name="differ", only_big=True)
+    hot = materialise(differ.groupBy("k1").agg(F.count("*").alias("n")).filter(F.col("n") > most_pieces).select("k1"), "hot_minimizers")
+    any_hot = not hot.isEmpty()
     want = differ.groupBy("doc").agg(F.collect_list(F.struct("k1", "start", "runs")).alias("want"))
     texts = map_batches(docs.select("doc", "raw").join(want, "doc"), _fetch(length), "k1 long, doc long, start int, piece binary")
-    shards = texts.repartition(partitions(spark), "k1").sortWithinPartitions("k1", "doc", "start")
-    sorted_out = shards.mapInArrow(_sort_shard(length, memory), "doc long, a int, b int")
-    both = later.unionByName(sorted_out).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
-    return both
+    if any_hot:
+        texts = materialise(texts, "piece_texts")
+    cool = texts.join(few(hot), "k1", "left_anti") if any_hot else texts
+    shards = cool.repartition(partitions(spark), "k1").sortWithinPartitions("k1", "doc", "start")
+    both = later.unionByName(shards.mapInArrow(_sort_shard(length, memory), "doc long, a int, b int"))
+    if any_hot:
+        windows = map_batches(texts.join(few(hot), "k1", "left_semi").select("doc", "start", "piece"), _window_rows(length), "k1 long, k2 long, doc long, start int")
+        seen = key_runs(windows.withColumn("at", F.struct("doc", "start")), ["doc", "start"], 2, "at", "hot_windows", only_big=True)
+        again = seen.filter("run_first <> at").select("doc", "start")
+        # neighbouring windows are one span
+        order = Window.partitionBy("doc").orderBy("start")
+        again = again.withColumn("new", (F.col("start") - F.lag("start").over(order) > length).cast("int")).withColumn("g", F.sum(F.coalesce("new", F.lit(0))).over(order))
+        both = both.unionByName(again.groupBy("doc", "g").agg(F.min("start").alias("a"), (F.max("start") + length).cast("int").alias("b")).select("doc", "a", "b"))
+    return both.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
 
 
 def _apply(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -228,18 +261,17 @@ def _apply(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b["doc_id"], *longs, pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 32, memory: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 32, memory: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", most_pieces: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of docs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), as_bytes(text).alias("raw"))
-    ids = keyed.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
-    if ids.isEmpty():
+    unique = unique_ids(docs, id_col)
+    if unique:
         own = keyed.select("doc_id", F.col("doc_id").alias("doc"), "raw")
     else:  # places in order of (doc_id, text) stand in for the ids
         order = keyed.select("doc_id", "text_hash").distinct()
         order = order.repartitionByRange(partitions(docs.sparkSession), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
         order = materialise(order.withColumn("doc", F.monotonically_increasing_id()), "order")
         own = null_safe(keyed, order, ["doc_id", "text_hash"]).select("doc_id", "doc", "raw")
-    once = own if ids.isEmpty() else own.dropDuplicates(["doc"])
-    marks = removed_spans(once, length, gram, memory)
+    marks = removed_spans(own if unique else own.dropDuplicates(["doc"]), length, gram, memory, most_pieces)
     return map_batches(own.join(marks, "doc", "left"), _apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
