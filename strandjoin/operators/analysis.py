@@ -102,13 +102,22 @@ def tabbed(reads: DataFrame) -> DataFrame:
     return d.select("read_id", F.concat_ws("\t", name, F.array_join(fields, "\t")).alias("line"))
 
 
+def placements(reads: DataFrame, aligned: DataFrame, unaligned: DataFrame, maxed: DataFrame) -> DataFrame:
+    """read_id, in_reads, aligned, unaligned, maxed (whether it is there) and places, in how many of the three, for every read seen anywhere."""
+    at = {"in_reads": reads, "aligned": aligned, "unaligned": unaligned, "maxed": maxed}
+    seen = None
+    for name, d in at.items():
+        one = d.select("read_id", F.lit(name).alias("place"))
+        seen = one if seen is None else seen.unionByName(one)
+    there = {name: F.max((F.col("place") == name).cast("int")) for name in at}
+    d = seen.groupBy("read_id").agg(*[c.alias(name) for name, c in there.items()])
+    places = (F.col("aligned") + F.col("unaligned") + F.col("maxed")).cast("long").alias("places")
+    return d.select("read_id", places, *[(F.col(name) == 1).alias(name) for name in at])
+
+
 def reconcile(reads: DataFrame, aligned: DataFrame, unaligned: DataFrame, maxed: DataFrame) -> DataFrame:
-    """read_id, places, in_reads for every read that isn't in exactly one of the three, or is in one and not among the reads."""
-    one = lambda d: d.select("read_id").distinct()
-    seen = one(aligned).unionByName(one(unaligned)).unionByName(one(maxed)).groupBy("read_id").agg(F.count("*").alias("places"))
-    d = one(reads).withColumn("in_reads", F.lit(True)).join(seen, "read_id", "full")
-    d = d.select("read_id", F.coalesce("places", F.lit(0).cast("long")).alias("places"), F.coalesce("in_reads", F.lit(False)).alias("in_reads"))
-    return d.filter("places <> 1 OR NOT in_reads")
+    """Of placements the reads that aren't in exactly one of the three, or are in one and not among the reads."""
+    return placements(reads, aligned, unaligned, maxed).filter("places <> 1 OR NOT in_reads")
 
 
 def restored(hits: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..aligner import run
 from ..functions import quality, random, sequence
 from ..operators import analysis, index, pairs, policy, suffixes
-from ..operators.search import align, kmer_text
+from ..operators.search import K, align, kmer_text
 from ..options import AlignOptions
 from ..sources import reads as read_sources
 from ..sources import references, sinks
@@ -162,11 +162,72 @@ def suffix_array(spark, sf_dir):
     return suffixes.suffix_array(tables.item_refs(spark, sf_dir))
 
 
-@query()
+_SUFFIXES = f"(SELECT item_id AS ref_id, dna, o, row_number() OVER (PARTITION BY item_id ORDER BY substr(dna, o::INT + 1)) - 1 AS place FROM (SELECT item_id, {sql.DNA} AS dna, unnest(range(len({sql.DNA}) + 1)) AS o FROM benchmark))"
+
+
+@query(f"SELECT ref_id, place::BIGINT AS place, o::BIGINT AS pos FROM {_SUFFIXES} WHERE place % 32 = 0")
+def sa_sample(spark, sf_dir):
+    return suffixes.suffix_sample(suffixes.suffix_array(tables.item_refs(spark, sf_dir)), 5)
+
+
+@query(f"SELECT ref_id, string_agg(CASE WHEN o = 0 THEN '$' ELSE substr(dna, o::INT, 1) END, '' ORDER BY place) AS bwt FROM {_SUFFIXES} GROUP BY 1")
 def bwt(spark, sf_dir):
     return suffixes.bwt(suffixes.suffix_array(tables.item_refs(spark, sf_dir)))
 
 
+@query(f"""WITH {sql.REFS}, k AS (SELECT ref_id, o AS pos, split_part(substr(seq, o::INT + 1, 14), 'N', 1) AS s FROM (SELECT ref_id, seq, unnest(range(len(seq))) AS o FROM refs))
+SELECT rpad(s, 14, 'A') AS kmer, len(s)::BIGINT AS span, count(*)::BIGINT AS n, min(ref_id * 1000000 + pos)::BIGINT AS first FROM k WHERE s <> '' GROUP BY 1, 2""")
+def idx_kmers(spark, sf_dir):
+    """The stored k-mers, with how many places each has and the first of them."""
+    d = tables.index(spark, sf_dir).kmers().groupBy("kmer", "span").agg(F.count("*").alias("n"), F.min(F.col("ref_id") * 1_000_000 + F.col("pos")).alias("first"))
+    return d.select(kmer_text(F.col("kmer"), K).alias("kmer"), F.col("span").cast("long").alias("span"), "n", "first")
+
+
+@query(f"WITH {sql.REFS} SELECT ref_id, md5(seq) AS seq, len(seq)::BIGINT AS len FROM refs")
+def idx_sequences(spark, sf_dir):
+    return index.sequences(tables.index(spark, sf_dir)).select("ref_id", F.md5("seq").alias("seq"), "len")
+
+
+@query(f"""WITH {sql.REFS}, s AS (SELECT row_number() OVER (ORDER BY ref_id) AS n, ref_id, len(seq) AS len FROM refs WHERE regexp_matches(seq, '[ACGT]'))
+SELECT 'SA-Sample' || chr(9) || '1 in 32' AS line UNION ALL SELECT 'FTab-Chars' || chr(9) || '10' UNION ALL SELECT 'Sequence-' || n || chr(9) || ref_id || chr(9) || len FROM s""")
+def idx_inspect(spark, sf_dir):
+    return index.summary_lines(tables.index(spark, sf_dir)).select("line")
+
+
+# --- read sources, from files written of the tables' reads
+
+
+def _read_back(name: str, kind: str, oracle: str, make, mates: bool = False, columns: tuple[str, ...] = ("read_id", "mate", "name", "seq", "qual")) -> None:
+    def f(spark, sf_dir):
+        d = make(spark, tables.read_file(spark, sf_dir, kind))
+        return d.select(*[F.col(c).cast("long").alias(c) if c in ("read_id", "mate") else c for c in columns])
+
+    f.__name__ = name
+    query(oracle)(f)
+
+
+_IN_ORDER = f"WITH {sql.READS}, n AS (SELECT *, row_number() OVER (ORDER BY read_id) - 1 AS i FROM reads)"
+_PAIRS_IN_ORDER = f"WITH {sql.mates('fr')}, n AS (SELECT *, dense_rank() OVER (ORDER BY read_id) - 1 AS i FROM reads)"
+_TEXT = "regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')"
+_read_back("fastq_reads", "fastq", f"{_IN_ORDER} SELECT i AS read_id, 0::BIGINT AS mate, 'r' || read_id AS name, seq, qual FROM n", read_sources.fastq)
+_read_back("fasta_reads", "fasta", f"{_IN_ORDER} SELECT i AS read_id, 0::BIGINT AS mate, 'r' || read_id AS name, seq, repeat('I', 36) AS qual FROM n", read_sources.fasta)
+_read_back("raw_reads", "raw", f"{_IN_ORDER} SELECT i AS read_id, 0::BIGINT AS mate, i::VARCHAR AS name, seq, repeat('I', 36) AS qual FROM n", read_sources.raw)
+_read_back("tabbed_reads", "tabbed", f"{_PAIRS_IN_ORDER} SELECT i AS read_id, mate::BIGINT AS mate, 'p' || read_id AS name, seq, qual FROM n", read_sources.tabbed)
+_read_back("interleaved_reads", "interleaved", f"{_PAIRS_IN_ORDER} SELECT i AS read_id, mate::BIGINT AS mate, 'p' || read_id || '/' || mate AS name, seq, qual FROM n", lambda s, p: read_sources.fastq(s, p, interleaved=True))
+_read_back("mate_files", "mate", f"{_PAIRS_IN_ORDER} SELECT i AS read_id, mate::BIGINT AS mate, 'p' || read_id AS name, seq, qual FROM n", lambda s, p: read_sources.pairs(read_sources.fastq(s, f"{p}/1"), read_sources.fastq(s, f"{p}/2")))
+_read_back("concatenated_reads", "raw", f"{_IN_ORDER}, t AS (SELECT count(*) AS n FROM n) SELECT i + k * t.n AS read_id, 0::BIGINT AS mate, seq FROM n, t, range(2) AS g(k)", lambda s, p: read_sources.union([read_sources.raw(s, p), read_sources.raw(s, p)]), columns=("read_id", "mate", "seq"))
+_read_back(
+    "external_quals", "raw", f"{_IN_ORDER} SELECT i AS read_id, 0::BIGINT AS mate, seq, repeat(chr((33 + i % 41)::INT), 36) AS qual FROM n",
+    lambda s, p: read_sources.with_qualities(read_sources.raw(s, p), (r := read_sources.raw(s, p)).select("read_id", "mate", F.array_join(F.array_repeat((F.col("read_id") % 41).cast("string"), 36), " ").alias("qual"))), columns=("read_id", "mate", "seq", "qual"),
+)
+_read_back(
+    "continuous_reads", "sequences",
+    f"WITH s AS (SELECT doc_id, {sql.DNA} AS seq FROM documents), w AS (SELECT doc_id, o, substr(seq, o::INT + 1, 40) AS seq FROM (SELECT doc_id, seq, unnest(range(0, len(seq) - 39, 25)) AS o FROM s WHERE len(seq) >= 40)) SELECT row_number() OVER (ORDER BY doc_id, o) - 1 AS read_id, doc_id || '_' || o AS name, seq FROM w",
+    lambda s, p: read_sources.continuous(s, p, 40, 25), columns=("read_id", "name", "seq"),
+)
+_read_back("fasta_references", "sequences", f"WITH s AS (SELECT doc_id, {sql.DNA} AS seq FROM documents) SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ref_id, doc_id || ' prose' AS name, md5(seq) AS seq, len(seq)::BIGINT AS len FROM s", lambda s, p: index.sequences(references.fasta_tiles(s, p)).select("ref_id", "name", F.md5("seq").alias("seq"), "len"), columns=("ref_id", "name", "seq", "len"))
+
+
 # --- alignment
 
 
@@ -230,13 +291,65 @@ _pairs("pairs_ff", "ff")
 _pairs("pairs_contain", "fr", contain=True, low=30, high=120)
 
 
-@query(f"""{sql.hits("v", 1, sql.mates("fr"))}, n AS (SELECT *, count(*) OVER (PARTITION BY read_id, mate) AS n FROM h),
+def _oriented_pairs(name: str, orientation: str, first: int, **strand) -> None:
+    opts = AlignOptions(mode="v", v=1, every=True, orientation=orientation, **strand)
+
+    def f(spark, sf_dir):
+        found = pairs.concordant(align(tables.turned_mates(spark, sf_dir, orientation), tables.index(spark, sf_dir), opts), opts)
+        return found.select("read_id", "ref_id", F.col("m1_off").alias("off1"), F.col("m2_off").alias("off2"), F.col("first").cast("long").alias("first"))
+
+    f.__name__ = name
+    query(f"{sql.pairs(orientation, make=sql.turned_mates)} SELECT read_id, ref_id, off1, off2, first::BIGINT AS first FROM pairs WHERE first = {first}")(f)
+
+
+_oriented_pairs("pairs_norc", "fr", 1, reverse=False)
+_oriented_pairs("pairs_nofw", "fr", 2, forward=False)
+_oriented_pairs("pairs_ff_nofw", "ff", 2, forward=False)
+
+_MIXED = AlignOptions(mode="v", v=1, every=True, report_singles=True)
+_MIXED_PAIRS = sql.pairs("fr", make=lambda o: sql.mixed())
+
+
+@query(f"""{_MIXED_PAIRS}, u AS (SELECT read_id, mate, {sql.STRAND}, ref_id, off FROM h WHERE mate = 0 OR read_id NOT IN (SELECT read_id FROM pairs))
+SELECT read_id, mate::BIGINT AS mate, strand, ref_id, off::BIGINT AS off FROM u""")
+def singletons(spark, sf_dir):
+    """Unpaired reads and, where no pair is found, single placements of mates, in one run."""
+    r = run(tables.mixed(spark, sf_dir), tables.index(spark, sf_dir), _MIXED)
+    return r.hits.select("read_id", F.col("mate").cast("long").alias("mate"), F.when(F.col("fw"), "+").otherwise("-").alias("strand"), "ref_id", "off")
+
+
+@query(f"""{_MIXED_PAIRS} SELECT 'p' || p.read_id AS qname, (CASE WHEN s.m = 1 THEN 67 ELSE 131 END + CASE WHEN (s.m = 1) = (first = 1) THEN 32 ELSE 16 END)::BIGINT AS flag, p.ref_id::VARCHAR AS ref,
+  (CASE WHEN s.m = 1 THEN off1 ELSE off2 END + 1)::BIGINT AS pos, (CASE WHEN s.m = 1 THEN off2 ELSE off1 END + 1)::BIGINT AS pnext, (CASE WHEN (s.m = 1) = (first = 1) THEN insert ELSE -insert END)::BIGINT AS tlen
+FROM pairs p, (SELECT unnest([1, 2]) AS m) s""")
+def sam_pairs(spark, sf_dir):
+    r = run(tables.mixed(spark, sf_dir), tables.index(spark, sf_dir), _MIXED)
+    return sinks.sam_records(r.mates).select("qname", F.col("flag").cast("long").alias("flag"), "ref", "pos", F.col("pnext").cast("long").alias("pnext"), F.col("tlen").cast("long").alias("tlen"))
+
+
+@query(f"""{_MIXED_PAIRS}, ok AS (SELECT read_id FROM pairs UNION SELECT read_id FROM h WHERE mate = 0)
+SELECT (CASE WHEN mate = 0 THEN 'r' ELSE 'p' END) || read_id || chr(9) || [4, 77, 141][mate + 1] || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || '*' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || seq || chr(9) || qual || chr(9) || 'XM:i:0' AS line
+FROM reads WHERE read_id NOT IN (SELECT read_id FROM ok)""")
+def sam_unaligned(spark, sf_dir):
+    reads = tables.mixed(spark, sf_dir)
+    r = run(reads, tables.index(spark, sf_dir), AlignOptions(mode="v", v=1, every=True))
+    return sinks.sam_lines(sinks.sam_unaligned(reads, r.states)).select("line")
+
+
+@query(f"""{sql.pairs("fr")}, n AS (SELECT read_id, count(*) AS n, min(off1) AS off1, min(off2) AS off2 FROM pairs GROUP BY 1) SELECT read_id, off1::BIGINT AS off1, off2::BIGINT AS off2 FROM n WHERE n = 1""")
+def pairs_m1(spark, sf_dir):
+    """-m counts pairs."""
+    opts = AlignOptions(mode="v", v=1, m=1)
+    found = pairs.report_pairs(pairs.concordant(align(tables.mates(spark, sf_dir), tables.index(spark, sf_dir), opts), opts), opts)
+    return found.select("read_id", F.col("m1_off").alias("off1"), F.col("m2_off").alias("off2"))
+
+
+@query(f"""{sql.hits("v", 1, sql.varied_mates())}, n AS (SELECT *, count(*) OVER (PARTITION BY read_id, mate) AS n FROM h),
 j AS (SELECT (CASE WHEN a.fw THEN 'F' ELSE 'R' END) || (CASE WHEN b.fw THEN 'F' ELSE 'R' END) AS orientation, CASE WHEN b.off - a.off > 0 THEN b.off - a.off + 36 ELSE b.off - a.off - 36 END AS length
   FROM n a JOIN n b ON a.read_id = b.read_id AND a.ref_id = b.ref_id AND a.mate = 1 AND b.mate = 2 AND a.n = 1 AND b.n = 1)
 SELECT orientation, (trunc((length + 5.0) / 10) * 10)::BIGINT AS length, count(*)::BIGINT AS n FROM j GROUP BY 1, 2""")
 def insert_histogram(spark, sf_dir):
     opts = AlignOptions(mode="v", v=1, m=1)
-    return analysis.fragment_lengths(align(tables.mates(spark, sf_dir), tables.index(spark, sf_dir), opts), 10, opts)
+    return analysis.fragment_lengths(align(tables.varied_mates(spark, sf_dir), tables.index(spark, sf_dir), opts), 10, opts)
 
 
 # --- output
@@ -285,12 +398,23 @@ def run_counters(spark, sf_dir):
     return r.counters().select("processed", "aligned", "failed", "suppressed", "reported")
 
 
-@query(f"{_STATES} SELECT read_id, 1::BIGINT AS places FROM st WHERE false")
+@query(f"{_STATES} SELECT read_id, 1::BIGINT AS places, true AS in_reads, status = 'al' AS aligned, status = 'un' AS unaligned, status = 'max' AS maxed FROM st")
+def placements(spark, sf_dir):
+    """Where each read went: every read is in one of the three places."""
+    reads = tables.reads(spark, sf_dir)
+    found = align(reads, tables.index(spark, sf_dir), _MAXED)
+    r = policy.route(reads, policy.status(reads, found, _MAXED))
+    return analysis.placements(reads, r["al"], r["un"], r["max"])
+
+
+@query(f"{_STATES} SELECT read_id, CASE WHEN status = 'max' THEN 0 ELSE 2 END::BIGINT AS places FROM st WHERE status <> 'un' AND (status = 'max' OR read_id % 5 = 0)")
 def reconcile(spark, sf_dir):
+    """What the check finds where maxed reads are lost and some aligned ones are also among the unaligned."""
     reads = tables.reads(spark, sf_dir)
     found = align(reads, tables.index(spark, sf_dir), _MAXED)
     r = policy.route(reads, policy.status(reads, found, _MAXED))
-    return analysis.reconcile(reads, r["al"], r["un"], r["max"]).select("read_id", "places")
+    twice = r["un"].unionByName(r["al"].filter("read_id % 5 = 0"))
+    return analysis.reconcile(reads, r["al"], twice, r["max"].limit(0)).select("read_id", "places")
 
 
 @query(f"{sql.hits('v', 2)} SELECT read_id, fw, ref_id, off, md5(w) AS rebuilt FROM h")
@@ -325,6 +449,16 @@ def mapability(spark, sf_dir):
     return m.groupBy("ref_id").agg(F.sum(F.col("mapable").cast("long")).alias("mapable"), F.sum((F.col("off") <= F.col("len") - 36).cast("long")).alias("windows"), F.sum("covering").alias("covered"))
 
 
+@query(f"""{_WINDOWS}, c AS (SELECT *, least(w, {sql.rc("w")}) AS canon, w = {sql.rc("w")} AS pal FROM k WHERE NOT contains(w, 'N')), n AS (SELECT canon FROM c GROUP BY 1 HAVING sum(CASE WHEN pal THEN 2 ELSE 1 END) = 1),
+m AS (SELECT refs.ref_id, g.o AS off, coalesce(u.ok, false) AS ok FROM (SELECT ref_id, unnest(range(len(seq))) AS o FROM refs) g JOIN refs USING (ref_id) LEFT JOIN (SELECT c.ref_id, c.off, true AS ok FROM c JOIN n USING (canon)) u ON u.ref_id = g.ref_id AND u.off = g.o),
+s AS (SELECT ref_id, off, (sum(ok::INT) OVER (PARTITION BY ref_id ORDER BY off ROWS BETWEEN 35 PRECEDING AND CURRENT ROW))::BIGINT AS covering FROM m)
+SELECT ref_id, md5(string_agg(chr((covering + 64)::INT), '' ORDER BY off)) AS symbols FROM s GROUP BY 1""")
+def mapability_symbols(spark, sf_dir):
+    """The symbol of each base, as one digest for each reference."""
+    m = analysis.mapability(tables.refs(spark, sf_dir), 36).groupBy("ref_id").agg(F.array_sort(F.collect_list(F.struct("off", "symbol"))).alias("s"))
+    return m.select("ref_id", F.md5(F.array_join(F.transform("s", lambda x: x["symbol"]), "")).alias("symbols"))
+
+
 @query(f"""{_WINDOWS}, f AS (SELECT ref_id, off, translate(w, 'C', 'T') AS form, true AS own FROM k WHERE NOT contains(w, 'N') UNION ALL SELECT ref_id, off, translate({sql.rc("w")}, 'C', 'T'), false FROM k WHERE NOT contains(w, 'N')),
 n AS (SELECT form FROM f GROUP BY 1 HAVING count(*) = 1)
 SELECT ref_id, count(*)::BIGINT AS windows, count(*) FILTER (n.form IS NOT NULL)::BIGINT AS mapable FROM f LEFT JOIN n USING (form) WHERE own GROUP BY 1""")

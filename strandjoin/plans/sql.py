@@ -28,6 +28,27 @@ def mates(orientation: str) -> str:
     return f"{ITEMS}, sides AS ({side(1, 0, t1)} UNION ALL {side(2, 54, t2)}), reads AS (SELECT * FROM sides WHERE read_id >= 0 AND read_id IN (SELECT read_id FROM sides GROUP BY 1 HAVING count(*) = 2))"
 
 
+def varied_mates() -> str:
+    """Mates whose inserts differ: the second lies 18 to 126 bases behind the first."""
+    return f"{ITEMS}, sides AS (SELECT item_id * 100000 + o AS read_id, 1 AS mate, base AS seq, {QUAL} AS qual FROM win UNION ALL SELECT item_id * 100000 + o - 18 * s AS read_id, 2, {rc('base')}, {QUAL} FROM win, range(1, 8) AS g(s) WHERE (item_id * 100000 + o - 18 * s) // 18 % 7 + 1 = s), reads AS (SELECT * FROM sides WHERE read_id >= 0 AND read_id IN (SELECT read_id FROM sides GROUP BY 1 HAVING count(*) = 2))"
+
+
+def turned_mates(orientation: str) -> str:
+    """mates, every other pair as seen from the other strand: the mates are swapped, and where both lie on one strand reversed."""
+    other = "seq" if orientation != "ff" else rc("seq")
+    swap = "read_id // 18 % 2 = 1"
+    text = mates(orientation)
+    head, tail = text.rsplit(", reads AS (", 1)
+    return f"{head}, straight AS ({tail}, reads AS (SELECT read_id, CASE WHEN {swap} THEN 3 - mate ELSE mate END AS mate, CASE WHEN {swap} THEN {other} ELSE seq END AS seq, qual FROM straight)"
+
+
+def mixed() -> str:
+    """Pairs of fr, of which every third has a second mate that isn't in the references, and single reads."""
+    head, tail = mates("fr").rsplit(", reads AS (", 1)
+    kinds = READS[len(ITEMS) :].replace(", reads AS (", ", alone AS (", 1)
+    return f"{head}, straight AS ({tail}{kinds}, reads AS (SELECT read_id, mate, CASE WHEN mate = 2 AND read_id // 18 % 3 = 0 THEN repeat('ACGTTGCAA', 4) ELSE seq END AS seq, qual FROM straight UNION ALL SELECT read_id + 1, 0, seq, qual FROM alone)"
+
+
 def hits(mode: str, budget: int, reads: str = READS, seed: int = 28, most: int = 70, forward: bool = True, reverse: bool = True, rounding: bool = True) -> str:
     """CTEs up to h (read_id, mate, fw, ref_id, off, seq, qual, w, stratum, penalty, mms) for reads of 36 bases."""
     n = 36 if mode == "v" else seed
@@ -53,11 +74,11 @@ STRAND = "CASE WHEN fw THEN '+' ELSE '-' END AS strand"
 HIT_COLUMNS = f"read_id, {STRAND}, ref_id, off, stratum, penalty, mms"
 
 
-def pairs(orientation: str, contain: bool = False, low: int = 0, high: int = 250, v: int = 1) -> str:
+def pairs(orientation: str, contain: bool = False, low: int = 0, high: int = 250, v: int = 1, make=mates) -> str:
     f1, f2 = {"fr": (True, False), "rf": (False, True), "ff": (True, True)}[orientation]
     le = "<=" if contain else "<"
     inside = "" if contain else " AND insert > 36"
-    return f"""{hits("v", v, mates(orientation))}, j AS (SELECT a.read_id, a.ref_id, a.off AS off1, b.off AS off2,
+    return f"""{hits("v", v, make(orientation))}, j AS (SELECT a.read_id, a.ref_id, a.off AS off1, b.off AS off2,
   CASE WHEN a.fw = {f1} AND b.fw = {f2} AND a.off {le} b.off THEN 1 WHEN b.fw <> {f2} AND a.fw <> {f1} AND b.off {le} a.off THEN 2 END AS first
   FROM h a JOIN h b ON a.read_id = b.read_id AND a.ref_id = b.ref_id AND a.mate = 1 AND b.mate = 2),
 pr AS (SELECT *, CASE WHEN first = 1 THEN off2 + 36 - off1 ELSE off1 + 36 - off2 END AS insert FROM j WHERE first IS NOT NULL),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import prose_to_dna, reverse_complement
+from ..operators import analysis
 from ..operators import index as indexes
 from ..sources import references
 from ..sources.reads import windows
@@ -84,3 +85,60 @@ def mates(spark: SparkSession, sf_dir: str, orientation: str = "fr") -> DataFram
         out = d if out is None else out.unionByName(d)
     both = out.groupBy("read_id").agg(F.count("*").alias("n")).filter("n = 2 AND read_id >= 0").select("read_id")
     return out.join(both, "read_id")
+
+
+def varied_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose inserts differ: the second mate lies 18 to 126 bases behind the first."""
+    src = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.lit("").alias("name"), prose_to_dna("text").alias("seq"))
+    w = windows(src, WIDTH, STEP).withColumn("at", F.col("seq_id") * 100000 + F.col("off"))
+    one = w.withColumn("read_id", F.col("at")).withColumn("mate", F.lit(1))
+    two = w.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("read_id", F.col("at") - STEP * F.col("s"))
+    two = two.filter(F.floor(F.col("read_id") / STEP) % 7 + 1 == F.col("s")).withColumn("mate", F.lit(2)).withColumn("seq", reverse_complement("seq")).drop("s")
+    return _whole_pairs(one.unionByName(two).withColumn("name", F.concat(F.lit("p"), F.col("read_id").cast("string"))))
+
+
+def _whole_pairs(d: DataFrame) -> DataFrame:
+    both = d.groupBy("read_id").agg(F.count("*").alias("n")).filter("n = 2 AND read_id >= 0").select("read_id")
+    zero = F.lit(0)
+    return d.join(both, "read_id").select("read_id", "mate", "name", "seq", _quality(F.col("off")).alias("qual"), F.col("seq").alias("raw"), zero.alias("trimmed5"), zero.alias("trimmed3"))
+
+
+def turned_mates(spark: SparkSession, sf_dir: str, orientation: str) -> DataFrame:
+    """mates, every other pair as seen from the other strand: the mates are swapped, and where both lie on one strand reversed."""
+    swap = F.floor(F.col("read_id") / STEP) % 2 == 1
+    other = reverse_complement("seq") if orientation == "ff" else F.col("seq")
+    return mates(spark, sf_dir, orientation).withColumn("mate", F.when(swap, 3 - F.col("mate")).otherwise(F.col("mate"))).withColumn("seq", F.when(swap, other).otherwise(F.col("seq")))
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of fr, of which every third has a second mate that isn't in the references, and single reads."""
+    lost = (F.col("mate") == 2) & (F.floor(F.col("read_id") / STEP) % 3 == 0)
+    paired = mates(spark, sf_dir).withColumn("seq", F.when(lost, F.lit("ACGTTGCAA" * 4)).otherwise(F.col("seq")))
+    alone = reads(spark, sf_dir).withColumn("read_id", F.col("read_id") + 1).withColumn("name", F.concat(F.lit("r"), F.col("read_id").cast("string")))
+    return paired.unionByName(alone)
+
+
+def read_file(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """A folder of text in a read format, written of the tables' reads in order of their ids; one partition a file, as formats of several lines need."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    p, fs = hadoop_path(spark, path)
+    fs.deleteOnExit(p)
+    head = lambda c, *more: F.concat(F.lit(c), F.col("name"), *more)
+    if kind == "sequences":
+        d = table(spark, sf_dir, "documents").select("doc_id", prose_to_dna("text").alias("seq"))
+        lines = F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(" prose\n"), F.array_join(F.regexp_extract_all("seq", F.lit(".{1,60}"), F.lit(0)), "\n"))
+        lines_of = {path: d.select(lines.alias("value"), F.col("doc_id").alias("at"), F.lit(0).alias("mate"))}
+    elif kind in ("fastq", "fasta", "raw"):
+        line = {"fastq": F.concat(head("@"), F.lit("\n"), "seq", F.lit("\n+\n"), "qual"), "fasta": F.concat(head(">"), F.lit("\n"), F.substring("seq", 1, 20), F.lit("\n"), F.substring("seq", 21, 99)), "raw": F.col("seq")}[kind]
+        lines_of = {path: reads(spark, sf_dir).select(line.alias("value"), F.col("read_id").alias("at"), "mate")}
+    else:
+        d = mates(spark, sf_dir)
+        if kind == "tabbed":
+            lines_of = {path: analysis.tabbed(d).select(F.col("line").alias("value"), F.col("read_id").alias("at"), F.lit(0).alias("mate"))}
+        else:
+            suffix = F.concat(F.lit("/"), F.col("mate").cast("string")) if kind == "interleaved" else F.lit("")
+            d = d.select("mate", F.concat(head("@", suffix), F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"), F.col("read_id").alias("at"))
+            lines_of = {path: d} if kind == "interleaved" else {f"{path}/{m}": d.filter(F.col("mate") == m) for m in (1, 2)}
+    for to, d in lines_of.items():
+        d.repartitionByRange(1, "at", "mate").sortWithinPartitions("at", "mate").select("value").write.text(to)
+    return path
