@@ -33,6 +33,18 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM m GROUP BY doc_id
 """
 
+OP4 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, (2 * i + 1)::INT, 200)) AS k FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - 99)) AS i FROM d WHERE len(x) >= 200)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM f)),
+r AS (SELECT doc_id, g, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY 1, 2),
+n AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT n.doc_id, string_agg(substr(x, (2 * before + 1)::INT, (2 * (a - before))::INT), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS gone, count(*) AS runs FROM n JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, (2 * coalesce(last, 0) + 1)::INT))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP9 = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
@@ -82,4 +94,4 @@ SELECT y.conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, len(
 
 OP8 = chat_sql()
 
-ORACLES = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op5_near_dup": OP5, "op8_chat_formatting": OP8, "op9_warc": OP9}
+ORACLES = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op4_suffix_dedup": OP4, "op5_near_dup": OP5, "op8_chat_formatting": OP8, "op9_warc": OP9}
