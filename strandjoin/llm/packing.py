@@ -7,20 +7,22 @@ tree over the capacities finds it. A row holds its ids as little-endian int32, t
 lengths of its segments and where positions restart, with the document and token offset of each.
 
 A null or empty text is the end-of-text id alone; null ids and repeated rows are documents like any
-other. Empty tables give no rows.
+other; texts of equal length keep their order. Further columns are ignored, whatever their names.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import os
 import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,10 +119,15 @@ def best_fit_decreasing(lengths: list[int], length: int) -> list[list[int]]:
 
 
 def pack(docs: DataFrame, length: int = 2048, block_tokens: int = 4_000_000, vocabulary: str = VOCABULARY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """pack_id, ids (length int32), n_tokens (the rest is end ids), cu_seqlens, position_resets, doc_ids, doc_offsets."""
+    """pack_id, ids (length int32), n_tokens (the rest is end ids), cu_seqlens, position_resets, doc_ids, doc_offsets.
+
+    The vocabulary is a file that the driver sees, or any path that Spark reads; it is sent to the executors.
+    """
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkIds(vocabulary).of
+        encode = ChunkIds(SparkFiles.get(name)).of
         base, done = TaskContext.get().partitionId() << 32, 0
 
         def rows(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:

@@ -175,7 +175,7 @@ def test_packing_round_trip(spark):
     rng = random.Random(4)
     al = " \n\t'stremdlv09a.,!é\xa0\x1c ²_日"
     rows = [(i, "".join(rng.choice(al) for _ in range(rng.randint(0, 90)))) for i in range(80)] + [(80, None), (None, "x"), (81, "word " * 900), (7, "a"), (7, "a")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, pack_id int, ids string").repartition(3)
     enc = packing.encoder(packing.VOCABULARY)
     for block in (100, 1_000_000):
         packed = packing.pack(docs, length=64, block_tokens=block)
@@ -395,6 +395,64 @@ def test_style_tree_keeps_unique_and_shared_articles(spark):
     assert {r["page_id"]: r["text"] for r in got} == want
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before it left, with clashing columns, nulls and repeats."""
+    import corpus_pipeline
+    from test_text_ops import contaminated_expected, near_expected, queue_expected
+
+    rng = random.Random(51)
+    word = lambda: rng.choice(["Ann", "Bob", "12", "7.5"]) if rng.random() < 0.05 else "".join(rng.choice("abcde") for _ in range(4))
+    items = [(i, " ".join(word() for _ in range(18))) for i in range(4)]
+    rows = []
+    for i in range(120):
+        w = [word() for _ in range(rng.randint(10, 70))]
+        if rows and i % 3 == 0:  # a copy, more or less near
+            w = [x if rng.random() > rng.choice([0, 0.01, 0.03, 0.08]) else word() for x in rng.choice(rows)[1].split()]
+        if i % 11 == 5:
+            w += rng.choice(items)[1].replace("Ann", "Bob").split()
+        if i % 13 == 1:
+            w = w[:12] * 5
+        rows.append((i, " ".join(w), rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", None])))
+    rows.append((500, None, "en", "a"))
+    folder = str(tmp_path)
+    docs = spark.createDataFrame([(*r, 9, "mine", 0.5) for r in rows], "doc_id long, text string, lang string, source string, n_words int, kept string, key double")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    at = {r[0]: r for r in rows}
+
+    def step(name, d):
+        out = spark.createDataFrame(stages[name](spark, d, folder).collect(), docs.schema)
+        assert all(tuple(r)[4:] == (9, "mine", 0.5) and tuple(r)[:4] == at[r["doc_id"]] for r in out.collect())
+        return out, sorted(r["doc_id"] for r in out.select("doc_id").collect())
+
+    def base(t):
+        w = (t or "").split()
+        n = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {x for k in range(len(w) - 7) if n[tuple(w[k : k + 8])] > 1 for x in range(k, k + 8)}
+        return len(w) >= 20 and 100 * len(covered) <= 30 * len(w)
+
+    d, got = step("quality_rules", docs)  # so few labels select no cutoff
+    assert got == sorted(i for i, r in at.items() if base(r[1]))
+    want = near_expected([(i, at[i][1]) for i in got], 5)
+    assert len(got) > len({v[1] for v in want.values()})
+    d, got = step("near_dup", d)
+    assert got == sorted(i for i, v in want.items() if v[2])
+    bad = {x[0] for x in contaminated_expected([(i, at[i][1]) for i in got], items, 5, 0.8)}
+    d, left = step("decontamination", d)
+    assert bad and left == [i for i in got if i not in bad]
+    mixed, got = step("mixing", d)
+    served = queue_expected([(i, at[i][1], at[i][3]) for i in left], 64)
+    for i, size, taken in served:  # whole epochs, and the one that the cut ends if half of it is served
+        assert got.count(int(i)) == taken // size + (2 * (taken % size) >= size)
+    packed = stages["token_packing"](spark, mixed, folder)
+    parts = collections.defaultdict(int)
+    for r in packing.unpack(packed).collect():
+        parts[r["doc_id"]] += len(r["ids"])
+    enc = packing.encoder(packing.VOCABULARY)
+    assert parts == {i: got.count(i) * (len(enc.encode_ordinary(at[i][1])) + 1) for i in set(got)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
