@@ -73,7 +73,8 @@ def write_archives(records: DataFrame) -> DataFrame:
         def block() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"pages-{pid:06d}.warc.gz"]), pa.array([part], pa.int32()), pa.array([b"".join(held)], pa.binary())], names=["archive", "part", "data"])
 
-        for b in batches:
+        # a few rows at a time become Python objects
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             for row in zip(*(b[c].to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                 held.append(record(*row))
                 size += len(held[-1])
