@@ -14,6 +14,7 @@ from ..operators.search import K, align, kmer_text
 from ..options import AlignOptions
 from ..sources import reads as read_sources
 from ..sources import references, sinks
+from ..streaming.batches import READS, align_stream
 from . import sql, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,11 +177,12 @@ def bwt(spark, sf_dir):
 
 
 @query(f"""WITH {sql.REFS}, k AS (SELECT ref_id, o AS pos, split_part(substr(seq, o::INT + 1, 14), 'N', 1) AS s FROM (SELECT ref_id, seq, unnest(range(len(seq))) AS o FROM refs))
-SELECT rpad(s, 14, 'A') AS kmer, len(s)::BIGINT AS span, count(*)::BIGINT AS n, min(ref_id * 1000000 + pos)::BIGINT AS first FROM k WHERE s <> '' GROUP BY 1, 2""")
+SELECT substr(rpad(s, 14, 'A'), 1, 6) AS prefix, len(s)::BIGINT AS span, count(*)::BIGINT AS n, min(rpad(s, 14, 'A')) AS first, max(rpad(s, 14, 'A')) AS last, sum(ref_id * 1000 + pos)::BIGINT AS places FROM k WHERE s <> '' GROUP BY 1, 2""")
 def idx_kmers(spark, sf_dir):
-    """The stored k-mers, with how many places each has and the first of them."""
-    d = tables.index(spark, sf_dir).kmers().groupBy("kmer", "span").agg(F.count("*").alias("n"), F.min(F.col("ref_id") * 1_000_000 + F.col("pos")).alias("first"))
-    return d.select(kmer_text(F.col("kmer"), K).alias("kmer"), F.col("span").cast("long").alias("span"), "n", "first")
+    """The stored k-mers by their first bases: how many, the first and the last, and a sum over their places."""
+    d = tables.index(spark, sf_dir).kmers().groupBy(F.shiftright("kmer", 2 * (K - 6)).alias("prefix"), F.col("span").cast("long").alias("span"))
+    d = d.agg(F.count("*").alias("n"), F.min("kmer").alias("first"), F.max("kmer").alias("last"), F.sum(F.col("ref_id") * 1000 + F.col("pos")).alias("places"))
+    return d.select(kmer_text(F.col("prefix"), 6).alias("prefix"), "span", "n", kmer_text(F.col("first"), K).alias("first"), kmer_text(F.col("last"), K).alias("last"), "places")
 
 
 @query(f"WITH {sql.REFS} SELECT ref_id, md5(seq) AS seq, len(seq)::BIGINT AS len FROM refs")
@@ -228,6 +230,67 @@ _read_back(
 _read_back("fasta_references", "sequences", f"WITH s AS (SELECT doc_id, {sql.DNA} AS seq FROM documents) SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ref_id, doc_id || ' prose' AS name, md5(seq) AS seq, len(seq)::BIGINT AS len FROM s", lambda s, p: index.sequences(references.fasta_tiles(s, p)).select("ref_id", "name", F.md5("seq").alias("seq"), "len"), columns=("ref_id", "name", "seq", "len"))
 
 
+_read_back("gzip_reads", "fastq.gzip", f"{_IN_ORDER} SELECT i AS read_id, seq, qual FROM n", read_sources.fastq, columns=("read_id", "seq", "qual"))
+_read_back("bzip2_reads", "fastq.bzip2", f"{_IN_ORDER} SELECT i AS read_id, seq, qual FROM n", read_sources.fastq, columns=("read_id", "seq", "qual"))
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'ACGNT', 'IIIII'), (1, 'GGN', '!5I'), (2, '', '')) AS t(read_id, seq, qual)")
+def literal_reads(spark, sf_dir):
+    return read_sources.literals(spark, "acg.t,GGR:!5I,").select("read_id", "seq", "qual")
+
+
+@query(f"WITH {sql.READS} SELECT read_id, translate(seq, 'ACGT', 'CGTA') AS seq, qual FROM reads WHERE seq LIKE 'A%'")
+def missing_files(spark, sf_dir):
+    """Of two paths one doesn't exist, which is left out with a warning."""
+    path = tables.read_file(spark, sf_dir, "fastq")
+    found = read_sources.existing(spark, [f"{path}-none", path])
+    d = read_sources.fastq(spark, found).filter(F.col("seq").startswith("A"))
+    return d.select(F.substring("name", 2, 20).cast("long").alias("read_id"), F.translate("seq", "ACGT", "CGTA").alias("seq"), "qual")
+
+
+@query(f"WITH {sql.READS} SELECT read_id, array_to_string(list_transform(range(36), lambda i: chr((33 + least(93, (read_id + i * 11) % 120))::INT)), '') AS qual FROM reads")
+def integer_quals(spark, sf_dir):
+    """Qualities as integers, 93 at most in a string."""
+    q = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: ((F.col("read_id") + i * 11) % 120).cast("string")), " ")
+    return tables.reads(spark, sf_dir).select("read_id", quality.to_phred33(q, integers=True).alias("qual"))
+
+
+@query(f"WITH {sql.READS} SELECT read_id, qual FROM reads")
+def phred64_quals(spark, sf_dir):
+    """From the 64 scale, in which the reads' qualities are 31 characters on."""
+    moved = F.array_join(F.transform(quality.chars(F.col("qual")), lambda c: F.char(F.ascii(c) + 31)), "")
+    return tables.reads(spark, sf_dir).select("read_id", quality.to_phred33(moved, "phred64").alias("qual"))
+
+
+_LCG = lambda x: f"(({x}) * 1664525 + 1013904223) % 4294967296"
+
+
+@query(f"SELECT doc_id, xor(a >> 16, b)::BIGINT AS value, b::BIGINT AS state FROM (SELECT doc_id, a, {_LCG('a')} AS b FROM (SELECT doc_id, {_LCG('doc_id * 7919')} AS a FROM documents))")
+def generator_draws(spark, sf_dir):
+    value, state = random.draw(F.col("doc_id") * 7919)
+    return tables.table(spark, sf_dir, "documents").select("doc_id", value.alias("value"), state.alias("state"))
+
+
+@query("SELECT doc_id, mate::BIGINT AS mate, 'd' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '/1' ELSE '' END || CASE WHEN mate > 0 AND NOT (doc_id % 3 = 0 AND mate = 1) THEN '/' || mate ELSE '' END AS name, 'd' || doc_id || CASE WHEN doc_id % 3 = 0 AND mate = 0 THEN '/1' ELSE '' END AS qname FROM documents, range(3) AS m(mate)")
+def read_names(spark, sf_dir):
+    """The mate's suffix where it is missing, and names without it."""
+    d = tables.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*map(F.lit, range(3)))).alias("mate"))
+    raw = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, "/1").otherwise(""))
+    return d.select("doc_id", F.col("mate").cast("long").alias("mate"), sequence.mate_name(raw, F.col("mate")).alias("name"), sequence.query_name(raw, F.col("mate")).alias("qname"))
+
+
+@query(f"""WITH {sql.REFS} SELECT '@HD' || chr(9) || 'VN:1.0' || chr(9) || 'SO:unsorted' AS line UNION ALL SELECT '@SQ' || chr(9) || 'SN:' || ref_id || chr(9) || 'LN:' || len(seq) FROM refs
+UNION ALL SELECT '@RG' || chr(9) || 'ID:one' UNION ALL SELECT '@PG' || chr(9) || 'ID:strandjoin' || chr(9) || 'VN:1'""")
+def sam_head(spark, sf_dir):
+    return sinks.sam_header(tables.index(spark, sf_dir).refs, "ID:one").select("line")
+
+
+@query(ORACLES["ref_dump"])
+def idx_dump(spark, sf_dir):
+    """FASTA lines of the stored tiles."""
+    return index.dump(tables.index(spark, sf_dir))
+
+
 # --- alignment
 
 
@@ -253,6 +316,19 @@ _aligned("nofw", mm(1, forward=False), sql.hits("v", 1, forward=False), f"SELECT
 _aligned("norc", mm(1, reverse=False), sql.hits("v", 1, reverse=False), f"SELECT {sql.HIT_COLUMNS} FROM h")
 
 
+_aligned("hit_cost", SEEDED, sql.hits("n", 2), "SELECT read_id, off, (stratum * 16384 + penalty)::BIGINT AS cost FROM h", lambda d, o: d.select("read_id", "off", F.col("cost").cast("long").alias("cost")))
+
+
+@query(ORACLES["exact_all"])
+def stream_exact(spark, sf_dir):
+    """Reads as a stream of files; each batch adds what it finds to a table."""
+    source, out = tables.stored_reads(spark, sf_dir), tables.new_folder(spark, "stream")
+    reads = spark.readStream.schema(READS).option("maxFilesPerTrigger", 2).parquet(source)
+    sink = lambda d, n: shown(d).write.mode("overwrite").parquet(f"{out}/batch={n}")  # noqa: E731  a batch that is run again replaces itself
+    align_stream(reads, tables.index(spark, sf_dir), EXACT, sink, f"{out}-checkpoint").awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 def _reported(d: DataFrame, opts: AlignOptions) -> DataFrame:
     return shown(policy.report(d, opts), F.col("rank").cast("long").alias("rank"), F.col("oms").cast("long").alias("oms"))
 

@@ -39,10 +39,8 @@ def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
     """The index of refs(), built in the shared folder by the first query of a session that needs it and gone with the session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built or not (lambda p, fs: fs.exists(p))(*hadoop_path(spark, f"{_built[key]}/meta")):
-        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        path = new_folder(spark, "index")
         indexes.build(refs(spark, sf_dir), path)
-        p, fs = hadoop_path(spark, path)
-        fs.deleteOnExit(p)
         _built[key] = path
     return indexes.load(spark, _built[key])
 
@@ -118,11 +116,24 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.unionByName(alone)
 
 
-def read_file(spark: SparkSession, sf_dir: str, kind: str) -> str:
-    """A folder of text in a read format, written of the tables' reads in order of their ids; one partition a file, as formats of several lines need."""
-    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes with the session."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     p, fs = hadoop_path(spark, path)
     fs.deleteOnExit(p)
+    return path
+
+
+def stored_reads(spark: SparkSession, sf_dir: str) -> str:
+    path = new_folder(spark, "reads")
+    reads(spark, sf_dir).repartition(5, "read_id").write.parquet(path)
+    return path
+
+
+def read_file(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """A folder of text in a read format (and compression), written of the tables' reads in order of their ids; one partition a file, as formats of several lines need."""
+    path = new_folder(spark, kind)
+    kind, _, codec = kind.partition(".")
     head = lambda c, *more: F.concat(F.lit(c), F.col("name"), *more)
     if kind == "sequences":
         d = table(spark, sf_dir, "documents").select("doc_id", prose_to_dna("text").alias("seq"))
@@ -140,5 +151,5 @@ def read_file(spark: SparkSession, sf_dir: str, kind: str) -> str:
             d = d.select("mate", F.concat(head("@", suffix), F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"), F.col("read_id").alias("at"))
             lines_of = {path: d} if kind == "interleaved" else {f"{path}/{m}": d.filter(F.col("mate") == m) for m in (1, 2)}
     for to, d in lines_of.items():
-        d.repartitionByRange(1, "at", "mate").sortWithinPartitions("at", "mate").select("value").write.text(to)
+        d.repartitionByRange(1, "at", "mate").sortWithinPartitions("at", "mate").select("value").write.option("compression", codec or "none").text(to)
     return path
