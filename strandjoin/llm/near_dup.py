@@ -11,7 +11,7 @@ symbols on average with a deviation of 4; the bound of 39 is missed by about one
 Documents with equal sets are one class, of which only the first takes part. A bucket's members are
 compared with two pivots, its first member and the one that shares most keys; after the components
 of those links, members of a bucket that are still in different components are compared in blocks
-of at most about a thousand, a pair of blocks in a task, each pair in the first bucket that it shares;
+of about four thousand at most, a pair of blocks in a task, each pair in the first bucket that it shares;
 what leaves a block are the partners under the distance bound. So all links between components are
 found, and no table of all pairs within a group is made. Candidates under the distance bound are
 confirmed on the full sets.
@@ -163,7 +163,8 @@ def texts_of(ids: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     held = F.call_function("shiftright", byte, (at % 8).cast("int")) % 2 == 1
     maybe = texts.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("__b")).filter(held).drop("__b", "__bits")
-    return maybe.join(keys, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "raw")
+    # keys are distinct; a semi join would be pushed below the bitmap's join and shuffle all texts
+    return maybe.join(keys, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "raw")
 
 
 def confirmed(pairs: DataFrame, first: DataFrame, texts: DataFrame, words: int, percent: int, most: int) -> DataFrame:
@@ -279,7 +280,7 @@ def _confirm_runs(words: int, percent: int):
     return run
 
 
-def across(buckets: DataFrame, links: DataFrame, first: DataFrame, texts: DataFrame, words: int, percent: int, chunks: int, most_members: int = 1_000) -> DataFrame:
+def across(buckets: DataFrame, links: DataFrame, first: DataFrame, texts: DataFrame, words: int, percent: int, chunks: int, most_members: int = 4_000) -> DataFrame:
     """Links between members of a bucket that the given links leave in different components.
 
     A bucket is compared in blocks inside a task and only partners leave it, as lists; a bucket over

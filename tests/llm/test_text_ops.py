@@ -361,7 +361,7 @@ def test_relatives_in_blocks(spark):
     buckets = N.map_batches(first.select("doc_id", "sig"), N._keys(20), "k1 long, k2 long, id long, slot int")
     none = spark.createDataFrame([], "u long, v long")
     want = near_expected(rows, 2)
-    for most in (1_000, 7):
+    for most in (4_000, 7):
         links = N.across(buckets, none, first, texts, 2, 80, 20, most)
         got = {r["node"]: r["component"] for r in components(links).collect()}
         assert {d: got.get(d, d) for d, _ in rows} == {d: v[1] for d, v in want.items()}
