@@ -72,12 +72,13 @@ def lower_ascii(col: Column) -> Column:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over Arrow batches that don't depend on each other."""
+    """fn over Arrow batches that don't depend on each other, a thousand rows at a time, as it makes Python objects of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := fn(b)) is not None:
-                yield out
+            for k in range(0, b.num_rows, 1000):
+                if (out := fn(b.slice(k, 1000))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

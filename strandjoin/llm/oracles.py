@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .decontaminate import UNITS
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 STRIPPED = r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -67,6 +69,31 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id
 """
 
 
+_UNITS = ", ".join(f"'{u}'" for u in sorted(UNITS))
+#: Items of five tokens at least; letters and ASCII digits make tokens, as in the tables.
+OP2 = rf"""
+WITH src AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark),
+t0 AS (SELECT side, id, unnest(toks) AS t, unnest(range(len(toks))) AS i FROM (SELECT side, id, regexp_extract_all(coalesce(text, ''), '\p{{L}}+|[0-9]+(?:[.,][0-9]+)*|[.!?:;|
+]') AS toks FROM src)),
+t1 AS (SELECT *, regexp_matches(t, '^[.!?:;|
+]$') AS ends, regexp_matches(t, '^[0-9]') AS num FROM t0),
+t2 AS (SELECT *, lag(ends, 1, true) OVER w AS opens, lag(num, 1, false) OVER w AS after_num FROM t1 WINDOW w AS (PARTITION BY side, id ORDER BY i)),
+t3 AS (SELECT side, id, i, lower(t) AS own, CASE WHEN num THEN '#number' WHEN regexp_matches(t, '^\p{{Lu}}\p{{Ll}}+$') THEN CASE WHEN opens THEN lower(t) ELSE '#name' END WHEN after_num AND lower(t) IN ({_UNITS}) THEN '#unit' ELSE lower(t) END AS shape FROM t2 WHERE NOT ends),
+l AS (SELECT side, id, list(own ORDER BY i) AS own, list(shape ORDER BY i) AS shape FROM t3 GROUP BY 1, 2),
+w AS (SELECT side, id, p, own[p + 1 : p + 5] AS own, shape[p + 1 : p + 5] AS shape FROM (SELECT *, unnest(range(len(own) - 4)) AS p FROM l WHERE len(own) >= 5)),
+g AS (SELECT id AS item_id, p, own, shape, len(list_filter(shape, lambda x: x[1] <> '#')) >= 2 AS good FROM w WHERE side = 'b'),
+n AS (SELECT item_id, CASE WHEN count(*) FILTER (good) > 0 THEN count(*) FILTER (good) ELSE count(*) END AS n, count(*) FILTER (good) = 0 AS plain FROM g GROUP BY 1),
+b AS (SELECT g.*, n FROM g JOIN n USING (item_id) WHERE good OR plain),
+m AS (SELECT d.id AS doc_id, item_id, n, b.p, d.p AS d, b.own AS mine, d.own AS theirs, b.shape FROM w d JOIN b ON d.side = 'd' AND d.shape = b.shape AND b.good
+  UNION SELECT d.id, item_id, n, b.p, d.p, b.own, d.own, b.shape FROM w d JOIN b ON d.side = 'd' AND d.own = b.own),
+x AS (SELECT DISTINCT doc_id, item_id, d - p AS shift, p + k AS x, mine[k + 1] AS mine, theirs[k + 1] AS theirs FROM (SELECT *, unnest(range(5)) AS k FROM m) WHERE shape[k + 1][1] = '#'),
+v AS (SELECT doc_id, item_id, shift, mine, arg_min(theirs, x) AS value FROM x GROUP BY ALL),
+broken AS (SELECT doc_id, item_id, shift, x FROM x JOIN v USING (doc_id, item_id, shift, mine) WHERE theirs <> value),
+differs AS (SELECT doc_id, item_id, bool_or(mine <> theirs) AS reparameterised FROM x GROUP BY ALL),
+ok AS (SELECT doc_id, item_id, n, count(DISTINCT p) AS n_matched FROM m WHERE NOT EXISTS (SELECT 1 FROM broken y WHERE y.doc_id = m.doc_id AND y.item_id = m.item_id AND y.shift = m.d - m.p AND y.x BETWEEN m.p AND m.p + 4) GROUP BY ALL)
+SELECT doc_id, item_id, n_matched::BIGINT AS n_matched, n::BIGINT AS n_windows, n_matched::DOUBLE / n AS similarity, coalesce(reparameterised, false) AS reparameterised FROM ok LEFT JOIN differs USING (doc_id, item_id) WHERE n_matched >= 0.8 * n
+"""
+
 
 def chat_sql(budget: int = 2048, history: int = 2) -> str:
     """Windows by recursion over a conversation's turns; formatted_chars counts what windows repeat."""
@@ -94,4 +121,4 @@ SELECT y.conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, len(
 
 OP8 = chat_sql()
 
-ORACLES = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op4_suffix_dedup": OP4, "op5_near_dup": OP5, "op8_chat_formatting": OP8, "op9_warc": OP9}
+ORACLES = {"op1_mixing": OP1, "op2_decontamination": OP2, "op3_line_dedup": OP3, "op4_suffix_dedup": OP4, "op5_near_dup": OP5, "op8_chat_formatting": OP8, "op9_warc": OP9}

@@ -24,7 +24,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only contaminated documents have rows."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *[F.col(c).cast("long").alias(c) for c in ("n_matched", "n_windows")], "similarity", "reparameterised")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
