@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from .decontaminate import UNITS
+from .quality import CUTOFFS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 STRIPPED = r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
@@ -94,6 +95,34 @@ ok AS (SELECT doc_id, item_id, n, count(DISTINCT p) AS n_matched FROM m WHERE NO
 SELECT doc_id, item_id, n_matched::BIGINT AS n_matched, n::BIGINT AS n_windows, n_matched::DOUBLE / n AS similarity, coalesce(reparameterised, false) AS reparameterised FROM ok LEFT JOIN differs USING (doc_id, item_id) WHERE n_matched >= 0.8 * n
 """
 
+_RULES = ", ".join(f"('{rule}', {float(c)!r}::DOUBLE)" for rule, cuts in CUTOFFS.items() for c in cuts)
+
+
+def _tail(rejected: str, n: str, p: float) -> str:
+    """Whether P(X <= rejected) of a binomial (n, p) is at most the level; never where as much as p is rejected."""
+    terms = f"list_sum(list_transform(range({rejected} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p!r}) + ({n} - i) * ln({1 - p!r}))))"
+    return f"(CASE WHEN {rejected} < {p!r} * {n} THEN {terms} <= level ELSE false END)"
+
+
+OP6 = rf"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
+m AS (SELECT doc_id, lang, len(words)::BIGINT AS n_words, len(array_to_string(words, ''))::BIGINT AS word_chars, (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, words FROM w),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, array_to_string(words[i : i + 7], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM m WHERE len(words) >= 8))),
+r AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM g, range(8) AS k(k) WHERE c > 1 GROUP BY 1),
+d AS (SELECT m.doc_id, lang, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM m LEFT JOIN r ON r.doc_id = m.doc_id),
+v AS (SELECT doc_id, lang, unnest(['symbol_ratio', 'dup_line_ratio', 'repeat_ratio', 'long_word_mean', 'short_word_mean']) AS rule,
+  unnest([n_symbols / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1), word_chars / greatest(n_words, 1), -(word_chars / greatest(n_words, 1))]) AS x FROM d),
+q AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+t AS (SELECT lang, rule, cutoff, count(*) FILTER (good) AS n_good, count(*) FILTER (good AND x > cutoff) AS bad, count(*) FILTER (x > cutoff) AS hit FROM v JOIN q USING (doc_id) JOIN (VALUES {_RULES}) AS c(rule, cutoff) USING (rule) GROUP BY 1, 2, 3),
+a AS (SELECT *, (sum(n_good) OVER p)::BIGINT AS pool_good, (sum(bad) OVER p)::BIGINT AS pool_bad, (sum(hit) OVER p)::BIGINT AS pool_hit, 0.05 / ({len(CUTOFFS)} * (2 * (SELECT count(DISTINCT coalesce(lang, chr(1))) FROM t) + 1)) AS level FROM t WINDOW p AS (PARTITION BY rule, cutoff)),
+o AS (SELECT *, {_tail("bad", "n_good", 0.005)} AS own, {_tail("pool_bad", "pool_good", 0.005)} AND bad <= 0.005 * n_good AND {_tail("bad", "n_good", 0.05)} AS shared FROM a),
+b AS (SELECT lang, rule, cutoff, row_number() OVER (PARTITION BY lang, rule ORDER BY own DESC, CASE WHEN own THEN hit ELSE pool_hit END DESC, cutoff DESC) AS k FROM o WHERE own OR shared),
+f AS (SELECT DISTINCT doc_id FROM v JOIN b ON b.k = 1 AND b.rule = v.rule AND b.lang IS NOT DISTINCT FROM v.lang WHERE x > cutoff),
+z AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM d)
+SELECT z.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND f.doc_id IS NULL AS kept FROM z LEFT JOIN f ON f.doc_id = z.doc_id
+"""
+
 
 def chat_sql(budget: int = 2048, history: int = 2) -> str:
     """Windows by recursion over a conversation's turns; formatted_chars counts what windows repeat."""
@@ -121,4 +150,4 @@ SELECT y.conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, len(
 
 OP8 = chat_sql()
 
-ORACLES = {"op1_mixing": OP1, "op2_decontamination": OP2, "op3_line_dedup": OP3, "op4_suffix_dedup": OP4, "op5_near_dup": OP5, "op8_chat_formatting": OP8, "op9_warc": OP9}
+ORACLES = {"op1_mixing": OP1, "op2_decontamination": OP2, "op3_line_dedup": OP3, "op4_suffix_dedup": OP4, "op5_near_dup": OP5, "op6_quality_rules": OP6, "op8_chat_formatting": OP8, "op9_warc": OP9}
