@@ -62,8 +62,8 @@ def _shift(x: Column, by: Column) -> Column:
     return F.call_function("shiftleft", x.cast("long"), by.cast("int"))
 
 
-def seeds(probes: DataFrame, opts: AlignOptions) -> DataFrame:
-    """A row for each key of each block: read_id, mate, fw, probe, len, seed_at, seed_n, blen, k, errors, block, seed. A block with more N than errors has no key."""
+def planned(probes: DataFrame, opts: AlignOptions) -> DataFrame:
+    """How each probe is looked up: read_id, mate, fw, probe, len, seed_at, seed_n, errors (mismatches that a block's keys allow), blen, k, blocks."""
     exact = opts.budget + 1
     d = probes.select(*READ_KEY, "fw", "probe", "len", "seed_at", "seed_n", *[F.floor(F.col("seed_n") / n).cast("int").alias(f"b{n}") for n in {exact, 2}])
     if opts.budget < 2:
@@ -73,8 +73,13 @@ def seeds(probes: DataFrame, opts: AlignOptions) -> DataFrame:
         near = 2 * (3 * F.col("w2") + 1) * F.pow(F.lit(0.25), "w2") < exact * F.pow(F.lit(0.25), "w1")
     d = d.withColumn("errors", near.cast("int"))
     d = d.withColumn("blen", F.when(F.col("errors") == 1, F.col("b2")).otherwise(F.col(f"b{exact}"))).withColumn("k", _width(F.col("blen")))
-    d = d.withColumn("block", F.explode(F.sequence(F.lit(0), F.when(F.col("errors") == 1, 1).otherwise(exact - 1))))
-    d = d.select(*READ_KEY, "fw", "probe", "len", "seed_at", "seed_n", "errors", "blen", "k", "block")
+    d = d.withColumn("blocks", F.when(F.col("errors") == 1, F.lit(2)).otherwise(F.lit(exact)))
+    return d.select(*READ_KEY, "fw", "probe", "len", "seed_at", "seed_n", "errors", "blen", "k", "blocks")
+
+
+def seeds(plan: DataFrame) -> DataFrame:
+    """A row for each key of each block of planned probes, with block and seed for blocks. A block with more N than errors has no key."""
+    d = plan.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     d = d.withColumn("s", F.substring("probe", F.col("seed_at") + F.col("block") * F.col("blen") + 1, F.col("k")))
     d = d.withColumn("ns", F.length("s") - F.length(F.replace("s", F.lit("N"), F.lit("")))).filter(F.col("ns") <= F.col("errors"))
     d = d.withColumn("base", pack_2bit(F.replace("s", F.lit("N"), F.lit("A"))))
@@ -143,9 +148,10 @@ def align(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = 1_000
     """Every valid placement of every read, as HIT. refs: rows of references, tiles, or an opened index. Reads are trimmed and chosen before."""
     spark = reads.sparkSession
     probes = oriented(reads, opts)
-    keys = seeds(probes, opts)
-    # one row for each key width
-    facts = keys.groupBy("k").agg(F.max("len").alias("longest"), F.count("*").alias("n")).collect()
+    plan = planned(probes, opts)
+    # one row for each key width, with the most keys that there can be
+    most = F.sum(F.col("blocks") * (1 + 3 * F.col("k") * F.col("errors")))
+    facts = plan.groupBy("k").agg(F.max("len").alias("longest"), most.alias("n")).collect()
     if not facts:
         return spark.createDataFrame([], HIT)
     longest, few = max(f["longest"] for f in facts), sum(f["n"] for f in facts) <= max_broadcast
@@ -158,7 +164,7 @@ def align(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = 1_000
     table = refs.kmers() if hasattr(refs, "kmers") else kmers(refs)
     cands = None
     for k in sorted(f["k"] for f in facts):
-        own = keys.filter(F.col("k") == k)
+        own = seeds(plan.filter(F.col("k") == k))
         grams = table if k == K else table.filter(F.col("span") >= k).withColumn("kmer", F.shiftright("kmer", 2 * (K - k)))
         on = grams["kmer"] == own["seed"]
         c = (grams.filter(F.col("span") == K) if k == K else grams).join(F.broadcast(own) if few else own, on)
