@@ -150,4 +150,45 @@ SELECT y.conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, len(
 
 OP8 = chat_sql()
 
-ORACLES = {"op1_mixing": OP1, "op2_decontamination": OP2, "op3_line_dedup": OP3, "op4_suffix_dedup": OP4, "op5_near_dup": OP5, "op6_quality_rules": OP6, "op8_chat_formatting": OP8, "op9_warc": OP9}
+def _add(way: str, cost: str, letter: str) -> str:
+    """A way is its cost in 14 digits and its audit, so that the order of strings is that of (cost, audit)."""
+    return f"(lpad((substr({way}, 1, 14)::BIGINT + {cost})::VARCHAR, 14, '0') || substr({way}, 15) || {letter})"
+
+
+def structure_sql() -> str:
+    """Cheapest edits by recursion over a conversation's rows; crc32 bit by bit."""
+    crc = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_concat(flatten(list_transform(range(len(key)), lambda i: [ascii(key[i + 1])::BIGINT, 0, 0, 0, 0, 0, 0, 0])), [])), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))))"
+    never = "'00000999999999'"
+    kept = "(CASE WHEN blank OR dup THEN 100000000 WHEN cut THEN 3 ELSE 0 END)"
+    user = f"least(u, {_add('e', '3', chr(39) + 'I' + chr(39))}, {_add('s', '3', chr(39) + 'I' + chr(39))}, {_add('a', '3', chr(39) + 'I' + chr(39))})"
+    assistant = f"least(a, {_add('u', '3', chr(39) + 'I' + chr(39))}, {_add('e', '6', chr(39) + 'II' + chr(39))}, {_add('s', '6', chr(39) + 'II' + chr(39))})"
+    gone = lambda x: _add(x, "4", "'D'")
+    taken = lambda x, due: _add(x, f"{kept} + (CASE WHEN ini = '{due}' THEN 0 ELSE 3 END)", f"(CASE WHEN ini = '{due}' THEN 'K' ELSE 'R' END)")
+    led = _add("e", f"{kept} + (CASE WHEN ini = 's' THEN 0 ELSE 100000000 END)", "'K'")
+    return rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+c AS (SELECT *, {crc} % 20 AS kind FROM k),
+r AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM c, range(2) AS g(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS ini, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM r),
+f AS (SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM o),
+g AS (SELECT *, NOT blank AND NOT dup AND right(bare, 1) NOT IN ('.', '!', '?') AS cut FROM f),
+w AS (SELECT conv_id, 0::BIGINT AS i, '00000000000000' AS e, {never} AS s, {never} AS u, {never} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT w.conv_id, g.i, {gone("e")}, least({gone("s")}, {led}), least({gone(user)}, {taken("e", "u")}, {taken("s", "u")}, {taken(assistant, "u")}), least({gone(assistant)}, {taken(user, "a")})
+  FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1),
+b AS (SELECT conv_id, arg_max(least(e, {assistant}), i) AS best FROM w GROUP BY 1),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank)::BIGINT AS blank, count(*) FILTER (dup)::BIGINT AS duplicate, count(*) FILTER (cut)::BIGINT AS truncated,
+  count(*) FILTER (prev IS NOT NULL AND prev || '/' || ini NOT IN ('s/u', 'u/a', 'a/u'))::BIGINT AS illegal FROM g GROUP BY 1),
+l AS (SELECT conv_id, substr(best, 15) AS audit, unnest(range(1, len(best) - 13)) AS p FROM b),
+x AS (SELECT conv_id, p, substr(audit, p::INT, 1) AS letter, len(replace(substr(audit, 1, p::INT - 1), 'I', '')) + 1 AS i FROM l),
+y AS (SELECT x.*, g.role, g.text, g.ini FROM x LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM x.conv_id AND g.i = x.i WHERE letter <> 'D'),
+z AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY p) - 1 AS q, first_value(letter = 'K' AND ini = 's') OVER (PARTITION BY conv_id ORDER BY p) AS led FROM y),
+t AS (SELECT conv_id, string_agg((CASE WHEN letter = 'K' THEN role WHEN (q - led::INT) % 2 = 0 THEN 'user' ELSE 'assistant' END) || ':' || (CASE WHEN letter = 'I' THEN '' ELSE text END), chr(10) ORDER BY p) AS lines FROM z GROUP BY 1)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  substr(best, 1, 14)::BIGINT AS cost, substr(best, 15) AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+OP11 = structure_sql()
+
+ORACLES = {"op1_mixing": OP1, "op2_decontamination": OP2, "op3_line_dedup": OP3, "op4_suffix_dedup": OP4, "op5_near_dup": OP5, "op6_quality_rules": OP6, "op8_chat_formatting": OP8, "op9_warc": OP9, "op11_structure_repair": OP11}

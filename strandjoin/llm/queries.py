@@ -14,6 +14,7 @@ from .mixing import mix
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
+from .structure import damage, repair
 from .suffix_dedup import suffix_dedup
 from .warc import plan_records, read_archives, write_archives
 
@@ -72,4 +73,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_line_dedup, op4_suffix_dedup, op5_near_dup, op6_quality_rules, op7_token_packing, op8_chat_formatting, op9_warc, op10_html_extraction)}
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = repair(damage(table(spark, sf_dir, "conversations")))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return d.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(lines, 256).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_line_dedup, op4_suffix_dedup, op5_near_dup, op6_quality_rules, op7_token_packing, op8_chat_formatting, op9_warc, op10_html_extraction, op11_structure_repair)}
