@@ -191,4 +191,11 @@ FROM b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN t ON t.
 
 OP11 = structure_sql()
 
-ORACLES = {"op1_mixing": OP1, "op2_decontamination": OP2, "op3_line_dedup": OP3, "op4_suffix_dedup": OP4, "op5_near_dup": OP5, "op6_quality_rules": OP6, "op8_chat_formatting": OP8, "op9_warc": OP9, "op11_structure_repair": OP11}
+OP13 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+ORACLES = {"op1_mixing": OP1, "op2_decontamination": OP2, "op3_line_dedup": OP3, "op4_suffix_dedup": OP4, "op5_near_dup": OP5, "op6_quality_rules": OP6, "op8_chat_formatting": OP8, "op9_warc": OP9, "op11_structure_repair": OP11, "op13_topk_search": OP13}
