@@ -16,6 +16,7 @@ from .packing import pack
 from .quality import quality_rules
 from .structure import damage, repair
 from .suffix_dedup import suffix_dedup
+from .token_links import align_tokenizers
 from .topk import top_k
 from .warc import plan_records, read_archives, write_archives
 
@@ -80,8 +81,13 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(lines, 256).alias("repaired_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = align_tokenizers(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_line_dedup, op4_suffix_dedup, op5_near_dup, op6_quality_rules, op7_token_packing, op8_chat_formatting, op9_warc, op10_html_extraction, op11_structure_repair, op13_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_line_dedup, op4_suffix_dedup, op5_near_dup, op6_quality_rules, op7_token_packing, op8_chat_formatting, op9_warc, op10_html_extraction, op11_structure_repair, op12_token_alignment, op13_topk_search)}
