@@ -8,7 +8,7 @@ A id has a higher count with its B id.
 Both tokenizers encode what lies between a character that isn't white space and a space or line break
 behind it independently of the rest (pieces that cross such a place would be found when they are
 loaded; texts are then taken whole), so a segment's tokens, groups and links are made once while it is
-remembered; `remembered` segments are, then all are forgotten.
+remembered. A worker remembers about `remembered` segments; then those that came seldom are forgotten.
 
 Counting is dense, striped by B id: stripe s has the ids b with b % STRIPES = s, and a stripe's counts
 are one block of (B ids) x (A ids), to which np.add.at adds the sums that map tasks have made; row maxima
@@ -45,6 +45,8 @@ A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe
 STRIPES = 256
 #: Documents of a batch, links that a task holds before it writes them, bytes of links that score in one part, partial sums of a stripe that are added in one part.
 BATCH, HELD, PART, SUMS = 1 << 15, 1 << 21, 32 << 20, 4096
+#: Characters from which on a text is encoded by itself, and of the texts that are encoded together.
+LONG = 1 << 20
 SPACES = " \n"
 SEGMENT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Any white space but SPACES, and what some tables count as such.
@@ -82,10 +84,23 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+class _Numbers(dict):
+    """Numbers of segments in the order in which they first come; `new` has those whose tokens are still to be made."""
+
+    def __init__(self, *known):
+        super().__init__(*known)
+        self.new: list[str] = []
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = n = len(self)
+        self.new.append(segment)
+        return n
+
+
 class Segments:
     """Segments of text with the tokens of both, remembered: arrays by number, and codes, the linked pairs one segment after the other."""
 
-    def __init__(self, a_path: str, b_path: str, remembered: int = 500_000, held_bytes: int = 64 << 20):
+    def __init__(self, a_path: str, b_path: str, remembered: int = 500_000, held_bytes: int = 32 << 20):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -98,25 +113,32 @@ class Segments:
         self.a_bytes = [b""] * self.n_a
         for token, k in vocabulary.items():
             self.a_bytes[k] = bytes(own[c] for c in token) if all(c in own for c in token) else token.encode()
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(map(self.b.id_to_piece, range(self.n_b)))]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("\u2581", " ").encode() for k, p in enumerate(map(self.b.id_to_piece, range(self.n_b)))]
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
         # the three ways in which an id is followed by another
         self.marks = np.array([f"{k}{c}" for c in ",|;" for k in range(max(self.n_a, self.n_b))], dtype=object)
-        self.whole = any(re.search(f"[^{SPACES}][{SPACES}]", self.b.id_to_piece(k).replace("▁", " ")) for k in range(self.n_b))
+        self.whole = any(re.search(f"[^{SPACES}][{SPACES}]", self.b.id_to_piece(k).replace("\u2581", " ")) for k in range(self.n_b))
         self.skip = len(self.b.encode("a"))
         self.rows = -(-self.n_b // STRIPES)
         self.remembered, self.held_bytes = remembered, held_bytes
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.texts: list[str] = []
-        self.held = 0
+        self.number, self.texts, self.held = _Numbers(), [], 0
         self.facts = np.empty((0, 5), dtype=np.int64)  # A tokens, B tokens, groups, links, whether bytes are the text's
-        self.starts, self.codes = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.starts, self.codes, self.uses = (np.empty(0, dtype=np.int64) for _ in range(3))
 
-    def full(self) -> bool:
-        return len(self.number) > self.remembered or self.held > self.held_bytes
+    def forget(self) -> None:
+        """Room for new segments; of the known ones stay those of the most uses, at most half as many as there may be."""
+        if len(self.number) <= self.remembered and self.held <= self.held_bytes:
+            return
+        sizes = np.fromiter(map(len, self.number), dtype=np.int64, count=len(self.number))
+        least = max(2, int(np.sort(self.uses)[-self.remembered // 2])) if len(self.uses) > self.remembered // 2 else 2
+        keep = np.flatnonzero((self.uses > least) & (sizes < 200))[: self.remembered // 2]
+        names = list(self.number)
+        self.number = _Numbers((names[k], n) for n, k in enumerate(keep))
+        self.texts = [self.texts[k] for k in keep]
+        n = self.facts[keep, 3]
+        self.codes = self.codes[np.arange(n.sum()) + np.repeat(self.starts[keep] - (n.cumsum() - n), n)]
+        self.facts, self.starts, self.uses = self.facts[keep], n.cumsum() - n, self.uses[keep] // 2
+        self.held = int(sizes[keep].sum())
 
     def cut(self, text: str) -> Iterator[list[str]]:
         """Lists of a text's segments."""
@@ -124,27 +146,28 @@ class Segments:
             yield [text]
         elif OTHER_WHITE.search(text):
             yield CAREFUL.split(text)
-        elif len(text) < 1 << 20:
+        elif len(text) < LONG:
             yield SEGMENT.findall(text)
         else:
             found = (m.group() for m in SEGMENT.finditer(text))
             while part := list(itertools.islice(found, 100_000)):
                 yield part
 
-    def numbers(self, segments: list[str]) -> list[int]:
-        known = self.number
-        if new := [s for s in dict.fromkeys(segments) if s not in known]:
-            self._learn(new)
-        return list(map(known.__getitem__, segments))
+    def numbers(self, part: list[str]) -> np.ndarray:
+        return np.array(list(map(self.number.__getitem__, part)), dtype=np.int64)
 
-    def _learn(self, new: list[str]) -> None:
+    def learn(self) -> None:
+        """Makes the tokens of the segments that are new."""
+        new, self.number.new = self.number.new, []
+        if not new:
+            return
         ia = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
         if self.whole:
             ib = self.b.encode([s[1:] for s in new], num_threads=1)
         else:  # behind a letter the model adds no space
             ib = [x[self.skip :] for x in self.b.encode(["a" + s for s in new], num_threads=1)]
         raw = [s.encode() for s in new]
-        same = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, r in zip(ia, ib, raw)], dtype=bool)
+        same = self._same(ia, ib, raw)
         for k in np.flatnonzero(~same):
             ia[k], ib[k] = [], []
         na, nb = (np.fromiter(map(len, x), dtype=np.int64, count=len(new)) for x in (ia, ib))
@@ -152,28 +175,34 @@ class Segments:
         ends_a, ends_b = self.a_sizes[a].cumsum(), self.b_sizes[b].cumsum()
         ends = np.union1d(ends_a, ends_b)  # behind each overlap of two tokens
         at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        owner = np.repeat(np.arange(len(new)), na)[at_a]
-        links = np.bincount(owner, minlength=len(new))
-        both = np.isin(ends_a, ends_b)
-        groups = np.bincount(np.repeat(np.arange(len(new)), na)[both], minlength=len(new))
+        owner_a = np.repeat(np.arange(len(new)), na)
+        links = np.bincount(owner_a[at_a], minlength=len(new))
+        both = np.isin(ends_a, ends_b, assume_unique=True)
+        groups = np.bincount(owner_a[both], minlength=len(new))
         codes = ((b[at_b] % STRIPES) * self.rows + b[at_b] // STRIPES) * self.n_a + a[at_a]
         # ids in the order in which they are written: by group, A before B
-        group_a = np.searchsorted(ends_a[both], ends_a)
-        group_b = np.searchsorted(ends_a[both], ends_b)
-        group, side, ids = np.r_[group_a, group_b], np.r_[np.zeros(len(a), np.int64), np.ones(len(b), np.int64)], np.r_[a, b]
-        order = np.lexsort((side, group))
+        group, side, ids = (np.concatenate(x) for x in ((np.searchsorted(ends_a[both], ends_a), np.searchsorted(ends_a[both], ends_b)), (np.zeros(len(a), np.int64), np.ones(len(b), np.int64)), (a, b)))
+        order = np.argsort(2 * group + side, kind="stable")
         group, side, ids = group[order], side[order], ids[order]
-        last = np.r_[group[1:] != group[:-1], True] if len(group) else np.empty(0, bool)
-        turn = np.r_[(side[1:] != side[:-1]), False] if len(side) else np.empty(0, bool)
-        written = self.marks[np.where(last, 2, np.where(turn, 1, 0)) * (len(self.marks) // 3) + ids].tolist()
-        to = np.r_[0, (na + nb).cumsum()].tolist()
-        first = len(self.texts)
+        mark = np.full(len(ids), 2)
+        mark[:-1] = np.where(group[1:] != group[:-1], 2, side[1:] != side[:-1])
+        written = self.marks[mark * (len(self.marks) // 3) + ids].tolist()
+        to = [0, *(na + nb).cumsum().tolist()]
         self.texts += ["".join(written[x:y])[:-1] for x, y in zip(to, to[1:])]
-        self.number.update(zip(new, range(first, first + len(new))))
         self.held += sum(map(len, raw))
         self.facts = np.concatenate([self.facts, np.stack([na, nb, groups, links, same], axis=1)])
-        self.starts = np.r_[self.starts, len(self.codes) + links.cumsum() - links]
-        self.codes = np.r_[self.codes, codes]
+        self.starts = np.concatenate([self.starts, len(self.codes) + links.cumsum() - links])
+        self.codes = np.concatenate([self.codes, codes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), dtype=np.int64)])
+
+    def _same(self, ia: list, ib: list, raw: list[bytes]) -> np.ndarray:
+        """Whether both tokenizers' bytes are the segment's."""
+        sizes = list(map(len, raw))
+        flat = b"".join(raw)
+        for ids, names in ((ia, self.a_bytes), (ib, self.b_bytes)):
+            if [sum(map(len, map(names.__getitem__, x))) for x in ids] != sizes or b"".join(map(names.__getitem__, itertools.chain.from_iterable(ids))) != flat:
+                return np.array([b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, r in zip(ia, ib, raw)], dtype=bool)
+        return np.ones(len(raw), dtype=bool)
 
 
 @functools.cache
@@ -187,46 +216,76 @@ class _Batches:
     """Rows of kind 0, one for each document, and of kind 1, links by batch and stripe."""
 
     def __init__(self, s: Segments, first_key: int):
-        self.s, self.key, self.docs, self.lines = s, first_key, 0, []
+        self.s, self.key, self.docs = s, first_key, 0
         self.numbers, self.owners, self.links = [], [], 0
 
-    def add(self, text: str | None) -> dict:
-        s, doc = self.s, self.docs
+    def add(self, texts: list[str | None]) -> Iterator[dict]:
+        """Rows of the texts; new segments of many short texts get their tokens together."""
+        waiting, chars = [], 0
+        for text in texts:
+            if text and len(text) >= LONG:
+                yield from self._made(waiting)
+                yield self._long(text)
+                waiting, chars = [], 0
+                continue
+            waiting.append(text)
+            chars += len(text or "")
+            if chars > LONG:
+                yield from self._made(waiting)
+                waiting, chars = [], 0
+        yield from self._made(waiting)
+
+    def _row(self) -> dict:
         self.docs += 1
-        out = {"kind": 0, "key": self.key, "idx": doc, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": ""}
-        if not text:
-            return out
-        facts, digest, numbers, between = np.zeros(5, dtype=np.int64), hashlib.sha256(), [], ""
-        if s.full() and not self.links:
-            s.forget()
+        return {"kind": 0, "key": self.key, "idx": self.docs - 1, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": ""}
+
+    def _made(self, texts: list[str | None]) -> Iterator[dict]:
+        s = self.s
+        own = [s.numbers(next(s.cut(" " + t))) if t else None for t in texts]
+        s.learn()
+        for numbers in own:
+            row = self._row()
+            if numbers is not None:
+                facts = s.facts[numbers]
+                if facts[:, 4].all():
+                    self._keep(row, [numbers], facts.sum(axis=0), hashlib.sha256(";".join(map(s.texts.__getitem__, numbers.tolist())).encode()))
+            yield row
+
+    def _long(self, text: str) -> dict:
+        """The same for a text whose segments come in parts."""
+        s, row = self.s, self._row()
+        facts, digest, kept, between = np.zeros(5, dtype=np.int64), hashlib.sha256(), [], ""
         for part in s.cut(" " + text):
-            own = s.numbers(part)
-            numbers.append(np.array(own, dtype=np.int64))
-            f = s.facts[numbers[-1]]
+            kept.append(s.numbers(part))
+            s.learn()
+            f = s.facts[kept[-1]]
             if not f[:, 4].all():
-                return out
-            facts += f.sum(0)
-            digest.update((between + ";".join(map(s.texts.__getitem__, own))).encode())
+                return row
+            facts += f.sum(axis=0)
+            digest.update((between + ";".join(map(s.texts.__getitem__, kept[-1].tolist()))).encode())
             between = ";"
+        self._keep(row, kept, facts, digest)
+        return row
+
+    def _keep(self, row: dict, numbers: list[np.ndarray], facts: np.ndarray, digest) -> None:
         self.numbers += numbers
-        self.owners.append((doc, sum(map(len, numbers))))
+        self.owners.append((row["idx"], sum(map(len, numbers))))
         self.links += int(facts[3])
-        return out | {"n_a": int(facts[0]), "n_b": int(facts[1]), "n_groups": int(facts[2]), "n_links": int(facts[3]), "groups_sha256": digest.hexdigest()}
-
-    def due(self) -> bool:
-        return self.links >= HELD or (self.links > 0 and self.s.full())
+        row |= dict(zip(("n_a", "n_b", "n_groups", "n_links"), facts.tolist())) | {"groups_sha256": digest.hexdigest()}
 
     def flush(self) -> Iterator[dict]:
         """The held links, a row for each stripe and at most about HELD of them."""
         s = self.s
         if self.links:
             w = np.concatenate(self.numbers)
+            s.uses += np.bincount(w, minlength=len(s.uses))
             owner = np.repeat([d for d, _ in self.owners], [n for _, n in self.owners])
             ends = s.facts[w, 3].cumsum()
             for k in range(0, int(ends[-1]), HELD):
                 a, z = np.searchsorted(ends, [k, k + HELD], side="right")
                 yield from self._rows(w[a:z], owner[a:z])
         self.numbers, self.owners, self.links = [], [], 0
+        s.forget()
 
     def _rows(self, w: np.ndarray, owner: np.ndarray) -> Iterator[dict]:
         s = self.s
@@ -274,18 +333,19 @@ def linked(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH, id_col:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    rows.append(out.add(text) | {"id": i})
-                    if out.due() or out.docs == BATCH:
-                        for r in out.flush():
-                            rows.append(r)
-                            held += len(r["sums"]) + len(r["links"])
-                            if held > 8 << 20:
-                                yield from sent()
-                    if out.docs == BATCH:
-                        out.next()
-                    if len(rows) >= 2048:
-                        yield from sent()
+                ids = iter(part.column(0).to_pylist())
+                for row in out.add(part.column(1).to_pylist()):
+                    rows.append(row | {"id": next(ids)})
+                if out.links >= HELD or out.docs >= BATCH:
+                    for r in out.flush():
+                        rows.append(r)
+                        held += len(r["sums"]) + len(r["links"])
+                        if held > 8 << 20:
+                            yield from sent()
+                if out.docs >= BATCH:
+                    out.next()
+                if len(rows) >= 2048:
+                    yield from sent()
         rows += out.flush()
         yield from sent()
 

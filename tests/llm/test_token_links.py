@@ -94,9 +94,10 @@ def test_small_batches_in_a_worker(monkeypatch):
     texts = texts_of(7)[:40]
     s = token_links.Segments(token_links.A_PATH, token_links.B_PATH, remembered=5)
     out, rows, docs = token_links._Batches(s, 0), [], []
-    for t in texts:
-        docs.append(out.add(t))
-        if out.due():
+    monkeypatch.setattr(token_links, "LONG", 40)  # so that some are encoded by themselves
+    for k in range(0, len(texts), 3):
+        docs += out.add(texts[k : k + 3])
+        if out.links >= token_links.HELD:
             rows += out.flush()
     rows += out.flush()
     links = Counter()
