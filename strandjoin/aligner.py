@@ -21,9 +21,10 @@ class Run:
     hits: DataFrame
     mates: DataFrame
     states: DataFrame
+    sampling: bool = False
 
     def counters(self) -> DataFrame:
-        return policy.counters(self.states, self.hits.select("read_id").unionByName(self.mates.filter("mate = 1").select("read_id")))
+        return policy.counters(self.states, self.hits.select("read_id").unionByName(self.mates.filter("mate = 1").select("read_id")), self.sampling)
 
 
 def run(reads: DataFrame, refs: DataFrame, opts: AlignOptions) -> Run:
@@ -41,4 +42,4 @@ def run(reads: DataFrame, refs: DataFrame, opts: AlignOptions) -> Run:
     unit = alone.select("read_id", "stratum", "mate").unionByName(by_pair.select("read_id", "stratum", "mate"))
     if opts.report_singles:
         unit = unit.unionByName(both.join(found.select("read_id").distinct(), "read_id", "left_anti").select("read_id", "stratum", policy.F.lit(1).alias("mate")))
-    return Run(chosen, hits, reported, policy.status(chosen, unit, opts))
+    return Run(chosen, hits, reported, policy.status(chosen, unit, opts), opts.sample_m is not None)

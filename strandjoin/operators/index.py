@@ -6,11 +6,12 @@ import hashlib
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import first_word
 from ..sources.references import STEP, LONGEST_READ, Tiled, fragments, tiled
+from ..sources.storage import ranked
 from .search import K, kmers
 
 TILES = "ref_id long, t0 long, bases string"
@@ -95,8 +96,8 @@ def summary(refs: DataFrame | Tiled) -> DataFrame:
     """Searchable sequences: sequence (from 1), name, len (bases and inner gaps), bases."""
     t = refs if isinstance(refs, Tiled) else tiled(refs, right=0)
     has = (t.fragments() if isinstance(t, Index) else fragments(t)).groupBy("ref_id").agg(F.sum("frag_len").alias("bases"))
-    w = Window.orderBy("ref_id")  # a row for each sequence
-    return t.refs.join(has, "ref_id").select(F.row_number().over(w).alias("sequence"), first_word("name").alias("name"), "len", "bases")
+    d = ranked(t.refs.join(has, "ref_id").select("ref_id", first_word("name").alias("name"), "len", "bases"), ["ref_id"], "place")
+    return d.select((F.col("place") + 1).alias("sequence"), "name", "len", "bases")
 
 
 def summary_lines(t: Index) -> DataFrame:

@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import AlignOptions
-from .policy import report
+from .policy import order, report
 from .search import STRANDS
 
 SIDE = ("fw", "off", "len", "stratum", "penalty", "seq", "qual", "mms", "name", "window", "trimmed5", "trimmed3")
 
 
 def concordant(hits: DataFrame, opts: AlignOptions) -> DataFrame:
-    """read_id, ref_id, first (the upstream mate), insert, and the mates' columns as m1_* and m2_*.
+    """read_id, ref_id, first (the upstream mate), insert, and the mates' columns as m1_* and m2_*, oms among them if hits have it.
 
     The band join goes by read, reference and a bin of max_insert bases, with neighbouring bins.
     """
     fw1, fw2 = STRANDS[opts.orientation]
     width = max(opts.max_insert, 1)
-    side = lambda m: hits.filter(F.col("mate") == m).select("read_id", "ref_id", F.floor(F.col("off") / width).alias("bin"), *[F.col(c).alias(f"m{m}_{c}") for c in SIDE])
+    side = lambda m: hits.filter(F.col("mate") == m).select("read_id", "ref_id", F.floor(F.col("off") / width).alias("bin"), *[F.col(c).alias(f"m{m}_{c}") for c in (*SIDE, *({"oms"} & set(hits.columns)))])
     one, two = side(1), side(2)
     two = two.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
     d = one.join(two, ["read_id", "ref_id", "bin"])
@@ -40,10 +40,12 @@ def concordant(hits: DataFrame, opts: AlignOptions) -> DataFrame:
 
 
 def report_pairs(pairs: DataFrame, opts: AlignOptions) -> DataFrame:
-    """The policy in units of pairs, best by summed stratum and penalty."""
-    d = pairs.withColumn("stratum", F.col("m1_stratum") + F.col("m2_stratum")).withColumn("penalty", F.col("m1_penalty") + F.col("m2_penalty"))
-    d = d.withColumn("off", F.least("m1_off", "m2_off")).withColumn("fw", F.col("first") == 1).withColumn("oms", F.lit(0).cast("long"))
-    return report(d, opts, ("read_id",))
+    """The policy in units of pairs, best by summed stratum and penalty. Of other placements a pair has as many as the mate with fewer; under -M a pair is drawn among those whose better mate has the least stratum."""
+    others = F.least("m1_oms", "m2_oms") if "m1_oms" in pairs.columns else F.lit(0).cast("long")
+    both = F.col("m1_stratum") + F.col("m2_stratum")
+    d = pairs.withColumn("stratum", both if opts.sample_m is None else F.least("m1_stratum", "m2_stratum")).withColumn("penalty", F.col("m1_penalty") + F.col("m2_penalty"))
+    d = d.withColumn("off", F.least("m1_off", "m2_off")).withColumn("fw", F.col("first") == 1).withColumn("oms", others)
+    return report(d, opts, ("read_id",), [both, *order()[1:]])
 
 
 def mates(pairs: DataFrame) -> DataFrame:

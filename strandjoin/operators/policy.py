@@ -73,14 +73,13 @@ def route(reads: DataFrame, states: DataFrame, keep_maxed: bool = True) -> dict[
 
 
 def counters(states: DataFrame, reported: DataFrame, sampling: bool = False) -> DataFrame:
-    """One row: processed, aligned, failed, suppressed, reported, pct_aligned, pct_failed, pct_suppressed."""
-    one = lambda s: F.sum((F.col("status") == s).cast("long"))
-    c = states.agg(one("aligned").alias("a"), one("unaligned").alias("u"), one("maxed").alias("m"))
-    c = c.select(*(F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("a", "u", "m"))).crossJoin(reported.agg(F.count("*").alias("reported")))  # one row each
-    total = F.col("a") + F.col("u") + (F.lit(0) if sampling else F.col("m"))
-    hit = F.col("a") + (F.lit(0) if sampling else F.col("m"))
+    """One row: processed, aligned, failed, suppressed, reported, pct_aligned, pct_failed, pct_suppressed. Reads over the limit count as aligned; with sampling (-M) a placement of each is reported, and suppressed says how many were sampled."""
+    one = lambda s: F.coalesce(F.sum((F.col("status") == s).cast("long")), F.lit(0).cast("long"))
+    c = states.agg(one("aligned").alias("a"), one("unaligned").alias("u"), one("maxed").alias("m")).crossJoin(reported.agg(F.count("*").alias("reported")))  # one row each
+    hit = F.col("a") + F.col("m")
+    total = hit + F.col("u")
     pct = lambda x: F.when(total > 0, F.round(100.0 * x / total, 2)).otherwise(0.0)
-    return c.select(total.alias("processed"), hit.alias("aligned"), F.col("u").alias("failed"), F.col("m").alias("suppressed"), "reported", pct(hit).alias("pct_aligned"), pct(F.col("u")).alias("pct_failed"), pct(F.col("m")).alias("pct_suppressed"))
+    return c.select(total.alias("processed"), hit.alias("aligned"), F.col("u").alias("failed"), F.col("m").alias("suppressed"), "reported", pct(hit).alias("pct_aligned"), pct(F.col("u")).alias("pct_failed"), pct(F.col("m")).alias("pct_suppressed"), F.lit(sampling).alias("sampling"))
 
 
 def metrics(reads: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def idx_summary(spark, sf_dir):
 
 @query(f"SELECT doc_id AS ref_id, doc_id::VARCHAR AS name FROM documents")
 def idx_names(spark, sf_dir):
-    return index.names(tables.refs(spark, sf_dir))
+    return references.names(tables.index(spark, sf_dir))
 
 
 @query(f"""WITH {sql.REFS}, k AS (SELECT substr(seq, o::INT + 1, 12) AS kmer FROM (SELECT seq, unnest(range(len(seq) - 11)) AS o FROM refs WHERE len(seq) >= 12))
@@ -219,13 +219,13 @@ _read_back("interleaved_reads", "interleaved", f"{_PAIRS_IN_ORDER} SELECT i AS r
 _read_back("mate_files", "mate", f"{_PAIRS_IN_ORDER} SELECT i AS read_id, mate::BIGINT AS mate, 'p' || read_id AS name, seq, qual FROM n", lambda s, p: read_sources.pairs(read_sources.fastq(s, f"{p}/1"), read_sources.fastq(s, f"{p}/2")))
 _read_back("concatenated_reads", "raw", f"{_IN_ORDER}, t AS (SELECT count(*) AS n FROM n) SELECT i + k * t.n AS read_id, 0::BIGINT AS mate, seq FROM n, t, range(2) AS g(k)", lambda s, p: read_sources.union([read_sources.raw(s, p), read_sources.raw(s, p)]), columns=("read_id", "mate", "seq"))
 _read_back(
-    "external_quals", "raw", f"{_IN_ORDER} SELECT i AS read_id, 0::BIGINT AS mate, seq, repeat(chr((33 + i % 41)::INT), 36) AS qual FROM n",
-    lambda s, p: read_sources.with_qualities(read_sources.raw(s, p), (r := read_sources.raw(s, p)).select("read_id", "mate", F.array_join(F.array_repeat((F.col("read_id") % 41).cast("string"), 36), " ").alias("qual"))), columns=("read_id", "mate", "seq", "qual"),
+    "external_quals", "fasta_quals", f"{_IN_ORDER} SELECT i AS read_id, 0::BIGINT AS mate, 'r' || read_id AS name, seq, qual FROM n",
+    lambda s, p: read_sources.with_qualities(read_sources.fasta(s, f"{p}/bases"), read_sources.quality_records(s, f"{p}/quals")), columns=("read_id", "mate", "name", "seq", "qual"),
 )
 _read_back(
     "continuous_reads", "sequences",
     f"WITH s AS (SELECT doc_id, {sql.DNA} AS seq FROM documents), w AS (SELECT doc_id, o, substr(seq, o::INT + 1, 40) AS seq FROM (SELECT doc_id, seq, unnest(range(0, len(seq) - 39, 25)) AS o FROM s WHERE len(seq) >= 40)) SELECT row_number() OVER (ORDER BY doc_id, o) - 1 AS read_id, doc_id || '_' || o AS name, seq FROM w",
-    lambda s, p: read_sources.continuous(s, p, 40, 25), columns=("read_id", "name", "seq"),
+    lambda s, p: references.continuous(s, p, 40, 25), columns=("read_id", "name", "seq"),
 )
 _read_back("fasta_references", "sequences", f"WITH s AS (SELECT doc_id, {sql.DNA} AS seq FROM documents) SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ref_id, doc_id || ' prose' AS name, md5(seq) AS seq, len(seq)::BIGINT AS len FROM s", lambda s, p: index.sequences(references.fasta_tiles(s, p)).select("ref_id", "name", F.md5("seq").alias("seq"), "len"), columns=("ref_id", "name", "seq", "len"))
 
@@ -234,17 +234,19 @@ _read_back("gzip_reads", "fastq.gzip", f"{_IN_ORDER} SELECT i AS read_id, seq, q
 _read_back("bzip2_reads", "fastq.bzip2", f"{_IN_ORDER} SELECT i AS read_id, seq, qual FROM n", read_sources.fastq, columns=("read_id", "seq", "qual"))
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'ACGNT', 'IIIII'), (1, 'GGN', '!5I'), (2, '', '')) AS t(read_id, seq, qual)")
+@query(f"""SELECT (row_number() OVER (ORDER BY item_id) - 1)::BIGINT AS read_id, {sql.DNA} AS seq, repeat(CASE WHEN item_id % 2 = 0 THEN 'I' ELSE '5' END, len({sql.DNA})) AS qual FROM benchmark""")
 def literal_reads(spark, sf_dir):
-    return read_sources.literals(spark, "acg.t,GGR:!5I,").select("read_id", "seq", "qual")
+    """Reads that are given one by one, every other one with its qualities: the benchmark's items, which are few."""
+    items = tables.item_refs(spark, sf_dir).select("ref_id", "seq").orderBy("ref_id").collect()
+    return read_sources.literals(spark, [r["seq"] + (":" + "5" * len(r["seq"]) if r["ref_id"] % 2 else "") for r in items]).select("read_id", "seq", "qual")
 
 
-@query(f"WITH {sql.READS} SELECT read_id, translate(seq, 'ACGT', 'CGTA') AS seq, qual FROM reads WHERE seq LIKE 'A%'")
+@query(f"WITH {sql.READS} SELECT read_id, translate(seq, 'ACGT', 'CGTA') AS seq, qual FROM reads")
 def missing_files(spark, sf_dir):
     """Of two paths one doesn't exist, which is left out with a warning."""
     path = tables.read_file(spark, sf_dir, "fastq")
     found = read_sources.existing(spark, [f"{path}-none", path])
-    d = read_sources.fastq(spark, found).filter(F.col("seq").startswith("A"))
+    d = read_sources.fastq(spark, found)
     return d.select(F.substring("name", 2, 20).cast("long").alias("read_id"), F.translate("seq", "ACGT", "CGTA").alias("seq"), "qual")
 
 

@@ -15,6 +15,8 @@ from ..sources.reads import windows
 from ..sources.storage import hadoop_path, shared_dir
 
 WIDTH, STEP = 36, 18
+#: Files of a written source.
+FILES = 5
 
 
 def spread(d: DataFrame) -> DataFrame:
@@ -131,16 +133,21 @@ def stored_reads(spark: SparkSession, sf_dir: str) -> str:
 
 
 def read_file(spark: SparkSession, sf_dir: str, kind: str) -> str:
-    """A folder of text in a read format (and compression), written of the tables' reads in order of their ids; one partition a file, as formats of several lines need."""
-    path = new_folder(spark, kind)
+    """A folder of text files in a read format (and compression), written of the tables' reads: ranges of ids, the files of second mates cut elsewhere than those of the first."""
+    path = new_folder(spark, kind.replace(".", "-"))
     kind, _, codec = kind.partition(".")
     head = lambda c, *more: F.concat(F.lit(c), F.col("name"), *more)
+    bases = F.concat(head(">"), F.lit("\n"), F.substring("seq", 1, 20), F.lit("\n"), F.substring("seq", 21, 99))
     if kind == "sequences":
         d = table(spark, sf_dir, "documents").select("doc_id", prose_to_dna("text").alias("seq"))
         lines = F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(" prose\n"), F.array_join(F.regexp_extract_all("seq", F.lit(".{1,60}"), F.lit(0)), "\n"))
         lines_of = {path: d.select(lines.alias("value"), F.col("doc_id").alias("at"), F.lit(0).alias("mate"))}
+    elif kind == "fasta_quals":
+        d = reads(spark, sf_dir).withColumn("at", F.col("read_id"))
+        numbers = F.array_join(F.transform(F.sequence(F.lit(1), F.length("qual")), lambda i: (F.ascii(F.substring("qual", i, F.lit(1))) - 33).cast("string")), " ")
+        lines_of = {f"{path}/{name}": d.select(v.alias("value"), "at", "mate") for name, v in (("bases", bases), ("quals", F.concat(head(">"), F.lit("\n"), numbers)))}
     elif kind in ("fastq", "fasta", "raw"):
-        line = {"fastq": F.concat(head("@"), F.lit("\n"), "seq", F.lit("\n+\n"), "qual"), "fasta": F.concat(head(">"), F.lit("\n"), F.substring("seq", 1, 20), F.lit("\n"), F.substring("seq", 21, 99)), "raw": F.col("seq")}[kind]
+        line = {"fastq": F.concat(head("@"), F.lit("\n"), "seq", F.lit("\n+\n"), "qual"), "fasta": bases, "raw": F.col("seq")}[kind]
         lines_of = {path: reads(spark, sf_dir).select(line.alias("value"), F.col("read_id").alias("at"), "mate")}
     else:
         d = mates(spark, sf_dir)
@@ -150,6 +157,7 @@ def read_file(spark: SparkSession, sf_dir: str, kind: str) -> str:
             suffix = F.concat(F.lit("/"), F.col("mate").cast("string")) if kind == "interleaved" else F.lit("")
             d = d.select("mate", F.concat(head("@", suffix), F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"), F.col("read_id").alias("at"))
             lines_of = {path: d} if kind == "interleaved" else {f"{path}/{m}": d.filter(F.col("mate") == m) for m in (1, 2)}
-    for to, d in lines_of.items():
-        d.repartitionByRange(1, "at", "mate").sortWithinPartitions("at", "mate").select("value").write.option("compression", codec or "none").text(to)
+    for n, (to, d) in enumerate(lines_of.items()):
+        # ranges go by at alone, so that a pair is in one file; the files' names have the ranges' order
+        d.repartitionByRange(FILES + n, "at").sortWithinPartitions("at", "mate").select("value").write.option("compression", codec or "none").text(to)
     return path

@@ -1,7 +1,8 @@
 """Read sources. All give read_id, mate, name, seq, qual, raw, trimmed5, trimmed3.
 
 read_id is the place in the source; mate is 0, or 1 and 2 for pairs, which share a read_id.
-Compressed files (.gz, .bz2) are read as they are.
+Compressed files (.gz, .bz2) are read as they are. Several paths follow each other in the order given, the files of
+a folder or glob by name, also where Spark splits and deals them otherwise; see pieces.
 """
 
 from __future__ import annotations
@@ -13,16 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.quality import default, to_phred33
 from ..functions.sequence import first_word, normalise_read, trim
-from .storage import ranked, with_offsets
+from .pieces import records, scanned, with_ordinal
 
 COLUMNS = ("read_id", "mate", "name", "seq", "qual", "raw", "trimmed5", "trimmed3")
 
 
-def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """Adds the place of each row, from 0, in the order of the source. df has to be a scan without shuffles, whose partitions are the same each time; after a sort see storage.ranked()."""
-    return with_offsets(df.withColumn("__id", F.monotonically_increasing_id()), name)
-
-
 def existing(spark: SparkSession, paths: list[str] | str) -> list[str]:
     """Of the paths those that exist; a warning for others, an error if none does."""
     found = []
@@ -56,38 +52,25 @@ def union(sources: list[DataFrame]) -> DataFrame:
         s_at = s.withColumn("read_id", F.col("read_id") + at)
         out = s_at if out is None else out.unionByName(s_at)
         if s is not sources[-1]:
-            at += (s.agg(F.max("read_id")).first()[0] or -1) + 1
+            last = s.agg(F.max("read_id")).first()[0]
+            at += 0 if last is None else last + 1
     return out
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return with_ordinal(spark.read.text(path).withColumn("line", F.regexp_replace("value", r"\r$", "")).drop("value"))
-
-
-def _each(spark: SparkSession, paths: list[str] | str, one) -> DataFrame:
-    return union([one(p) for p in existing(spark, paths)])
-
-
 def fastq(spark: SparkSession, paths: list[str] | str, scale: str = "phred33", integers: bool = False, interleaved: bool = False) -> DataFrame:
     """Records of four lines; with interleaved, mate 1 and mate 2 alternate."""
-
-    def one(path: str) -> DataFrame:
-        lines = _lines(spark, path).withColumn("rec", F.floor(F.col("ordinal") / 4)).withColumn("part", F.col("ordinal") % 4)
-        pick = [F.max(F.when(F.col("part") == k, F.col("line"))).alias(f"l{k}") for k in range(4)]
-        recs = lines.groupBy("rec").agg(*pick).filter(F.coalesce("l0", F.lit("")) != "")
-        head = F.when(F.col("l0").startswith("@"), F.substring("l0", F.lit(2), F.length("l0"))).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.col("l0"))))
-        raw = F.concat_ws("\n", *(F.coalesce(F.col(f"l{k}"), F.lit("")) for k in range(4)))
-        mate = (F.col("rec") % 2 + 1) if interleaved else F.lit(0)
-        rid = F.floor(F.col("rec") / 2) if interleaved else F.col("rec")
-        rows = recs.select(rid.alias("read_id"), mate.alias("mate"), head.alias("name"), F.coalesce("l1", F.lit("")).alias("seq"), F.coalesce("l3", F.lit("")).alias("qual"), raw.alias("raw"))
-        return _finish(rows, scale, integers)
-
-    return _each(spark, paths, one)
+    recs = records(spark, existing(spark, paths), 4).filter(F.coalesce("l0", F.lit("")) != "")
+    head = F.when(F.col("l0").startswith("@"), F.substring("l0", F.lit(2), F.length("l0"))).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.col("l0"))))
+    raw = F.concat_ws("\n", *(F.coalesce(F.col(f"l{k}"), F.lit("")) for k in range(4)))
+    mate = (F.col("rec") % 2 + 1) if interleaved else F.lit(0)
+    rid = F.floor(F.col("rec") / 2) if interleaved else F.col("rec")
+    rows = recs.select(rid.alias("read_id"), mate.alias("mate"), head.alias("name"), F.coalesce("l1", F.lit("")).alias("seq"), F.coalesce("l3", F.lit("")).alias("qual"), raw.alias("raw"))
+    return _finish(rows, scale, integers)
 
 
-def _records(spark: SparkSession, path: str) -> DataFrame:
+def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """FASTA records: ordinal, name, body."""
-    d = with_ordinal(spark.read.option("lineSep", "\n>").text(path).filter(F.trim("value") != ""))
+    d = with_ordinal(scanned(spark, paths, "\n>").filter(F.trim("value") != ""))
     text = F.regexp_replace(F.regexp_replace("value", r"^\s*>", ""), r"\r", "")
     name = F.substring_index(text, "\n", 1)
     return d.select("ordinal", name.alias("name"), F.substring(text, F.length(name) + 2, F.length(text)).alias("body"), F.concat(F.lit(">"), text).alias("raw"))
@@ -95,11 +78,8 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
 
 def fasta(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """One read for each record; qualities are 40."""
-
-    def one(path: str) -> DataFrame:
-        return _finish(_records(spark, path).select(F.col("ordinal").alias("read_id"), F.lit(0).alias("mate"), "name", F.col("body").alias("seq"), F.lit(None).cast("string").alias("qual"), "raw"))
-
-    return _each(spark, paths, one)
+    d = _records(spark, existing(spark, paths))
+    return _finish(d.select(F.col("ordinal").alias("read_id"), F.lit(0).alias("mate"), "name", F.col("body").alias("seq"), F.lit(None).cast("string").alias("qual"), "raw"))
 
 
 def pieces(d: DataFrame, seq: str, step: int, right: int = 0) -> DataFrame:
@@ -124,26 +104,11 @@ def windows(sequences: DataFrame, width: int, step: int, tile: int = 4096) -> Da
     return d.select("seq_id", "name", (F.col("__at") + F.col("__o")).alias("off"), F.substring("__tile", F.col("__o") + 1, F.lit(width)).alias("seq"))
 
 
-def continuous(spark: SparkSession, paths: list[str] | str, width: int, step: int) -> DataFrame:
-    """FASTA sequences as sliding windows of `width` every `step` bases, named <first word>_<offset>. Shorter sequences give nothing."""
-
-    def one(path: str) -> DataFrame:
-        recs = _records(spark, path).select(F.col("ordinal").alias("seq_id"), first_word("name").alias("name"), normalise_read("body").alias("seq"))
-        w = ranked(windows(recs, width, step), ["seq_id", "off"], "ordinal")
-        name = F.concat_ws("_", "name", F.col("off").cast("string"))
-        return _finish(w.select(F.col("ordinal").alias("read_id"), F.lit(0).alias("mate"), name.alias("name"), "seq", F.lit(None).cast("string").alias("qual"), F.concat(F.lit(">"), name, F.lit("\n"), F.col("seq")).alias("raw")))
-
-    return _each(spark, paths, one)
-
-
 def raw(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """A sequence on each line, named by its place."""
-
-    def one(path: str) -> DataFrame:
-        lines = with_ordinal(spark.read.text(path).filter(F.trim("value") != ""))
-        return _finish(lines.select(F.col("ordinal").alias("read_id"), F.lit(0).alias("mate"), F.lit(None).cast("string").alias("name"), F.col("value").alias("seq"), F.lit(None).cast("string").alias("qual"), F.col("value").alias("raw")))
-
-    return _each(spark, paths, one)
+    lines = with_ordinal(scanned(spark, existing(spark, paths)).filter(F.trim("value") != ""))
+    value = F.regexp_replace("value", r"\r$", "")
+    return _finish(lines.select(F.col("ordinal").alias("read_id"), F.lit(0).alias("mate"), F.lit(None).cast("string").alias("name"), value.alias("seq"), F.lit(None).cast("string").alias("qual"), value.alias("raw")))
 
 
 def literals(spark: SparkSession, reads: str | list[str], scale: str = "phred33") -> DataFrame:
@@ -155,17 +120,13 @@ def literals(spark: SparkSession, reads: str | list[str], scale: str = "phred33"
 
 def tabbed(spark: SparkSession, paths: list[str] | str, scale: str = "phred33", integers: bool = False) -> DataFrame:
     """Lines of three fields are unpaired, of five a pair; both may be mixed."""
-
-    def one(path: str) -> DataFrame:
-        lines = spark.read.text(path).withColumn("line", F.regexp_replace("value", r"\r$", "")).filter(F.trim("line") != "")
-        d = with_ordinal(lines.drop("value")).withColumn("f", F.split("line", "\t"))
-        n = F.size("f")
-        mate = lambda m, s, q: F.struct(F.lit(m).alias("mate"), F.col("f")[s].alias("seq"), F.col("f")[q].alias("qual"))
-        both = F.when(n == 3, F.array(mate(0, 1, 2))).when(n == 5, F.array(mate(1, 1, 2), mate(2, 3, 4))).otherwise(F.raise_error(F.concat(F.lit("neither 3 nor 5 fields: "), F.col("line"))))
-        d = d.withColumn("m", F.explode(both))
-        return _finish(d.select(F.col("ordinal").alias("read_id"), "m.mate", F.col("f")[0].alias("name"), "m.seq", "m.qual", F.col("line").alias("raw")), scale, integers)
-
-    return _each(spark, paths, one)
+    lines = scanned(spark, existing(spark, paths)).withColumn("line", F.regexp_replace("value", r"\r$", "")).filter(F.trim("line") != "")
+    d = with_ordinal(lines.drop("value")).withColumn("f", F.split("line", "\t"))
+    n = F.size("f")
+    mate = lambda m, s, q: F.struct(F.lit(m).alias("mate"), F.col("f")[s].alias("seq"), F.col("f")[q].alias("qual"))
+    both = F.when(n == 3, F.array(mate(0, 1, 2))).when(n == 5, F.array(mate(1, 1, 2), mate(2, 3, 4))).otherwise(F.raise_error(F.concat(F.lit("neither 3 nor 5 fields: "), F.col("line"))))
+    d = d.withColumn("m", F.explode(both))
+    return _finish(d.select(F.col("ordinal").alias("read_id"), "m.mate", F.col("f")[0].alias("name"), "m.seq", "m.qual", F.col("line").alias("raw")), scale, integers)
 
 
 def pairs(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -178,6 +139,13 @@ def pairs(first: DataFrame, second: DataFrame) -> DataFrame:
     return both
 
 
+def quality_records(spark: SparkSession, paths: list[str] | str, mate: int = 0) -> DataFrame:
+    """A file of qualities beside a FASTA file: records of a name line and lines of integers. read_id, mate, name, qual."""
+    d = _records(spark, existing(spark, paths))
+    qual = F.trim(F.regexp_replace("body", r"\s+", " "))
+    return d.select(F.col("ordinal").alias("read_id"), F.lit(mate).alias("mate"), "name", qual.alias("qual"))
+
+
 def with_qualities(reads: DataFrame, quals: DataFrame, scale: str = "phred33", integers: bool = True) -> DataFrame:
     """Reads with the qualities of another source (read_id, mate, qual)."""
     d = reads.drop("qual").join(quals.select("read_id", "mate", "qual"), ["read_id", "mate"], "left")

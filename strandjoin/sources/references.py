@@ -7,13 +7,18 @@ whole. No row holds more than a tile then, and a chromosome is many tasks' work
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import normalise_reference
-from .reads import _records, existing, pieces, with_ordinal
+from ..functions.sequence import first_word, normalise_reference
+from .pieces import BLOCK, FILE, PIECE, runs, scanned
+from .reads import _finish, _records, existing, pieces
+from .storage import running
 
 STEP = 4096
 #: Reads are at most so long; a fixed value.
@@ -41,11 +46,7 @@ def _named(d: DataFrame, n_to_a: bool) -> DataFrame:
 
 def fasta(spark: SparkSession, paths: list[str] | str, n_to_a: bool = False) -> DataFrame:
     """References of FASTA files as rows, in order; unnamed ones are named by their place."""
-    out = None
-    for i, p in enumerate(existing(spark, paths)):
-        d = _records(spark, p).withColumn("file", F.lit(i))
-        out = d if out is None else out.unionByName(d)
-    d = with_ordinal(out.drop("ordinal"))
+    d = _records(spark, existing(spark, paths))
     return _named(d.select(F.col("ordinal").alias("ref_id"), "name", F.col("body").alias("seq")), n_to_a)
 
 
@@ -64,33 +65,69 @@ def tiled(refs: DataFrame, step: int = STEP, right: int = LONGEST_READ) -> Tiled
     return Tiled(refs.select("ref_id", "name", "len"), d.select("ref_id", (F.col("i").cast("long") * step).alias("t0"), F.col("piece").alias("bases")), step, right)
 
 
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each piece: its headers, and its bases before the first and behind the last of them."""
+    now, where, heads, before, behind = None, None, 0, 0, 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in (*where, now, heads, before, behind)], [FILE, BLOCK, PIECE, "heads", "before", "behind"])
+
+    for key, b in runs(batches):
+        if key != now:
+            if now is not None:
+                yield row()
+            now, where, heads, before, behind = key, (b.column(FILE)[0].as_py(), b.column(BLOCK)[0].as_py()), 0, 0, 0
+        n = b.column("n").to_numpy()
+        at = np.flatnonzero(b.column("head").to_numpy(zero_copy_only=False))
+        if heads == 0:
+            before += int(n[: at[0]].sum() if len(at) else n.sum())
+        if len(at):
+            heads, behind = heads + len(at), 0
+        behind += int(n[at[-1] :].sum() if len(at) else n.sum()) if heads else 0
+    if now is not None:
+        yield row()
+
+
+def _stretches(begun: dict[int, tuple[int, int]], step: int):
+    """Lines to headers (ref_id, name) and bases in stretches that no tile's end cuts (ref_id, at, bases). begun: by piece the reference that its first line goes on, and where."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ref, at = None, -1, 0
+        for key, b in runs(batches):
+            if key != now:
+                now, (ref, at) = key, begun[key]
+            col, names = b.column("bases"), b.column("value")
+            heads = np.flatnonzero(b.column("head").to_numpy(zero_copy_only=False)).tolist()
+            rows = []
+            for a, z in zip([-1, *heads], [*heads, len(col)]):
+                if a >= 0:
+                    ref, at = ref + 1, 0
+                    rows.append((ref, -1, None, names[a].as_py()[1:]))
+                text = "".join(col.slice(max(a, 0), z - max(a, 0)).to_pylist()) if ref >= 0 else ""
+                k = 0
+                while k < len(text):
+                    n = min(len(text) - k, step - at % step)
+                    rows.append((ref, at, text[k : k + n], None))
+                    k, at = k + n, at + n
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["ref_id", "at", "bases", "name"])
+
+    return run
+
+
 def fasta_tiles(spark: SparkSession, paths: list[str] | str, n_to_a: bool = False, step: int = STEP, right: int = LONGEST_READ) -> Tiled:
-    """FASTA files as tiles, line by line: lines get their sequence and offset from sums over the scan's partitions and are put together by tile in one shuffle."""
-    lines = None
-    for i, p in enumerate(existing(spark, paths)):
-        d = spark.read.text(p).withColumn("__file", F.lit(i))
-        lines = d if lines is None else lines.unionByName(d)
-    lines = lines.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
-    lines = lines.withColumn("head", F.col("value").startswith(">"))
+    """FASTA files as tiles. A first pass counts headers and bases of each piece of the scan, the second gives lines their sequence and offset; stretches of bases are put together by tile in one shuffle."""
+    lines = scanned(spark, existing(spark, paths)).withColumn("head", F.col("value").startswith(">"))
     lines = lines.withColumn("bases", F.when(~F.col("head"), normalise_reference("value", n_to_a)).otherwise(F.lit("")))
-    n = F.length("bases").cast("long")
-    upto = Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = lines.withColumn("heads", F.sum(F.col("head").cast("long")).over(upto)).withColumn("run", F.sum(n).over(upto))
-    # bases before the partition's last header up to here; none before its first one
-    placed = placed.withColumn("since", F.max(F.when(F.col("head"), F.col("run"))).over(upto))
-    facts = lines.groupBy("__part").agg(F.sum(F.col("head").cast("long")).alias("heads"), F.sum(n).alias("bases"), F.max(F.when(F.col("head"), F.col("__id"))).alias("last"))
-    tail = lines.join(F.broadcast(facts.select("__part", "last")), "__part").filter(F.col("last").isNull() | (F.col("__id") > F.col("last"))).groupBy("__part").agg(F.sum(n).alias("tail"))
-    carry, heads, open_bases = [], 0, 0
-    for r in sorted(facts.join(tail, "__part", "left").fillna({"tail": 0}).collect(), key=lambda r: r["__part"]):  # a row for each partition
-        carry.append((r["__part"], heads, open_bases))
-        heads += r["heads"]
-        open_bases = (0 if r["heads"] else open_bases) + r["tail"]
-    placed = placed.join(F.broadcast(spark.createDataFrame(carry or [(0, 0, 0)], "__part long, before long, carried long")), "__part")
-    ref_id = (F.col("heads") + F.col("before") - 1).alias("ref_id")
-    at = F.when(F.col("since").isNull(), F.col("carried") + F.col("run")).otherwise(F.col("run") - F.col("since")) - n
-    names = placed.filter("head").select(ref_id, F.trim(F.regexp_replace(F.substring("value", 2, 1 << 30), r"\r", "")).alias("name"))
-    body = pieces(placed.filter(n > 0).select(ref_id, at.alias("at"), "bases").filter("ref_id >= 0"), "bases", step)
-    body = body.select("ref_id", (F.col("at") + F.col("i") * step).alias("at"), F.col("piece").alias("bases"))
+    measured = lines.select(FILE, BLOCK, PIECE, "head", F.length("bases").cast("long").alias("n"))
+    facts = measured.mapInArrow(_facts, f"{FILE} string, {BLOCK} long, {PIECE} long, heads long, before long, behind long").collect()  # a row for each split
+    begun, ref, at = {}, -1, 0
+    for r in sorted(facts, key=lambda r: (r[FILE], r[BLOCK])):
+        begun[r[PIECE]] = (ref, at)
+        ref, at = ref + r["heads"], r["behind"] if r["heads"] else at + r["before"]
+    rows = lines.select("value", "head", "bases", PIECE).mapInArrow(_stretches(begun, step), "ref_id long, at long, bases string, name string")
+    names = rows.filter("at < 0").select("ref_id", F.trim(F.regexp_replace("name", r"\r", "")).alias("name"))
+    body = rows.filter("at >= 0").select("ref_id", "at", "bases")
     size = F.length("bases").cast("long")
     lens = body.groupBy("ref_id").agg(F.sum(size).alias("len"))
     refs = names.join(lens, "ref_id", "left").select("ref_id", _name(F.col("name"), F.col("ref_id")).alias("name"), F.coalesce("len", F.lit(0).cast("long")).alias("len"))
@@ -105,6 +142,23 @@ def fasta_tiles(spark: SparkSession, paths: list[str] | str, n_to_a: bool = Fals
     return Tiled(refs, tiles.select("ref_id", "t0", F.substring("bases", (F.col("t0") - F.col("begin") + 1).cast("int"), F.lit(step + right)).alias("bases")), step, right)
 
 
+def continuous(spark: SparkSession, paths: list[str] | str, width: int, step: int) -> DataFrame:
+    """FASTA sequences of any length as reads: windows of `width` every `step` bases, named <first word>_<offset>. Shorter sequences give none.
+
+    Windows are cut from tiles; their places follow from the sequences' lengths, so no window is sorted.
+    """
+    t = fasta_tiles(spark, paths, step=STEP, right=max(width - 1, 1))
+    n = F.when(F.col("len") >= width, F.floor((F.col("len") - width) / step) + 1).otherwise(F.lit(0)).cast("long")
+    at = running(t.refs.select("ref_id", first_word("name").alias("word"), n.alias("n")), ["ref_id"], "n", "first")
+    d = t.tiles.join(at.filter("n > 0"), "ref_id")
+    low = F.ceil(F.col("t0") / step) * step
+    high = F.least(F.col("t0") + t.step - 1, F.col("t0") + F.length("bases") - width)
+    d = d.filter(low <= high).select("ref_id", "t0", "bases", "word", "first", F.explode(F.sequence(low, high, F.lit(step).cast("long"))).alias("off"))
+    name = F.concat_ws("_", "word", F.col("off").cast("string"))
+    d = d.select((F.col("first") + F.col("off") / step).cast("long").alias("read_id"), F.lit(0).alias("mate"), name.alias("name"), F.substring("bases", (F.col("off") - F.col("t0") + 1).cast("int"), F.lit(width)).alias("seq"))
+    return _finish(d.withColumn("qual", F.lit(None).cast("string")).withColumn("raw", F.concat(F.lit(">"), F.col("name"), F.lit("\n"), F.col("seq"))))
+
+
 def fragments(refs: DataFrame | Tiled) -> DataFrame:
     """Stretches without N: ref_id, gap (Ns before it), frag_start, frag_len."""
     t = refs if isinstance(refs, Tiled) else tiled(refs, right=0)

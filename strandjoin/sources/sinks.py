@@ -131,7 +131,8 @@ def counter_lines(row, pairs: int = 0, singles: int | None = None) -> list[str]:
     """The lines that a run ends with, from a row of counters; pairs and singles: reported pairs, and reported placements that aren't of pairs."""
     out = [f"# reads processed: {row['processed']}", f"# reads with at least one alignment: {row['aligned']} ({row['pct_aligned']:.2f}%)", f"# reads that failed to align: {row['failed']} ({row['pct_failed']:.2f}%)"]
     if row["suppressed"]:
-        out.append(f"# reads with alignments suppressed due to -m: {row['suppressed']} ({row['pct_suppressed']:.2f}%)")
+        how = "sampled due to -M" if "sampling" in row and row["sampling"] else "suppressed due to -m"
+        out.append(f"# reads with alignments {how}: {row['suppressed']} ({row['pct_suppressed']:.2f}%)")
     alone = row["reported"] if singles is None else singles
     if pairs:
         return [*out, f"Reported {pairs} paired-end alignments" + (f" and {alone} singleton alignments" if singles else "")]

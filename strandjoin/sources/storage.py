@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
@@ -61,3 +61,18 @@ def ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id())
     return with_offsets(stored(dealt, "ranked"), name)
+
+
+def running(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """df with the sum of value over the rows before, in the order of by: sums within the ranges of a range-partitioned sort, and of ranges on the driver."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id())
+    d = stored(dealt, "running").withColumn("__part", F.shiftright("__id", 33).cast("int"))
+    at, before = 0, []
+    for part, total in sorted(tuple(r) for r in d.groupBy("__part").agg(F.sum(value)).collect()):
+        before.append((part, at))
+        at += total or 0
+    order = Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn(name, F.coalesce(F.sum(value).over(order), F.lit(0).cast("long")))
+    off = F.broadcast(df.sparkSession.createDataFrame(before or [(0, 0)], "__part int, __before long"))
+    return d.join(off, "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__id", "__part", "__before")

@@ -51,7 +51,7 @@ def test_fasta_raw_tabbed(spark, tmp_path):
 
 def test_continuous(spark, tmp_path):
     p = put(tmp_path, "c.fa", ">seq1 x\nAGCATCGATCAGTATCTG\n>seq2\nAGCATCGATCAGTATCTGA\n")
-    d = R.continuous(spark, p, 10, 9)
+    d = references.continuous(spark, p, 10, 9)
     assert rows(d, "name", "seq") == [("seq1_0", "AGCATCGATC"), ("seq2_0", "AGCATCGATC"), ("seq2_9", "CAGTATCTGA")]
     assert rows(R.select(d, 1, 1), "name") == [("seq2_0",)]
     long = "ACGTTGCAGT" * 900
@@ -126,7 +126,7 @@ def test_places_are_dense_over_many_uneven_partitions(spark, tmp_path):
         got.sort(key=lambda r: r["place"])
         assert all((x["a"], x["id"]) < (y["a"], y["id"]) for x, y in zip(got, got[1:], strict=False))
         fa = put(tmp_path, "c.fa", "".join(f">s{k}\n{'ACGTT' * (k % 90)}\n" for k in range(900)))
-        reads = R.continuous(spark, fa, 12, 2).select("read_id", "name").collect()
+        reads = references.continuous(spark, fa, 12, 2).select("read_id", "name").collect()
         assert sorted(r["read_id"] for r in reads) == list(range(len(reads))) and len({r["name"] for r in reads}) == len(reads)
         reads.sort(key=lambda r: r["read_id"])
         assert [r["name"] for r in reads] == [f"s{k}_{o}" for k in range(900) for o in range(0, 5 * (k % 90) - 11, 2)]
