@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..aligner import run
 from ..functions import quality, random, sequence
-from ..operators import analysis, index, pairs, policy, suffixes
+from ..operators import analysis, index, joined, pairs, policy, suffixes
 from ..operators.search import K, align, kmer_text
 from ..options import AlignOptions
 from ..sources import reads as read_sources
@@ -176,6 +176,32 @@ def bwt(spark, sf_dir):
     return suffixes.bwt(suffixes.suffix_array(tables.item_refs(spark, sf_dir)))
 
 
+_FRAGMENTS = ORACLES["ref_fragments"]
+
+
+@query(f"SELECT (sum(frag_len) OVER (ORDER BY ref_id, frag_start) - frag_len)::BIGINT AS joined, ref_id, frag_start, frag_len FROM ({_FRAGMENTS})")
+def joined_fragments(spark, sf_dir):
+    return joined.joined_fragments(tables.index(spark, sf_dir))
+
+
+@query()
+def joined_suffix_array(spark, sf_dir):
+    """All suffixes of all documents in one order; SQL can't sort suffixes of such lengths, see suffix_prefix_rows and the tests."""
+    return tables.suffix_array(spark, sf_dir)
+
+
+@query(f"""WITH {sql.REFS}, k AS (SELECT substr(seq || '$', o::INT + 1, 10) AS prefix FROM (SELECT seq, unnest(range(len(seq) + 1)) AS o FROM refs)), n AS (SELECT prefix, count(*)::BIGINT AS n FROM k GROUP BY 1)
+SELECT prefix, n, (sum(n) OVER (ORDER BY prefix) - n)::BIGINT AS first, (sum(n) OVER (ORDER BY prefix) - 1)::BIGINT AS last FROM n""")
+def suffix_prefix_rows(spark, sf_dir):
+    """The suffix array's rows by their first ten characters."""
+    return joined.prefix_rows(tables.suffix_array(spark, sf_dir), tables.index(spark, sf_dir))
+
+
+@query()
+def bwt_occurrences(spark, sf_dir):
+    return joined.occurrences(tables.suffix_array(spark, sf_dir))
+
+
 @query(f"""WITH {sql.REFS}, k AS (SELECT ref_id, o AS pos, split_part(substr(seq, o::INT + 1, 14), 'N', 1) AS s FROM (SELECT ref_id, seq, unnest(range(len(seq))) AS o FROM refs))
 SELECT substr(rpad(s, 14, 'A'), 1, 6) AS prefix, len(s)::BIGINT AS span, count(*)::BIGINT AS n, min(rpad(s, 14, 'A')) AS first, max(rpad(s, 14, 'A')) AS last, sum(ref_id * 1000 + pos)::BIGINT AS places FROM k WHERE s <> '' GROUP BY 1, 2""")
 def idx_kmers(spark, sf_dir):

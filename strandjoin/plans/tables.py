@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import prose_to_dna, reverse_complement
-from ..operators import analysis
+from ..operators import analysis, joined
 from ..operators import index as indexes
 from ..sources import references
 from ..sources.reads import windows
@@ -47,6 +47,19 @@ def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
     return indexes.load(spark, _built[key])
 
 
+_sorted: dict[tuple[str, str], str] = {}
+
+
+def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suffix array of refs(), written to the shared folder by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _sorted or not (lambda p, fs: fs.exists(p))(*hadoop_path(spark, f"{_sorted[key]}/_SUCCESS")):
+        path = new_folder(spark, "suffixes")
+        joined.suffix_array(index(spark, sf_dir)).write.parquet(path)
+        _sorted[key] = path
+    return spark.read.parquet(_sorted[key])
+
+
 def item_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "benchmark").select("item_id", prose_to_dna("text").alias("dna"))
     return references.from_table(d, "item_id", "item_id", "dna")
