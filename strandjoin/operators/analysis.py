@@ -10,7 +10,7 @@ from ..functions.sequence import bisulfite, reverse_complement
 from ..options import AlignOptions
 from ..sources.reads import windows
 from .policy import report
-from .search import align
+from .search import STRANDS, align
 
 
 def _window_reads(refs: DataFrame, width: int, step: int) -> DataFrame:
@@ -125,3 +125,50 @@ def restored(hits: DataFrame) -> DataFrame:
     at = lambda m: F.when(F.col("fw"), m["pos"]).otherwise(F.col("len") - 1 - m["pos"])
     put = F.aggregate("mms", F.col("seq"), lambda s, m: F.concat(F.substring(s, F.lit(1), at(m)), m["ref"], F.substring(s, at(m) + 2, F.length(s))))
     return hits.withColumn("rebuilt", put)
+
+
+def rebuilt_pairs(singles: DataFrame, opts: AlignOptions) -> DataFrame:
+    """Pairs that placements of single mates (read_id, mate, ref_id, off, len, fw) make, by the left and the right one: read_id, ref_id, left_off, right_off, left_mate. Joined by read, reference and a bin of the longest insert."""
+    fw1, fw2 = STRANDS[opts.orientation]
+    width = max(1, opts.max_insert)
+    d = singles.select("read_id", "mate", "ref_id", "off", "len", "fw")
+    left = d.select("read_id", "ref_id", *[F.col(c).alias(f"left_{c}") for c in ("mate", "off", "len", "fw")], F.floor(F.col("off") / width).alias("bin"))
+    right = d.select("read_id", "ref_id", *[F.col(c).alias(f"right_{c}") for c in ("mate", "off", "len", "fw")], F.floor(F.col("off") / width).alias("own"))
+    right = right.withColumn("bin", F.explode(F.array(F.col("own") - 1, F.col("own")))).drop("own")
+    both = left.join(right, ["read_id", "ref_id", "bin"]).filter("left_mate <> right_mate")
+    straight = F.col("left_mate") == 1
+    # with mate 1 on the left as the orientation says, with mate 2 there both turned
+    fits = F.when(straight, (F.col("left_fw") == fw1) & (F.col("right_fw") == fw2)).otherwise((F.col("right_fw") != fw1) & (F.col("left_fw") != fw2))
+    insert = F.col("right_off") + F.col("right_len") - F.col("left_off")
+    size = (insert > F.col("left_len")) & (insert > F.col("right_len")) & insert.between(opts.min_insert, opts.max_insert)
+    return both.filter((F.col("left_off") < F.col("right_off")) & fits & size).select("read_id", "ref_id", "left_off", "right_off", "left_mate").distinct()
+
+
+def verify_pairs(singles: DataFrame, reported: DataFrame, opts: AlignOptions) -> DataFrame:
+    """Where reported pairs (read_id, ref_id, m1_off, m2_off, first) and those that placements of single mates make differ: read_id, ref_id, left_off, right_off, left_mate, fault (missing, extra or repeated). Untrimmed reads, without containment."""
+    one = F.col("first") == 1
+    said = reported.select("read_id", "ref_id", F.when(one, F.col("m1_off")).otherwise(F.col("m2_off")).alias("left_off"), F.when(one, F.col("m2_off")).otherwise(F.col("m1_off")).alias("right_off"), F.col("first").alias("left_mate"))
+    key = ["read_id", "ref_id", "left_off", "right_off", "left_mate"]
+    said = said.groupBy(*key).agg(F.count("*").alias("n"))
+    both = rebuilt_pairs(singles, opts).withColumn("made", F.lit(True)).join(said, key, "full_outer")
+    fault = F.when(F.col("n").isNull(), "missing").when(F.col("made").isNull(), "extra").when(F.col("n") > 1, "repeated")
+    return both.withColumn("fault", fault).filter("fault IS NOT NULL").select(*key, "fault")
+
+
+def reconcile_pairs(reads: DataFrame, aligned: DataFrame, unaligned: DataFrame, maxed: DataFrame, mates: DataFrame) -> DataFrame:
+    """Pairs (reads, the routed ones and the reported mates, by read_id and mate) that aren't conserved: read_id, fault.
+
+    split: its mates aren't in one place of the three, or not once each; lost: in none, or only one mate is; unknown: not
+    among the reads; unreported: aligned without rows of both mates; reported: rows though it isn't aligned.
+    """
+    seen = None
+    for name, d in {"in": reads, "al": aligned, "un": unaligned, "max": maxed, "out": mates}.items():
+        one = d.filter("mate > 0").select("read_id", "mate", F.lit(name).alias("place"))
+        seen = one if seen is None else seen.unionByName(one)
+    n = lambda place, mate: F.sum(((F.col("place") == place) & (F.col("mate") == mate)).cast("long"))
+    d = seen.groupBy("read_id").agg(*[n(p, m).alias(f"{p}{m}") for p in ("in", "al", "un", "max", "out") for m in (1, 2)])
+    routed = [F.col(f"al{m}") + F.col(f"un{m}") + F.col(f"max{m}") for m in (1, 2)]
+    apart = (F.col("al1") != F.col("al2")) | (F.col("un1") != F.col("un2")) | (F.col("max1") != F.col("max2"))
+    fault = F.when((F.col("in1") == 0) | (F.col("in2") == 0), "unknown").when((routed[0] == 0) | (routed[1] == 0), "lost").when(apart | (routed[0] != 1) | (routed[1] != 1), "split")
+    fault = fault.when((F.col("al1") > 0) & ((F.col("out1") == 0) | (F.col("out1") != F.col("out2"))), "unreported").when((F.col("al1") == 0) & (F.col("out1") + F.col("out2") > 0), "reported")
+    return d.withColumn("fault", fault).filter("fault IS NOT NULL").select("read_id", "fault")

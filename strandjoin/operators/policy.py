@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..options import AlignOptions
@@ -90,3 +90,18 @@ def metrics(reads: DataFrame) -> DataFrame:
     d = reads.select("seq", entropy.alias("h"), (F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit("")))).alias("ns"))
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
     return d.agg(F.count("*").alias("reads"), count((F.col("h") == 0) & (F.length("seq") > 0)).alias("homopolymers"), count(F.col("h") < 1.4).alias("low_entropy"), count(F.col("h") >= 1.4).alias("high_entropy"), count(F.col("ns") >= 3).alias("with_3_n"))
+
+
+def observed(reads: DataFrame, states: DataFrame) -> tuple[DataFrame, Observation]:
+    """reads with their status, and an observation that counts them by class while they are written: aligned and unaligned ones (over a limit counts as aligned), of each class by entropy and of those with 3 or more N."""
+    n = F.greatest(F.length("seq"), F.lit(1))
+    share = [(F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit("")))) / n for b in "ACGT"]
+    entropy = -sum((F.when(s > 0, s * F.log2(s)).otherwise(0.0) for s in share), F.lit(0.0))
+    several_n = F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit(""))) >= 3
+    classes = {"reads": F.lit(True), "homopolymers": (entropy == 0) & (F.length("seq") > 0), "low_entropy": entropy < 1.4, "high_entropy": entropy >= 1.4, "with_3_n": several_n}
+    d = reads.join(states, "read_id")
+    seen = Observation()
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    aligned = F.col("status") != "unaligned"
+    parts = [count(c & a).alias(f"{name}_{how}") for name, c in classes.items() for how, a in (("aligned", aligned), ("unaligned", ~aligned))]
+    return d.observe(seen, *parts), seen

@@ -144,8 +144,8 @@ def close_enough(window: Column, opts: AlignOptions) -> Column:
     return (F.length(window) == F.col("len")) & near & ~F.contains(window, F.lit("N"))
 
 
-def align(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = 1_000_000) -> DataFrame:
-    """Every valid placement of every read, as HIT. refs: rows of references, tiles, or an opened index. Reads are trimmed and chosen before."""
+def candidates(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = 1_000_000) -> tuple[DataFrame, Tiled] | None:
+    """Places where a key of a read is found, one row for each key and block that finds it, and the opened references; None if no read can be searched."""
     spark = reads.sparkSession
     probes = oriented(reads, opts)
     plan = planned(probes, opts)
@@ -153,7 +153,7 @@ def align(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = 1_000
     most = F.sum(F.col("blocks") * (1 + 3 * F.col("k") * F.col("errors")))
     facts = plan.groupBy("k").agg(F.max("len").alias("longest"), most.alias("n")).collect()
     if not facts:
-        return spark.createDataFrame([], HIT)
+        return None
     longest, few = max(f["longest"] for f in facts), sum(f["n"] for f in facts) <= max_broadcast
     if isinstance(refs, DataFrame):
         if refs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
@@ -170,10 +170,18 @@ def align(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = 1_000
         c = (grams.filter(F.col("span") == K) if k == K else grams).join(F.broadcast(own) if few else own, on)
         cands = c if cands is None else cands.unionByName(c)
     off = F.col("pos") - F.col("seed_at") - F.col("block") * F.col("blen")
-    cands = cands.withColumn("off", off).filter("off >= 0").select(*READ_KEY, "fw", "probe", "len", "seed_at", "seed_n", "blen", "k", "errors", "block", F.col("ref_id"), "off")
+    return cands.withColumn("off", off).filter("off >= 0").select(*READ_KEY, "fw", "probe", "len", "seed_at", "seed_n", "blen", "k", "errors", "block", F.col("ref_id"), "off"), refs
+
+
+def align(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = 1_000_000) -> DataFrame:
+    """Every valid placement of every read, as HIT. refs: rows of references, tiles, or an opened index. Reads are trimmed and chosen before."""
+    found = candidates(reads, refs, opts, max_broadcast)
+    if found is None:
+        return reads.sparkSession.createDataFrame([], HIT)
+    cands, refs = found
     pieces = refs.tiles.select(F.col("ref_id").alias("t_ref"), "t0", "bases")
     c = cands.join(pieces, (F.col("ref_id") == F.col("t_ref")) & (F.col("off") - F.col("off") % refs.step == F.col("t0")))
     window = F.substring("bases", (F.col("off") - F.col("t0") + 1).cast("int"), F.col("len"))
     c = c.withColumn("window", F.explode(F.filter(F.array(window), lambda w: close_enough(w, opts)))).drop("bases", "t_ref", "t0")
-    rest = probes.select(*READ_KEY, "fw", "name", "pqual", "trimmed5", "trimmed3")
+    rest = oriented(reads, opts).select(*READ_KEY, "fw", "name", "pqual", "trimmed5", "trimmed3")
     return verify(c.join(rest, [*READ_KEY, "fw"]), opts)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..aligner import run
 from ..functions import quality, random, sequence
-from ..operators import analysis, index, joined, pairs, policy, suffixes
+from ..operators import analysis, index, joined, pairs, policy, rounds, suffixes
 from ..operators.search import K, align, kmer_text
 from ..options import AlignOptions
 from ..sources import reads as read_sources
@@ -375,6 +375,19 @@ _aligned(
 )
 
 
+def _by_strata(name: str, opts: AlignOptions, oracle: str) -> None:
+    def f(spark, sf_dir):
+        return _reported(rounds.by_strata(tables.reads(spark, sf_dir), tables.index(spark, sf_dir), opts).hits, opts)
+
+    f.__name__ = name
+    query(ORACLES[oracle])(f)
+
+
+_by_strata("best_k_rounds", AlignOptions(mode="v", v=2, k=3, best=True), "best_k")
+_by_strata("strata_rounds", AlignOptions(mode="v", v=2, every=True, best=True, strata=True), "strata")
+_by_strata("m_strata_rounds", AlignOptions(mode="v", v=2, every=True, best=True, strata=True, m=1), "m_strata")
+
+
 # --- pairs
 
 
@@ -456,6 +469,37 @@ def insert_histogram(spark, sf_dir):
     return analysis.fragment_lengths(align(tables.varied_mates(spark, sf_dir), tables.index(spark, sf_dir), opts), 10, opts)
 
 
+_SAID = """said AS (SELECT read_id, ref_id, least(off1, off2) + d AS l, greatest(off1, off2) + d AS r, first FROM pairs, (VALUES (0, 0), (1, 1), (0, 2)) AS v(d, kind)
+  WHERE (kind = 0 AND read_id // 18 % 5 <> 0) OR (kind = 1 AND read_id // 18 % 7 = 1) OR (kind = 2 AND read_id // 18 % 11 = 2)), s AS (SELECT read_id, ref_id, l, r, first, count(*) AS n FROM said GROUP BY ALL),
+m AS (SELECT read_id, ref_id, least(off1, off2) AS l, greatest(off1, off2) AS r, first FROM pairs)"""
+
+
+@query(f"""{sql.pairs("fr")}, {_SAID}, f AS (SELECT coalesce(m.read_id, s.read_id) AS read_id, coalesce(m.ref_id, s.ref_id) AS ref_id, coalesce(m.l, s.l) AS left_off, coalesce(m.r, s.r) AS right_off, coalesce(m.first, s.first) AS left_mate,
+  CASE WHEN n IS NULL THEN 'missing' WHEN m.read_id IS NULL THEN 'extra' WHEN n > 1 THEN 'repeated' END AS fault FROM m FULL JOIN s ON m.read_id = s.read_id AND m.ref_id = s.ref_id AND m.l = s.l AND m.r = s.r AND m.first = s.first)
+SELECT read_id, ref_id, left_off::BIGINT AS left_off, right_off::BIGINT AS right_off, left_mate::BIGINT AS left_mate, fault FROM f WHERE fault IS NOT NULL""")
+def pairs_verified(spark, sf_dir):
+    """What the check of pairs finds where some are lost, moved and repeated."""
+    opts = AlignOptions(mode="v", v=1, every=True)
+    single = align(tables.mates(spark, sf_dir), tables.index(spark, sf_dir), opts)
+    found = pairs.concordant(single, opts).select("read_id", "ref_id", "m1_off", "m2_off", "first")
+    n = F.floor(F.col("read_id") / tables.STEP)
+    moved = found.filter(n % 7 == 1).withColumns({"m1_off": F.col("m1_off") + 1, "m2_off": F.col("m2_off") + 1})
+    said = found.filter(n % 5 != 0).unionByName(moved).unionByName(found.filter(n % 11 == 2))
+    return analysis.verify_pairs(single, said, opts).withColumn("left_mate", F.col("left_mate").cast("long"))
+
+
+@query(f"""{sql.pairs("fr")}, a AS (SELECT DISTINCT read_id, read_id // 18 AS n FROM pairs) SELECT read_id, CASE WHEN n % 5 = 0 THEN 'lost' WHEN n % 7 = 0 THEN 'split' ELSE 'unreported' END AS fault FROM a WHERE n % 5 = 0 OR n % 7 = 0 OR n % 11 = 0""")
+def pairs_reconciled(spark, sf_dir):
+    """What the check of conservation finds where mates are lost, routed twice and not reported."""
+    reads = tables.mates(spark, sf_dir)
+    r = run(reads, tables.index(spark, sf_dir), AlignOptions(mode="v", v=1, every=True))
+    places = policy.route(reads, r.states)
+    n = F.floor(F.col("read_id") / tables.STEP)
+    al = places["al"].filter((n % 5 != 0) | (F.col("mate") == 1))
+    un = places["un"].unionByName(places["al"].filter((n % 7 == 0) & (F.col("mate") == 2)))
+    return analysis.reconcile_pairs(reads, al, un, places["max"], r.mates.filter(n % 11 != 0))
+
+
 # --- output
 
 
@@ -533,6 +577,20 @@ def read_metrics(spark, sf_dir):
     return policy.metrics(tables.reads(spark, sf_dir))
 
 
+_CLASSES = {"reads": "true", "homopolymers": "h = 0", "low_entropy": "h < 1.4", "high_entropy": "h >= 1.4", "with_3_n": "len(seq) - len(replace(seq, 'N', '')) >= 3"}
+
+
+@query(f"""{_STATES}, p AS (SELECT seq, status <> 'un' AS aligned, list_transform(['A', 'C', 'G', 'T'], lambda b: (len(seq) - len(replace(seq, b, ''))) / 36.0) AS p FROM st),
+e AS (SELECT *, -coalesce(list_sum(list_transform(list_filter(p, lambda x: x > 0), lambda x: x * log2(x))), 0) AS h FROM p)
+SELECT {", ".join(f"count(*) FILTER (({c}) AND {how})::BIGINT AS {n}_{x}" for n, c in _CLASSES.items() for x, how in (("aligned", "aligned"), ("unaligned", "NOT aligned")))} FROM e""")
+def run_metrics(spark, sf_dir):
+    """Counts that the run makes while it writes its reads."""
+    reads = tables.reads(spark, sf_dir)
+    d, seen = policy.observed(reads, policy.status(reads, align(reads, tables.index(spark, sf_dir), _MAXED), _MAXED))
+    d.select("read_id", "raw", "status").write.parquet(tables.new_folder(spark, "written"))
+    return spark.createDataFrame([seen.get])
+
+
 @query(f"""WITH {sql.mates("fr")} SELECT read_id, 'p' || read_id::VARCHAR || chr(9) || max(CASE WHEN mate = 1 THEN seq END) || chr(9) || max(CASE WHEN mate = 1 THEN qual END) || chr(9) || max(CASE WHEN mate = 2 THEN seq END) || chr(9) || max(CASE WHEN mate = 2 THEN qual END) AS line FROM reads GROUP BY read_id""")
 def tabbed_pairs(spark, sf_dir):
     return analysis.tabbed(tables.mates(spark, sf_dir))
