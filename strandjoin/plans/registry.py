@@ -327,6 +327,20 @@ def exact_all(spark, sf_dir):
     return shown(hits(spark, sf_dir, EXACT))
 
 
+@query(ORACLES["exact_all"])
+def exact_suffixes(spark, sf_dir):
+    """Exact placements by neighbours in the order of suffixes."""
+    zero = F.lit(0).cast("long")
+    found = joined.exact(tables.reads(spark, sf_dir), tables.index(spark, sf_dir), tables.suffix_array(spark, sf_dir))
+    return found.select("read_id", F.when(F.col("fw"), "+").otherwise("-").alias("strand"), "ref_id", "off", zero.alias("stratum"), zero.alias("penalty"), F.lit("").alias("mms"))
+
+
+@query(f"WITH {sql.REFS}, n AS (SELECT seq, row_number() OVER (ORDER BY ref_id) - 1 AS nth FROM refs) SELECT nth, t0::BIGINT AS t0, md5(substr(seq, t0::INT + 1, 4096)) AS bases FROM (SELECT nth, seq, unnest(range(0, len(seq), 4096)) AS t0 FROM n)")
+def idx_inspect_bwt(spark, sf_dir):
+    """The references' text from the Burrows-Wheeler transform alone."""
+    return joined.restored(tables.suffix_array(spark, sf_dir).select("place", "before")).withColumn("bases", F.md5("bases"))
+
+
 def _aligned(name: str, opts: AlignOptions, ctes: str, tail: str, make=None) -> None:
     def f(spark, sf_dir):
         d = hits(spark, sf_dir, opts)
@@ -470,12 +484,12 @@ def insert_histogram(spark, sf_dir):
 
 
 _SAID = """said AS (SELECT read_id, ref_id, least(off1, off2) + d AS l, greatest(off1, off2) + d AS r, first FROM pairs, (VALUES (0, 0), (1, 1), (0, 2)) AS v(d, kind)
-  WHERE (kind = 0 AND read_id // 18 % 5 <> 0) OR (kind = 1 AND read_id // 18 % 7 = 1) OR (kind = 2 AND read_id // 18 % 11 = 2)), s AS (SELECT read_id, ref_id, l, r, first, count(*) AS n FROM said GROUP BY ALL),
+  WHERE (kind = 0 AND read_id // 18 % 5 <> 0) OR (kind = 1 AND read_id // 18 % 7 = 1) OR (kind = 2 AND read_id // 18 % 11 = 2)), sd AS (SELECT read_id, ref_id, l, r, first, count(*) AS n FROM said GROUP BY ALL),
 m AS (SELECT read_id, ref_id, least(off1, off2) AS l, greatest(off1, off2) AS r, first FROM pairs)"""
 
 
-@query(f"""{sql.pairs("fr")}, {_SAID}, f AS (SELECT coalesce(m.read_id, s.read_id) AS read_id, coalesce(m.ref_id, s.ref_id) AS ref_id, coalesce(m.l, s.l) AS left_off, coalesce(m.r, s.r) AS right_off, coalesce(m.first, s.first) AS left_mate,
-  CASE WHEN n IS NULL THEN 'missing' WHEN m.read_id IS NULL THEN 'extra' WHEN n > 1 THEN 'repeated' END AS fault FROM m FULL JOIN s ON m.read_id = s.read_id AND m.ref_id = s.ref_id AND m.l = s.l AND m.r = s.r AND m.first = s.first)
+@query(f"""{sql.pairs("fr")}, {_SAID}, f AS (SELECT coalesce(m.read_id, sd.read_id) AS read_id, coalesce(m.ref_id, sd.ref_id) AS ref_id, coalesce(m.l, sd.l) AS left_off, coalesce(m.r, sd.r) AS right_off, coalesce(m.first, sd.first) AS left_mate,
+  CASE WHEN n IS NULL THEN 'missing' WHEN m.read_id IS NULL THEN 'extra' WHEN n > 1 THEN 'repeated' END AS fault FROM m FULL JOIN sd ON m.read_id = sd.read_id AND m.ref_id = sd.ref_id AND m.l = sd.l AND m.r = sd.r AND m.first = sd.first)
 SELECT read_id, ref_id, left_off::BIGINT AS left_off, right_off::BIGINT AS right_off, left_mate::BIGINT AS left_mate, fault FROM f WHERE fault IS NOT NULL""")
 def pairs_verified(spark, sf_dir):
     """What the check of pairs finds where some are lost, moved and repeated."""
