@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..aligner import run
 from ..functions import quality, random, sequence
-from ..operators import analysis, index, joined, pairs, policy, rounds, suffixes
+from ..operators import analysis, index, joined, pairs, policy, rescue, rounds, suffixes
 from ..operators.search import K, align, kmer_text
 from ..options import AlignOptions
 from ..sources import reads as read_sources
@@ -422,6 +422,23 @@ _pairs("pairs_ff", "ff")
 _pairs("pairs_contain", "fr", contain=True, low=30, high=120)
 
 
+def _rescued(name: str, orientation: str, oracle: str, **limits) -> None:
+    opts = AlignOptions(mode="v", v=1, every=True, orientation=orientation, **limits)
+
+    def f(spark, sf_dir):
+        found = rescue.paired(tables.mates(spark, sf_dir, orientation), tables.index(spark, sf_dir), opts)
+        return found.select("read_id", "ref_id", F.col("m1_off").alias("off1"), F.col("m2_off").alias("off2"), F.col("first").cast("long").alias("first"), F.col("insert").cast("long").alias("insert"))
+
+    f.__name__ = name
+    query(ORACLES[oracle])(f)
+
+
+_rescued("rescued_fr", "fr", "pairs_fr")
+_rescued("rescued_rf", "rf", "pairs_rf")
+_rescued("rescued_ff", "ff", "pairs_ff")
+_rescued("rescued_contain", "fr", "pairs_contain", allow_contain=True, min_insert=30, max_insert=120)
+
+
 def _oriented_pairs(name: str, orientation: str, first: int, **strand) -> None:
     opts = AlignOptions(mode="v", v=1, every=True, orientation=orientation, **strand)
 
