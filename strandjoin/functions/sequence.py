@@ -86,3 +86,48 @@ def mate_name(name: Column | str, mate: Column | str) -> Column:
 def query_name(name: Column | str, mate: Column | str) -> Column:
     """Without the mate's suffix and what follows white space."""
     return first_word(F.when(col(mate) > 0, F.regexp_replace(col(name), "/[12]$", "")).otherwise(col(name)))
+
+
+#: Bases of a packed word, two bits each, the first one highest.
+WORD = 31
+
+
+def _words(parts: Column, digits: str, fill: str) -> Column:
+    """Strings of up to WORD of ACGTN as longs, by the digit of each letter; short ones are filled up."""
+    return F.transform(parts, lambda p: F.conv(F.rpad(F.translate(p, "ACGTN", digits), WORD, fill), 4, 10).cast("long"))
+
+
+def packed_words(seq: Column | str) -> tuple[Column, Column]:
+    """A sequence of any length in two bits a base (N as A), and where it has N or has ended."""
+    parts = F.regexp_extract_all(col(seq), F.lit(f".{{1,{WORD}}}"), F.lit(0))
+    return _words(parts, "01230", "0"), _words(parts, "00001", "1")
+
+
+def flag_words(flags: Column) -> Column:
+    """A string of A (no) and C (yes) as words in which a yes is the lower bit of its base."""
+    return _words(F.regexp_extract_all(flags, F.lit(f".{{1,{WORD}}}"), F.lit(0)), "01000", "0")
+
+
+def word_at(words: Column, at: Column, missing: int) -> Column:
+    """WORD bases from any position on, of packed words; `missing` stands for words behind the last."""
+    shift = lambda how, x, by: F.call_function(how, x, (2 * by).cast("int"))
+    i, s = F.floor(at / WORD).cast("int"), (at % WORD).cast("int")
+    get = lambda k: F.coalesce(F.get(words, k), F.lit(missing).cast("long"))
+    high = shift("shiftleft", get(i), s).bitwiseAND(F.lit((1 << 2 * WORD) - 1))
+    return high.bitwiseOR(shift("shiftrightunsigned", get(i + 1), WORD - s))
+
+
+def packed_compare(words: Column, ns: Column, at: Column, read: Column, read_n: Column, counted: Column, inside: Column, chunks: int) -> tuple[Column, Column]:
+    """For a read of at most `chunks` words laid at a position: how many of the counted bases differ (a read's N always does), and whether the window has an N or isn't whole.
+
+    read, read_n, counted and inside are the read's words: its bases, its Ns, what counts, and how far it goes.
+    """
+    n, broken = F.lit(0), F.lit(False)
+    ones = int("01" * WORD, 2)
+    for k in range(chunks):
+        own = lambda c, k=k: F.coalesce(F.get(c, F.lit(k)), F.lit(0).cast("long"))
+        x = word_at(words, at + WORD * k, 0).bitwiseXOR(own(read))
+        wrong = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(own(read_n)).bitwiseAND(own(counted))
+        n = n + F.bit_count(wrong)
+        broken = broken | (word_at(ns, at + WORD * k, ones).bitwiseAND(own(inside)) != 0)
+    return n, broken

@@ -1,4 +1,4 @@
-"""The reference index: references, fragments, tiles and k-mers as tables in one folder, which alignment reads, and what can be read off it."""
+"""The reference index: references, fragments, tiles (as text and packed) and k-mers as tables in one folder, which alignment reads, and what can be read off it."""
 
 from __future__ import annotations
 
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.sequence import first_word
 from ..sources.references import STEP, LONGEST_READ, Tiled, fragments, tiled
 from ..sources.storage import ranked
-from .search import K, kmers
+from .search import K, kmers, with_words
 
-TILES = "ref_id long, t0 long, bases string"
+TILES = "ref_id long, t0 long, bases string, words array<long>, ns array<long>"
 KMERS = "kmer BIGINT, span INT, ref_id BIGINT, pos BIGINT"
 
 
@@ -41,7 +41,7 @@ def build(refs: DataFrame | Tiled, path: str, buckets: int | None = None, offrat
     t = refs if isinstance(refs, Tiled) else tiled(refs, STEP, LONGEST_READ)
     spark = t.tiles.sparkSession
     kept = f"{path}/tiles"
-    t.tiles.select("ref_id", "t0", "bases").write.mode("overwrite").parquet(kept)
+    with_words(t.tiles.select("ref_id", "t0", "bases")).write.mode("overwrite").parquet(kept)
     t = Tiled(t.refs, spark.read.schema(TILES).parquet(kept), t.step, t.right)
     t.refs.write.mode("overwrite").parquet(f"{path}/refs")
     fragments(t).write.mode("overwrite").parquet(f"{path}/fragments")

@@ -8,9 +8,10 @@ far more often than 86 of 14. Both strands are searched by the reverse complemen
 
 Keys are joined with the reference's k-mers, two bits a base, which are K bases wide; a shorter key
 is compared with as many leading bases. K-mers are an index's stored table, or made of tiles on the
-fly. Candidates fetch their window from the tiles, an edit-distance bound (never above the number of
-mismatches) drops most of them inside generated code, and the rest is verified base by base. A
-placement that several blocks find is kept from the first of them, which needs no shuffle.
+fly. Candidates are compared with the tiles' packed words by exclusive or and a count of bits, in
+generated code; only what is left gets its window as text and is verified base by base. (Reads of more
+than PACKED words are held against the text by a bounded edit distance, never above the number of
+mismatches.) A placement that several blocks find is kept from the first of them, which needs no shuffle.
 
 Keys are broadcast while their number, which is counted, is at most max_broadcast; beyond it both
 sides are shuffled by key (an index at its full width isn't, as it is bucketed), where adaptive
@@ -23,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quality import penalty
-from ..functions.sequence import mismatches, pack_2bit, reverse_complement
+from ..functions.sequence import WORD, flag_words, mismatches, pack_2bit, packed_compare, packed_words, reverse_complement
 from ..options import AlignOptions
 from ..sources.references import Tiled, tiled
 
 #: Bases of a stored k-mer, and the key widths in use: the widest that a block has room for.
 K = 14
+#: Words of a read up to which it is compared packed.
+PACKED = 6
 WIDTHS = (14, 12, 10, 8, 6, 5, 4, 3, 2, 1)
 READ_KEY = ("read_id", "mate")
 # Strands of mate 1 and mate 2 by orientation.
@@ -144,8 +147,28 @@ def close_enough(window: Column, opts: AlignOptions) -> Column:
     return (F.length(window) == F.col("len")) & near & ~F.contains(window, F.lit("N"))
 
 
-def candidates(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = 1_000_000) -> tuple[DataFrame, Tiled] | None:
-    """Places where a key of a read is found, one row for each key and block that finds it, and the opened references; None if no read can be searched."""
+#: A probe's words: its bases, its Ns, the seed part, and all of it.
+PROBE_WORDS = ("bases", "ns", "seed", "inside")
+
+
+def with_words(tiles: DataFrame) -> DataFrame:
+    """Tiles with their bases packed."""
+    words, ns = packed_words("bases")
+    return tiles.withColumns({"words": words, "ns": ns})
+
+
+def probe_words(plan: DataFrame) -> DataFrame:
+    """plan with PROBE_WORDS as p_* columns."""
+    words, _ = packed_words("probe")
+    flags = lambda c: F.translate(c, "ACGTN", "AAAAC")
+    no, yes = (lambda n, x=x: F.repeat(F.lit(x), n.cast("int")) for x in "AC")
+    seed = F.concat(no(F.col("seed_at")), yes(F.col("seed_n")), no(F.col("len") - F.col("seed_at") - F.col("seed_n")))
+    made = {"bases": words, "ns": flag_words(flags(F.col("probe"))), "seed": flag_words(seed), "inside": flag_words(yes(F.col("len")))}
+    return plan.withColumns({f"p_{k}": v for k, v in made.items()})
+
+
+def candidates(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = 1_000_000) -> tuple[DataFrame, Tiled, int] | None:
+    """Places where a key of a read is found, one row for each key and block that finds it, the opened references and the longest read's length; None if no read can be searched."""
     spark = reads.sparkSession
     probes = oriented(reads, opts)
     plan = planned(probes, opts)
@@ -164,13 +187,14 @@ def candidates(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int =
     table = refs.kmers() if hasattr(refs, "kmers") else kmers(refs)
     cands = None
     for k in sorted(f["k"] for f in facts):
-        own = seeds(plan.filter(F.col("k") == k))
+        own = plan.filter(F.col("k") == k)
+        own = seeds(probe_words(own) if -(-longest // WORD) <= PACKED else own)
         grams = table if k == K else table.filter(F.col("span") >= k).withColumn("kmer", F.shiftright("kmer", 2 * (K - k)))
         on = grams["kmer"] == own["seed"]
         c = (grams.filter(F.col("span") == K) if k == K else grams).join(F.broadcast(own) if few else own, on)
         cands = c if cands is None else cands.unionByName(c)
     off = F.col("pos") - F.col("seed_at") - F.col("block") * F.col("blen")
-    return cands.withColumn("off", off).filter("off >= 0").select(*READ_KEY, "fw", "probe", "len", "seed_at", "seed_n", "blen", "k", "errors", "block", F.col("ref_id"), "off"), refs
+    return cands.withColumn("off", off).filter("off >= 0").select(*READ_KEY, "fw", "probe", "len", "seed_at", "seed_n", "blen", "k", "errors", "block", F.col("ref_id"), "off", *[c for c in cands.columns if c.startswith("p_")]), refs, longest
 
 
 def align(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = 1_000_000) -> DataFrame:
@@ -178,10 +202,19 @@ def align(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = 1_000
     found = candidates(reads, refs, opts, max_broadcast)
     if found is None:
         return reads.sparkSession.createDataFrame([], HIT)
-    cands, refs = found
-    pieces = refs.tiles.select(F.col("ref_id").alias("t_ref"), "t0", "bases")
+    cands, refs, longest = found
+    tiles = refs.tiles
+    chunks = -(-longest // WORD)
+    if chunks <= PACKED and "words" not in tiles.columns:
+        tiles = with_words(tiles)
+    at, window = F.col("off") - F.col("t0"), F.substring("bases", (F.col("off") - F.col("t0") + 1).cast("int"), F.col("len"))
+    pieces = tiles.select(F.col("ref_id").alias("t_ref"), "t0", "bases", *(("words", "ns") if chunks <= PACKED else ()))
     c = cands.join(pieces, (F.col("ref_id") == F.col("t_ref")) & (F.col("off") - F.col("off") % refs.step == F.col("t0")))
-    window = F.substring("bases", (F.col("off") - F.col("t0") + 1).cast("int"), F.col("len"))
-    c = c.withColumn("window", F.explode(F.filter(F.array(window), lambda w: close_enough(w, opts)))).drop("bases", "t_ref", "t0")
+    if chunks <= PACKED:
+        wrong, broken = packed_compare(F.col("words"), F.col("ns"), at, *[F.col(f"p_{x}") for x in PROBE_WORDS], chunks)
+        c = c.filter((wrong <= opts.budget) & ~broken).withColumn("window", F.explode(F.array(window)))
+    else:
+        c = c.withColumn("window", F.explode(F.filter(F.array(window), lambda w: close_enough(w, opts))))
+    c = c.drop("bases", "words", "ns", "t_ref", "t0", *[f"p_{x}" for x in PROBE_WORDS])
     rest = oriented(reads, opts).select(*READ_KEY, "fw", "name", "pqual", "trimmed5", "trimmed3")
     return verify(c.join(rest, [*READ_KEY, "fw"]), opts)

@@ -204,3 +204,33 @@ def test_accepted_options():
     for f, x in itertools.product("nv", range(4)):
         assert last_wins([(f, x)]).budget == x
     assert last_wins([("v", 3), ("n", 3)]).mode == "n"
+
+
+def test_packed_words(spark):
+    """Any offset, length and counted part against characters; windows with N or past the end are broken."""
+    from pyspark.sql import functions as F
+
+    from strandjoin.functions import sequence as S
+
+    rng = random.Random(8)
+    text = "".join(rng.choice("ACGTACGTACGTACGTACGTACGTACGTN") for _ in range(500))
+    rows = []
+    for i in range(300):
+        n, at = rng.randint(1, 90), rng.randrange(500)
+        r = list((text[at : at + n] + "A" * n)[:n])
+        for _ in range(rng.randrange(5)):
+            r[rng.randrange(n)] = rng.choice("ACGTN")
+        low = rng.randrange(n)
+        rows.append((i, text, "".join(r), at, low, rng.randint(1, n - low)))
+    d = spark.createDataFrame(rows, "i int, text string, read string, at long, low int, n int")
+    words, ns = S.packed_words("text")
+    flag = lambda x, n: F.repeat(F.lit(x), n)
+    counted = F.concat(flag("A", F.col("low")), flag("C", F.col("n")))
+    d = d.withColumns({"words": words, "ns": ns, "r": S.packed_words("read")[0], "rn": S.flag_words(F.translate("read", "ACGTN", "AAAAC")), "counted": S.flag_words(counted), "inside": S.flag_words(flag("C", F.length("read")))})
+    wrong, broken = S.packed_compare(*[F.col(c) for c in ("words", "ns", "at", "r", "rn", "counted", "inside")], 3)
+    for x in d.select("*", wrong.alias("wrong"), broken.alias("broken")).collect():
+        window = text[x["at"] : x["at"] + len(x["read"])]
+        assert x["broken"] == ("N" in window or len(window) < len(x["read"]))
+        if not x["broken"]:
+            part = range(x["low"], x["low"] + x["n"])
+            assert x["wrong"] == sum(window[k] != x["read"][k] or x["read"][k] == "N" for k in part)
