@@ -9,15 +9,9 @@ from ..functions.quality import chars, convert_phred_to_solexa, convert_solexa_t
 from ..functions.sequence import bisulfite, reverse_complement
 from ..options import AlignOptions
 from ..sources.reads import windows
+from . import classes
 from .policy import report
-from .search import STRANDS, align
-
-
-def _window_reads(refs: DataFrame, width: int, step: int) -> DataFrame:
-    """Every window of every reference as a read; read_id packs reference and offset."""
-    w = windows(refs.select(F.col("ref_id").alias("seq_id"), "name", "seq"), width, step)
-    zero = F.lit(0)
-    return w.select((F.col("seq_id") * (1 << 32) + F.col("off")).alias("read_id"), zero.alias("mate"), F.concat_ws("_", "name", F.col("off").cast("string")).alias("name"), "seq", F.repeat(F.lit("I"), F.lit(width)).alias("qual"), F.col("seq").alias("raw"), zero.alias("trimmed5"), zero.alias("trimmed3"))
+from .search import STRANDS
 
 
 def unique_windows(refs: DataFrame, width: int) -> DataFrame:
@@ -33,15 +27,9 @@ def unique_windows(refs: DataFrame, width: int) -> DataFrame:
 def mapability(refs: DataFrame, width: int, opts: AlignOptions | None = None) -> DataFrame:
     """ref_id, off, mapable (the window there has one placement), covering (of the windows over the base, those mapable), symbol.
 
-    Windows are taken at every base. Without options placements are exact.
+    Windows are taken at every base. Without options placements are exact; with them windows are searched as reads of best quality, each text once.
     """
-    if opts is None:
-        m = unique_windows(refs, width)
-    else:
-        reads = _window_reads(refs, width, 1)
-        hits = align(reads, refs, opts)
-        n = hits.groupBy("read_id").agg(F.count("*").alias("n"))
-        m = reads.join(n, "read_id", "left").select(F.floor(F.col("read_id") / (1 << 32)).alias("ref_id"), (F.col("read_id") % (1 << 32)).alias("off"), (F.coalesce("n", F.lit(0)) == 1).alias("mapable"))
+    m = unique_windows(refs, width) if opts is None else classes.mapable(refs, classes.build(refs, width), opts)
     return running(m, refs, width)
 
 

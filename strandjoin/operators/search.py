@@ -121,8 +121,8 @@ def _first_block() -> Column:
     return ok
 
 
-def verify(cands: DataFrame, opts: AlignOptions) -> DataFrame:
-    """Candidates with their window: the valid ones, with stratum, penalty, cost and mismatches by position from the 5' end."""
+def judged(cands: DataFrame, opts: AlignOptions) -> DataFrame:
+    """Candidates with their window: the valid ones, with seq and qual as placed, stratum, penalty, cost and mismatches by position from the 5' end."""
     # exploded, as predicates on a projected column would compute it anew below the joins
     d = cands.withColumn("at", F.explode(F.array(mismatches(F.col("probe"), F.col("window"))))).filter(_first_block())
     five = lambda i: F.when(F.col("fw"), i).otherwise(F.col("len") - 1 - i)
@@ -134,7 +134,12 @@ def verify(cands: DataFrame, opts: AlignOptions) -> DataFrame:
         valid = valid & (F.col("penalty") <= opts.max_penalty)
     one = lambda i: F.struct(five(i).alias("pos"), F.substring("window", i + 1, F.lit(1)).alias("ref"), F.substring("probe", i + 1, F.lit(1)).alias("read"))
     d = d.filter(valid).withColumn("mms", F.array_sort(F.transform("at", one)))
-    return d.select("read_id", "mate", "name", "fw", "ref_id", "off", F.col("probe").alias("seq"), F.col("pqual").alias("qual"), "len", "stratum", "penalty", (F.col("stratum") * 16384 + F.col("penalty")).alias("cost"), "mms", "window", "trimmed5", "trimmed3")
+    return d.withColumns({"seq": F.col("probe"), "qual": F.col("pqual"), "cost": F.col("stratum") * 16384 + F.col("penalty")})
+
+
+def verify(cands: DataFrame, opts: AlignOptions) -> DataFrame:
+    """judged() placements as HIT."""
+    return judged(cands, opts).select("read_id", "mate", "name", "fw", "ref_id", "off", "seq", "qual", "len", "stratum", "penalty", "cost", "mms", "window", "trimmed5", "trimmed3")
 
 
 HIT = "read_id long, mate int, name string, fw boolean, ref_id long, off long, seq string, qual string, len int, stratum int, penalty int, cost int, mms array<struct<pos:int,ref:string,read:string>>, window string, trimmed5 int, trimmed3 int"
