@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..aligner import run
 from ..functions import quality, random, sequence
-from ..operators import analysis, index, joined, pairs, policy, rescue, rounds, suffixes
+from ..operators import analysis, classes, index, joined, pairs, policy, rescue, rounds, suffixes
 from ..operators.search import K, align, kmer_text
 from ..options import AlignOptions
 from ..sources import reads as read_sources
@@ -371,8 +371,12 @@ def stream_exact(spark, sf_dir):
     return spark.read.parquet(out).drop("batch")
 
 
+def _ranked(d: DataFrame) -> DataFrame:
+    return shown(d, F.col("rank").cast("long").alias("rank"), F.col("oms").cast("long").alias("oms"))
+
+
 def _reported(d: DataFrame, opts: AlignOptions) -> DataFrame:
-    return shown(policy.report(d, opts), F.col("rank").cast("long").alias("rank"), F.col("oms").cast("long").alias("oms"))
+    return _ranked(policy.report(d, opts))
 
 
 _OMS = "count(*) OVER (PARTITION BY read_id, mate, fw, w) - 1"
@@ -389,6 +393,28 @@ _aligned(
 )
 
 
+def _by_class(name: str, opts: AlignOptions, oracle: str, show) -> None:
+    """A policy decided by window classes, whose rows are those of the policy over placements."""
+
+    def f(spark, sf_dir):
+        c = tables.window_classes(spark, sf_dir)
+        found = classes.found(tables.reads(spark, sf_dir), c, opts)
+        return show(classes.expanded(classes.chosen(found, opts), c, opts))
+
+    f.__name__ = name
+    query(ORACLES[oracle])(f)
+
+
+_by_class("m_suppress_classes", AlignOptions(mode="v", v=2, every=True, m=2), "m_suppress", _ranked)
+_by_class("best_k_classes", AlignOptions(mode="v", v=2, k=3, best=True), "best_k", _ranked)
+_by_class("strata_classes", AlignOptions(mode="v", v=2, every=True, best=True, strata=True), "strata", _ranked)
+_by_class("n_seed_classes", SEEDED, "n_seed_all", shown)
+_by_class(
+    "M_overflow_classes", AlignOptions(mode="v", v=2, k=1, best=True, sample_m=2), "M_overflow_count",
+    lambda d: d.select("read_id", F.col("stratum").cast("long").alias("stratum"), F.col("sampled").cast("long").alias("sampled"), F.col("mapq").cast("long").alias("mapq")),
+)
+
+
 def _by_strata(name: str, opts: AlignOptions, oracle: str) -> None:
     def f(spark, sf_dir):
         return _reported(rounds.by_strata(tables.reads(spark, sf_dir), tables.index(spark, sf_dir), opts).hits, opts)
@@ -638,8 +664,7 @@ SELECT ref_id, count(*) FILTER (ok)::BIGINT AS mapable, count(*)::BIGINT AS wind
 def mapability(spark, sf_dir):
     """Covered adds up the running counts, each mapable window counting at all of its bases."""
     refs = tables.refs(spark, sf_dir)
-    m = analysis.mapability(refs, 36).join(refs.select("ref_id", "len"), "ref_id").filter("len >= 36")
-    return m.groupBy("ref_id").agg(F.sum(F.col("mapable").cast("long")).alias("mapable"), F.sum((F.col("off") <= F.col("len") - 36).cast("long")).alias("windows"), F.sum("covering").alias("covered"))
+    return _covered(analysis.mapability(refs, 36), refs)
 
 
 @query(f"""{_WINDOWS}, c AS (SELECT *, least(w, {sql.rc("w")}) AS canon, w = {sql.rc("w")} AS pal FROM k WHERE NOT contains(w, 'N')), n AS (SELECT canon FROM c GROUP BY 1 HAVING sum(CASE WHEN pal THEN 2 ELSE 1 END) = 1),
@@ -658,3 +683,30 @@ SELECT ref_id, count(*)::BIGINT AS windows, count(*) FILTER (n.form IS NOT NULL)
 def bisulfite_mapability(spark, sf_dir):
     d = analysis.bisulfite_mapability(tables.refs(spark, sf_dir), 36)
     return d.groupBy("ref_id").agg(F.count("*").alias("windows"), F.sum(F.col("mapable").cast("long")).alias("mapable"))
+
+
+def _covered(m: DataFrame, refs: DataFrame) -> DataFrame:
+    """Mapability by reference: mapable windows, windows, and the running counts added up, each mapable window counting at all of its bases."""
+    m = m.join(refs.select("ref_id", "len"), "ref_id").filter("len >= 36")
+    return m.groupBy("ref_id").agg(F.sum(F.col("mapable").cast("long")).alias("mapable"), F.sum((F.col("off") <= F.col("len") - 36).cast("long")).alias("windows"), F.sum("covering").alias("covered"))
+
+
+# pairs of texts are compared here that are equal without one of six blocks; a window with an N is looked up without its block
+@query(f"""{_WINDOWS}, t AS (SELECT w, sum(n)::BIGINT AS m FROM (SELECT w, count(*) AS n FROM k WHERE NOT contains(w, 'N') GROUP BY 1 UNION ALL SELECT {sql.rc("w")}, count(*) FROM k WHERE NOT contains(w, 'N') GROUP BY 1 UNION ALL SELECT DISTINCT w, 0 FROM k WHERE len(w) - len(replace(w, 'N', '')) = 1) GROUP BY 1),
+b AS (SELECT w, m, q, substr(w, 1, 6 * q::INT) || '.' || substr(w, 6 * q::INT + 7) AS rest FROM t, range(6) AS g(q)),
+x AS (SELECT q, rest FROM b WHERE NOT contains(rest, 'N') GROUP BY ALL HAVING count(*) > 1), y AS (SELECT b.* FROM b JOIN x USING (q, rest)),
+p AS (SELECT a.w, sum(o.m)::BIGINT AS others FROM y a JOIN y o ON a.q = o.q AND a.rest = o.rest AND hamming(a.w, o.w) = 1 GROUP BY 1),
+u AS (SELECT t.w FROM t LEFT JOIN p USING (w) WHERE m + coalesce(others, 0) = 1), r AS (SELECT k.ref_id, u.w IS NOT NULL AS ok FROM k LEFT JOIN u USING (w))
+SELECT ref_id, count(*) FILTER (ok)::BIGINT AS mapable, count(*)::BIGINT AS windows, (36 * count(*) FILTER (ok))::BIGINT AS covered FROM r GROUP BY 1""")
+def mapability_v1(spark, sf_dir):
+    """Windows with one placement where a mismatch is allowed, over all documents."""
+    refs = tables.refs(spark, sf_dir)
+    m = classes.mapable(tables.index(spark, sf_dir), tables.window_classes(spark, sf_dir), mm(1))
+    return _covered(analysis.running(m, refs, 36), refs)
+
+
+@query(f"""{_WINDOWS}, c AS (SELECT w, count(*) AS n FROM k WHERE NOT contains(w, 'N') GROUP BY 1) SELECT n::BIGINT AS places, count(*)::BIGINT AS classes, md5(min(w)) AS least, md5(max(w)) AS greatest FROM c GROUP BY 1""")
+def window_classes(spark, sf_dir):
+    """How many texts of windows occur how often."""
+    c = tables.window_classes(spark, sf_dir).table
+    return c.groupBy(F.col("n").alias("places")).agg(F.count("*").alias("classes"), F.md5(F.min("window")).alias("least"), F.md5(F.max("window")).alias("greatest"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import prose_to_dna, reverse_complement
-from ..operators import analysis, joined
+from ..operators import analysis, classes, joined
 from ..operators import index as indexes
 from ..sources import references
 from ..sources.reads import windows
@@ -60,6 +60,17 @@ def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_sorted[key])
 
 
+_classes: dict[tuple[str, str], classes.Classes] = {}
+
+
+def window_classes(spark: SparkSession, sf_dir: str) -> classes.Classes:
+    """The classes of refs()' windows of WIDTH bases, made by the first query of a session that needs them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _classes:
+        _classes[key] = classes.build(index(spark, sf_dir), WIDTH)
+    return _classes[key]
+
+
 def item_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "benchmark").select("item_id", prose_to_dna("text").alias("dna"))
     return references.from_table(d, "item_id", "item_id", "dna")
