@@ -2,8 +2,8 @@
 
 build() sorts all windows of one width by text and place over the cluster. A class is a text, how often it
 occurs (n) and the number of its first place; its places have the numbers from there on. Reads are joined
-with classes by blocks, so a placement is counted, not made, and limits (-m, -M, -k, --strata) are decided
-by sums of n. Only what is reported becomes rows: the numbers of its places, joined with the places one to
+with classes by keys of one to three blocks (a lossless family of spaced seeds, wider the more classes there
+are), so a placement is counted, not made, and limits (-m, -M, -k, --strata) are decided by sums of n. Only what is reported becomes rows: the numbers of its places, joined with the places one to
 one, so a repeat that is a third of the reference is no task's group.
 
 A table of classes serves reads of its width. Windows with N are in none.
@@ -12,8 +12,10 @@ A table of classes serves reads of its width. Windows with N are in none.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
+from math import comb
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
@@ -60,29 +62,54 @@ def build(refs: DataFrame | Tiled, width: int) -> Classes:
     return Classes(width, table, placed.select("place", "ref_id", "off"))
 
 
-def found(reads: DataFrame, c: Classes, opts: AlignOptions, max_bytes: int = BROADCAST) -> DataFrame:
-    """The classes that reads can be placed in: read_id, mate, name, fw, seq, qual, len, stratum, penalty, cost, mms, window, n, first, trimmed5, trimmed3.
+def family(seed: int, budget: int, texts: int, most: float = 1.0) -> tuple[int, int]:
+    """Blocks that a seed part is cut into, and how many of them a key has: of budget + r blocks r are equal in any placement, and every r of them are a key.
 
-    Of budget + 1 blocks of the seed part one is equal. Keys are broadcast while their counted bytes are at most max_bytes;
-    beyond that keys and classes are shuffled by block.
+    The fewest are taken (r from 1 on) with which a read meets at most `most` of so many texts by chance, so that candidates
+    a read don't grow with the reference; if none does, those that meet the fewest.
+    """
+    options = []
+    for exact in (1, 2, 3):
+        blocks = budget + exact
+        if seed >= blocks:
+            options.append((comb(blocks, exact) * texts / 4.0 ** (seed // blocks * exact), exact, blocks))
+    chance, exact, blocks = next((o for o in options if o[0] <= most), min(options))
+    return blocks, exact
+
+
+def candidates(reads: DataFrame, c: Classes, opts: AlignOptions, max_bytes: int = BROADCAST, exact: int | None = None) -> tuple[DataFrame, Column]:
+    """Classes where a key of a read is found, a row for each key that finds one, and whether a row, of which `at` says where read and window differ, has the first such key. exact: blocks a key has, if not family()'s.
+
+    Keys are broadcast while their counted bytes are at most max_bytes; beyond that keys and classes are shuffled by key.
     """
     probes = oriented(reads, opts)
     facts = probes.agg(F.count("*").alias("n"), F.min("len").alias("low"), F.max("len").alias("high")).first()
     if facts["n"] and (facts["low"], facts["high"]) != (c.width, c.width):
         raise ValueError(f"the classes are for reads of {c.width} bases, the reads have {facts['low']} to {facts['high']}")
-    blocks = opts.budget + 1
     seed = c.width if opts.mode == "v" else min(opts.seed_len, c.width)
-    size = seed // blocks
-    starts = sorted({at + b * size for at in (0, c.width - seed) for b in range(blocks)})
-    text = lambda s: F.substring(s, F.col("start") + 1, F.lit(size))
-    keys = probes.select(*READ_KEY, "fw", "probe", "len", "seed_at", "seed_n", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    keys = keys.withColumn("start", F.col("seed_at") + F.col("block") * size).withColumn("text", text("probe")).filter(~F.contains("text", F.lit("N")))
-    few = facts["n"] * blocks * (c.width + size + 80) <= max_bytes
-    own = c.table.withColumn("start", F.explode(F.array(*map(F.lit, starts)))).withColumn("text", text("window"))
-    cands = own.join(F.broadcast(keys) if few else keys, ["start", "text"]).filter(close_enough(F.col("window"), opts))
-    cands = cands.withColumns({"blen": F.lit(size), "k": F.lit(size), "errors": F.lit(0)})
-    rest = probes.select(*READ_KEY, "fw", "name", "pqual", "trimmed5", "trimmed3")
-    d = judged(cands.join(rest, [*READ_KEY, "fw"]), opts)
+    blocks, exact = (opts.budget + exact, exact) if exact else family(seed, opts.budget, c.table.count())
+    size, keys = seed // blocks, list(combinations(range(blocks), exact))
+
+    def each(text: str, begin: Column) -> Column:
+        part = lambda b: F.substring(text, begin + b * size + 1, F.lit(size))
+        return F.array(*[F.struct(begin.cast("int").alias("begin"), F.lit(i).alias("key"), F.concat(*map(part, key)).alias("text")) for i, key in enumerate(keys)])
+
+    own = probes.select(*READ_KEY, "fw", "probe", "len", "seed_at", "seed_n", F.inline(each("probe", F.col("seed_at")))).filter(~F.contains("text", F.lit("N")))
+    begins = [F.lit(at) for at in sorted({0, c.width - seed})]
+    there = c.table.select("window", "n", "first", F.inline(F.concat(*[each("window", at) for at in begins])))
+    few = facts["n"] * len(keys) * (c.width + exact * size + 80) <= max_bytes
+    d = there.join(F.broadcast(own) if few else own, ["begin", "key", "text"])
+    # the first key is that of the first equal blocks: no others lie before its last one
+    last = F.element_at(F.array(*[F.lit(key[-1]) for key in keys]), F.col("key") + 1)
+    wrong = F.array_distinct(F.transform("at", lambda i: F.floor((i - F.col("seed_at")) / size).cast("int")))
+    return d, F.size(F.filter(wrong, lambda b: (b >= 0) & (b < last))) == last + 1 - exact
+
+
+def found(reads: DataFrame, c: Classes, opts: AlignOptions, max_bytes: int = BROADCAST, exact: int | None = None) -> DataFrame:
+    """The classes that reads can be placed in: read_id, mate, name, fw, seq, qual, len, stratum, penalty, cost, mms, window, n, first, trimmed5, trimmed3."""
+    cands, once = candidates(reads, c, opts, max_bytes, exact)
+    rest = oriented(reads, opts).select(*READ_KEY, "fw", "name", "pqual", "trimmed5", "trimmed3")
+    d = judged(cands.filter(close_enough(F.col("window"), opts)).join(rest, [*READ_KEY, "fw"]), opts, once)
     return d.select(*READ_KEY, "name", "fw", "seq", "qual", "len", "stratum", "penalty", "cost", "mms", "window", "n", "first", "trimmed5", "trimmed3")
 
 

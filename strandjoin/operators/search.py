@@ -121,10 +121,10 @@ def _first_block() -> Column:
     return ok
 
 
-def judged(cands: DataFrame, opts: AlignOptions) -> DataFrame:
-    """Candidates with their window: the valid ones, with seq and qual as placed, stratum, penalty, cost and mismatches by position from the 5' end."""
+def judged(cands: DataFrame, opts: AlignOptions, once: Column | None = None) -> DataFrame:
+    """Candidates with their window: the valid ones, with seq and qual as placed, stratum, penalty, cost and mismatches by position from the 5' end. once: which rows of `at` are kept of a placement found several times, if not those of the first block."""
     # exploded, as predicates on a projected column would compute it anew below the joins
-    d = cands.withColumn("at", F.explode(F.array(mismatches(F.col("probe"), F.col("window"))))).filter(_first_block())
+    d = cands.withColumn("at", F.explode(F.array(mismatches(F.col("probe"), F.col("window"))))).filter(_first_block() if once is None else once)
     five = lambda i: F.when(F.col("fw"), i).otherwise(F.col("len") - 1 - i)
     cost = lambda i: penalty(F.ascii(F.substring("pqual", i + 1, F.lit(1))) - 33, opts.rounding)
     d = d.withColumn("penalty", F.aggregate("at", F.lit(0), lambda a, i: a + cost(i)))

@@ -68,6 +68,24 @@ def test_keys_too_large_to_broadcast(case):
     assert rows(classes.found(reads, c, o, max_bytes=0)) == rows(classes.found(reads, c, o))
 
 
+@pytest.mark.parametrize("opts", [{"v": 2}, {"v": 3, "reverse": False}, {"mode": "n", "n": 1, "seed_len": 13, "max_penalty": 60}], ids=str)
+def test_wider_keys_find_the_same(case, opts):
+    reads, _, _, c = case
+    o = AlignOptions(**({"mode": "v", "every": True} | opts))
+    rows = lambda exact: sorted(str(r) for r in classes.found(reads, c, o, exact=exact).collect())
+    one = rows(1)
+    assert one and len(set(one)) == len(one) and rows(2) == one == rows(3)
+
+
+def test_keys_by_the_number_of_texts():
+    assert classes.family(36, 2, 1_800_000) == (3, 1) and classes.family(36, 2, 18_000_000) == (4, 2)
+    assert classes.family(36, 0, 10**12) == (1, 1) and classes.family(28, 2, 3 * 10**9)[1] > 1
+    assert classes.family(4, 3, 100) in ((4, 1),)
+    for texts in (10**6, 10**8, 3 * 10**9):
+        blocks, exact = classes.family(36, 2, texts)
+        assert classes.comb(blocks, exact) * texts <= 4 ** (36 // blocks * exact)
+
+
 def test_fewer_rows_than_placements(case):
     """Over a limit nothing is expanded, and what is counted is a row a class."""
     reads, refs, _, c = case
