@@ -11,8 +11,8 @@ symbols on average with a deviation of 4; the bound of 39 is missed by about one
 Documents with equal sets are one class, of which only the first takes part. A bucket's members are
 compared with two pivots, its first member and the one that shares most keys; after the components
 of those links, members of a bucket that are still in different components are compared in blocks
-of about four thousand at most, a pair of blocks in a task, each pair in the first bucket that it shares;
-what leaves a block are the partners under the distance bound. So all links between components are
+of about four thousand members or a million shingles, a pair of blocks in a task, but for blocks of one
+and the same component, and each pair in the first bucket that it shares; what leaves a block are the partners under the distance bound. So all links between components are
 found, and no table of all pairs within a group is made. Candidates under the distance bound are
 confirmed on the full sets.
 
@@ -28,15 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, materialise, partitions, unique_ids
+from .common import as_bytes, few, map_batches, materialise, partitions, unique_ids
 from .components import components
 from .runs import key_runs
 
 CHUNK = 5
 SALTS = 16
+#: So many partners of a pivot are compared with it in one place.
+PARTNERS = 256
 SIGNED = "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, sig binary"
 
 
@@ -131,8 +133,10 @@ def _near(most: int):
 
 
 def _confirm(words: int, percent: int):
+    """Links of a pivot, whose row comes before those of its partners."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
+        own: set = set()
 
         def full(raw: bytes) -> set:
             w = raw.lower().split()
@@ -140,13 +144,13 @@ def _confirm(words: int, percent: int):
 
         for b in batches:
             keep = []
-            for u, x, y in zip(b["u"].to_pylist(), b["u_raw"], b["v_raw"], strict=True):
-                if u != last:
-                    last, own = u, full(x.as_py())
-                other = full(y.as_py())
+            for partner, raw in zip(b["partner"].to_pylist(), b["raw"], strict=True):
+                other = full(raw.as_py())
+                if not partner:
+                    own = other
                 both = len(own & other)
-                keep.append(100 * both >= percent * (len(own) + len(other) - both))
-            out = pa.RecordBatch.from_arrays([b["u"], b["v"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                keep.append(partner and 100 * both >= percent * (len(own) + len(other) - both))
+            out = pa.RecordBatch.from_arrays([b["pivot"], b["id"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
             if out.num_rows:
                 yield out
 
@@ -174,8 +178,16 @@ def confirmed(pairs: DataFrame, first: DataFrame, texts: DataFrame, words: int,
     near = materialise(map_batches(near.select("u", "v", "u_sig", "v_sig"), _near(most), "u long, v long"), "near")
     ids = near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct()
     used = materialise(texts_of(ids, first, texts), "near_texts")
-    both = near.join(used.select(F.col("doc_id").alias("v"), F.col("raw").alias("v_raw")), "v").join(used.select(F.col("doc_id").alias("u"), F.col("raw").alias("u_raw")), "u")
-    return materialise(both.select("u", "v", "u_raw", "v_raw").mapInArrow(_confirm(words, percent), "u long, v long"), "confirmed")
+    # the document with more pairs is the pivot; its text goes once to each share of its partners
+    n_pairs = near.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    near = near.join(n_pairs.select(F.col("id").alias("u"), F.col("n").alias("n_u")), "u").join(n_pairs.select(F.col("id").alias("v"), F.col("n").alias("n_v")), "v")
+    more = F.col("n_u") >= F.col("n_v")
+    near = near.select(F.when(more, F.col("u")).otherwise(F.col("v")).alias("pivot"), F.when(more, F.col("v")).otherwise(F.col("u")).alias("id"), F.ceil(F.greatest("n_u", "n_v") / PARTNERS).alias("shares"))
+    near = materialise(near.select("pivot", F.pmod(F.xxhash64("id"), "shares").alias("share"), "id"), "pivots")
+    own = near.select("pivot", "share").distinct().select("pivot", "share", F.col("pivot").alias("id"), F.lit(False).alias("partner"))
+    rows = near.select("pivot", "share", "id", F.lit(True).alias("partner")).unionByName(own).join(used.withColumnRenamed("doc_id", "id"), "id")
+    dealt = rows.repartition(partitions(first.sparkSession), "pivot", "share").sortWithinPartitions("pivot", "share", "partner")
+    return materialise(dealt.select("pivot", "id", "partner", "raw").mapInArrow(_confirm(words, percent), "u long, v long"), "confirmed")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -248,8 +260,8 @@ def _confirm_runs(words: int, percent: int):
         for t in _runs(batches, ["k1", "pa", "pb"]):
             codes: dict[tuple, int] = {}
             sets: dict[int, frozenset] = {}
-            for i, raw in zip(t["id"].to_pylist(), t["raw"].to_pylist(), strict=True):
-                w = raw.lower().split()
+            for i, raw in zip(t["id"].to_pylist(), t["raw"], strict=True):
+                w = raw.as_py().lower().split()
                 grams = zip(*(w[j:] for j in range(words)), strict=False) if len(w) >= words else [tuple(w)]
                 sets[i] = frozenset([codes.setdefault(g, len(codes)) for g in grams])
             root = {i: i for i in sets}
@@ -280,21 +292,45 @@ def _confirm_runs(words: int, percent: int):
     return run
 
 
-def across(buckets: DataFrame, links: DataFrame, first: DataFrame, texts: DataFrame, words: int, percent: int, chunks: int, most_members: int = 4_000) -> DataFrame:
+def blocks(placed: DataFrame, most_members: int, most_shingles: int) -> DataFrame:
+    """The rows of buckets with several components (k1, slot, id, component, n_shingles), dealt to pairs of blocks: k1, pa, pb, slot, block, id, component.
+
+    A block has about most_members members and most_shingles shingles. A component that fills a
+    quarter of one has blocks of its own, the others share theirs, so that no two blocks of one
+    component are ever paired, nor such a block with itself.
+    """
+    keys = placed.groupBy("k1").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).filter("a <> b")
+    keys = materialise(keys.select("k1", F.expr(f"n > {most_members} OR s > {most_shingles}").alias("wide")), "open_keys")
+    weight = F.greatest(F.count("*") / most_members, F.sum("n_shingles") / most_shingles)
+    parts = placed.join(keys.filter("wide").select("k1"), "k1", "left_semi").groupBy("k1", "component").agg(weight.alias("weight"))
+    parts = materialise(parts.withColumn("own", F.col("weight") >= 0.25), "parts")
+    of_own = F.when(F.col("own"), F.ceil("weight"))
+    sizes = parts.groupBy("k1").agg(F.coalesce(F.ceil(F.sum(F.when(~F.col("own"), F.col("weight")))), F.lit(0)).alias("mixed"), F.coalesce(F.sum(of_own), F.lit(0)).alias("n_own"))
+    # read afresh, so that a hot bucket's rows can be split
+    keys = materialise(keys.join(sizes, "k1", "left").select("k1", F.coalesce("mixed", F.lit(1)).alias("mixed"), (F.coalesce("mixed", F.lit(1)) + F.coalesce("n_own", F.lit(0))).alias("blocks")), "block_counts")
+    before = F.coalesce(F.sum("n_own").over(Window.partitionBy("k1").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    owned = parts.filter("own").select("k1", "component", F.ceil("weight").alias("n_own")).withColumn("before", before)
+    owned = materialise(owned.join(sizes.select("k1", "mixed"), "k1").select("k1", "component", (F.col("mixed") + F.col("before")).alias("from"), "n_own"), "own_blocks")
+    rows = placed.join(keys, "k1").join(few(owned, 100_000), ["k1", "component"], "left")
+    own, shared = F.col("from") + F.pmod(F.xxhash64("id"), F.col("n_own")), F.pmod(F.xxhash64("component"), F.greatest("mixed", F.lit(1)))
+    rows = rows.withColumn("block", F.when(F.col("from").isNotNull(), own).otherwise(shared))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    met = F.when(F.col("from").isNull(), every).otherwise(F.filter(every, lambda j: (j < F.col("from")) | (j >= F.col("from") + F.col("n_own"))))
+    rows = rows.withColumn("j", F.explode(met))
+    return rows.select("k1", F.least("block", "j").cast("int").alias("pa"), F.greatest("block", "j").cast("int").alias("pb"), "slot", F.col("block").cast("int").alias("block"), "id", "component")
+
+
+def across(buckets: DataFrame, links: DataFrame, first: DataFrame, texts: DataFrame, words: int, percent: int, chunks: int, most_members: int = 4_000, most_shingles: int = 1_000_000) -> DataFrame:
     """Links between members of a bucket that the given links leave in different components.
 
     A bucket is compared in blocks inside a task and only partners leave it, as lists; a bucket over
-    most_members is dealt to several tasks by pairs of blocks.
+    most_members or most_shingles is dealt to several tasks by pairs of blocks.
     """
     n_parts = partitions(buckets.sparkSession)
-    found = components(links)
-    placed = buckets.select("k1", "slot", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = placed.groupBy("k1").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a <> b")
-    n_blocks = F.ceil(F.col("n") / most_members).cast("int")
-    open_keys = materialise(open_keys.select("k1", n_blocks.alias("blocks")), "open_keys")  # read afresh, so that a hot bucket's rows can be split
-    rest = placed.join(open_keys, "k1").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("k1", "slot", F.least("block", "j").alias("pa"), F.greatest("block", "j").alias("pb"), "block", "id", "component")
+    nodes = first.select(F.col("doc_id").alias("id"), "n_shingles").dropDuplicates(["id"])
+    nodes = nodes.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = buckets.select("k1", "slot", "id").join(nodes, "id")
+    rest = blocks(placed, most_members, most_shingles)
     rest = rest.join(first.select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"]), "id")
     by = ["k1", "pa", "pb"]
     dealt = rest.repartition(n_parts, *by).sortWithinPartitions(*by)
@@ -312,7 +348,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
     signed = materialise(map_batches(texts, _sign(words, chunks), SIGNED), "signed")
     # classes of equal sets; the first of a class takes part
     classes = key_runs(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL"), ["doc_id", "text_hash"], 2, "doc_id", "classes")
-    first = materialise(classes.filter("doc_id = run_first").dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "text_hash", "k1", "k2", "sig"), "first")
+    first = materialise(classes.filter("doc_id = run_first").dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "text_hash", "k1", "k2", "n_shingles", "sig"), "first")
     buckets = key_runs(map_batches(first.select("doc_id", "sig"), _keys(chunks), "k1 long, k2 long, id long, slot int"), ["id"], 2, "id", "buckets", only_big=True)
     buckets = buckets.select("k1", "k2", "id", "slot", F.col("run_first").alias("pivot"))
     shared = buckets.groupBy("id").agg((-F.count("*")).alias("rank"))

@@ -365,3 +365,21 @@ def test_relatives_in_blocks(spark):
         links = N.across(buckets, none, first, texts, 2, 80, 20, most)
         got = {r["node"]: r["component"] for r in components(links).collect()}
         assert {d: got.get(d, d) for d, _ in rows} == {d: v[1] for d, v in want.items()}
+
+
+def test_blocks_of_one_component_are_not_paired(spark):
+    rows = [(1, 0, i, 0, 10) for i in range(400)] + [(1, 0, 1000 + i, 1000 + i // 3, 10) for i in range(30)] + [(2, 1, i, i, 10) for i in range(5)] + [(3, 1, i, 7, 10) for i in range(50)]
+    placed = spark.createDataFrame(rows, "k1 long, slot int, id long, component long, n_shingles long")
+    got = N.blocks(placed, 40, 10_000).collect()
+    assert {r["k1"] for r in got} == {1, 2}
+    runs = {}
+    for r in got:
+        runs.setdefault((r["k1"], r["pa"], r["pb"]), []).append(r)
+    met = {(k1, *sorted((x["id"], y["id"]))) for (k1, a, b), m in runs.items() for x in m for y in m if x["id"] < y["id"] and x["component"] != y["component"] and (a == b or x["block"] != y["block"])}
+    component = {(k, i): c for k, _, i, c, _ in rows}
+    assert met == {(k, i, j) for k, i in component for m, j in component if k == m and i < j and component[k, i] != component[k, j]}
+    # the large component's members go to the one block of the others, not to the nine of their own
+    assert sum(r["id"] < 400 and r["k1"] == 1 for r in got) == 400
+    tight = N.blocks(placed, 40, 100).collect()  # long documents make more blocks
+    assert len({(r["pa"], r["pb"]) for r in tight if r["k1"] == 1}) > len({(r["pa"], r["pb"]) for r in got if r["k1"] == 1})
+    assert N.blocks(placed.limit(0), 40, 100).count() == 0
