@@ -52,7 +52,8 @@ def build(refs: DataFrame | Tiled, path: str, buckets: int | None = None, offrat
     meta["buckets"] = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not only_tiles:
         spark.sql(f"DROP TABLE IF EXISTS {meta['table']}")
-        grams = kmers(t).repartition(meta["buckets"], "kmer")
+        # a partition is a bucket; adaptive execution cuts one that a hot k-mer swells into several tasks, each of which writes a file of the bucket
+        grams = kmers(t).hint("rebalance", meta["buckets"], "kmer")
         grams.write.mode("overwrite").format("parquet").bucketBy(meta["buckets"], "kmer").sortBy("kmer", "ref_id", "pos").option("path", f"{path}/kmers").saveAsTable(meta["table"])
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 

@@ -172,13 +172,22 @@ def probe_words(plan: DataFrame) -> DataFrame:
     return plan.withColumns({f"p_{k}": v for k, v in made.items()})
 
 
-def candidates(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = 1_000_000) -> tuple[DataFrame, Tiled, int] | None:
+#: Keys are broadcast up to so many bytes.
+BROADCAST = 128 << 20
+
+
+def key_bytes(length: Column) -> Column:
+    """What a row of a key takes, at most: the probe's text and its words, and its other columns."""
+    return length + len(PROBE_WORDS) * 8 * (F.floor(length / WORD) + 3) + 160
+
+
+def candidates(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = BROADCAST) -> tuple[DataFrame, Tiled, int] | None:
     """Places where a key of a read is found, one row for each key and block that finds it, the opened references and the longest read's length; None if no read can be searched."""
     spark = reads.sparkSession
     probes = oriented(reads, opts)
     plan = planned(probes, opts)
-    # one row for each key width, with the most keys that there can be
-    most = F.sum(F.col("blocks") * (1 + 3 * F.col("k") * F.col("errors")))
+    # one row for each key width, with the bytes of the most keys that there can be
+    most = F.sum(F.col("blocks") * (1 + 3 * F.col("k") * F.col("errors")) * key_bytes(F.col("len")))
     facts = plan.groupBy("k").agg(F.max("len").alias("longest"), most.alias("n")).collect()
     if not facts:
         return None
@@ -202,8 +211,8 @@ def candidates(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int =
     return cands.withColumn("off", off).filter("off >= 0").select(*READ_KEY, "fw", "probe", "len", "seed_at", "seed_n", "blen", "k", "errors", "block", F.col("ref_id"), "off", *[c for c in cands.columns if c.startswith("p_")]), refs, longest
 
 
-def align(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = 1_000_000) -> DataFrame:
-    """Every valid placement of every read, as HIT. refs: rows of references, tiles, or an opened index. Reads are trimmed and chosen before."""
+def align(reads: DataFrame, refs, opts: AlignOptions, max_broadcast: int = BROADCAST) -> DataFrame:
+    """Every valid placement of every read, as HIT. refs: rows of references, tiles, or an opened index. Reads are trimmed and chosen before. Keys over max_broadcast bytes are shuffled."""
     found = candidates(reads, refs, opts, max_broadcast)
     if found is None:
         return reads.sparkSession.createDataFrame([], HIT)

@@ -169,7 +169,7 @@ def test_random_against_brute_force(spark, case, tmp_path):
     assert set(found) == brute(refs, reads, o)
     if case in (2, 7):
         index.build(ref, str(tmp_path / "idx"))
-        found = [tuple(x) for most in (0, 10**6) for x in align(df, index.load(spark, str(tmp_path / "idx")), o, most).select("read_id", "fw", "ref_id", "off", "stratum", "penalty").collect()]
+        found = [tuple(x) for most in (0, 10**9) for x in align(df, index.load(spark, str(tmp_path / "idx")), o, most).select("read_id", "fw", "ref_id", "off", "stratum", "penalty").collect()]
         assert sorted(found) == sorted([*brute(refs, reads, o)] * 2)
     if case in (1, 6):
         found = [tuple(x) for x in align(df, ref, o, max_broadcast=0).select("read_id", "fw", "ref_id", "off", "stratum", "penalty").collect()]

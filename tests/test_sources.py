@@ -196,3 +196,26 @@ def test_stream(spark, tmp_path):
     q = align_stream(spark.readStream.schema(READS).parquet(str(tmp_path / "in")), references.literals(spark, "TTACGTTAA"), AlignOptions(mode="v", v=0), lambda d, n: out.extend((r["read_id"], r["off"]) for r in d.collect()), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert out == [(0, 2)]
+
+
+def test_a_hot_kmer_is_written_by_several_tasks(spark, tmp_path):
+    """One long run of a base fills a bucket; its rows are cut into several files, and a bucketed join still finds all of them."""
+    path, n = str(tmp_path / "idx"), 8 * (9_000 - 13)
+    refs = references.literals(spark, ",".join(["A" * 9_000 + "CGTACGTTACGTAC"] * 8)).repartition(4, "ref_id")
+    own = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        index.build(refs, path, buckets=4)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    grams = index.load(spark, path).kmers()
+    files = grams.filter("kmer = 0 AND span = 14").groupBy(F.input_file_name().alias("file")).count().collect()
+    assert len(files) > 1 and sum(r["count"] for r in files) == n
+    buckets = {r["file"].rsplit("_", 1)[1].split(".")[0] for r in files}
+    assert len(buckets) == 1
+    keys = spark.createDataFrame([(0,), (5,)], "kmer long").hint("merge")
+    found = grams.filter("span = 14").join(keys, "kmer")
+    assert found.count() == n and "Bucketed: true" in found._jdf.queryExecution().toString()
