@@ -234,3 +234,23 @@ def test_packed_words(spark):
         if not x["broken"]:
             part = range(x["low"], x["low"] + x["n"])
             assert x["wrong"] == sum(window[k] != x["read"][k] or x["read"][k] == "N" for k in part)
+
+
+def test_few_keys_are_looked_up_in_tiles(spark, tmp_path):
+    """An index without k-mers: placements over a tile's end, beside an N and at both ends, as by shuffled k-mers; no row of a k-mer is shuffled."""
+    rng = random.Random(5)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(4096)) + "N" + "".join(rng.choice("ACGT") for _ in range(4200)), "ACGT" * 40, "A", ""]
+    refs = references.from_table(spark.createDataFrame(list(enumerate(seqs)), "id long, seq string"), "id", "id", "seq")
+    path = f"{tmp_path}/tiles"
+    index.build(refs, path, only_tiles=True)
+    i = index.load(spark, path)
+    assert not i.meta["kmers"] and [tuple(r) for r in i.refs.select("ref_id", "len").orderBy("ref_id").collect()] == [(k, len(s)) for k, s in enumerate(seqs)]
+    texts = [s[at : at + n] for s, at, n in ((seqs[0], 0, 36), (seqs[0], 4060, 36), (seqs[0], 4070, 36), (seqs[0], 4097, 36), (seqs[0], 8180, 36), (seqs[0], 8000, 297), (seqs[0], len(seqs[0]) - 36, 36), (seqs[1], 1, 36), (seqs[1], 1, 200))]
+    rows = [(k, 0, f"r{k}", s, "I" * len(s), s, 0, 0) for k, s in enumerate(texts)]
+    reads = spark.createDataFrame(rows, "read_id long, mate int, name string, seq string, qual string, raw string, trimmed5 int, trimmed3 int")
+    for part in (reads.filter("length(seq) < 40"), reads):  # compared packed, and as text
+        o = AlignOptions(mode="v", v=1, every=True)
+        shown = lambda d: sorted(str(r) for r in d.collect())
+        found = align(part, i, o)
+        assert len(shown(found)) > 30 and shown(found) == shown(align(part, i, o, max_broadcast=-1))
+    assert "kmers" not in str(found._jdf.queryExecution().optimizedPlan())
