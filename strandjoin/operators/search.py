@@ -129,7 +129,7 @@ def walked(t: Tiled, own: DataFrame, k: int, longest: int) -> DataFrame:
     d = d.withColumn("off", F.col("pos") - F.col("seed_at") - F.col("block") * F.col("blen"))
     d = d.filter((F.col("off") >= F.col("t0")) & (F.col("off") < F.col("t0") + t.step)).drop("pos", "kmer", "seed")
     if chunks <= PACKED:
-        i = F.floor((F.col("off") - F.col("t0")) / WORD).cast("int")
+        i = F.greatest(F.floor((F.col("off") - F.col("t0")) / WORD).cast("int"), F.lit(0))  # conditions may be taken in another order
         d = d.withColumns({"words": F.slice("words", i + 1, F.lit(chunks + 1)), "ns": F.slice("ns", i + 1, F.lit(chunks + 1)), "t0": F.col("t0") + i * WORD})
     else:
         d = d.drop("words")

@@ -171,3 +171,16 @@ def test_no_window(spark):
     o = AlignOptions(mode="v", v=1, every=True)
     assert c.table.count() == 0
     assert [tuple(r) for r in classes.mapable(refs, c, o).orderBy("off").collect()] == [(2, i, False) for i in range(11)]
+
+
+@pytest.mark.parametrize("opts", [{"every": True, "m": 3}, {"k": 1, "sample_m": 2}, {"mode": "n", "n": 1, "seed_len": 12, "max_penalty": 60, "k": 3}], ids=str)
+def test_classes_of_few_reads(case, opts):
+    """Of the windows that keys find alone: fewer classes, the same reports."""
+    reads, refs, _, c = case
+    reads = reads.filter("read_id < 3")
+    o = AlignOptions(**({"mode": "v", "v": 2} | opts))
+    own = classes.build(refs, WIDTH, reads, o)
+    assert 0 < own.table.count() < c.table.count()
+    shown = lambda c: sorted(tuple(r) for r in classes.expanded(classes.chosen(classes.found(reads, c, o), o), c, o).select(*COLUMNS).collect())
+    assert shown(own) == shown(c) != []
+    assert classes.build(refs, WIDTH, reads.limit(0), o).table.isEmpty()
