@@ -184,3 +184,25 @@ def test_classes_of_few_reads(case, opts):
     shown = lambda c: sorted(tuple(r) for r in classes.expanded(classes.chosen(classes.found(reads, c, o), o), c, o).select(*COLUMNS).collect())
     assert shown(own) == shown(c) != []
     assert classes.build(refs, WIDTH, reads.limit(0), o).table.isEmpty()
+
+
+@pytest.mark.parametrize("width", [7, 24, 36, 45])
+def test_near_counts_by_packed_rows(spark, width):
+    """Rows of blocks are numbers, of an even width for half the blocks, and say the same as all pairs; so do windows of more than one word and of odd widths."""
+    rng = random.Random(width)
+    unit = "".join(rng.choice("ACGT") for _ in range(60))
+    near = [unit[:i] + rng.choice("ACGTN") + unit[i + 1 :] for i in (3, 20, 30, 41, 59)]
+    turned = unit.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    seqs = [unit, *near, turned, turned[:25] + "C" + turned[26:], "AC" * 30]
+    refs = references.from_table(spark.createDataFrame(list(enumerate(seqs)), "id long, seq string"), "id", "id", "seq")
+    c = classes.build(refs, width)
+    rc = lambda w: w.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    windows = [s[i : i + width] for s in seqs for i in range(len(s) - width + 1)]
+    texts = [t for w in windows if "N" not in w for t in (w, rc(w))]
+    differ = lambda a, b: sum(x != y for x, y in zip(a, b))
+    want = {w: sum(differ(w, t) <= 1 for t in texts) for w in windows if w.count("N") <= 1}
+    got = {r["window"]: r["hits"] for r in classes.near_counts(refs, c).collect()}
+    assert {w: n for w, n in got.items() if w in want} == want
+    d = spark.createDataFrame([("A" * width, 1)], "window string, m long")
+    rows = d.mapInArrow(classes._without_blocks(width), ", ".join(f"{r} long" for r in classes._rest_names(width)) + ", part int, m long")
+    assert rows.count() == -(-(width if width % 2 else width // 2) // classes.BLOCK)
