@@ -71,6 +71,31 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+class Memo(dict):
+    """What make() says of short strings (or bytes), looked up where they have come before; of two generations the older one goes when the newer has `most`.
+
+    Each task has its own: workers outlive tasks, and what one stage remembers would stay in memory while others run.
+    """
+
+    def __init__(self, most: int = 100_000):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """fn over Arrow batches that don't depend on each other, a thousand rows at a time, as it makes Python objects of them."""
 

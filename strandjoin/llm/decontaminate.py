@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, materialise, unique_ids
+from .common import Memo, few, materialise, unique_ids
 
 FOUND = "doc_id long, item_id long, n_matched int, n_windows int, similarity double, reparameterised boolean"
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:;|\n]")
@@ -40,16 +40,11 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 BITS = 22
 
 
-class ChunkCodes(dict):
+class ChunkCodes(Memo):
     """Text without spaces -> its tokens' codes (hash << 3 | kind) as bytes: kind 0 a word, 1 a number, 2 capitalised, 3 a possible unit, 4 an end of a sentence."""
 
-    def __missing__(self, chunk: str) -> bytes:
-        codes = np.array([self.code(t) for t in TOKEN.findall(chunk)], np.uint64).tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= 500_000:
-                self.clear()
-            self[chunk] = codes
-        return codes
+    def make(self, chunk: str) -> bytes:
+        return np.array([self.code(t) for t in TOKEN.findall(chunk)], np.uint64).tobytes()
 
     @staticmethod
     def code(token: str) -> int:
@@ -65,12 +60,9 @@ class ChunkCodes(dict):
         return (xxhash.xxh3_64_intdigest(token.lower()) << 3 & 0xFFFFFFFFFFFFFFFF) | kind
 
 
-CODES = ChunkCodes()
-
-
-def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def template(text: str, codes: ChunkCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template hashes, original hashes, slot flags) of the text's tokens."""
-    raw = np.frombuffer(b"".join(map(CODES.__getitem__, text.replace("\n", " \n ").split(" "))), np.uint64)
+    raw = np.frombuffer(b"".join(map(codes.__getitem__, text.replace("\n", " \n ").split(" "))), np.uint64)
     kind = (raw & np.uint64(7)).astype(np.int8)
     end = kind == 4
     opens = np.ones(len(raw), bool)  # the first token of a sentence is capitalised anyway
@@ -112,10 +104,11 @@ def item_windows(items: DataFrame, window: int, min_tokens: int) -> DataFrame:
     """A row for each window of each item and hash that it is looked up by. items: item (unique), item_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = ChunkCodes()
         for batch in batches:
             rows = []
             for item, item_id, text in zip(*(batch[c].to_pylist() for c in ("item", "item_id", "text")), strict=True):
-                t, own, slot = template(text)
+                t, own, slot = template(text, codes)
                 w = min(window, len(t))
                 if w < min_tokens:
                     continue
@@ -146,11 +139,11 @@ def doc_windows(docs: DataFrame, widths: list[int], known) -> DataFrame:
     mask = np.uint64((1 << BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = known.value
+        bits, codes = known.value, ChunkCodes()
         for batch in batches:
             docs, ws, hs, ds, theirs = [], [], [], [], []
             for doc, text in zip(batch["doc"].to_pylist(), batch["text"], strict=True):
-                t, own, slot = template(text.as_py() or "")
+                t, own, slot = template(text.as_py() or "", codes)
                 for w in widths:
                     if len(t) < w:
                         continue

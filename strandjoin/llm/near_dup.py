@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, few, map_batches, materialise, partitions, unique_ids
+from .common import Memo, as_bytes, few, map_batches, materialise, partitions, unique_ids
 from .components import components
 from .runs import key_runs
 
@@ -42,22 +42,14 @@ PARTNERS = 256
 SIGNED = "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, sig binary"
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        h = xxhash.xxh3_64_digest(word)
-        if len(word) <= 64:
-            if len(self) >= 500_000:
-                self.clear()
-            self[word] = h
-        return h
+class WordHashes(Memo):
+    def make(self, word: bytes) -> bytes:
+        return xxhash.xxh3_64_digest(word)
 
 
-HASHES = WordHashes()
-
-
-def shingles(text: bytes, words: int) -> np.ndarray:
+def shingles(text: bytes, words: int, hashes: WordHashes) -> np.ndarray:
     """Distinct shingles as sorted 64-bit hashes."""
-    w = np.frombuffer(b"".join(map(HASHES.__getitem__, text.lower().split())), np.uint64)
+    w = np.frombuffer(b"".join(map(hashes.__getitem__, text.lower().split())), np.uint64)
     if not len(w):
         return w
     k = min(words, len(w))
@@ -88,11 +80,12 @@ def signature(s: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 def _sign(words: int, chunks: int):
     mult, add = multipliers(chunks * CHUNK)
+    hashes = WordHashes()  # a task's own, as each unpickles this
 
     def of(b: pa.RecordBatch) -> pa.RecordBatch:
         n, sets, sigs = [], [], []
         for raw in b["raw"].to_pylist():
-            s = shingles(raw, words)
+            s = shingles(raw, words, hashes)
             n.append(len(s))
             sets.append(xxhash.xxh3_128_digest(s.tobytes()))
             sigs.append(signature(s, mult, add).tobytes() if len(s) else b"")

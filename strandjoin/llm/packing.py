@@ -26,6 +26,8 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Memo
+
 PACKED = "pack_id long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<long>"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
@@ -47,23 +49,15 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
-class ChunkIds(dict):
-    """Ids of chunks as int32 bytes, looked up where they have come before; of two generations the older one goes when the newer is full."""
+class ChunkIds(Memo):
+    """Ids of chunks as int32 bytes."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str):
         super().__init__()
-        self.encode, self.most, self.older = encoder(path).encode_ordinary, most, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            ids = array("i", self.encode(chunk)).tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = ids
-        return ids
+        self.encode = encoder(path).encode_ordinary
+
+    def make(self, chunk: str) -> bytes:
+        return array("i", self.encode(chunk)).tobytes()
 
     def of(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, CHUNK.findall(text))), "<i4")

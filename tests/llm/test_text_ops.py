@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -383,3 +384,23 @@ def test_blocks_of_one_component_are_not_paired(spark):
     tight = N.blocks(placed, 40, 100).collect()  # long documents make more blocks
     assert len({(r["pa"], r["pb"]) for r in tight if r["k1"] == 1}) > len({(r["pa"], r["pb"]) for r in got if r["k1"] == 1})
     assert N.blocks(placed.limit(0), 40, 100).count() == 0
+
+
+def test_workers_keep_no_words(spark):
+    """What a task remembers of words goes with it, and isn't more than two generations."""
+
+    def kept(batches):
+        import gc
+
+        gc.collect()
+        yield from (b for b in batches if not b.num_rows)
+        n = sum(len(x) for x in gc.get_objects() if isinstance(x, dict) and type(x).__module__.startswith("strandjoin.llm"))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["id"])
+
+    rows = docs(spark, [(i, f"w{i} v{i} u{i} t{i} s{i}") for i in range(3000)])
+    assert N.near_dedup(rows).count() == 3000
+    assert D.decontaminate(rows, spark.createDataFrame([(1, "an item of the benchmark")], "item_id long, text string")).count() == 3000
+    assert {r["id"] for r in spark.range(8, numPartitions=8).mapInArrow(kept, "id long").collect()} == {0}
+    memo = N.WordHashes(most=10)
+    assert [memo[b"%d" % i] for i in range(100)] == [N.WordHashes()[b"%d" % i] for i in range(100)]
+    assert len(memo) + len(memo.older) <= 20
