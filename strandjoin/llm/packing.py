@@ -26,8 +26,6 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
-
 PACKED = "pack_id long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<long>"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
@@ -45,22 +43,19 @@ def encoder(path: str):
 
 
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: PATTERN never joins what this splits, so that the ids of a chunk don't depend on what is around it.
-CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: PATTERN never joins what a word's end and the white space behind it part, so that the ids of both don't depend on each other.
+PART = re.compile(rf"(?s:.{{1,65536}})[{WHITE}]*[^{WHITE}]*")
 
 
-class ChunkIds(Memo):
-    """Ids of chunks as int32 bytes."""
+class TextIds:
+    """Ids of texts. Each part is encoded whole: most time goes into ids of rare words, which remembering words wouldn't save."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.encode = encoder(path).encode_ordinary
 
-    def make(self, chunk: str) -> bytes:
-        return array("i", self.encode(chunk)).tobytes()
-
     def of(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, CHUNK.findall(text))), "<i4")
+        # as one list, a very long text's ids would take many times its size
+        return np.frombuffer(b"".join(array("i", self.encode(part)).tobytes() for part in PART.findall(text)), "<i4")
 
 
 class CapacityTree:
@@ -121,7 +116,7 @@ def pack(docs: DataFrame, length: int = 2048, block_tokens: int = 4_000_000, voc
     name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkIds(SparkFiles.get(name)).of
+        encode = TextIds(SparkFiles.get(name)).of
         base, done = TaskContext.get().partitionId() << 32, 0
 
         def rows(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:

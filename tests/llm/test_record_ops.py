@@ -193,6 +193,22 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(packing.VOCABULARY), reason="no vocabulary")
+def test_texts_are_encoded_whole(monkeypatch):
+    """A text is one call of the encoder, or one for each part, whose ends change no ids."""
+    ids, calls = packing.TextIds(packing.VOCABULARY), []
+    plain = ids.encode
+    ids.encode = lambda part: calls.append(part) or plain(part)
+    assert ids.of("many words, each only once " * 50).tolist() == plain("many words, each only once " * 50) and len(calls) == 1
+    assert ids.of("").tolist() == []
+    monkeypatch.setattr(packing, "PART", re.compile(packing.PART.pattern.replace("65536", "5")))
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab'sT1  \n\t.,\xe9\x85\x1c\u3000\u65e5") for _ in range(rng.randrange(40)))
+        calls.clear()
+        assert ids.of(text).tolist() == plain(text) and "".join(calls) == text
+
+
 def chat_plain(part):
     """The text of a formatted turn."""
     return part.split("\n", 1)[1].rsplit("<|im_end|>", 1)[0].replace("&lt;|", "<|").replace("&amp;", "&")
