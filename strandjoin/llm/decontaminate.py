@@ -25,14 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, few, materialise, unique_ids
+from .common import few, materialise, unique_ids
 
 FOUND = "doc_id long, item_id long, n_matched int, n_windows int, similarity double, reparameterised boolean"
-TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:;|\n]")
+PIECE = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:;|\n]| ")
+#: Bytes of texts whose tokens are made together.
+PART = 4 << 20
+#: A chunk's end among tokens' codes, of none of their kinds.
+SPACE = 5
 # Units that become placeholders after a number.
 UNITS = frozenset("mm cm dm m km mg g kg t ml cl dl l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years inch inches ft foot feet yard yards mile miles oz ounce ounces lb lbs pound pounds percent dollar dollars usd eur euro euros cent cents gbp mph kmh kwh wh w kw mw v kv a ma hz khz mhz ghz c f k b kb mb gb tb bit bits byte bytes litre litres liter liters meter meters metre metres gram grams kilogram kilograms kilometer kilometers tonne tonnes".split())
 END, NUMBER, NAME, UNIT = (xxhash.xxh3_64_intdigest(x) | 1 for x in ("\0end", "\0number", "\0name", "\0unit"))
@@ -40,29 +45,53 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 BITS = 22
 
 
-class ChunkCodes(Memo):
-    """Text without spaces -> its tokens' codes (hash << 3 | kind) as bytes: kind 0 a word, 1 a number, 2 capitalised, 3 a possible unit, 4 an end of a sentence."""
-
-    def make(self, chunk: str) -> bytes:
-        return np.array([self.code(t) for t in TOKEN.findall(chunk)], np.uint64).tobytes()
-
-    @staticmethod
-    def code(token: str) -> int:
-        c = token[0]
-        if c in ".!?:;|\n":
-            kind = 4
-        elif c.isdigit():
-            kind = 1
-        elif len(token) > 1 and c.isupper() and token[1:].islower():
-            kind = 2
-        else:
-            kind = 3 if token.lower() in UNITS else 0
-        return (xxhash.xxh3_64_intdigest(token.lower()) << 3 & 0xFFFFFFFFFFFFFFFF) | kind
-
-
-def template(text: str, codes: ChunkCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template hashes, original hashes, slot flags) of the text's tokens."""
-    raw = np.frombuffer(b"".join(map(codes.__getitem__, text.replace("\n", " \n ").split(" "))), np.uint64)
+def token_code(token: str) -> int:
+    """hash << 3 | kind: kind 0 a word, 1 a number, 2 capitalised, 3 a possible unit, 4 an end of a sentence."""
+    low, c = token.lower(), token[0]
+    if c in ".!?:;|\n":
+        kind = 4
+    elif c.isdigit():
+        kind = 1
+    elif len(token) > 1 and c.isupper() and token[1:].islower():
+        kind = 2
+    else:
+        kind = 3 if low in UNITS else 0
+    return (xxhash.xxh3_64_intdigest(low) << 3 & 0xFFFFFFFFFFFFFFFF) | kind
+
+
+def text_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the texts' tokens, one text after the other, and where each text's begin (and the last one's end).
+
+    Texts are cut at spaces, and of equal chunks one is looked at.
+    """
+    chunks = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " \n "), " ")
+    per = chunks.flatten().dictionary_encode()
+    found = PIECE.findall("".join([f"{c} " for c in per.dictionary.to_pylist()]))
+    raw = np.array([SPACE if t == " " else token_code(t) for t in found], np.uint64)
+    ends = np.flatnonzero(raw == SPACE)
+    first = np.concatenate([[0], ends + 1])
+    which = per.indices.to_numpy()
+    n = np.diff(first)[which] - 1
+    at = np.concatenate([[0], np.cumsum(n)])
+    out = raw[np.repeat(first[which] - at[:-1], n) + np.arange(at[-1])]
+    starts = np.asarray(chunks.offsets) - chunks.offsets[0].as_py()
+    return out, at[starts]
+
+
+def templates(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(template hashes, original hashes, slot flags) of each text's tokens."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    # so many bytes of texts at a time that their chunks are little memory
+    group = np.cumsum(size) // PART
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        raw, starts = text_codes(texts.slice(a, b - a))
+        for x, y in zip(starts.tolist(), starts[1:].tolist()):
+            yield template(raw[x:y])
+
+
+def template(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template hashes, original hashes, slot flags) of a text's codes."""
     kind = (raw & np.uint64(7)).astype(np.int8)
     end = kind == 4
     opens = np.ones(len(raw), bool)  # the first token of a sentence is capitalised anyway
@@ -104,11 +133,9 @@ def item_windows(items: DataFrame, window: int, min_tokens: int) -> DataFrame:
     """A row for each window of each item and hash that it is looked up by. items: item (unique), item_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = ChunkCodes()
         for batch in batches:
             rows = []
-            for item, item_id, text in zip(*(batch[c].to_pylist() for c in ("item", "item_id", "text")), strict=True):
-                t, own, slot = template(text, codes)
+            for item, item_id, (t, own, slot) in zip(batch["item"].to_pylist(), batch["item_id"].to_pylist(), templates(batch["text"]), strict=True):
                 w = min(window, len(t))
                 if w < min_tokens:
                     continue
@@ -139,11 +166,10 @@ def doc_windows(docs: DataFrame, widths: list[int], known) -> DataFrame:
     mask = np.uint64((1 << BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, codes = known.value, ChunkCodes()
+        bits = known.value
         for batch in batches:
             docs, ws, hs, ds, theirs = [], [], [], [], []
-            for doc, text in zip(batch["doc"].to_pylist(), batch["text"], strict=True):
-                t, own, slot = template(text.as_py() or "", codes)
+            for doc, (t, own, slot) in zip(batch["doc"].to_pylist(), templates(batch["text"]), strict=True):
                 for w in widths:
                     if len(t) < w:
                         continue

@@ -129,6 +129,21 @@ def test_decontamination(spark):
     assert D.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_equal_chunks_are_coded_once(monkeypatch):
+    """Texts' tokens are made together, and of equal chunks once; how texts are put together changes nothing."""
+    calls, plain = [], D.token_code
+    monkeypatch.setattr(D, "token_code", lambda t: calls.append(t) or plain(t))
+    got = list(D.templates(pa.array(["one two, Three", None, "one two, Three one"] * 40)))
+    assert sorted(calls) == ["Three", "one", "two"] and [len(t) for t, _, _ in got[:3]] == [3, 0, 4]
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["5 km ", "Mary ", "he ", "THE", "\n", " ", "1.5,3", ". ", "\xe9_\u0130"]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    alone = [next(D.templates(pa.array([t]))) for t in texts]
+    for part in (1, 50, 1 << 20):
+        monkeypatch.setattr(D, "PART", part)
+        together = list(D.templates(pa.array(["x", *texts, None]).slice(1, 300)))
+        assert all(np.array_equal(a, b) for x, y in zip(alone, together, strict=True) for a, b in zip(x, y, strict=True))
+
+
 def contaminated_expected(rows, items, window, similarity):
     """By comparing every window of every document with every window of every item, on strings."""
 
