@@ -43,8 +43,10 @@ from .common import materialise, partitions
 
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 STRIPES = 256
-#: Documents of a batch, links that a task holds before it writes them, bytes of links that score in one part, partial sums of a stripe that are added in one part.
+#: Documents that a batch has at most, links that a task holds before it writes them, bytes of links that score in one part, partial sums of a stripe that are added in one part.
 BATCH, HELD, PART, SUMS = 1 << 15, 1 << 21, 32 << 20, 4096
+#: Documents that are added to a batch at once.
+ADDED = 256
 #: Characters from which on a text is encoded by itself, and of the texts that are encoded together.
 LONG = 1 << 20
 SPACES = " \n"
@@ -331,18 +333,19 @@ def linked(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH, id_col:
             rows, held = [], 0
 
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for k in range(0, b.num_rows, ADDED):
+                part = b.slice(k, ADDED)
                 ids = iter(part.column(0).to_pylist())
                 for row in out.add(part.column(1).to_pylist()):
                     rows.append(row | {"id": next(ids)})
-                if out.links >= HELD or out.docs >= BATCH:
+                full = out.docs + ADDED > BATCH  # record batches end within ADDED, so counts of documents aren't its multiples
+                if out.links >= HELD or full:
                     for r in out.flush():
                         rows.append(r)
                         held += len(r["sums"]) + len(r["links"])
                         if held > 8 << 20:
                             yield from sent()
-                if out.docs >= BATCH:
+                if full:
                     out.next()
                 if len(rows) >= 2048:
                     yield from sent()

@@ -111,6 +111,17 @@ def test_small_batches_in_a_worker(monkeypatch):
     assert [d["n_links"] for d in docs] == [len(f[3]) for f in brute(texts)]
 
 
+def test_more_documents_in_a_task_than_a_batch_has(spark):
+    """A task's record batches end where they do, and no batch of documents is larger than its numbers."""
+    texts = ["the cat", "a b", "it's ", "a b c"]
+    n = token_links.BATCH + 1000
+    want, _, _ = expected([texts[i % 4] for i in range(n)])
+    names = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    d = spark.range(n).selectExpr("id AS doc_id", "id % 4 AS k").join(names, "k").select("doc_id", "text").coalesce(1).sortWithinPartitions("doc_id")
+    got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in align_tokenizers(d).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_odd_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert align_tokenizers(empty).count() == 0
