@@ -206,3 +206,19 @@ def test_near_counts_by_packed_rows(spark, width):
     d = spark.createDataFrame([("A" * width, 1)], "window string, m long")
     rows = d.mapInArrow(classes._without_blocks(width), ", ".join(f"{r} long" for r in classes._rest_names(width)) + ", part int, m long")
     assert rows.count() == -(-(width if width % 2 else width // 2) // classes.BLOCK)
+
+
+def test_classes_over_several_ranges(spark, monkeypatch):
+    """Ranges are cut within classes, too: texts, counts and places are those of the windows in order."""
+    monkeypatch.setattr(classes.dealt, "PART", 40)
+    monkeypatch.setattr(classes.dealt, "PASS", 160)
+    _, refs, seqs = made(spark, 5)
+    c = classes.build(refs, WIDTH)
+    rows = sorted((s[o : o + WIDTH], r, o) for r, s in enumerate(seqs) for o in range(len(s) - WIDTH + 1) if "N" not in s[o : o + WIDTH])
+    want = {}
+    for k, (w, _, _) in enumerate(rows):
+        n, first = want.get(w, (0, k))
+        want[w] = (n + 1, first)
+    assert max(n for n, _ in want.values()) > 60
+    assert sorted((r["window"], r["n"], r["first"]) for r in c.table.collect()) == sorted((w, *x) for w, x in want.items())
+    assert [(r["ref_id"], r["off"]) for r in c.places.orderBy("place").collect()] == [(r, o) for _, r, o in rows]
